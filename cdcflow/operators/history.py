@@ -91,11 +91,12 @@ def apply_changes(
     handful of rows; give ``hot`` when a key may have very many staged changes.
     """
     staged = known_changes(staged)
+    key = list(key)
     if target is None:
         if initial == "insert_only":
             staged = staged.filter(F.col(OPERATION) == "INSERT")
-        target = staged.limit(0)
-    key = list(key)
+        arriving = staged.withColumns({"_at": F.col(FROM), "_kind": F.lit(2)})
+        return _rebuild(arriving, key, order, hot, staged.columns)
     columns = target.columns
     range_of_change = staged.groupBy(*key).agg(F.min(FROM).alias("_since"), F.max(FROM).alias("_until"))
     matched = target.join(range_of_change, key, "left")
@@ -108,8 +109,8 @@ def apply_changes(
     end = F.when(F.col(TO).isNotNull(), F.struct(F.col(TO).alias("_at"), F.lit(0).alias("_kind")))
     old = (
         matched.filter(touched)
-        .withColumn("_event", F.explode(F.array_compact(F.array(version, end))))
-        .select(*columns, "_event.*")
+        .select(*columns, F.inline(F.array(version, end)))
+        .filter(F.col("_kind").isNotNull())
     )
     following = (
         matched.filter(F.col(FROM) > F.col("_until"))
@@ -120,16 +121,7 @@ def apply_changes(
     arriving = staged.select(*columns, F.col(FROM).alias("_at"), F.lit(2).alias("_kind"))
     events = old.unionByName(arriving).unionByName(following, allowMissingColumns=True)
 
-    ties = [c for c in order if c in columns]
-    opens = (F.col("_kind") == 1) | ((F.col("_kind") == 2) & F.col(OPERATION).isin(*WRITTEN))
-    rebuilt = (
-        skew.next_time(events, key, ["_at", "_kind", *ties], "_next", hot)
-        .filter(opens)
-        .withColumns({TO: F.col("_next"), CURRENT: F.col("_next").isNull()})
-        .filter(F.col(TO).isNull() | (F.col(TO) > F.col(FROM)))
-        .select(*columns)
-    )
-    return matched.filter(~touched).select(*columns).unionByName(rebuilt)
+    return matched.filter(~touched).select(*columns).unionByName(_rebuild(events, key, order, hot, columns))
 
 
 def drop_unchanged(target: DataFrame, staged: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -218,5 +210,20 @@ def register_views(spark: SparkSession, name: str, history: DataFrame) -> None:
     current(history).createOrReplaceTempView(f"{name}_current")
 
 
+def _rebuild(
+    events: DataFrame, key: list[str], order: Sequence[str], hot: skew.HotKeys | None, columns: list[str]
+) -> DataFrame:
+    """Versions from events in order: 0 ends one, 1 is a known version, 2 a staged change."""
+    ties = [c for c in order if c in columns]
+    opens = (F.col("_kind") == 1) | ((F.col("_kind") == 2) & F.col(OPERATION).isin(*WRITTEN))
+    return (
+        skew.next_time(events, key, ["_at", "_kind", *ties], "_next", hot)
+        .filter(opens)
+        .withColumns({TO: F.col("_next"), CURRENT: F.col("_next").isNull()})
+        .filter(F.col(TO).isNull() | (F.col(TO) > F.col(FROM)))
+        .select(*columns)
+    )
+
+
 def _type_of(df: DataFrame, c: Column):
     return df.select(c.alias("_c")).schema["_c"].dataType

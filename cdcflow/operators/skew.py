@@ -25,17 +25,32 @@ class HotKeys:
     ``rows``: rows one task should sort at most. ``sample``: one row in this many, chosen
     by hash, is looked at to find hot keys; it decides only where spans begin. ``limit``:
     most keys that get spans, which bounds the broadcast; the remaining keys take the
-    ordinary path and give the same result.
+    ordinary path and give the same result. ``small_bytes``: an input estimated below this
+    is sorted without looking for hot keys.
     """
 
     rows: int = 2_000_000
     sample: int = 64
     limit: int = 10_000
+    small_bytes: int = 64 << 20
+
+    def may_exist(self, df: DataFrame) -> bool:
+        """False when the whole input is small enough for one task to sort."""
+        size = estimated_bytes(df)
+        return size is None or size > self.small_bytes
 
 
 DEFAULT = HotKeys()
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Spark's own size estimate of a frame, None where the session cannot tell."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def with_spans(df: DataFrame, key: Sequence[str], at: str, hot: HotKeys = DEFAULT) -> DataFrame:
     """Add ``_span`` (0 for ordinary keys, rising with time for hot ones) and ``_hot``."""
     number = sort_number(F.col(at), df.schema[at].dataType)
@@ -70,7 +85,7 @@ def next_time(
     Pass ``hot=None`` only when the number of rows per key is known to be small.
     """
     at = order[0]
-    if hot is None:
+    if hot is None or not hot.may_exist(df):
         return df.withColumn(out, F.lead(at).over(Window.partitionBy(*key).orderBy(*order)))
     spanned = with_spans(df, key, at, hot)
     w = Window.partitionBy(*key, SPAN).orderBy(*order)
@@ -91,6 +106,11 @@ def last_seen(
 ) -> DataFrame:
     """Add the latest non-NULL ``value`` up to and including each row in ``order``."""
     at = order[0]
+    if not hot.may_exist(df):
+        running = (
+            Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(running))
     spanned = with_spans(df, key, at, hot)
     w = Window.partitionBy(*key, SPAN).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = spanned.withColumn(out, F.last(value, ignorenulls=True).over(w))

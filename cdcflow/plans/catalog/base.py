@@ -85,9 +85,8 @@ def order_changes(t: Tables) -> DataFrame:
         "o_custkey",
         "o_totalprice",
         "o_orderpriority",
-        F.explode(F.array_compact(F.array(load, fill, drop))).alias("_c"),
-    ).select("o_orderkey", "o_custkey", "_c.o_orderstatus", "o_totalprice", "o_orderpriority", "_c.operation",
-             "_c.change_ts", "_c.seq")
+        F.inline(F.array(load, fill, drop)),
+    ).filter(F.col("operation").isNotNull())
 
 
 def _change(operation: str, days: int, status: Column) -> Column:

@@ -43,11 +43,12 @@ def patients(t: Tables) -> DataFrame:
         "c_acctbal",
         "c_mktsegment",
     )
-    changes = rows.withColumn("_c", lifecycle(
+    steps = lifecycle(
         ("INSERT", "2023-12-01", "active", F.lit(True)),
         ("UPDATE", "2024-01-10", "discharged", F.col("c_acctbal") < 3000),
         ("DELETE", "2024-01-20", "active", F.col("c_mktsegment") == "MACHINERY"),
-    )).select("id", "mrn", "name", "_c.*")
+    )
+    changes = rows.select("id", "mrn", "name", steps).filter(F.col("_operation").isNotNull())
     masked = apply_transforms(changes, [Transform("mask_pii", "name", {"visible_chars": 2})])
     return H.from_changelog(masked, ["id"], ["change_ts"])
 

@@ -57,15 +57,18 @@ def order_messages(t: Tables, changes: DataFrame | None = None, keep: tuple[str,
 def cdc_encode(t: Tables) -> DataFrame:
     specified = F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority"))
     messages = order_messages(t, order_changes(t).withColumn("o_orderpriority", specified))
-    field = lambda path: F.get_json_object("value", path)
-    return messages.select(
-        field("$.data.o_orderkey").cast("long").alias("o_orderkey"),
-        field("$.metadata.table-name").alias("table_name"),
-        field("$.metadata.operation").alias("operation"),
-        field("$.metadata.timestamp").alias("at"),
-        field("$.data.o_orderpriority").alias("priority"),
-        F.contains("value", F.lit('"o_orderpriority":null')).alias("null_is_written"),
+    parts = messages.select(F.json_tuple("value", "data", "metadata").alias("data", "metadata"))
+    header = parts.select(
+        "data",
+        F.json_tuple("metadata", "table-name", "operation", "timestamp").alias("table_name", "operation", "at"),
     )
+    return header.select(
+        "table_name",
+        "operation",
+        "at",
+        F.contains("data", F.lit('"o_orderpriority":null')).alias("null_is_written"),
+        F.json_tuple("data", "o_orderkey", "o_orderpriority").alias("o_orderkey", "priority"),
+    ).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
 
 
 @query(

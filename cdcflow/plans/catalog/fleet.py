@@ -69,16 +69,17 @@ def vehicles(t: Tables) -> DataFrame:
         "s_acctbal",
     )
     balance = F.col("s_acctbal")
-    changes = rows.withColumn("_c", lifecycle(
+    steps = lifecycle(
         ("INSERT", "2023-01-01", "active", F.lit(True)),
         ("UPDATE", "2023-06-01", "maintenance", balance < 2000),
         ("DELETE", "2023-09-01", "active", balance > 9000),
-    )).select("id", "vin", "make", "_c.*")
+    )
+    changes = rows.select("id", "vin", "make", steps).filter(F.col("_operation").isNotNull())
     return H.from_changelog(changes, ["id"], ["change_ts"])
 
 
 def lifecycle(*steps):
-    """One change per step whose condition holds; a status of None keeps the row's own."""
+    """One change per step whose condition holds, and an empty one per step where it does not."""
     changes = [
         F.when(
             condition,
@@ -90,7 +91,7 @@ def lifecycle(*steps):
         )
         for operation, at, status, condition in steps
     ]
-    return F.explode(F.array_compact(F.array(*changes)))
+    return F.inline(F.array(*changes))
 
 
 def drivers(t: Tables) -> DataFrame:
@@ -102,10 +103,11 @@ def drivers(t: Tables) -> DataFrame:
         "c_mktsegment",
         "c_acctbal",
     )
-    changes = rows.withColumn("_c", lifecycle(
+    steps = lifecycle(
         ("INSERT", "2023-01-01", F.col("c_mktsegment"), F.lit(True)),
         ("UPDATE", "2023-03-01", "suspended", F.col("c_acctbal") < 0),
-    )).select("id", "name", "phone", "license_number", "_c.*")
+    )
+    changes = rows.select("id", "name", "phone", "license_number", steps).filter(F.col("_operation").isNotNull())
     masked = apply_transforms(changes, [Transform("mask_pii", "phone"), Transform("mask_pii", "license_number")])
     return H.from_changelog(masked, ["id"], ["change_ts"])
 

@@ -12,7 +12,7 @@ from cdcflow.plans.catalog.feed import ORDERS, order_messages
 from cdcflow.session import scratch_dir
 from cdcflow.sources.store import Store
 from cdcflow.spec import Check, Rule, TableSpec, Transform
-from cdcflow.streaming.streams import start_stream
+from cdcflow.streaming.streams import start_stream, write_batch
 
 CHECKED_ORDERS = TableSpec(
     name="orders",
@@ -80,11 +80,16 @@ def batches(t: Tables) -> tuple[DataFrame, DataFrame]:
     ("accepted_second",),
 )
 def batch_orders_run(t: Tables) -> DataFrame:
-    """History of orders after a load and a batch of changes, low-quality rows set aside."""
+    """History of orders after a load and a batch of changes, low-quality rows set aside.
+
+    The load is compacted into a base, the second batch is merged into it when read.
+    """
     load, changes = batches(t)
-    first = run_batch(CHECKED_ORDERS, load, 0, FIRST_TIME)
-    second = run_batch(CHECKED_ORDERS, changes, 1, SECOND_TIME, target=first.history)
-    return second.history.select(*OUTPUT, "_ingested_at")
+    store = Store(t.spark, scratch_dir(t.spark))
+    write_batch(CHECKED_ORDERS, load, 0, store, now=FIRST_TIME)
+    store.compact(CHECKED_ORDERS)
+    write_batch(CHECKED_ORDERS, changes, 1, store, now=SECOND_TIME)
+    return store.history(CHECKED_ORDERS).select(*OUTPUT, "_ingested_at")
 
 
 @query(

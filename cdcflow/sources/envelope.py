@@ -29,9 +29,7 @@ def decode(messages: DataFrame, spec: TableSpec, *, value: str = "value", keep:
     Malformed text and control messages carry no column value and are left out. ``keep``
     names message columns (an offset, say) to carry along.
     """
-    parsed = messages.select(
-        *keep, F.from_json(F.col(value).cast("string"), envelope_schema(spec)).alias("_message")
-    )
+    parsed = _parse(messages, envelope_schema(spec), value, keep)
     rows = parsed.select(
         *keep,
         "_message.data.*",
@@ -76,15 +74,14 @@ def route(messages: DataFrame, specs: Sequence[TableSpec], *, schema: str = "pub
 
     One decode of the metadata serves all tables; internal tables have no topic.
     """
-    text = F.col(value).cast("string")
-    header = F.from_json(text, T.StructType([T.StructField("metadata", METADATA)]))["metadata"]
     topics = F.create_map(*[F.lit(x) for s in streamed(specs) for x in (s.name, s.topic)])
+    header = T.StructType([T.StructField("metadata", METADATA)])
     return (
-        messages.withColumn("_header", header)
-        .filter(F.col("_header")["schema-name"] == schema)
-        .withColumn("topic", F.try_element_at(topics, F.col("_header")["table-name"]))
+        _parse(messages, header, value, messages.columns)
+        .filter(F.col("_message.metadata.schema-name") == schema)
+        .withColumn("topic", F.try_element_at(topics, F.col("_message.metadata.table-name")))
         .filter(F.col("topic").isNotNull())
-        .drop("_header")
+        .drop("_message")
     )
 
 
@@ -92,3 +89,14 @@ def full_load_then_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame
     """A snapshot followed by changes as one log; ``_phase`` orders the snapshot first."""
     loaded = snapshot.withColumns({"_operation": F.lit("INSERT"), "_phase": F.lit(0)})
     return loaded.unionByName(changes.withColumn("_phase", F.lit(1)))
+
+
+def _parse(messages: DataFrame, schema: T.StructType, value: str, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and the parsed ``_message``.
+
+    The optimizer copies a projected expression into every filter above it, so each tested
+    field would parse the text again. It does not look into a generator: exploding a
+    one-element array parses each message once.
+    """
+    message = F.from_json(F.col(value).cast("string"), schema)
+    return messages.select(*keep, F.explode(F.array(message)).alias("_message"))
