@@ -2,7 +2,7 @@ import math
 
 import pytest
 from conftest import at, rows
-from hypothesis import HealthCheck, given, settings, strategies as st
+from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cdcflow.operators import quarantine as Q, rules as R
@@ -151,7 +151,9 @@ def test_quarantine_of_different_tables_fills_missing_columns(spark):
 values = st.one_of(st.none(), st.integers(-3, 3))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(
+    max_examples=12, deadline=None, phases=[Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
 @given(st.lists(st.tuples(values, values, st.sampled_from(["INSERT", "DELETE"])), max_size=30))
 def test_every_row_is_valid_or_quarantined_and_agrees_with_a_loop(spark, data):
     """Rows judged one rule after the other in plain Python."""
