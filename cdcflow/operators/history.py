@@ -98,8 +98,13 @@ def apply_changes(
         arriving = staged.withColumns({"_at": F.col(FROM), "_kind": F.lit(2)})
         return _rebuild(arriving, key, order, hot, staged.columns)
     columns = target.columns
+    # Versions that ended before the first change of the whole batch take no part: they
+    # are neither joined nor shuffled, which leaves little more than the open versions.
+    floor = staged.agg(F.min(FROM)).scalar()
+    settled = target.filter(F.col(TO).isNotNull() & F.coalesce(F.col(TO) <= floor, F.lit(True)))
+    recent = target.filter(F.col(TO).isNull() | F.coalesce(F.col(TO) > floor, F.lit(False)))
     range_of_change = staged.groupBy(*key).agg(F.min(FROM).alias("_since"), F.max(FROM).alias("_until"))
-    matched = target.join(range_of_change, key, "left")
+    matched = recent.join(range_of_change, key, "left")
     is_open = F.col(TO).isNull() | (F.col(TO) > F.col("_since"))
     touched = F.coalesce(is_open & (F.col(FROM) <= F.col("_until")), F.lit(False))
 
@@ -121,7 +126,8 @@ def apply_changes(
     arriving = staged.select(*columns, F.col(FROM).alias("_at"), F.lit(2).alias("_kind"))
     events = old.unionByName(arriving).unionByName(following, allowMissingColumns=True)
 
-    return matched.filter(~touched).select(*columns).unionByName(_rebuild(events, key, order, hot, columns))
+    kept = settled.unionByName(matched.filter(~touched).select(*columns))
+    return kept.unionByName(_rebuild(events, key, order, hot, columns))
 
 
 def drop_unchanged(target: DataFrame, staged: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cdcflow.functions.columns import hour_label
-from cdcflow.operators.rules import FAILED, WARNED
+from cdcflow.operators.rules import FAILED, OPERATION, WARNED
 
-PARTITIONS = ["run_date", "table_name", "batch_id"]
+PARTITIONS = ["table_name", "run_date", "batch_id"]
 
 
 def quarantine_frame(tagged: DataFrame, table: str, batch_id: int | Column, at: Column) -> DataFrame:
@@ -35,19 +35,30 @@ def union_tables(*frames: DataFrame) -> DataFrame:
 
 
 def summary(tagged: DataFrame, table: str, batch_id: int | Column, at: Column, path: str = "") -> DataFrame:
-    """One row per batch with failures: the facts an alert needs."""
+    """The facts an alert needs: one row per batch with quarantined or unknown rows."""
     batch = batch_id if isinstance(batch_id, Column) else F.lit(batch_id)
+    unknown = F.col(OPERATION) == "UNKNOWN" if OPERATION in tagged.columns else F.lit(False)
     return (
         tagged.groupBy(batch.cast("long").alias("batch_id"))
         .agg(
             F.count("*").alias("total_rows"),
             F.count(FAILED).alias("quarantined_count"),
+            F.count_if(unknown).alias("unknown_count"),
             F.array_sort(F.collect_set(FAILED)).alias("failed_rules"),
             F.max(at).alias("quarantined_at"),
         )
-        .filter(F.col("quarantined_count") > 0)
+        .filter((F.col("quarantined_count") > 0) | (F.col("unknown_count") > 0))
         .withColumns({"table_name": F.lit(table), "path": F.lit(path)})
-        .select("table_name", "batch_id", "total_rows", "quarantined_count", "failed_rules", "path", "quarantined_at")
+        .select(
+            "table_name",
+            "batch_id",
+            "total_rows",
+            "quarantined_count",
+            "unknown_count",
+            "failed_rules",
+            "path",
+            "quarantined_at",
+        )
     )
 
 

@@ -48,11 +48,11 @@ def run_batch(
     initial: str = "upsert",
     tagged: DataFrame | None = None,
 ) -> BatchResult:
-    """The outputs of a batch. Nothing runs until one of them is used.
+    """The outputs of a batch at ``batch_time`` (UTC). Nothing runs until one is used.
 
     A caller that uses several outputs can pass persisted ``tagged`` rows.
     """
-    at = F.lit(batch_time).cast("timestamp")
+    at = F.lit(batch_time.replace(tzinfo=dt.timezone.utc))
     if tagged is None:
         tagged = tag(decode(raw, spec, keep=spec.ordering), spec)
     metrics = M.compute_metrics(tagged, spec.checks, spec.name, batch_id, at)

@@ -204,7 +204,7 @@ def quarantine_by_rule(t: Tables) -> DataFrame:
     f"""
     WITH {SEQUENCE_SQL}
     SELECT 'events' AS table_name, {DAY_SQL} AS batch_id, count(*) AS total_rows,
-           count(_failed_rule) AS quarantined_count,
+           count(_failed_rule) AS quarantined_count, 0::BIGINT AS unknown_count,
            array_to_string(list_sort(list(DISTINCT _failed_rule) FILTER (_failed_rule IS NOT NULL)), ',')
                AS failed_rules,
            'quarantine' AS path, max(ts) AS quarantined_at

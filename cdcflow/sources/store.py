@@ -8,7 +8,10 @@ costs what it brings, not what the table holds.
     <root>/<table>/base/version=N/          history up to batch N, by _is_current
     <root>/<table>/bases/version=N          written after the base is complete
     <root>/batches/table_name=T/batch_id=N  time of the batch, fixed on its first attempt
-    <root>/quarantine | metrics | summary
+    <root>/quarantine/table_name=T/run_date=H/batch_id=N
+    <root>/metrics | summary
+
+Times are kept in UTC, so the session has to run in that zone.
 """
 
 from __future__ import annotations
@@ -22,10 +25,18 @@ from cdcflow.operators import history as H, quarantine as Q, skew
 from cdcflow.spec import TableSpec
 
 METRIC_PARTITIONS = ["table_name", "batch_id"]
+# What the quarantined rows of all tables have in common.
+QUARANTINE_FACTS = (
+    "_operation string, _failed_rule string, _quarantined_at timestamp, "
+    "table_name string, run_date string, batch_id bigint"
+)
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
+        midnight = spark.sql("SELECT unix_seconds(timestamp'2024-01-01'), unix_seconds(timestamp'2024-07-01')").first()
+        if tuple(midnight) != (1704067200, 1719792000):
+            raise ValueError("set spark.sql.session.timeZone to UTC")
         self.spark = spark
         self.root = root.rstrip("/")
 
@@ -43,21 +54,23 @@ class Store:
         self._replace(staged.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{spec.name}/changes", ["batch_id"])
 
     def write_quarantine(self, quarantined: DataFrame) -> None:
-        """Schemas differ by table, so each table has its own partition tree."""
+        """Columns differ by table, so the table is the outermost partition."""
         self._replace(quarantined, "quarantine", Q.PARTITIONS)
 
     def write_metrics(self, metrics: DataFrame, at: dt.datetime) -> None:
-        stamped = metrics.drop("severity").withColumn("_ingested_at", F.lit(at))
+        stamped = metrics.drop("severity").withColumn("_ingested_at", F.lit(at.replace(tzinfo=dt.timezone.utc)))
         self._replace(stamped.coalesce(1), "metrics", METRIC_PARTITIONS)
 
     def write_summary(self, summary: DataFrame) -> None:
         self._replace(summary.coalesce(1), "summary", METRIC_PARTITIONS)
 
-    def quarantine(self, table: str | None = None) -> DataFrame | None:
-        found = self._read(f"{self.root}/quarantine", merge=table is None)
-        if found is None or table is None:
-            return found
-        return self._read(f"{self.root}/quarantine", merge=True).filter(F.col("table_name") == table)
+    def quarantine(self, table: str) -> DataFrame | None:
+        """Quarantined rows of one table, with that table's columns."""
+        return self._read(f"{self.root}/quarantine/table_name={table}", f"{self.root}/quarantine")
+
+    def quarantine_facts(self) -> DataFrame | None:
+        """Rule, time and batch of the quarantined rows of all tables."""
+        return self._read(f"{self.root}/quarantine", schema=QUARANTINE_FACTS)
 
     def metrics(self) -> DataFrame | None:
         return self._read(f"{self.root}/metrics")
@@ -72,7 +85,11 @@ class Store:
 
     def base(self, spec: TableSpec) -> DataFrame | None:
         version = self.base_version(spec)
-        return None if version < 0 else self._read(f"{self.root}/{spec.name}/base/version={version}")
+        if version < 0:
+            return None
+        # A partition value reads back as text.
+        found = self._read(f"{self.root}/{spec.name}/base/version={version}")
+        return found.withColumn(H.CURRENT, F.col(H.CURRENT).cast("boolean"))
 
     def changes(self, spec: TableSpec, after: int = -1) -> DataFrame | None:
         found = self._read(f"{self.root}/{spec.name}/changes")
@@ -119,9 +136,10 @@ class Store:
             .parquet(f"{self.root}/{folder}")
         )
 
-    def _read(self, path: str, merge: bool = False) -> DataFrame | None:
+    def _read(self, path: str, base: str | None = None, schema: str | None = None) -> DataFrame | None:
+        reader = self.spark.read.option("basePath", base or path)
         try:
-            return self.spark.read.option("mergeSchema", str(merge).lower()).parquet(path)
+            return (reader.schema(schema) if schema else reader).parquet(path)
         except AnalysisException as problem:
             if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None

@@ -7,6 +7,7 @@ import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
+from cdcflow.operators import quarantine as Q
 from cdcflow.plans.batch import run_batch
 from cdcflow.sources.store import Store
 from cdcflow.spec import Check, ColumnSpec, Rule, TableSpec, Transform
@@ -89,7 +90,7 @@ def test_first_batch_without_inserts(spark):
 @pytest.mark.parametrize("compact", [False, True])
 def test_store(spark, tmp_path, compact):
     store = Store(spark, str(tmp_path))
-    assert store.history(DRIVERS) is None and store.current(DRIVERS) is None and store.quarantine() is None
+    assert store.history(DRIVERS) is None and store.current(DRIVERS) is None and store.quarantine("drivers") is None
     assert store.compact(DRIVERS) == -1
     write_batch(DRIVERS, frame(spark, *LOAD), 0, store, now=at(10))
     if compact:
@@ -104,7 +105,11 @@ def test_store(spark, tmp_path, compact):
     assert rows(store.metrics(), "batch_id", "metric_name") == [
         (0, "Completeness"), (0, "Size"), (1, "Completeness"), (1, "Size")]
     assert rows(store.quarantine("drivers"), "id", "run_date") == [(3, "2024-01-11T00:00:00"), (None, "2024-01-11T00:00:00")]
-    assert store.summary().count() == 1
+    assert rows(store.summary(), "batch_id", "total_rows", "quarantined_count", "unknown_count") == [(0, 5, 2, 1)]
+    assert rows(Q.by_rule(store.quarantine_facts()), "table_name", "_failed_rule", "rows") == [
+        ("drivers", "drv_score", 1), ("drivers", "primary_key", 1)]
+    kinds = {f.name: f.dataType.simpleString() for f in store.history(DRIVERS).schema}
+    assert kinds["_is_current"] == "boolean" and kinds["_effective_to"] == "timestamp"
 
 
 def test_writing_a_batch_again_replaces_its_own_rows(spark, tmp_path):
@@ -115,7 +120,7 @@ def test_writing_a_batch_again_replaces_its_own_rows(spark, tmp_path):
     before = rows(store.history(DRIVERS))
     write_batch(DRIVERS, frame(spark, *CHANGES), 1, store, now=at(14))
     assert rows(store.history(DRIVERS)) == before
-    assert store.quarantine().count() == 2 and store.metrics().count() == 4 and store.summary().count() == 1
+    assert store.quarantine("drivers").count() == 2 and store.metrics().count() == 4 and store.summary().count() == 1
     assert store.batch_time("drivers", 0) == at(10)
 
 
@@ -191,7 +196,7 @@ def test_a_failed_batch_is_repeated_after_restart(spark, tmp_path, monkeypatch):
     again = start_stream(DRIVERS, source(spark, messages)(DRIVERS), store, f"{tmp_path}/cp", **options)
     assert again.awaitTermination(120)
     assert rows(store.current(DRIVERS), "id") == [(1,), (2,)]
-    assert store.quarantine().count() == 2 and store.metrics().count() == 2
+    assert store.quarantine("drivers").count() == 2 and store.metrics().count() == 2
 
 
 def test_batch_time_is_fixed_by_the_first_attempt(spark, tmp_path):
@@ -200,3 +205,12 @@ def test_batch_time_is_fixed_by_the_first_attempt(spark, tmp_path):
     assert store.batch_time("t", 0, at(2)) == at(1)
     assert abs((store.batch_time("t", 1) - dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).total_seconds()) < 60
     assert spark.sql("SELECT 1").select(F.lit(at(1))).first()[0] == at(1)
+
+
+def test_store_needs_utc(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError):
+            Store(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
