@@ -113,7 +113,7 @@ def apply_changes(
     version = F.struct(F.col(FROM).alias("_at"), F.lit(1).alias("_kind"))
     end = F.when(F.col(TO).isNotNull(), F.struct(F.col(TO).alias("_at"), F.lit(0).alias("_kind")))
     old = (
-        matched.filter(touched)
+        matched.filter(F.col("_since").isNotNull() & touched)
         .select(*columns, F.inline(F.array(version, end)))
         .filter(F.col("_kind").isNotNull())
     )

@@ -94,7 +94,7 @@ def metric_size(t: Tables) -> DataFrame:
 
 @query(
     "metric_size_empty",
-    """SELECT 3 AS batch_id, 'Size' AS metric_name, NULL::VARCHAR AS column_name, 0::DOUBLE AS metric_value,
+    """SELECT 3::BIGINT AS batch_id, 'Size' AS metric_name, NULL::VARCHAR AS column_name, 0::DOUBLE AS metric_value,
               1::DOUBLE AS threshold, count(*) > 0 AS passed FROM dirty WHERE value < 0""",
     ("dirty",),
 )

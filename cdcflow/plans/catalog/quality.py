@@ -220,7 +220,7 @@ def quarantine_summary(t: Tables) -> DataFrame:
     "quarantine_union_tables",
     """
     SELECT event_id, code, NULL::BIGINT AS o_orderkey, NULL::DOUBLE AS o_totalprice, 'r_code' AS _failed_rule,
-           'events' AS table_name, 7 AS batch_id
+           'events' AS table_name, 7::BIGINT AS batch_id
     FROM dirty WHERE code IS NULL
     UNION ALL
     SELECT NULL, NULL, o_orderkey, o_totalprice, 'o_price', 'orders', 7 FROM orders

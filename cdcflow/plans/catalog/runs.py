@@ -97,7 +97,7 @@ def batch_orders_run(t: Tables) -> DataFrame:
     """
     SELECT o_orderkey, o_totalprice, _operation, 'ord_price' AS _failed_rule,
            CASE _operation WHEN 'INSERT' THEN '2024-01-01T00:00:00' ELSE '2024-01-02T00:00:00' END AS run_date,
-           'orders' AS table_name, CASE _operation WHEN 'INSERT' THEN 0 ELSE 1 END AS batch_id
+           'orders' AS table_name, CASE _operation WHEN 'INSERT' THEN 0 ELSE 1 END::BIGINT AS batch_id
     FROM order_ops WHERE _operation <> 'DELETE' AND o_totalprice NOT BETWEEN 5000 AND 450000""",
     ("order_ops",),
 )

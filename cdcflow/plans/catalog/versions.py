@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cdcflow.functions.columns import map_operation
 from cdcflow.operators import history as H
 from cdcflow.plans.catalog.base import BUILT_FROM, CTES, Tables, event_changes, moment, order_changes, query
+from cdcflow.session import written
 
 KEY = ["o_orderkey"]
 VERSION = ["o_orderkey", "o_orderstatus", "_operation", "_effective_from", "_effective_to", "_is_current"]
@@ -44,6 +45,11 @@ def loaded(t: Tables) -> DataFrame:
     return H.apply_changes(None, first, KEY)
 
 
+def merged(t: Tables) -> DataFrame:
+    """History after both batches; target and batch are tables, as in a running system."""
+    return H.apply_changes(written(loaded(t)), written(second_batch(t)), KEY)
+
+
 def second_batch(t: Tables) -> DataFrame:
     later = order_ops(t).filter(F.col("_operation") != "INSERT")
     return H.add_version_columns(H.latest_per_key(later, KEY, ["change_ts", "seq"]), F.col("change_ts"))
@@ -101,7 +107,7 @@ def scd2_close(t: Tables) -> DataFrame:
 
 @query("scd2_merge", "SELECT * FROM merged", ("merged",))
 def scd2_merge(t: Tables) -> DataFrame:
-    return H.apply_changes(loaded(t), second_batch(t), KEY).select(*VERSION)
+    return merged(t).select(*VERSION)
 
 
 @query(
@@ -114,7 +120,7 @@ def scd2_merge(t: Tables) -> DataFrame:
 def scd2_upsert_unseen(t: Tables) -> DataFrame:
     """Pending orders were never loaded: their UPDATE opens a version, their DELETE does nothing."""
     seen = loaded(t).filter(F.col("o_orderstatus") != "P")
-    return H.apply_changes(seen, second_batch(t), KEY).select(*VERSION)
+    return H.apply_changes(written(seen), written(second_batch(t)), KEY).select(*VERSION)
 
 
 @query(
@@ -125,8 +131,7 @@ def scd2_upsert_unseen(t: Tables) -> DataFrame:
 )
 def scd2_delete(t: Tables) -> DataFrame:
     """A deleted order keeps its closed versions and has no open one."""
-    merged = H.apply_changes(loaded(t), second_batch(t), KEY)
-    return merged.groupBy("o_orderkey").agg(
+    return merged(t).groupBy("o_orderkey").agg(
         F.count("*").alias("versions"), F.count_if("_is_current").alias("open_versions")
     )
 

@@ -13,14 +13,20 @@ def kafka_options(
     password: str | None = None,
     protocol: str = "SASL_SSL",
     mechanism: str = "SCRAM-SHA-512",
+    min_partitions: int | None = None,
 ) -> dict[str, str]:
-    """Reader options: one topic from its beginning, going on if old offsets are gone."""
+    """Reader options: one topic from its beginning, going on if old offsets are gone.
+
+    ``min_partitions`` lets more tasks parse JSON than the topic has partitions.
+    """
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": "earliest",
         "failOnDataLoss": "false",
     }
+    if min_partitions is not None:
+        options["minPartitions"] = str(min_partitions)
     if username is not None:
         login = "org.apache.kafka.common.security.scram.ScramLoginModule"
         options["kafka.security.protocol"] = protocol
