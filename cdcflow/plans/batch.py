@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,12 +17,18 @@ from cdcflow.spec import Rule, TableSpec
 
 @dataclass
 class BatchResult:
+    """Frames of one batch; ``history`` is planned when it is asked for."""
+
     tagged: DataFrame
     metrics: DataFrame
     quarantined: DataFrame
     summary: DataFrame
     staged: DataFrame
-    history: DataFrame | None = None
+    merge: Callable[[DataFrame], DataFrame]
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return self.merge(self.staged)
 
 
 def tag(parsed: DataFrame, spec: TableSpec) -> DataFrame:
@@ -46,22 +54,28 @@ def run_batch(
     target: DataFrame | None = None,
     keep_intermediate: bool = False,
     initial: str = "upsert",
+    skip_unchanged: bool = False,
     tagged: DataFrame | None = None,
 ) -> BatchResult:
     """The outputs of a batch at ``batch_time`` (UTC). Nothing runs until one is used.
 
-    A caller that uses several outputs can pass persisted ``tagged`` rows.
+    ``skip_unchanged`` drops updates that repeat the values of the current version in
+    ``target``. A caller that uses several outputs can pass persisted ``tagged`` rows.
     """
     at = F.lit(batch_time.replace(tzinfo=dt.timezone.utc))
     if tagged is None:
         tagged = tag(decode(raw, spec, keep=spec.ordering), spec)
     metrics = M.compute_metrics(tagged, spec.checks, spec.name, batch_id, at)
     staged = stage(tagged, spec, at, keep_intermediate=keep_intermediate)
+    if skip_unchanged and target is not None:
+        passing = {*spec.primary_key, *spec.ordering, H.OPERATION, CHANGED_AT, *H.VERSION_COLUMNS}
+        values = [c for c in staged.columns if c not in passing]
+        staged = H.drop_unchanged(target, staged, spec.primary_key, values)
     return BatchResult(
         tagged=tagged,
         metrics=metrics,
         quarantined=Q.quarantine_frame(tagged, spec.name, batch_id, at),
         summary=Q.summary(tagged, spec.name, batch_id, at),
         staged=staged,
-        history=H.apply_changes(target, staged, spec.primary_key, order=spec.ordering, initial=initial),
+        merge=lambda rows: H.apply_changes(target, rows, spec.primary_key, order=spec.ordering, initial=initial),
     )

@@ -74,13 +74,14 @@ def event_changes(t: Tables) -> DataFrame:
     )
 
 
-def order_changes(t: Tables) -> DataFrame:
+def order_changes(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """Orders as a change log: all load, pending ones are filled a day later, low-priority
     ones are deleted a day after that."""
+    orders = t.orders if orders is None else orders
     load = _change("load", 0, F.col("o_orderstatus"))
     fill = F.when(F.col("o_orderstatus") == "P", _change("update", 1, F.lit("F")))
     drop = F.when(F.col("o_orderpriority") == "5-LOW", _change("delete", 2, F.col("o_orderstatus")))
-    return t.orders.select(
+    return orders.select(
         "o_orderkey",
         "o_custkey",
         "o_totalprice",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cdcflow.functions.columns import map_operation
 from cdcflow.plans.catalog.base import Tables, moment, order_changes, query
+from cdcflow.session import spread
 from cdcflow.sources import envelope
 from cdcflow.spec import ColumnSpec, TableSpec
 
@@ -39,7 +40,7 @@ METRICS = TableSpec(name="dq_metrics", columns=(ColumnSpec("metric_name", "strin
 
 
 def order_messages(t: Tables, changes: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    changes = order_changes(t) if changes is None else changes
+    changes = order_changes(t, spread(t.orders)) if changes is None else changes
     return envelope.encode(
         changes, ORDERS.column_names, operation=F.col("operation"), at=F.col("change_ts"), table="orders", keep=keep
     )
@@ -56,7 +57,7 @@ def order_messages(t: Tables, changes: DataFrame | None = None, keep: tuple[str,
 )
 def cdc_encode(t: Tables) -> DataFrame:
     specified = F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority"))
-    messages = order_messages(t, order_changes(t).withColumn("o_orderpriority", specified))
+    messages = order_messages(t, order_changes(t, spread(t.orders)).withColumn("o_orderpriority", specified))
     parts = messages.select(F.json_tuple("value", "data", "metadata").alias("data", "metadata"))
     header = parts.select(
         "data",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from cdcflow.plans.batch import run_batch
 from cdcflow.plans.catalog.base import BUILT_FROM, CTES, Tables, order_changes, query
 from cdcflow.plans.catalog.feed import ORDERS, order_messages
-from cdcflow.session import scratch_dir
+from cdcflow.session import scratch_dir, spread
 from cdcflow.sources.store import Store
 from cdcflow.spec import Check, Rule, TableSpec, Transform
 from cdcflow.streaming.streams import start_stream, write_batch
@@ -66,9 +66,8 @@ FIRST_TIME, SECOND_TIME = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
 
 def batches(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Messages of the load and of all later changes; the position in the log is the offset."""
-    messages = order_messages(
-        t, order_changes(t).withColumnRenamed("seq", "offset"), keep=("offset",)
-    )
+    changes = order_changes(t, spread(t.orders)).withColumnRenamed("seq", "offset")
+    messages = order_messages(t, changes, keep=("offset",))
     return messages.filter(F.col("offset") == 0), messages.filter(F.col("offset") > 0)
 
 

@@ -49,3 +49,12 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(source: DataFrame) -> DataFrame:
+    """Rows of a plain scan over all cores, for costly work per row such as JSON.
+
+    Only a source with fewer splits than cores is shuffled; a large one stays as it is.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source if source.rdd.getNumPartitions() >= cores else source.repartition(cores)

@@ -28,6 +28,9 @@ TYPE_NAMES: dict[str, T.DataType] = {
     "decimal": T.DecimalType(10, 2),
 }
 
+# Id of a rule that was configured without one.
+UNNAMED = "unknown"
+
 _DECIMAL = re.compile(r"decimal\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)")
 
 
@@ -123,6 +126,9 @@ class TableSpec:
                 raise ValueError(f"{self.name}: primary key {key!r} is not a column")
         if not self.primary_key and not self.internal:
             raise ValueError(f"{self.name}: a streamed table needs a primary key")
+        ids = [r.id for r in self.rules if r.id != UNNAMED]
+        if len(set(ids)) != len(ids):
+            raise ValueError(f"{self.name}: duplicate rule ids")
         if not self.topic:
             object.__setattr__(self, "topic", f"cdc-{self.name}")
 
@@ -148,7 +154,7 @@ class TableSpec:
             primary_key=(key,) if isinstance(key, str) else tuple(key),
             topic=conf.get("topic", ""),
             rules=tuple(
-                Rule(**({"id": "unknown"} | _pick(r, Rule)))
+                Rule(**({"id": UNNAMED} | _pick(r, Rule)))
                 for r in conf.get("dq_rules", [])
                 if r.get("type") and r.get("column")
             ),
@@ -169,8 +175,13 @@ class TableSpec:
 
 
 def streamed(specs: Iterable[TableSpec]) -> list[TableSpec]:
-    """Specs that have a change stream; internal tables have none."""
-    return [s for s in specs if not s.internal]
+    """Specs that have a change stream; internal tables have none. Names and topics must differ."""
+    found = [s for s in specs if not s.internal]
+    for what in ("name", "topic"):
+        values = [getattr(s, what) for s in found]
+        if len(set(values)) != len(values):
+            raise ValueError(f"two tables share a {what}: {sorted(values)}")
+    return found
 
 
 def _pick(conf: Mapping[str, Any], cls: type) -> dict[str, Any]:

@@ -74,6 +74,16 @@ def test_intermediate_changes_can_be_kept(spark):
     assert [r[1] for r in rows(second.history.filter("id = 1"), "_effective_from", "phone")] == ["55****", "66****", "77****"]
 
 
+def test_unchanged_updates_can_be_skipped(spark):
+    first = run_batch(DRIVERS, frame(spark, *LOAD), 0, at(10))
+    same = message("update", at(3), id=1, phone="5559", score=5.0)
+    other = message("update", at(3), id=2, phone="1234", score=5.0)
+    options = {"target": first.history, "skip_unchanged": True}
+    second = run_batch(DRIVERS, frame(spark, same, other), 1, at(11), **options)
+    assert rows(second.staged, "id") == [(2,)]
+    assert second.history.count() == 3
+
+
 def test_batches_without_usable_rows(spark):
     for texts in ([], ["garbage", "{}"]):
         empty = run_batch(DRIVERS, frame(spark, *texts), 0, at(10))

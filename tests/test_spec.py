@@ -85,6 +85,19 @@ def test_bad_specs_raise(change):
         TableSpec.from_dict(conf() | change)
 
 
+def test_names_topics_and_rule_ids_must_differ():
+    spec = TableSpec.from_dict(conf())
+    with pytest.raises(ValueError):
+        streamed([spec, spec])
+    with pytest.raises(ValueError):
+        streamed([spec, TableSpec.from_dict(conf(name="other", topic="cdc-orders"))])
+    twice = [{"id": "r", "type": "not_null", "column": "id"}] * 2
+    with pytest.raises(ValueError):
+        TableSpec.from_dict(conf(dq_rules=twice))
+    unnamed = [{"type": "not_null", "column": "id"}] * 2
+    assert [r.id for r in TableSpec.from_dict(conf(dq_rules=unnamed)).rules] == ["unknown"] * 2
+
+
 def test_specs_are_values():
     assert ColumnSpec("a", "int") == ColumnSpec("a", "int")
 
