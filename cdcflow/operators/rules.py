@@ -122,14 +122,17 @@ def rule_summary(tagged: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _good(df: DataFrame, rule: Rule) -> Column:
-    c = F.col(rule.column)
-    if rule.type == "range" and isinstance(df.schema[rule.column].dataType, T.StringType):
+    """Whether a row keeps the rule; bad text compares as NULL instead of raising."""
+    c, dtype, params = F.col(rule.column), df.schema[rule.column].dataType, rule.params
+    if rule.type == "range" and isinstance(dtype, T.StringType):
         c = c.try_cast("double")
+    if rule.type == "allowed_values":
+        params = {"values": [F.lit(v).try_cast(dtype) for v in params.get("values") or []]}
     builder = predicates.BUILTIN.get(rule.type) or _custom[rule.type]
     default = rule.on_null == "pass"
     if rule.type not in predicates.NULL_NEUTRAL and rule.type not in _custom:
         default = False
-    return F.coalesce(builder(c, rule.params), F.lit(default))
+    return F.coalesce(builder(c, params), F.lit(default))
 
 
 def _mark_repeated(df: DataFrame, column: str, exempt: Column) -> DataFrame:

@@ -55,6 +55,7 @@ def run_batch(
     keep_intermediate: bool = False,
     initial: str = "upsert",
     skip_unchanged: bool = False,
+    quarantine_path: str = "",
     tagged: DataFrame | None = None,
 ) -> BatchResult:
     """The outputs of a batch at ``batch_time`` (UTC). Nothing runs until one is used.
@@ -75,7 +76,7 @@ def run_batch(
         tagged=tagged,
         metrics=metrics,
         quarantined=Q.quarantine_frame(tagged, spec.name, batch_id, at),
-        summary=Q.summary(tagged, spec.name, batch_id, at),
+        summary=Q.summary(tagged, spec.name, batch_id, at, quarantine_path),
         staged=staged,
         merge=lambda rows: H.apply_changes(target, rows, spec.primary_key, order=spec.ordering, initial=initial),
     )

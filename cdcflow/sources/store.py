@@ -64,9 +64,12 @@ class Store:
     def write_summary(self, summary: DataFrame) -> None:
         self._replace(summary.coalesce(1), "summary", METRIC_PARTITIONS)
 
+    def quarantine_path(self, table: str) -> str:
+        return f"{self.root}/quarantine/table_name={table}"
+
     def quarantine(self, table: str) -> DataFrame | None:
         """Quarantined rows of one table, with that table's columns."""
-        return self._read(f"{self.root}/quarantine/table_name={table}", f"{self.root}/quarantine")
+        return self._read(self.quarantine_path(table), f"{self.root}/quarantine")
 
     def quarantine_facts(self) -> DataFrame | None:
         """Rule, time and batch of the quarantined rows of all tables."""

@@ -34,7 +34,15 @@ def write_batch(
     at = store.batch_time(spec.name, batch_id, now)
     tagged = tag(decode(raw, spec, keep=spec.ordering), spec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        result = run_batch(spec, raw, batch_id, at, keep_intermediate=keep_intermediate, tagged=tagged)
+        result = run_batch(
+            spec,
+            raw,
+            batch_id,
+            at,
+            keep_intermediate=keep_intermediate,
+            quarantine_path=store.quarantine_path(spec.name),
+            tagged=tagged,
+        )
         if spec.checks:
             store.write_metrics(result.metrics, at)
         store.write_quarantine(result.quarantined)

@@ -31,7 +31,7 @@ def test_one_batch(table):
     assert rows(found, "metric_name", "column_name", "metric_value", "passed") == [
         ("Completeness", "v", 0.75, True),
         ("Compliance", "s_compliance", 0.25, False),
-        ("Compliance", "s_custom", 0.75, True),
+        ("Compliance", "s_custom", 0.5, True),
         ("Size", None, 4.0, True),
         ("Uniqueness", "v", 1 / 3, False),
     ]

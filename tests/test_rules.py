@@ -46,6 +46,10 @@ def test_allowed_values_and_null_choice(words):
     assert failed_ids(words, Rule("r", "allowed_values", "s", {"values": []})) == []
 
 
+def test_allowed_values_of_another_type(numbers):
+    assert failed_ids(numbers, Rule("r", "allowed_values", "v", {"values": ["90", "none", 0]})) == [1, 3, 4, 5, 6]
+
+
 def test_regex_finds_anywhere(words):
     assert failed_ids(words, Rule("r", "regex", "s", {"pattern": "liv"})) == [2, 3, 5, 6]
     assert failed_ids(words, Rule("r", "regex", "s", {})) == [3, 5]

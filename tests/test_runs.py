@@ -116,6 +116,7 @@ def test_store(spark, tmp_path, compact):
         (0, "Completeness"), (0, "Size"), (1, "Completeness"), (1, "Size")]
     assert rows(store.quarantine("drivers"), "id", "run_date") == [(3, "2024-01-11T00:00:00"), (None, "2024-01-11T00:00:00")]
     assert rows(store.summary(), "batch_id", "total_rows", "quarantined_count", "unknown_count") == [(0, 5, 2, 1)]
+    assert store.summary().first()["path"].endswith("/quarantine/table_name=drivers")
     assert rows(Q.by_rule(store.quarantine_facts()), "table_name", "_failed_rule", "rows") == [
         ("drivers", "drv_score", 1), ("drivers", "primary_key", 1)]
     kinds = {f.name: f.dataType.simpleString() for f in store.history(DRIVERS).schema}

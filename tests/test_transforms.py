@@ -6,8 +6,8 @@ from cdcflow.operators import transforms as X
 from cdcflow.spec import Transform
 
 
-def one(spark, value, kind, ddl="v string", **params):
-    df = spark.createDataFrame([(value,)], ddl)
+def one(spark, given, kind, ddl="v string", **params):
+    df = spark.createDataFrame([(given,)], ddl)
     return X.apply_transforms(df, [Transform(kind, "v", params)]).collect()[0][0]
 
 
