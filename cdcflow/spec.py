@@ -145,6 +145,7 @@ class TableSpec:
         """Build a spec from one entry of a YAML/JSON ``tables:`` list.
 
         Rules and transforms without a type or a column carry no work and are left out.
+        Metric checks may stand under any key that ends in ``checks``.
         """
         key = conf.get("primary_key") or ()
         indexes = conf.get("indexes", [])
@@ -163,7 +164,12 @@ class TableSpec:
                 for t in conf.get("transforms", [])
                 if t.get("type") and t.get("column")
             ),
-            checks=tuple(Check(**_pick(c, Check)) for c in conf.get("deequ_checks", conf.get("checks", []))),
+            checks=tuple(
+                Check(**_pick(c, Check))
+                for section, entries in conf.items()
+                if section.endswith("checks")
+                for c in entries
+            ),
             foreign_keys=tuple(
                 ForeignKey(f["column"], f["references"]["table"], f["references"]["column"])
                 for f in conf.get("foreign_keys", [])

@@ -53,7 +53,7 @@ def test_from_dict():
                 {"column": "total"},
             ],
             transforms=[{"id": "t1", "type": "round", "column": "total", "order": 3}, {"type": "trim"}],
-            deequ_checks=[{"metric": "size", "threshold": 1}],
+            metric_checks=[{"metric": "size", "threshold": 1}],
             foreign_keys=[{"column": "customer", "references": {"table": "customers", "column": "id"}}],
             indexes=[{"columns": ["customer", "total"], "unique": True}, {"columns": ["total"]}],
         )
