@@ -5,8 +5,9 @@ what it wrote before. History is the last compacted base plus the changes since;
 costs what it brings, not what the table holds.
 
     <root>/<table>/changes/batch_id=N       staged changes of batch N
-    <root>/<table>/base/version=N/          history up to batch N, by _is_current
-    <root>/<table>/bases/version=N          written after the base is complete
+    <root>/<table>/base/version=N/          by _is_current: versions open after batch N and
+                                            those closed since the compaction before
+    <root>/<table>/bases/version=N          written after that folder is complete
     <root>/batches/table_name=T/batch_id=N  time of the batch, fixed on its first attempt
     <root>/quarantine/table_name=T/run_date=H/batch_id=N
     <root>/metrics | summary
@@ -19,7 +20,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from cdcflow.operators import history as H, quarantine as Q, skew
 from cdcflow.spec import TableSpec
@@ -83,16 +84,20 @@ class Store:
 
     def base_version(self, spec: TableSpec) -> int:
         """Last batch contained in a complete base, -1 without one."""
-        bases = self._read(f"{self.root}/{spec.name}/bases")
-        return -1 if bases is None else bases.agg(F.max("version")).first()[0]
+        chain = self._chain(spec)
+        return chain[-1]["version"] if chain else -1
 
     def base(self, spec: TableSpec) -> DataFrame | None:
-        version = self.base_version(spec)
-        if version < 0:
+        """History up to the last compaction: its open versions and all closed ones."""
+        chain = self._chain(spec)
+        if not chain:
             return None
+        found = self._read(f"{self.root}/{spec.name}/base")
         # A partition value reads back as text.
-        found = self._read(f"{self.root}/{spec.name}/base/version={version}")
-        return found.withColumn(H.CURRENT, F.col(H.CURRENT).cast("boolean"))
+        is_open = F.col(H.CURRENT) == "true"
+        part = F.col("version").isin([r["version"] for r in chain])
+        kept = found.filter(part & (~is_open | (F.col("version") == chain[-1]["version"])))
+        return kept.withColumn(H.CURRENT, is_open).drop("version")
 
     def changes(self, spec: TableSpec, after: int = -1) -> DataFrame | None:
         found = self._read(f"{self.root}/{spec.name}/changes")
@@ -101,36 +106,55 @@ class Store:
     def history(self, spec: TableSpec) -> DataFrame | None:
         """Every version up to the last written batch."""
         base, changes = self.base(spec), self.changes(spec, self.base_version(spec))
-        if changes is None:
-            return base
-        order = ["batch_id", *spec.ordering]
-        staged = changes if base is None else changes.select(*base.columns, "batch_id")
-        target = None if base is None else base.withColumn("batch_id", F.lit(-1).cast("long"))
-        if target is not None:
-            target = target.select(*staged.columns)
-        merged = H.apply_changes(target, staged, spec.primary_key, order=order, hot=skew.DEFAULT)
-        return merged.drop("batch_id")
+        return base if changes is None else self._merged(spec, base, changes)
 
     def current(self, spec: TableSpec) -> DataFrame | None:
         found = self.history(spec)
         return None if found is None else H.current(found)
 
     def compact(self, spec: TableSpec) -> int:
-        """Write history up to the last batch as a new base and return that batch's id.
+        """Merge the changes since the last base into a new one and return its last batch.
 
-        The new base becomes visible when its one-row marker is written, so a crash leaves
-        the previous base in place. Older bases and changes can be expired after that.
+        Changes in order of time only meet open versions, so the closed ones stay in the
+        folders they are in. A change older than the last closed version makes the new
+        base a whole one. A base becomes visible when its one-row marker is written;
+        folders before its ``since`` and the changes it contains can be expired then.
         """
-        changes = self.changes(spec, self.base_version(spec))
-        last = None if changes is None else changes.agg(F.max("batch_id")).first()[0]
+        chain = self._chain(spec)
+        changes = self.changes(spec, chain[-1]["version"] if chain else -1)
+        if changes is None:
+            return self.base_version(spec)
+        brought = changes.agg(F.max("batch_id").alias("last"), F.min(H.FROM).alias("first_change")).first()
+        last = brought["last"]
         if last is None:
             return self.base_version(spec)
+        closed = [r["closed_until"] for r in chain if r["closed_until"] is not None]
+        in_order = bool(chain) and brought["first_change"] >= max(closed, default=brought["first_change"])
+        target = self.base(spec)
+        if in_order:
+            target = H.current(target)
         folder = f"{self.root}/{spec.name}"
-        self.history(spec).write.mode("overwrite").partitionBy(H.CURRENT).parquet(f"{folder}/base/version={last}")
-        marker = self.spark.createDataFrame([(last,)], "version bigint").coalesce(1)
-        self._replace(marker.withColumn("done", F.lit(True)), f"{spec.name}/bases", ["version"])
+        merged = self._merged(spec, target, changes)
+        merged.write.mode("overwrite").partitionBy(H.CURRENT).parquet(f"{folder}/base/version={last}")
+        until = self._read(f"{folder}/base/version={last}").agg(F.max(H.TO)).first()[0]
+        marker = [(last, chain[-1]["since"] if in_order else last, until)]
+        schema = "version bigint, since bigint, closed_until timestamp"
+        self._replace(self.spark.createDataFrame(marker, schema).coalesce(1), f"{spec.name}/bases", ["version"])
         return last
 
+    def _chain(self, spec: TableSpec) -> list[Row]:
+        """Markers of the compactions that make up the base, one small row each."""
+        found = self._read(f"{self.root}/{spec.name}/bases")
+        markers = [] if found is None else sorted(found.collect(), key=lambda r: r["version"])
+        return [r for r in markers if r["version"] >= markers[-1]["since"]]
+
+    def _merged(self, spec: TableSpec, target: DataFrame | None, changes: DataFrame) -> DataFrame:
+        if target is not None:
+            target = target.withColumn("batch_id", F.lit(-1).cast("long"))
+            changes = changes.select(*target.columns)
+        order = ["batch_id", *spec.ordering]
+        return H.apply_changes(target, changes, spec.primary_key, order=order, hot=skew.DEFAULT).drop("batch_id")
+
     def _replace(self, df: DataFrame, folder: str, by: list[str]) -> None:
         (
             df.write.mode("overwrite")

@@ -135,6 +135,35 @@ def test_writing_a_batch_again_replaces_its_own_rows(spark, tmp_path):
     assert store.batch_time("drivers", 0) == at(10)
 
 
+def test_compaction_leaves_closed_versions_where_they_are(spark, tmp_path):
+    store, plain = Store(spark, f"{tmp_path}/a"), Store(spark, f"{tmp_path}/b")
+    folder = tmp_path / "a" / "drivers" / "base"
+
+    def closed_files(version):
+        return len(list((folder / f"version={version}" / "_is_current=false").glob("*.parquet")))
+
+    batches = [
+        LOAD,
+        CHANGES,
+        [message("update", at(5), id=1, phone="9991", score=1.0), message("insert", at(5), id=7, phone="7", score=1.0)],
+        [message("delete", at(6), id=7)],
+        [message("update", at(1), id=1, phone="late", score=2.0)],
+        [message("update", at(9), id=4, phone="4444", score=2.0)],
+    ]
+    for number, texts in enumerate(batches):
+        staged = run_batch(DRIVERS, frame(spark, *texts), number, at(10 + number)).staged
+        for target in (store, plain):
+            target.write_changes(DRIVERS, number, staged)
+        assert store.compact(DRIVERS) == number
+        chain = [r["version"] for r in store._chain(DRIVERS)]
+        # The late change of batch 4 starts a new whole base.
+        assert chain == (list(range(number + 1)) if number < 4 else list(range(4, number + 1)))
+        if number >= 3:
+            assert rows(store.base(DRIVERS), *OUTPUT) == rows(plain.history(DRIVERS), *OUTPUT)
+    assert closed_files(0) == 0 and closed_files(1) > 0 and closed_files(3) > 0
+    assert plain.base(DRIVERS) is None
+
+
 def test_an_unfinished_base_is_not_read(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     write_batch(DRIVERS, frame(spark, *LOAD), 0, store, now=at(10))
