@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from cdcflow.plans.catalog import ORACLES, QUERIES
 from tools.check_oracles import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,13 +22,14 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(registered.queries()) and set(ORACLES) <= set(registered.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    df = registered.queries()[name](spark, FOLDER)
-    result = db.execute(registered.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    result = db.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(columns)
     found = rows_of(df.columns, df.collect())
