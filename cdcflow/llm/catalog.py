@@ -149,6 +149,8 @@ def op9(docs: DataFrame, folder: str) -> DataFrame:
         syncmers.printed(F.col("edited_anchors")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        "next_id",
+        "next_chars",
     )
 
 

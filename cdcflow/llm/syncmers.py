@@ -10,48 +10,63 @@ from cdcflow.session import written
 #: Words of an anchor, and of the inner stretch whose place decides.
 K, S = 12, 2
 SPACE = r"[\x20\x09-\x0D]+"
+LOW = 0xFFFFFFFF
+#: Stands for null in joins on doc_id.
+NO_ID = -(1 << 63)
 
 
-def word_hashes(text: Column) -> Column:
-    """XXH64 of each word."""
-    return F.transform(F.array_remove(F.split(text, SPACE), ""), lambda w: F.xxhash64(w))
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE), "")
 
 
-def anchors(hashes: Column, inner: Column, k: int = K, s: int = S) -> Column:
-    """Closed syncmers of a text as longs, position * 2 ** 32 + 32-bit hash, in text order.
+def stretches(hashes: Column, inner: Column, k: int = K, s: int = S) -> Column:
+    """Closed syncmers of word hashes as longs, position * 2 ** 32 + 32-bit hash, in text order.
 
-    ``hashes`` are the word hashes, ``inner`` the hashes of every s neighbouring words. A stretch of k words is an
-    anchor if the smallest of its inner hashes is the first or the last one: this depends on those k words alone, so
-    an edit elsewhere changes no anchor. A text without any (fewer than k words, mostly) has one at position 0, the
-    hash of all its words; one without words has none.
+    ``inner`` holds the hashes of every s neighbouring words. A stretch of k words is an anchor if the smallest of
+    its inner hashes is the first or the last one (of equal ones the first): this depends on those k words alone, so
+    an edit elsewhere changes no anchor. Comparisons stop at the first that fails, after three on average.
     """
     width = k - s + 1
+    at = lambda i: F.get(inner, i)
 
-    def pick(i: Column) -> Column:
-        least = F.array_min(F.slice(inner, i, F.lit(width)))
-        edge = (F.element_at(inner, i) == least) | (F.element_at(inner, i + width - 1) == least)
-        return F.when(edge, _placed(i - 1, F.hash(F.slice(hashes, i, F.lit(k)))))
+    def edge(i: Column) -> Column:
+        first, last = at(i) <= at(i + 1), at(i + width - 1) < at(i + width - 2)
+        for step in range(2, width):
+            first = first & (at(i) <= at(i + step))
+            last = last & (at(i + width - 1) < at(i + width - 1 - step))
+        return first | last
 
-    whole = F.when(F.size(hashes) > 0, F.array(_placed(F.lit(0), F.hash(hashes)))).otherwise(F.array().cast("array<long>"))
-    places = F.sequence(F.lit(1), F.greatest(F.size(inner) - (width - 1), F.lit(1)))
-    found = F.filter(F.transform(places, pick), lambda a: a.isNotNull())
-    return F.when((F.size(inner) >= width) & (F.size(found) > 0), found).otherwise(whole)
+    place = lambda i: F.shiftleft(i.cast("long"), 32) + F.hash(F.slice(hashes, i + 1, F.lit(k))).cast("long").bitwiseAND(F.lit(LOW))
+    places = F.sequence(F.lit(0), F.greatest(F.size(inner) - width, F.lit(0)))
+    found = F.transform(F.filter(places, edge), place)
+    return F.when(F.size(inner) >= width, found).otherwise(F.array().cast("array<long>"))
 
 
-def _placed(position: Column, value: Column) -> Column:
-    return F.shiftleft(position.cast("long"), 32) + value.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+def with_stretches(df: DataFrame, listed: Column, name: str, k: int = K, s: int = S) -> DataFrame:
+    """``df`` with the syncmers of a list of words; each step is a column of its own, so none is worked out twice."""
+    hashed = df.withColumn(f"{name}_h", F.transform(listed, lambda w: F.xxhash64(w)))
+    inner = F.col(f"{name}_h")
+    for i in range(1, s):
+        later = F.slice(F.col(f"{name}_h"), i + 1, F.greatest(F.size(f"{name}_h"), F.lit(1)))
+        inner = F.zip_with(inner, later, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    hashed = hashed.withColumn(f"{name}_g", F.slice(inner, 1, F.greatest(F.size(f"{name}_h") - (s - 1), F.lit(0))))
+    return hashed.withColumn(name, stretches(F.col(f"{name}_h"), F.col(f"{name}_g"), k, s)).drop(f"{name}_h", f"{name}_g")
+
+
+def whole_hash(listed: Column) -> Column:
+    """What stands for a text without any syncmer (fewer than k words, mostly): the hash of its words, null without any."""
+    return F.when(F.size(listed) > 0, F.hash(listed).cast("long").bitwiseAND(F.lit(LOW)))
+
+
+def or_whole(found: Column, whole: Column) -> Column:
+    return F.when((F.size(found) > 0) | whole.isNull(), found).otherwise(F.array(whole))
 
 
 def with_anchors(df: DataFrame, text: str, name: str, k: int = K, s: int = S) -> DataFrame:
-    """``df`` with the anchors of a text column; each step is a column of its own, so none is worked out twice."""
-    hashed = df.withColumn(f"{name}_h", word_hashes(F.col(text)))
-    parts = [F.col(f"{name}_h")] + [F.slice(F.col(f"{name}_h"), i + 1, F.size(f"{name}_h")) for i in range(1, s)]
-    inner = parts[0]
-    for part in parts[1:]:
-        inner = F.zip_with(inner, part, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    inner = F.slice(inner, 1, F.greatest(F.size(f"{name}_h") - (s - 1), F.lit(0)))
-    hashed = hashed.withColumn(f"{name}_g", inner)
-    return hashed.withColumn(name, anchors(F.col(f"{name}_h"), F.col(f"{name}_g"), k, s)).drop(f"{name}_h", f"{name}_g")
+    """``df`` with the anchors of a text column: its syncmers, or one at position 0 for the whole of it."""
+    listed = df.withColumn(f"{name}_w", words(F.col(text)))
+    found = with_stretches(listed, F.col(f"{name}_w"), name, k, s)
+    return found.withColumn(name, or_whole(F.col(name), whole_hash(F.col(f"{name}_w")))).drop(f"{name}_w")
 
 
 def printed(found: Column) -> Column:
@@ -60,7 +75,7 @@ def printed(found: Column) -> Column:
         F.transform(
             found,
             lambda a: F.concat(
-                F.shiftrightunsigned(a, 32).cast("string"), F.lit(":"), F.lpad(F.lower(F.hex(a.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+                F.shiftrightunsigned(a, 32).cast("string"), F.lit(":"), F.lpad(F.lower(F.hex(a.bitwiseAND(F.lit(LOW)))), 8, "0")
             ),
         ),
         ",",
@@ -69,14 +84,14 @@ def printed(found: Column) -> Column:
 
 def likeness(left: Column, right: Column) -> Column:
     """Anchors that two texts share, over all of theirs, wherever they stand; two texts without any are alike."""
-    values = lambda found: F.transform(found, lambda a: a.bitwiseAND(F.lit(0xFFFFFFFF)))
+    values = lambda found: F.transform(found, lambda a: a.bitwiseAND(F.lit(LOW)))
     union = F.size(F.array_union(values(left), values(right)))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(values(left), values(right))) / union)
 
 
 def shared_places(left: Column, right: Column) -> Column:
     """(position in left, position in right) of each anchor of ``left`` whose hash ``right`` has, at its first place there."""
-    value = lambda a: a.bitwiseAND(F.lit(0xFFFFFFFF))
+    value = lambda a: a.bitwiseAND(F.lit(LOW))
     there = F.transform(right, value)
     both = F.transform(
         left, lambda a: F.struct(F.shiftrightunsigned(a, 32).alias("left"), F.array_position(there, value(a)).alias("at"))
@@ -88,62 +103,79 @@ def shared_places(left: Column, right: Column) -> Column:
 
 
 def next_rows(keys: DataFrame) -> DataFrame:
-    """doc_id, mark, next_id, next_mark: for each distinct row, the next one in descending (doc_id, mark).
+    """doc_id, mark, n_chars, next_id, next_mark: for each distinct row, the next one in descending (doc_id, mark).
 
-    After the last comes the first; null ids stand last. ``keys`` is sorted by range and written with the number of
-    its part, so parts are fixed from then on; neighbours are found within parts, and the first row of each part,
-    one for each, is what the last row of the part before it gets.
+    After the last comes the first. ``keys`` is sorted by range and written with the number of its part, so parts are
+    fixed from then on; neighbours are found within parts, and the first row of each part, one for each, is what the
+    last row of the part before it gets.
     """
-    ordered = keys.distinct().sort(F.col("doc_id").desc_nulls_last(), F.desc("mark"))
-    parts = written(ordered.withColumn("part", F.spark_partition_id()))
-    down = [F.col("doc_id").desc_nulls_last(), F.desc("mark")]
+    down = [F.desc("doc_id"), F.desc("mark")]
+    parts = written(keys.distinct().sort(*down).withColumn("part", F.spark_partition_id()))
     within = Window.partitionBy("part").orderBy(*down)
     row = F.struct("doc_id", "mark")
     inside = parts.withColumn("next", F.lead(row).over(within))
-    firsts = inside.withColumn("n", F.row_number().over(within)).where("n = 1").select("part", row.alias("first"))
     # One row for each part of the sort.
-    heads = Window.orderBy("part")
-    following = firsts.select(
+    heads = parts.groupBy("part").agg(F.max(row).alias("first"))
+    order = Window.orderBy("part")
+    following = heads.select(
         F.col("part").alias("of"),
-        F.coalesce(F.lead("first").over(heads), F.first("first").over(Window.partitionBy())).alias("after"),
+        F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("after"),
     )
-    return inside.join(following, F.col("part") == F.col("of")).select(
-        "doc_id", "mark", F.coalesce("next", "after").alias("next")
-    ).select("doc_id", "mark", F.col("next.doc_id").alias("next_id"), F.col("next.mark").alias("next_mark"))
+    out = inside.join(following, F.col("part") == F.col("of")).withColumn("next", F.coalesce("next", "after"))
+    return out.select("doc_id", "mark", "n_chars", F.col("next.doc_id").alias("next_id"), F.col("next.mark").alias("next_mark"))
 
 
 def edited_pairs(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, anchors and edited_anchors of every row, near_edited and near_next.
+    """doc_id, n_chars, edited_sha256, anchors, edited_anchors, near_edited, near_next, next_id and next_chars of every row.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all)
     of the next row's, in descending doc_id; after the last comes the first. Null texts are empty. Rows that are
     equal in id and text stand in that order once and are returned as often as they come; equal ids with other texts
-    are ordered by a hash of the text, null ids last. Each text crosses the network once, keyed by its row; only the
-    part that the row before needs is sent on.
+    are ordered by a hash of the text, null ids come last.
+
+    Anchors of the whole texts are worked out once. As they depend on their own words alone, those within the part
+    that an edit keeps are the edited text's as well, and only its end is searched anew. The texts cross the network
+    once, keyed by their row (both joins read that exchange); what a row sends to the one before it is the part of
+    its text that replaces that one's end, and its anchors.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("n_chars", F.char_length("text").cast("long"))
-    order = next_rows(rows.select("doc_id", "mark"))
-    lengths = rows.select("doc_id", "mark", "n_chars").distinct()
-    wants = order.join(lengths, ["mark"]).where(order.doc_id.eqNullSafe(lengths.doc_id)).select(
-        order.doc_id.alias("to_id"), F.col("mark").alias("to_mark"), "next_id", "next_mark", F.floor(F.col("n_chars") / 3).alias("wanted")
-    )
-    whole = with_anchors(rows, "text", "anchors", k, s)
-    once = whole.dropDuplicates(["doc_id", "mark"])
-    sent = once.join(wants, (once.mark == wants.next_mark) & once.doc_id.eqNullSafe(wants.next_id)).select(
-        "to_id", "to_mark", F.substring("text", F.lit(1), F.col("wanted").cast("int")).alias("tail"), F.col("anchors").alias("next_anchors")
-    )
-    joined = whole.join(sent, (whole.mark == sent.to_mark) & whole.doc_id.eqNullSafe(sent.to_id))
+    order = next_rows(rows.select("doc_id", "mark", "n_chars"))
+    wants = order.select(
+        F.col("doc_id").alias("to_id"), F.col("mark").alias("to_mark"), "next_id", "next_mark",
+        F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"),
+    )
+    listed = with_stretches(rows.withColumn("words", words(F.col("text"))), F.col("words"), "syncmers", k, s)
+    whole = listed.withColumn("whole", whole_hash(F.col("words"))).drop("words")
+    anchors = or_whole(F.col("syncmers"), F.col("whole"))
+    copies = Window.partitionBy("doc_id", "mark").orderBy("n_chars")
+    once = whole.withColumn("copy", F.row_number().over(copies)).where("copy = 1")
+    sent = once.join(wants, (once.doc_id == wants.next_id) & (once.mark == wants.next_mark)).select(
+        "to_id", "to_mark", F.substring("text", F.lit(1), F.col("wanted")).alias("tail"), anchors.alias("next_anchors"),
+        "next_id", F.col("n_chars").alias("next_chars"),
+    )
+    joined = whole.join(sent, (whole.doc_id == sent.to_id) & (whole.mark == sent.to_mark)).drop("mark")
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
-    edited = joined.withColumn("edited", F.concat(F.substring("text", F.lit(1), keep), F.col("tail")))
-    both = with_anchors(edited.drop("text", "tail"), "edited", "edited_anchors", k, s)
+    cut = joined.withColumn("kept", F.substring("text", F.lit(1), keep)).withColumn("pieces", F.split("kept", SPACE))
+    # The last piece may be part of a word, or empty; all words before it stay as they are.
+    safe = F.array_remove(F.slice("pieces", 1, F.size("pieces") - 1), "")
+    ends = cut.withColumn("safe", safe).withColumn("rest", words(F.concat(F.element_at("pieces", -1), F.col("tail"))))
+    from_ = F.greatest(F.size("safe") - (k - 1), F.lit(0))
+    near = ends.withColumn("from", from_).withColumn("end", F.concat(F.slice("safe", F.col("from") + 1, F.lit(k)), F.col("rest")))
+    found = with_stretches(near, F.col("end"), "end_anchors", k, s)
+    stays = F.filter("syncmers", lambda a: F.shiftrightunsigned(a, 32) + k <= F.size("safe"))
+    moved = F.transform("end_anchors", lambda a: a + F.shiftleft(F.col("from").cast("long"), 32))
+    both = found.withColumn("edited_anchors", or_whole(F.concat(stays, moved), whole_hash(F.concat("safe", "rest"))))
+    both = both.withColumn("anchors", anchors)
     return both.select(
-        "doc_id",
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
         "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.sha2(F.concat("kept", "tail").cast("binary"), 256).alias("edited_sha256"),
         "anchors",
         "edited_anchors",
         likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
         likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        F.nullif("next_id", F.lit(NO_ID)).alias("next_id"),
+        "next_chars",
     )
