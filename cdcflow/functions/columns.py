@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 from typing import Any
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MASK = "****"
 LITERALS = {True: "true", False: "false"}
@@ -34,7 +36,7 @@ def mask(c: Column, visible: int = 4, keep: str = "first") -> Column:
 def lenient_cast(c: Column, source: T.DataType, target: T.DataType) -> Column:
     """Cast that yields NULL for bad input; a decimal string loses its fraction in integer casts."""
     if isinstance(source, T.StringType) and isinstance(target, T.IntegralType):
-        c = F.regexp_replace(F.trim(c), r"\.\d*$", "")
+        c = F.regexp_replace(F.regexp_replace(F.trim(c), r"^([+-]?)(\.\d+)$", "$10$2"), r"\.\d*$", "")
     return c.try_cast(target)
 
 
@@ -50,19 +52,40 @@ def literal_as(value: Any, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def sort_number(c: Column, dtype: T.DataType) -> Column:
-    """A number that grows with the column: whole seconds for times, the value for numbers.
-
-    Times without zone are read part by part, because a cast through the session zone
-    would run backwards when clocks are set back.
-    """
-    if isinstance(dtype, T.TimestampNTZType):
-        day = F.unix_date(c.cast("date")).cast("double")
-        return day * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-    if isinstance(dtype, T.TimestampType):
-        return F.floor(F.unix_micros(c) / F.lit(1_000_000)).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, T.NumericType):
-        return c.cast("double")
-    raise ValueError(f"cannot order changes by a {dtype.simpleString()} column")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def fits(value: Any, dtype: T.DataType) -> bool:
+    """Whether a configured value is one that a column of this type can hold, without loss."""
+    if value is None or isinstance(dtype, T.StringType):
+        return value is not None
+    try:
+        if isinstance(dtype, T.BooleanType):
+            return isinstance(value, bool) or str(value).lower() in LITERALS.values()
+        if isinstance(dtype, T.NumericType):
+            if isinstance(value, bool):
+                return False
+            number = decimal.Decimal(str(value))
+            if isinstance(dtype, T.DecimalType):
+                whole = dtype.precision - dtype.scale
+                return number == round(number, dtype.scale) and abs(number) < decimal.Decimal(10) ** whole
+            if isinstance(dtype, T.IntegralType):
+                bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(dtype.simpleString(), 63)
+                return number == int(number) and -(2**bits) <= number < 2**bits
+            return True
+        if isinstance(dtype, T.DateType):
+            return isinstance(value, dt.date) or bool(dt.date.fromisoformat(str(value)))
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            return isinstance(value, dt.datetime) or bool(dt.datetime.fromisoformat(str(value)))
+    except (ValueError, ArithmeticError):
+        return False
+    return True

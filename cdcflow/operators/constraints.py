@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cdcflow.functions.columns import literal_as
+from cdcflow.spec import TableSpec
 
 
 def primary_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -57,3 +58,40 @@ def defaults(df: DataFrame, values: Mapping[str, Any], now: Column) -> DataFrame
 
 def _any_null(columns: Sequence[str]) -> Column:
     return reduce(or_, [F.col(c).isNull() for c in columns])
+
+
+def violations(spec: TableSpec, df: DataFrame, parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """What the rows of a table break of its description: constraint, columns and number of rows.
+
+    One row for each constraint that is broken: ``primary_key``, ``not_null`` (columns marked as
+    not nullable), ``unique`` (columns and indexes) and ``foreign_key``. Rows that repeat a value
+    all count. ``parents`` holds the referenced tables by name; a reference to one that is not
+    given raises.
+    """
+    parents = parents or {}
+    found = []
+
+    def add(kind: str, columns: Sequence[str], rows: DataFrame, count: Column) -> None:
+        total = rows.agg(F.coalesce(count, F.lit(0)).alias("rows"))
+        found.append(total.select(F.lit(kind).alias("constraint"), F.lit(",".join(columns)).alias("columns"), "rows"))
+
+    if spec.primary_key:
+        add("primary_key", spec.primary_key, primary_key(df, spec.primary_key), F.sum("rows"))
+    required = [c.name for c in spec.columns if not c.nullable]
+    if required:
+        wide = not_null(df, required)
+        found.append(wide.select(F.lit("not_null").alias("constraint"), F.col("column_name").alias("columns"), F.col("null_rows").alias("rows")))
+    for columns in [*[(c.name,) for c in spec.columns if c.unique], *spec.unique_keys]:
+        add("unique", columns, unique(df, columns), F.sum("rows"))
+    for key in spec.foreign_keys:
+        if key.table not in parents:
+            raise ValueError(f"{spec.name}: {key.column} refers to {key.table}, which is not given")
+        add("foreign_key", [key.column], foreign_key(df, key.column, parents[key.table], key.ref_column), F.count("*"))
+    if not found:
+        return df.sparkSession.createDataFrame([], "constraint string, columns string, rows bigint")
+    return reduce(DataFrame.unionByName, found).filter(F.col("rows") > 0)
+
+
+def described_defaults(spec: TableSpec, df: DataFrame, now: Column) -> DataFrame:
+    """The rows with NULLs replaced by the defaults of the description."""
+    return defaults(df, {c.name: c.default for c in spec.columns if c.default is not None}, now)

@@ -50,10 +50,11 @@ def from_changelog(
 ) -> DataFrame:
     """Whole history of a change log; ``ordering[0]`` is the time of change.
 
-    Every change ends its predecessor, a DELETE opens nothing.
+    Every change ends its predecessor, a DELETE opens nothing. Changes without a whole key
+    belong to no entity and take no part.
     """
     at = ordering[0]
-    ended = skew.next_time(known_changes(changes), key, ordering, TO, hot)
+    ended = skew.next_time(_keyed(known_changes(changes), key), key, ordering, TO, hot)
     return (
         ended.filter(F.col(OPERATION).isin(*WRITTEN))
         .withColumns({FROM: F.col(at), CURRENT: F.col(TO).isNull(), INGESTED: F.col(at)})
@@ -62,17 +63,6 @@ def from_changelog(
     )
 
 
-def close_current(target: DataFrame, staged: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Current versions that a staged change ends, with their end time set."""
-    ends = staged.filter(F.col(OPERATION).isin(*WRITTEN, "DELETE")).select(*key, F.col(FROM).alias("_end"))
-    return (
-        current(target)
-        .join(ends, list(key))
-        .withColumns({TO: F.col("_end"), CURRENT: F.lit(False)})
-        .select(*target.columns)
-    )
-
-
 def apply_changes(
     target: DataFrame | None,
     staged: DataFrame,
@@ -81,60 +71,88 @@ def apply_changes(
     order: Sequence[str] = (),
     initial: str = "upsert",
     hot: skew.HotKeys | None = None,
+    keep_deletes: bool = False,
 ) -> DataFrame:
     """History after a batch of staged changes (rows with version columns).
 
-    Only versions valid between a key's first and last staged change are rebuilt; all
-    others pass through. A late change is placed between the versions around it, and
-    applying a batch twice gives the same history. ``order`` breaks ties between staged
-    changes of one key at one instant. With one staged change per key a key brings a
-    handful of rows; give ``hot`` when a key may have very many staged changes.
+    A changed key's versions that were valid at its first staged change or later are rebuilt
+    together with the changes; all others pass through. A late change is placed between the
+    versions around it, and applying a batch twice gives the same history. ``order`` breaks
+    ties between staged changes of one key at one instant. With one staged change per key a
+    key brings a handful of rows; give ``hot`` when a key may have very many.
+
+    A DELETE that ends no version is told by no row. With ``keep_deletes`` it stays as a
+    marker (``_operation`` DELETE, ``_effective_from`` = ``_effective_to``), so that versions
+    which arrive later still end there; give such a history back as the next ``target``, and
+    read it through ``versions``.
     """
-    staged = known_changes(staged)
     key = list(key)
+    staged = _keyed(known_changes(staged), key)
     if target is None:
         if initial == "insert_only":
             staged = staged.filter(F.col(OPERATION) == "INSERT")
-        arriving = staged.withColumns({"_at": F.col(FROM), "_kind": F.lit(2)})
-        return _rebuild(arriving, key, order, hot, staged.columns)
-    columns = target.columns
-    # Versions that ended before the first change of the whole batch take no part: they
-    # are neither joined nor shuffled, which leaves little more than the open versions.
-    floor = staged.agg(F.min(FROM)).scalar()
-    settled = target.filter(F.col(TO).isNotNull() & F.coalesce(F.col(TO) <= floor, F.lit(True)))
-    recent = target.filter(F.col(TO).isNull() | F.coalesce(F.col(TO) > floor, F.lit(False)))
-    range_of_change = staged.groupBy(*key).agg(F.min(FROM).alias("_since"), F.max(FROM).alias("_until"))
-    matched = recent.join(range_of_change, key, "left")
-    is_open = F.col(TO).isNull() | (F.col(TO) > F.col("_since"))
-    touched = F.coalesce(is_open & (F.col(FROM) <= F.col("_until")), F.lit(False))
-
-    # Besides the touched versions themselves, their ends and the start of the next version
-    # bound what is rebuilt: a DELETE leaves no row that would tell where a gap begins.
-    version = F.struct(F.col(FROM).alias("_at"), F.lit(1).alias("_kind"))
-    end = F.when(F.col(TO).isNotNull(), F.struct(F.col(TO).alias("_at"), F.lit(0).alias("_kind")))
-    old = (
-        matched.filter(F.col("_since").isNotNull() & touched)
-        .select(*columns, F.inline(F.array(version, end)))
-        .filter(F.col("_kind").isNotNull())
-    )
-    following = (
-        matched.filter(F.col(FROM) > F.col("_until"))
-        .groupBy(*key)
-        .agg(F.min(FROM).alias("_at"))
-        .withColumn("_kind", F.lit(0))
-    )
+        columns = staged.columns
+    else:
+        columns = target.columns
     arriving = staged.select(*columns, F.col(FROM).alias("_at"), F.lit(2).alias("_kind"))
-    events = old.unionByName(arriving).unionByName(following, allowMissingColumns=True)
-
-    kept = settled.unionByName(matched.filter(~touched).select(*columns))
-    return kept.unionByName(_rebuild(events, key, order, hot, columns))
-
+    if target is None:
+        rebuilt = _rebuild(arriving, key, order, hot, columns)
+        return rebuilt if keep_deletes else versions(rebuilt)
+    # What ended before the first change of the whole batch takes no part: it is neither
+    # joined nor shuffled, which leaves little more than the open versions.
+    floor = staged.agg(F.min(FROM)).scalar()
+    settled = F.col(TO).isNotNull() & F.coalesce(F.col(TO) < floor, F.lit(True))
+    first = staged.groupBy(*key).agg(F.min(FROM).alias("_since"))
+    matched = target.filter(~settled).join(first, key, "left")
+    touched = F.coalesce((F.col(TO).isNull() & F.col("_since").isNotNull()) | (F.col(TO) >= F.col("_since")), F.lit(False))
+    # A version's end is an event of its own: a DELETE leaves no other row that tells of it.
+    begins = F.struct(F.col(FROM).alias("_at"), F.when(F.col(OPERATION) == "DELETE", 0).otherwise(1).alias("_kind"))
+    ends = F.when(F.col(TO) > F.col(FROM), F.struct(F.col(TO).alias("_at"), F.lit(0).alias("_kind")))
+    old = matched.filter(touched).select(*columns, F.inline(F.array(begins, ends))).filter(F.col("_kind").isNotNull())
+    kept = target.filter(settled).unionByName(matched.filter(~touched).select(*columns))
+    merged = kept.unionByName(_rebuild(old.unionByName(arriving), key, order, hot, columns))
+    return merged if keep_deletes else versions(merged)
+
+
+def versions(history: DataFrame) -> DataFrame:
+    """The history without markers of DELETEs that ended no version."""
+    return history.filter(F.col(OPERATION) != "DELETE")
+
+
+def drop_unchanged(
+    target: DataFrame,
+    staged: DataFrame,
+    key: Sequence[str],
+    values: Sequence[str],
+    order: Sequence[str] = (),
+    hot: skew.HotKeys | None = None,
+) -> DataFrame:
+    """Staged rows without the UPDATEs that repeat what their key held just before.
 
-def drop_unchanged(target: DataFrame, staged: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Staged rows without the UPDATEs that repeat their key's current values."""
-    now = current(target).select(*key, F.xxhash64(*values).alias("_old"))
-    repeats = (F.col(OPERATION) == "UPDATE") & F.coalesce(F.xxhash64(*values) == F.col("_old"), F.lit(False))
-    return staged.join(now, list(key), "left").filter(~repeats).select(*staged.columns)
+    That is the staged change before it, else the version valid then; a late change is not
+    compared with today's version. Values are compared one by one, NULL equal to NULL.
+    """
+    key = list(key)
+    held = F.struct(*[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])
+    first = staged.groupBy(*key).agg(F.min(FROM).alias("_since"))
+    near = target.join(first, key).filter(F.col(TO).isNull() | (F.col(TO) > F.col("_since")))
+    state = lambda alive: F.struct(alive.alias("alive"), held.alias("held"))
+    begins = F.struct(F.col(FROM).alias("_at"), F.lit(1).alias("_kind"), state(F.col(OPERATION) != "DELETE").alias("_state"))
+    ends = F.when(
+        F.col(TO) > F.col(FROM), F.struct(F.col(TO).alias("_at"), F.lit(0).alias("_kind"), state(F.lit(False)).alias("_state"))
+    )
+    ties = [c for c in order if c in staged.columns]
+    old = near.select(*key, F.inline(F.array(begins, ends))).filter(F.col("_kind").isNotNull())
+    new = staged.select(
+        *key, F.col(FROM).alias("_at"), F.lit(2).alias("_kind"), state(F.col(OPERATION) != "DELETE").alias("_state"),
+        *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)], F.struct(*staged.columns).alias("_row"),
+    )
+    events = new.unionByName(old, allowMissingColumns=True)
+    # An end and the version that begins there are one instant: the later of them tells the state.
+    sequence = ["_at", "_kind", *[f"_tie{i}" for i in range(len(ties))]]
+    seen = skew.last_seen(events, key, sequence, "_state", "_before", hot, before=True).filter(F.col("_kind") == 2)
+    repeats = F.coalesce(F.col("_before.alive"), F.lit(False)) & F.col("_before.held").eqNullSafe(F.col("_state.held"))
+    return seen.filter(~((F.col(f"_row.{OPERATION}") == "UPDATE") & repeats)).select("_row.*")
 
 
 def current(history: DataFrame) -> DataFrame:
@@ -166,29 +184,32 @@ def as_of_join(
 
     Facts and versions are sorted together by key and time and the last version seen is
     carried forward: one shuffle, and no pairing of all facts with all versions of a key.
+    Facts without a whole key have no version and are not sorted at all.
     """
+    if how not in ("inner", "left"):
+        raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
     names = [f"_k{i}" for i in range(len(key))]
     fact_keys = [F.col(c).alias(n) for c, n in zip(fact_key, names)]
     version_keys = [F.col(c).alias(n) for c, n in zip(key, names)]
     version = F.struct(*values, FROM, TO)
-    left = facts.select(
+    left = _keyed(facts, fact_key).select(
         *fact_keys, F.col(fact_time).alias("_at"), F.lit(1).alias("_kind"), F.struct(*facts.columns).alias("_fact")
     )
-    right = history.select(
+    right = _keyed(history, key).select(
         *version_keys, F.col(FROM).alias("_at"), F.lit(0).alias("_kind"), version.alias("_version")
     )
     events = left.unionByName(right, allowMissingColumns=True)
     seen = skew.last_seen(events, names, ["_at", "_kind"], "_version", "_seen", hot).filter(F.col("_kind") == 1)
-    known_key = F.lit(True)
-    for name in names:
-        known_key = known_key & F.col(name).isNotNull()
-    valid = F.col("_seen").isNotNull() & (F.col("_seen")[TO].isNull() | (F.col("_seen")[TO] > F.col("_at"))) & known_key
-    if how == "inner":
-        seen = seen.filter(valid)
-    elif how != "left":
-        raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
+    valid = F.col("_seen").isNotNull() & (F.col("_seen")[TO].isNull() | (F.col("_seen")[TO] > F.col("_at")))
     picked = [F.when(valid, F.col("_seen")[v]).alias(v) for v in values]
-    return seen.select("_fact.*", *picked)
+    if how == "inner":
+        return seen.filter(valid).select("_fact.*", *picked)
+    found = seen.select("_fact.*", *picked)
+    keyless = F.lit(False)
+    for c in fact_key:
+        keyless = keyless | F.col(c).isNull()
+    empty = [F.lit(None).cast(found.schema[-len(values) + i].dataType).alias(v) for i, v in enumerate(values)]
+    return found.unionAll(facts.filter(keyless).select(*facts.columns, *empty))
 
 
 def counts_by_state(tables: dict[str, DataFrame]) -> DataFrame:
@@ -216,19 +237,36 @@ def register_views(spark: SparkSession, name: str, history: DataFrame) -> None:
     current(history).createOrReplaceTempView(f"{name}_current")
 
 
+def _keyed(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    for k in key:
+        df = df.filter(F.col(k).isNotNull())
+    return df
+
+
 def _rebuild(
     events: DataFrame, key: list[str], order: Sequence[str], hot: skew.HotKeys | None, columns: list[str]
 ) -> DataFrame:
-    """Versions from events in order: 0 ends one, 1 is a known version, 2 a staged change."""
-    ties = [c for c in order if c in columns]
+    """Versions and markers from events in order: 0 ends one, 1 is a known version, 2 a staged change.
+
+    The last event of an instant decides what holds from then on. An end that follows a
+    version is that version's end; any other is a marker.
+    """
+    sequence = ["_at", "_kind", *[c for c in order if c in columns]]
     opens = (F.col("_kind") == 1) | ((F.col("_kind") == 2) & F.col(OPERATION).isin(*WRITTEN))
-    return (
-        skew.next_time(events, key, ["_at", "_kind", *ties], "_next", hot)
-        .filter(opens)
-        .withColumns({TO: F.col("_next"), CURRENT: F.col("_next").isNull()})
-        .filter(F.col(TO).isNull() | (F.col(TO) > F.col(FROM)))
-        .select(*columns)
-    )
+    opened = events.withColumn("_opens", F.coalesce(opens, F.lit(False)))
+    state = F.struct(F.col("_at").alias("at"), F.col("_opens").alias("opens"))
+    near = skew.neighbours(opened, key, sequence, state, hot)
+    ended = F.coalesce(F.col("_last.opens") & (F.col("_last.at") < F.col("_at")), F.lit(False))
+    standing = near.filter(F.col("_next").isNull() | (F.col("_next") > F.col("_at"))).filter(F.col("_opens") | ~ended)
+    given = {c: F.col(c) for c in columns if c not in {*key, OPERATION, FROM, TO, CURRENT, INGESTED}}
+    marked = {
+        **{c: F.when(F.col("_opens"), v) for c, v in given.items()},
+        OPERATION: F.when(F.col("_opens"), F.col(OPERATION)).otherwise("DELETE"),
+        FROM: F.col("_at"),
+        TO: F.when(F.col("_opens"), F.col("_next")).otherwise(F.col("_at")),
+        CURRENT: F.col("_opens") & F.col("_next").isNull(),
+    }
+    return standing.select(*[marked.get(c, F.col(c)).alias(c) for c in columns])
 
 
 def _type_of(df: DataFrame, c: Column):

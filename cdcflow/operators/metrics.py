@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cdcflow.spec import Check
 
@@ -35,29 +34,33 @@ _COUNTS = "metric_name string, column_name string, matching bigint, total bigint
 
 
 def metric_counts(df: DataFrame, checks: Sequence[Check], batch: int | str, *, strict: bool = True) -> DataFrame:
-    """One row per batch and check with the counts behind its value.
+    """One row per batch and check with the counts behind its value, from one read of ``df``.
 
-    Completeness, compliance and size share a single aggregate; each uniqueness check adds
-    a two-level one, whose first level counts values before the shuffle.
+    Without uniqueness checks all share one aggregate. With some, every row also yields the
+    value of each such column; values are counted first, before the shuffle too, and the
+    counts then summed up, whatever the number of columns.
+
+    A compliance expression is evaluated as Spark would in a filter: one that may raise on
+    odd text (a plain cast, say) stops the batch, so write ``try_cast`` and the like.
     """
     checks = usable(df, checks, strict)
     keyed = df.withColumn("batch_id", (F.col(batch) if isinstance(batch, str) else F.lit(batch)).cast("long"))
     by_column = ["batch_id"] if isinstance(batch, str) else []
-    plain = [c for c in checks if METRIC_NAMES[c.metric.lower()] != UNIQUENESS]
-    parts = []
-    if plain:
-        aggs = [F.count("*").alias("_n")]
-        aggs += [F.count_if(_holds(c)).alias(f"_m{i}") for i, c in enumerate(plain) if _holds(c) is not None]
-        wide = keyed.groupBy(*by_column).agg(*aggs)
-        rows = [_row(c, F.col("_n" if _holds(c) is None else f"_m{i}"), F.col("_n")) for i, c in enumerate(plain)]
-        parts.append(wide.select(*by_column, F.inline(F.array(*rows))))
-    for check in checks:
-        if check not in plain:
-            parts.append(_uniqueness(keyed, check, by_column))
-    if not parts:
-        empty = df.sparkSession.createDataFrame([], f"batch_id bigint, {_COUNTS}")
-        return empty
-    counts = reduce(DataFrame.unionByName, parts)
+    if not checks:
+        return df.sparkSession.createDataFrame([], f"batch_id bigint, {_COUNTS}")
+    single = [c for c in checks if METRIC_NAMES[c.metric.lower()] == UNIQUENESS]
+    plain = [c for c in checks if c not in single]
+    held = {i: _holds(c) for i, c in enumerate(plain)}
+    conditions = {i: c for i, c in held.items() if c is not None}
+    if single:
+        wide = _with_values(keyed, single, conditions, by_column)
+    else:
+        wide = keyed.groupBy(*by_column).agg(
+            F.count("*").alias("_n"), *[F.count_if(c).alias(f"_m{i}") for i, c in conditions.items()]
+        )
+    rows = [_row(c, F.col("_n" if held[i] is None else f"_m{i}"), F.col("_n")) for i, c in enumerate(plain)]
+    rows += [_row(c, F.col(f"_once{j}"), F.col(f"_all{j}")) for j, c in enumerate(single)]
+    counts = wide.select(*by_column, F.inline(F.array(*rows)))
     if not by_column:
         counts = counts.withColumn("batch_id", F.lit(batch).cast("long"))
     return counts.select("batch_id", "metric_name", "column_name", "matching", "total", "threshold", "severity")
@@ -196,8 +199,39 @@ def _row(check: Check, matching: Column, total: Column) -> Column:
     )
 
 
-def _uniqueness(df: DataFrame, check: Check, by_column: list[str]) -> DataFrame:
-    """Share of non-NULL values that occur exactly once."""
-    counted = df.filter(F.col(check.column).isNotNull()).groupBy(*by_column, check.column).agg(F.count("*").alias("_n"))
-    sums = counted.groupBy(*by_column).agg(F.count_if(F.col("_n") == 1).alias("_once"), F.sum("_n").alias("_all"))
-    return sums.select(*by_column, F.inline(F.array(_row(check, F.col("_once"), F.col("_all")))))
+def _with_values(df: DataFrame, single: list[Check], conditions: dict[int, Column], by_column: list[str]) -> DataFrame:
+    """The plain counts and, for each column of ``single``, values that occur once and all non-NULL ones.
+
+    Every row yields itself (place -1) with its conditions and the non-NULL values as text.
+    """
+    flags = [F.coalesce(c, F.lit(False)).cast("long").alias(f"_m{i}") for i, c in conditions.items()]
+    none = [F.lit(0).cast("long").alias(f"_m{i}") for i in conditions]
+    own = F.struct(F.lit(-1).alias("_place"), F.lit(None).cast("string").alias("_value"), *flags)
+    values = [
+        F.when(
+            F.col(c.column).isNotNull(), F.struct(F.lit(j).alias("_place"), _text(df, c.column).alias("_value"), *none)
+        )
+        for j, c in enumerate(single)
+    ]
+    each = df.select(*by_column, F.inline(F.filter(F.array(own, *values), lambda v: v.isNotNull())))
+    counted = each.groupBy(*by_column, "_place", "_value").agg(
+        F.count("*").alias("_rows"), *[F.sum(f"_m{i}").alias(f"_m{i}") for i in conditions]
+    )
+    of = lambda j: F.col("_place") == j
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = [zero(F.sum(F.when(of(-1), F.col("_rows")))).alias("_n")]
+    sums += [zero(F.sum(F.col(f"_m{i}"))).alias(f"_m{i}") for i in conditions]
+    for j in range(len(single)):
+        sums.append(F.count_if(of(j) & (F.col("_rows") == 1)).alias(f"_once{j}"))
+        sums.append(zero(F.sum(F.when(of(j), F.col("_rows")))).alias(f"_all{j}"))
+    return counted.groupBy(*by_column).agg(*sums)
+
+
+def _text(df: DataFrame, column: str) -> Column:
+    """Equal values as equal text: 0.0 and -0.0 are one, bytes are written out."""
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return (F.col(column) + F.lit(0.0)).cast("string")
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(column)
+    return F.col(column).cast("string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cdcflow.functions.columns import hour_label
 from cdcflow.operators.rules import FAILED, OPERATION, WARNED
+from cdcflow.sources.envelope import CONTROL, KIND, MALFORMED, ROW
 
 PARTITIONS = ["table_name", "run_date", "batch_id"]
 
@@ -62,6 +63,54 @@ def summary(tagged: DataFrame, table: str, batch_id: int | Column, at: Column, p
     )
 
 
+def batch_counts(
+    classified: DataFrame,
+    tagged: DataFrame,
+    staged: DataFrame,
+    table: str,
+    batch_id: int | Column,
+    at: Column,
+    path: str = "",
+) -> DataFrame:
+    """What became of a batch's messages: one row per batch, clean ones and those without a usable message too.
+
+    messages = malformed + control + total_rows; of these rows some are quarantined, some
+    unknown, and ``staged_count`` changes are left after de-duplication. The frames are those
+    of one batch, or of several with ``batch_id`` a column of theirs.
+    """
+    number = (batch_id if isinstance(batch_id, Column) else F.lit(batch_id)).cast("long").alias("batch_id")
+    unknown = F.col(OPERATION) == "UNKNOWN"
+    sums = {
+        "messages": (classified, F.count("*")),
+        "malformed_count": (classified, F.count_if(F.col(KIND) == MALFORMED)),
+        "control_count": (classified, F.count_if(F.col(KIND) == CONTROL)),
+        "total_rows": (classified, F.count_if(F.col(KIND) == ROW)),
+        "quarantined_count": (tagged, F.count(FAILED)),
+        "unknown_count": (tagged, F.count_if(unknown)),
+        "staged_count": (staged, F.count("*")),
+    }
+    rules = F.array_sort(F.collect_set(FAILED)).alias("failed_rules")
+    parts = [
+        frame.groupBy(number).agg(*[c.alias(n) for n, (f, c) in sums.items() if f is frame], *([rules] if frame is tagged else []))
+        for frame in (classified, tagged, staged)
+    ]
+    if not isinstance(batch_id, Column):
+        # A batch without any message has its row as well.
+        one = classified.sparkSession.range(1).select(number)
+        parts.append(one)
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return (
+        whole.groupBy("batch_id")
+        .agg(
+            *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums],
+            F.coalesce(F.first("failed_rules", ignorenulls=True), F.array().cast("array<string>")).alias("failed_rules"),
+        )
+        .select(
+            F.lit(table).alias("table_name"), "batch_id", *sums, "failed_rules", F.lit(path).alias("path"), at.alias("quarantined_at")
+        )
+    )
+
+
 def by_rule(quarantined: DataFrame) -> DataFrame:
     """What is set aside and why: rows per table, rule and hour."""
     return quarantined.groupBy("table_name", FAILED, "run_date").agg(F.count("*").alias("rows"))

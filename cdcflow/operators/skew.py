@@ -1,8 +1,8 @@
-"""Time spans that split a hot key over many tasks without changing any result.
+"""Spans of equal depth that split a hot key over many tasks without changing any result.
 
-A window ``partitionBy(key)`` sorts all rows of a key in one task. For keys with very many
-rows the time axis is cut into spans, the window runs per (key, span), and what crosses a
-span border is carried by one small row per span.
+A window ``partitionBy(key)`` sorts all rows of a key in one task. The rows of a key with very
+many are cut into spans along their full ordering (time, then tie-breaks), the window runs
+per (key, span), and what crosses a span border is carried by one small row per span.
 """
 
 from __future__ import annotations
@@ -10,70 +10,68 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cdcflow.functions.columns import sort_number
+from cdcflow.functions.columns import fresh
 
-SPAN = "_span"
-_BEFORE_ALL = -(2**62)
+SPAN, HOT = "_span", "_hot"
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """When a key counts as hot.
+    """``rows``: rows of one key that one task should sort, about. ``depth``: sampled rows of a span.
 
-    ``rows``: rows one task should sort at most. ``sample``: one row in this many, chosen
-    by hash, is looked at to find hot keys; it decides only where spans begin. ``limit``:
-    most keys that get spans, which bounds the broadcast; the remaining keys take the
-    ordinary path and give the same result. ``small_bytes``: an input estimated below this
-    is sorted without looking for hot keys.
+    One row in ``rows / depth``, chosen by a hash of key and ordering, is sampled; a key whose
+    sample stands for more than ``rows`` gets a cut point after every ``depth`` sampled rows. So
+    cut points follow the rows wherever they are, in bursts and within single instants too, and
+    there is at most about one for every ``rows`` rows of the input.
     """
 
     rows: int = 2_000_000
-    sample: int = 64
-    limit: int = 10_000
-    small_bytes: int = 64 << 20
+    depth: int = 64
 
-    def may_exist(self, df: DataFrame) -> bool:
-        """False when the whole input is small enough for one task to sort."""
-        size = estimated_bytes(df)
-        return size is None or size > self.small_bytes
+    @property
+    def step(self) -> int:
+        return max(1, self.rows // self.depth)
+
+    @property
+    def every(self) -> int:
+        return max(1, min(self.depth, self.rows // self.step))
 
 
 DEFAULT = HotKeys()
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's own size estimate of a frame, None where the session cannot tell."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def with_spans(df: DataFrame, key: Sequence[str], at: str, hot: HotKeys = DEFAULT) -> DataFrame:
-    """Add ``_span`` (0 for ordinary keys, rising with time for hot ones) and ``_hot``."""
-    number = sort_number(F.col(at), df.schema[at].dataType)
-    known = [F.col(k).isNotNull() for k in key]
-    narrow = df.select(*key, F.col(at).alias("_at"), number.alias("_num"))
-    for condition in known:
-        narrow = narrow.filter(condition)
-    if hot.sample > 1:
-        narrow = narrow.filter(F.pmod(F.xxhash64(*key, "_at"), F.lit(hot.sample)) == 0)
-    grids = (
-        narrow.groupBy(*key)
-        .agg(F.count("*").alias("_n"), F.min("_num").alias("_low"), F.max("_num").alias("_high"))
-        .withColumn("_n", F.col("_n") * hot.sample)
-        .filter((F.col("_n") > hot.rows) & (F.col("_high") > F.col("_low")))
-        .orderBy(F.desc("_n"), *key)
-        .limit(hot.limit)
-        .select(*key, "_low", ((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / hot.rows)).alias("_step"))
+def with_spans(df: DataFrame, key: Sequence[str], order: Sequence[str], hot: HotKeys = DEFAULT) -> DataFrame:
+    """Add ``_span`` (0 for ordinary keys, rising with the ordering for hot ones) and ``_hot``.
+
+    Rows that are equal in the whole ordering stay in one span.
+    """
+    place = F.struct(*order)
+    sample = df.select(*key, place.alias("_place"))
+    for k in key:
+        sample = sample.filter(F.col(k).isNotNull())
+    if hot.step > 1:
+        sample = sample.filter(F.pmod(F.xxhash64(*key, "_place"), F.lit(hot.step)) == 0)
+    cut_keys = {k: f"_cut{i}" for i, k in enumerate(key)}
+    ranked = sample.groupBy(*[F.col(k).alias(n) for k, n in cut_keys.items()]).agg(
+        F.array_sort(F.collect_list("_place")).alias("_places")
     )
-    spanned = F.coalesce(F.floor((number - F.col("_low")) / F.col("_step")), F.lit(_BEFORE_ALL))
+    grown = ranked.filter(F.size("_places") > hot.every)
+    cuts = grown.select(
+        *cut_keys.values(),
+        F.transform(
+            F.sequence(F.lit(hot.every + 1), F.size("_places"), F.lit(hot.every)), lambda i: F.element_at("_places", i)
+        ).alias("_cuts"),
+    )
+    matches = F.lit(True)
+    for k, n in cut_keys.items():
+        matches = matches & (F.col(k) == F.col(n))
+    passed = F.size(F.filter("_cuts", lambda c: c <= place))
     return (
-        df.join(F.broadcast(grids), list(key), "left")
-        .withColumns({"_hot": F.col("_step").isNotNull(), SPAN: F.when(F.col("_step").isNull(), 0).otherwise(spanned)})
-        .select(*df.columns, "_hot", SPAN)
+        df.join(cuts, matches, "left")
+        .withColumns({HOT: F.col("_cuts").isNotNull(), SPAN: F.when(F.col("_cuts").isNull(), 0).otherwise(passed)})
+        .select(*df.columns, HOT, SPAN)
     )
 
 
@@ -85,12 +83,11 @@ def next_time(
     Pass ``hot=None`` only when the number of rows per key is known to be small.
     """
     at = order[0]
-    if hot is None or not hot.may_exist(df):
+    if hot is None:
         return df.withColumn(out, F.lead(at).over(Window.partitionBy(*key).orderBy(*order)))
-    spanned = with_spans(df, key, at, hot)
-    w = Window.partitionBy(*key, SPAN).orderBy(*order)
-    inside = spanned.withColumn(out, F.lead(at).over(w))
-    starts = spanned.filter("_hot").groupBy(*key, SPAN).agg(F.min(at).alias("_start"))
+    spanned = with_spans(df, key, order, hot)
+    inside = spanned.withColumn(out, F.lead(at).over(Window.partitionBy(*key, SPAN).orderBy(*order)))
+    starts = spanned.filter(HOT).groupBy(*key, SPAN).agg(F.min(at).alias("_start"))
     following = starts.select(
         *key, SPAN, F.lead("_start").over(Window.partitionBy(*key).orderBy(SPAN)).alias("_follow")
     )
@@ -102,29 +99,60 @@ def next_time(
 
 
 def last_seen(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, out: str, hot: HotKeys = DEFAULT
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    value: str | Column,
+    out: str,
+    hot: HotKeys | None = DEFAULT,
+    *,
+    before: bool = False,
 ) -> DataFrame:
-    """Add the latest non-NULL ``value`` up to and including each row in ``order``."""
-    at = order[0]
-    if not hot.may_exist(df):
-        running = (
-            Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(running))
-    spanned = with_spans(df, key, at, hot)
-    w = Window.partitionBy(*key, SPAN).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = spanned.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    """Add the latest non-NULL ``value`` up to and including each row in ``order``, or ``before`` it."""
+    last = -1 if before else Window.currentRow
+    ordered = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    if hot is None:
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(ordered(*key)))
+    (held,) = fresh(df, "_held")
+    spanned = with_spans(df.withColumn(held, F.col(value) if isinstance(value, str) else value), key, order, hot)
+    inside = spanned.withColumn(out, F.last(held, ignorenulls=True).over(ordered(*key, SPAN)))
     ends = (
-        spanned.filter("_hot")
+        spanned.filter(HOT)
         .groupBy(*key, SPAN)
-        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
-    )
-    earlier = (
-        Window.partitionBy(*key).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
+        .agg(F.max_by(held, F.when(F.col(held).isNotNull(), F.struct(*order))).alias("_end"))
     )
+    earlier = Window.partitionBy(*key).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*key, SPAN, F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     return (
         inside.join(carried, [*key, SPAN], "left")
         .withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
         .select(*df.columns, out)
     )
+
+
+def neighbours(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], state: Column, hot: HotKeys | None = DEFAULT
+) -> DataFrame:
+    """Add ``_next``, the time (``order[0]``) of the key's next row, and ``_last``, the ``state`` of the one before.
+
+    Both come from one cut into spans, whose first times and last states cross the borders.
+    """
+    at = order[0]
+    if hot is None:
+        w = Window.partitionBy(*key).orderBy(*order)
+        return df.withColumns({"_next": F.lead(at).over(w), "_last": F.lag(state).over(w)})
+    spanned = with_spans(df.withColumn("_state", state), key, order, hot)
+    w = Window.partitionBy(*key, SPAN).orderBy(*order)
+    inside = spanned.withColumns({"_next": F.lead(at).over(w), "_last": F.lag("_state").over(w)})
+    borders = (
+        spanned.filter(HOT)
+        .groupBy(*key, SPAN)
+        .agg(F.min(at).alias("_start"), F.max_by("_state", F.struct(*order)).alias("_end"))
+    )
+    spans = Window.partitionBy(*key).orderBy(SPAN)
+    carried = borders.select(*key, SPAN, F.lead("_start").over(spans).alias("_follow"), F.lag("_end").over(spans).alias("_carry"))
+    return (
+        inside.join(carried, [*key, SPAN], "left")
+        .withColumns({"_next": F.coalesce("_next", "_follow"), "_last": F.coalesce("_last", "_carry")})
+        .select(*df.columns, "_next", "_last")
+    )

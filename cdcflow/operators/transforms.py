@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cdcflow.functions.columns import lenient_cast, literal_as, mask
@@ -64,8 +65,8 @@ def list_transforms() -> list[str]:
 def apply_transforms(df: DataFrame, transforms: Sequence[Transform], *, strict: bool = True) -> DataFrame:
     """Apply transforms by ascending ``order``, ties in listed order.
 
-    An unknown type, a missing column or a bad parameter raises; with ``strict=False``
-    the transform is skipped instead.
+    An unknown type, a missing column, a bad parameter or a step that Spark cannot analyse
+    raises; with ``strict=False`` the transform is skipped instead.
     """
     for step in sorted(transforms, key=lambda t: t.order):
         label = step.id or f"{step.type}({step.column})"
@@ -75,8 +76,10 @@ def apply_transforms(df: DataFrame, transforms: Sequence[Transform], *, strict:
                 raise ValueError(f"transform {label}: unknown type {step.type!r}")
             if step.column not in df.columns:
                 raise ValueError(f"transform {label}: no column {step.column!r}")
-            df = handler(df, step.column, step.params)
-        except (ValueError, KeyError) as problem:
+            changed = handler(df, step.column, step.params)
+            changed.schema  # analysed here, also where plans are analysed late
+            df = changed
+        except (ValueError, KeyError, TypeError, AnalysisException) as problem:
             if strict:
                 raise ValueError(f"transform {label}: {problem}") from problem
             log.warning("%s, skipped", problem)

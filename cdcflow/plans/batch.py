@@ -4,31 +4,37 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from cdcflow.operators import history as H, metrics as M, quarantine as Q, rules as R
+from cdcflow.operators import history as H, metrics as M, quarantine as Q, rules as R, skew
 from cdcflow.operators.transforms import apply_transforms
-from cdcflow.sources.envelope import CHANGED_AT, decode
-from cdcflow.spec import Rule, TableSpec
+from cdcflow.session import written
+from cdcflow.sources.envelope import CHANGED_AT, classify, rows_of
+from cdcflow.spec import Rule, TableSpec, parse_type
 
 
 @dataclass
 class BatchResult:
-    """Frames of one batch; ``history`` is planned when it is asked for."""
+    """Frames of one batch. ``summary`` has a row if rows were set aside, ``counts`` always.
+
+    ``history`` is planned when it is asked for; it uses the staged changes several times,
+    so they are written to the shared folder first and decoded once.
+    """
 
     tagged: DataFrame
     metrics: DataFrame
     quarantined: DataFrame
     summary: DataFrame
+    counts: DataFrame
     staged: DataFrame
     merge: Callable[[DataFrame], DataFrame]
 
     @cached_property
     def history(self) -> DataFrame:
-        return self.merge(self.staged)
+        return self.merge(written(self.staged))
 
 
 def tag(parsed: DataFrame, spec: TableSpec) -> DataFrame:
@@ -56,27 +62,41 @@ def run_batch(
     initial: str = "upsert",
     skip_unchanged: bool = False,
     quarantine_path: str = "",
+    classified: DataFrame | None = None,
     tagged: DataFrame | None = None,
 ) -> BatchResult:
     """The outputs of a batch at ``batch_time`` (UTC). Nothing runs until one is used.
 
-    ``skip_unchanged`` drops updates that repeat the values of the current version in
-    ``target``. A caller that uses several outputs can pass persisted ``tagged`` rows.
+    ``skip_unchanged`` drops updates that repeat the values their key held just before, in
+    the batch or in ``target``. A caller that uses several outputs can pass persisted
+    ``classified`` messages and ``tagged`` rows.
     """
     at = F.lit(batch_time.replace(tzinfo=dt.timezone.utc))
+    hot = skew.DEFAULT if keep_intermediate else None
+    if classified is None:
+        classified = classify(raw, spec, keep=spec.ordering)
     if tagged is None:
-        tagged = tag(decode(raw, spec, keep=spec.ordering), spec)
+        tagged = tag(rows_of(classified), spec)
     metrics = M.compute_metrics(tagged, spec.checks, spec.name, batch_id, at)
     staged = stage(tagged, spec, at, keep_intermediate=keep_intermediate)
     if skip_unchanged and target is not None:
         passing = {*spec.primary_key, *spec.ordering, H.OPERATION, CHANGED_AT, *H.VERSION_COLUMNS}
         values = [c for c in staged.columns if c not in passing]
-        staged = H.drop_unchanged(target, staged, spec.primary_key, values)
+        staged = H.drop_unchanged(target, staged, spec.primary_key, values, spec.ordering, hot)
     return BatchResult(
         tagged=tagged,
         metrics=metrics,
         quarantined=Q.quarantine_frame(tagged, spec.name, batch_id, at),
         summary=Q.summary(tagged, spec.name, batch_id, at, quarantine_path),
+        counts=Q.batch_counts(classified, tagged, staged, spec.name, batch_id, at, quarantine_path),
         staged=staged,
-        merge=lambda rows: H.apply_changes(target, rows, spec.primary_key, order=spec.ordering, initial=initial),
+        merge=lambda rows: H.apply_changes(target, rows, spec.primary_key, order=spec.ordering, initial=initial, hot=hot),
     )
+
+
+def staged_schema(spark: SparkSession, spec: TableSpec) -> T.StructType:
+    """What a table's staged changes look like, from its description alone."""
+    kind = parse_type(spec.ordering_type).simpleString()
+    messages = spark.createDataFrame([], ", ".join(["value string", *[f"{c} {kind}" for c in spec.ordering]]))
+    empty = tag(rows_of(classify(messages, spec, keep=spec.ordering)), replace(spec, rules=()))
+    return stage(empty, spec, F.lit(None).cast("timestamp")).schema

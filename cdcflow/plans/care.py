@@ -9,15 +9,24 @@ from cdcflow.operators.history import current
 VITALS = ["heart_rate", "blood_pressure_sys", "blood_pressure_dia", "temperature_c", "spo2_pct"]
 
 
+# The report's clinical limits, lowest and highest normal reading.
+LIMITS: dict[str, tuple[float | None, float | None]] = {
+    "spo2_pct": (92, None),
+    "heart_rate": (50, 120),
+    "temperature_c": (None, 38.5),
+    "blood_pressure_sys": (None, 180),
+}
+
+
 def critical() -> Column:
-    """A reading outside the normal range. The report's clinical limits."""
-    return (
-        (F.col("heart_rate") > 120)
-        | (F.col("heart_rate") < 50)
-        | (F.col("temperature_c") > 38.5)
-        | (F.col("spo2_pct") < 92)
-        | (F.col("blood_pressure_sys") > 180)
-    )
+    """Some reading lies outside its limits; a missing one does not."""
+    outside = F.lit(False)
+    for name, (low, high) in LIMITS.items():
+        if low is not None:
+            outside = outside | (F.col(name) < low)
+        if high is not None:
+            outside = outside | (F.col(name) > high)
+    return outside
 
 
 def _current_patients(patients: DataFrame) -> DataFrame:

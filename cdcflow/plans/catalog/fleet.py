@@ -217,11 +217,14 @@ def fleet_delivery_history(t: Tables) -> DataFrame:
 @query(
     "fleet_valid_telemetry",
     f"""
-    SELECT count(*) AS valid_telemetry, {round_sql("avg(speed_kmh)", 6)} AS avg_speed,
-           {round_sql("avg(fuel_level_pct)", 6)} AS avg_fuel, min(latitude) AS min_lat, max(latitude) AS max_lat,
-           min(longitude) AS min_lon, max(longitude) AS max_lon
-    FROM vehicle_telemetry WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180
-      AND speed_kmh BETWEEN 0 AND 350 AND fuel_level_pct BETWEEN 0 AND 120""",
+    WITH sound AS (
+        SELECT latitude, longitude, speed_kmh, fuel_level_pct FROM vehicle_telemetry
+        WHERE abs(latitude) <= 90 AND abs(longitude) <= 180
+          AND abs(speed_kmh - 175) <= 175 AND abs(fuel_level_pct - 60) <= 60)
+    SELECT count(*) AS valid_telemetry, {round_sql("sum(speed_kmh) / count(*)", 6)} AS avg_speed,
+           {round_sql("sum(fuel_level_pct) / count(*)", 6)} AS avg_fuel,
+           min(latitude) AS min_lat, max(latitude) AS max_lat, min(longitude) AS min_lon, max(longitude) AS max_lon
+    FROM sound""",
     ("vehicle_telemetry",),
 )
 def fleet_valid_telemetry(t: Tables) -> DataFrame:
@@ -333,8 +336,10 @@ def fleet_operation_breakdown(t: Tables) -> DataFrame:
 @query(
     "fleet_latest_telemetry",
     """
-    SELECT v.vin, v.make, t.latitude, t.longitude, t.speed_kmh, t.fuel_level_pct, t.engine_temp_c, t._ingested_at
-    FROM vehicle_telemetry t JOIN vehicles v ON t.vehicle_id = v.id AND v._is_current WHERE t._is_current""",
+    WITH fleet AS (SELECT id AS vehicle_id, vin, make FROM vehicles WHERE _is_current),
+    newest AS (SELECT * EXCLUDE (id, _operation, _is_current) FROM vehicle_telemetry WHERE _is_current)
+    SELECT vin, make, latitude, longitude, speed_kmh, fuel_level_pct, engine_temp_c, _ingested_at
+    FROM newest JOIN fleet USING (vehicle_id)""",
     ("vehicle_telemetry", "vehicles"),
 )
 def fleet_latest_telemetry(t: Tables) -> DataFrame:

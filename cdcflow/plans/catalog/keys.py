@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cdcflow.operators import constraints as C, history as H
 from cdcflow.plans.catalog.base import Tables, dirty, moment, query
 from cdcflow.plans.catalog.versions import order_history
+from cdcflow.spec import ColumnSpec, ForeignKey, TableSpec
 
 
 @query(
@@ -68,3 +69,51 @@ def constraint_default(t: Tables) -> DataFrame:
     seen = F.when(F.col("props").isNotNull(), F.col("ts")).alias("seen_at")
     rows = dirty(t).select("event_id", "code", "value", seen)
     return C.defaults(rows, {"code": "unknown", "value": 0, "seen_at": "NOW()"}, moment("2024-02-01"))
+
+
+DESCRIBED = TableSpec(
+    name="described",
+    columns=(
+        ColumnSpec("o_orderkey", "bigint", nullable=False),
+        ColumnSpec("o_custkey", "bigint", nullable=False),
+        ColumnSpec("o_orderstatus", "string", default="N"),
+        ColumnSpec("o_totalprice", "double", unique=True),
+        ColumnSpec("o_orderpriority", "string"),
+    ),
+    primary_key=("o_orderkey",),
+    unique_keys=(("o_custkey", "o_orderpriority"),),
+    foreign_keys=(ForeignKey("o_custkey", "customer", "c_custkey"),),
+)
+
+
+@query(
+    "constraint_from_spec",
+    """
+    WITH a AS (SELECT o_orderkey, nullif(o_custkey, 7) AS o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus,
+                      floor(o_totalprice / 10) AS o_totalprice, o_orderpriority FROM orders),
+    r AS (FROM a UNION ALL FROM a WHERE o_orderkey % 100 = 0 UNION ALL SELECT * REPLACE (NULL AS o_orderkey) FROM a WHERE o_orderkey = 5),
+    s AS (SELECT count(*) FILTER (o_orderkey IS NULL) AS no_key, count(*) FILTER (o_custkey IS NULL) AS no_customer FROM r),
+    k AS (SELECT count(*) AS n FROM r WHERE o_orderkey IS NULL OR o_orderkey % 100 = 0),
+    p AS (SELECT count(*) AS n FROM r WHERE o_totalprice IN (SELECT o_totalprice FROM r GROUP BY 1 HAVING count(*) > 1)),
+    u AS (SELECT count(*) AS n FROM r WHERE (o_custkey, o_orderpriority) IN (
+              SELECT (o_custkey, o_orderpriority) FROM r WHERE o_custkey IS NOT NULL GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1)),
+    f AS (SELECT count(*) AS n FROM r WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
+    SELECT * FROM (
+        SELECT 'primary_key' AS constraint, 'o_orderkey' AS columns, n AS rows FROM k
+        UNION ALL SELECT 'not_null', 'o_orderkey', no_key FROM s UNION ALL SELECT 'not_null', 'o_custkey', no_customer FROM s
+        UNION ALL SELECT 'unique', 'o_totalprice', n FROM p UNION ALL SELECT 'unique', 'o_custkey,o_orderpriority', n FROM u
+        UNION ALL SELECT 'foreign_key', 'o_custkey', n FROM f)
+    WHERE rows > 0""",
+)
+def constraint_from_spec(t: Tables) -> DataFrame:
+    """Orders with repeated and missing keys, customers that lack or are unknown, and coarse prices."""
+    rows = t.orders.select(
+        "o_orderkey",
+        F.nullif("o_custkey", F.lit(7)).alias("o_custkey"),
+        F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"),
+        F.floor(F.col("o_totalprice") / 10).cast("double").alias("o_totalprice"),
+        "o_orderpriority",
+    )
+    keyless = rows.filter("o_orderkey = 5").withColumn("o_orderkey", F.lit(None).cast("bigint"))
+    whole = rows.unionByName(rows.filter("o_orderkey % 100 = 0")).unionByName(keyless)
+    return C.violations(DESCRIBED, whole, {"customer": t.customer.filter("c_acctbal > 0")})

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cdcflow.operators import quarantine as Q, rules as R, transforms as X
-from cdcflow.plans.catalog.base import Tables, dirty, moment, query
+from cdcflow.plans.catalog.base import Tables, dirty, event_changes, moment, query
 from cdcflow.spec import Rule, Transform
 
 SEQUENCE = (
@@ -147,7 +147,72 @@ def dq_custom_rule(t: Tables) -> DataFrame:
     ("dirty",),
 )
 def dq_rule_summary(t: Tables) -> DataFrame:
-    return R.rule_summary(judged(t), SEQUENCE).withColumn("pass_rate", F.round("pass_rate", 6))
+    return R.rule_summary(dirty(t), SEQUENCE).withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+UNNAMED_RULES = (
+    Rule("unknown", "range", "value", {"min": 5}),
+    Rule("unknown", "allowed_values", "event_type", {"values": ["click", "signup", "error"]}),
+    Rule("unknown", "range", "value", {"max": 150}, severity="warning"),
+    Rule("unknown", "range", "event_id", {"min": 100}, deletes=True),
+)
+
+
+@query(
+    "dq_rule_summary_changes",
+    """
+    WITH c AS (SELECT *, _operation = 'DELETE' AS gone, value < 5 AND _operation <> 'DELETE' AS f0 FROM event_changes),
+    d AS (SELECT *, NOT f0 AND NOT gone AND event_type NOT IN ('click', 'signup', 'error') AS f1 FROM c)
+    SELECT 0 AS place, 'error' AS severity, count(*) FILTER (NOT gone) AS evaluated, count(*) FILTER (f0) AS failed FROM d
+    UNION ALL SELECT 1, 'error', count(*) FILTER (NOT gone AND NOT f0), count(*) FILTER (f1) FROM d
+    UNION ALL SELECT 2, 'warning', count(*) FILTER (NOT gone AND NOT f0 AND NOT f1),
+                     count(*) FILTER (NOT gone AND NOT f0 AND NOT f1 AND value > 150) FROM d
+    UNION ALL SELECT 3, 'error', count(*) FILTER (NOT f0 AND NOT f1),
+                     count(*) FILTER (NOT f0 AND NOT f1 AND event_id < 100) FROM d""",
+    ("event_changes",),
+)
+def dq_rule_summary_changes(t: Tables) -> DataFrame:
+    """DELETE rows are judged only by the rule that asks for them; rules without a name stay apart."""
+    found = R.rule_summary(event_changes(t), UNNAMED_RULES)
+    place = F.when(F.col("severity") == "warning", 2)
+    order = F.row_number().over(Window.partitionBy("severity").orderBy(F.desc("evaluated"), F.desc("failed")))
+    return found.withColumn("n", order).select(
+        F.coalesce(place, F.element_at(F.array(F.lit(0), F.lit(1), F.lit(3)), F.col("n"))).alias("place"),
+        "severity", "evaluated", "failed",
+    )
+
+
+@query(
+    "dq_allowed_null_pass",
+    """
+    SELECT event_id, code, value,
+           CASE WHEN code IS NOT NULL AND code <> 'click' AND code <> 'view' THEN 'r_code'
+                WHEN user_id % 2 = 1 AND user_id <> 1 AND user_id <> 3 THEN 'r_user' END AS _failed_rule
+    FROM dirty""",
+    ("dirty",),
+)
+def dq_allowed_null_pass(t: Tables) -> DataFrame:
+    """NULL passes where it is let pass; a value outside the list does not."""
+    odd = dirty(t).withColumn("odd", F.when(F.col("user_id") % 2 == 1, F.col("user_id")))
+    rules = [
+        Rule("r_code", "allowed_values", "code", {"values": ["click", "view"]}, on_null="pass"),
+        Rule("r_user", "allowed_values", "odd", {"values": ["1", 3]}, on_null="pass"),
+    ]
+    return R.tag_failures(odd, rules).select("event_id", "code", "value", R.FAILED)
+
+
+@query(
+    "dq_unique_several",
+    """
+    WITH a AS (SELECT *, count(*) OVER (PARTITION BY value) > 1 AS f1 FROM dirty),
+    b AS (SELECT *, NOT f1 AND count(*) FILTER (NOT f1) OVER (PARTITION BY ref) > 1 AS f2 FROM a),
+    c AS (SELECT *, NOT f1 AND NOT f2 AND count(*) FILTER (NOT f1 AND NOT f2) OVER (PARTITION BY user_id) > 1 AS f3 FROM b)
+    SELECT event_id, CASE WHEN f1 THEN 'u_value' WHEN f2 THEN 'u_ref' WHEN f3 THEN 'u_user' END AS _failed_rule FROM c""",
+    ("dirty",),
+)
+def dq_unique_several(t: Tables) -> DataFrame:
+    rules = [Rule(f"u_{n}", "unique", c) for n, c in (("value", "value"), ("ref", "ref"), ("user", "user_id"))]
+    return R.tag_failures(dirty(t), rules).select("event_id", R.FAILED)
 
 
 def day() -> Column:
@@ -332,3 +397,28 @@ def tx_custom(t: Tables) -> DataFrame:
     if "backwards" not in X.list_transforms():
         X.register_transform("backwards", lambda df, column, params: df.withColumn(column, F.reverse(column)))
     return step(t.supplier.select("s_suppkey", "s_name"), "backwards", "s_name")
+
+
+@query(
+    "tx_cast_edges",
+    """
+    SELECT event_id, CASE event_id % 8 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN -12 WHEN 4 THEN 7
+                                       WHEN 5 THEN 3 END::INTEGER AS n FROM events""",
+)
+def tx_cast_edges(t: Tables) -> DataFrame:
+    """Texts without a whole part, with a fraction, blanks, a sign, no number and none at all."""
+    texts = F.array(*[F.lit(x) for x in (".5", "-.5", "1.9", "-12.", " 7 ", "+3", "x", ".")])
+    rows = t.events.select("event_id", F.element_at(texts, (F.col("event_id") % 8 + 1).cast("int")).alias("n"))
+    return X.apply_transforms(rows, [Transform("cast", "n", {"target_type": "int"})])
+
+
+@query("tx_lenient", "SELECT event_id, upper(event_type) AS event_type FROM events")
+def tx_lenient(t: Tables) -> DataFrame:
+    """Steps that cannot be applied are skipped, the others are not."""
+    if "takes_missing" not in X.list_transforms():
+        X.register_transform("takes_missing", lambda df, column, params: df.withColumn(column, F.col("no_such_column")))
+    steps = [
+        Transform("takes_missing", "event_type"), Transform("no_such_type", "event_type"), Transform("trim", "no_such_column"),
+        Transform("cast", "event_id", {}), Transform("cast", "event_id", {"target_type": "blob"}), Transform("upper", "event_type"),
+    ]
+    return X.apply_transforms(t.events.select("event_id", "event_type"), steps, strict=False)

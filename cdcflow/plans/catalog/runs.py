@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,6 +12,7 @@ from cdcflow.plans.batch import run_batch
 from cdcflow.plans.catalog.base import BUILT_FROM, CTES, Tables, order_changes, query
 from cdcflow.plans.catalog.feed import ORDERS, order_messages
 from cdcflow.session import scratch_dir, spread
+from cdcflow.sources.envelope import encode
 from cdcflow.sources.store import Store
 from cdcflow.spec import Check, Rule, TableSpec, Transform
 from cdcflow.streaming.streams import start_stream, write_batch
@@ -109,6 +112,88 @@ def batch_orders_quarantine(t: Tables) -> DataFrame:
     )
 
 
+PLAIN_ORDERS = replace(CHECKED_ORDERS, rules=(), transforms=(), checks=())
+WITHOUT_PRIORITY = replace(PLAIN_ORDERS, columns=tuple(c for c in ORDERS.columns if c.name != "o_orderpriority"))
+
+
+@query(
+    "store_added_column",
+    """
+    WITH h AS (SELECT l.o_orderkey, NULL AS o_orderpriority, l._operation, s.o_orderkey IS NULL AS _is_current
+          FROM order_ops l LEFT JOIN second s USING (o_orderkey) WHERE l._operation = 'INSERT'
+          UNION ALL SELECT o_orderkey, o_orderpriority, _operation, TRUE FROM second WHERE _operation = 'UPDATE')
+    SELECT h.*, compacted FROM h CROSS JOIN (VALUES (FALSE), (TRUE)) c (compacted)""",
+    ("second",),
+)
+def store_added_column(t: Tables) -> DataFrame:
+    """A column joins the table with its second batch, with and without a compaction between and after."""
+    load, changes = batches(t)
+    found = []
+    for compacted in (False, True):
+        store = Store(t.spark, scratch_dir(t.spark))
+        for number, (spec, messages) in enumerate(((WITHOUT_PRIORITY, load), (PLAIN_ORDERS, changes))):
+            write_batch(spec, messages, number, store, now=FIRST_TIME)
+            if compacted:
+                store.compact(spec)
+        history = store.history(PLAIN_ORDERS).select("o_orderkey", "o_orderpriority", "_operation", "_is_current")
+        found.append(history.withColumn("compacted", F.lit(compacted)))
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "store_replayed_batch",
+    """
+    WITH n AS (SELECT count(*) AS a, count(*) FILTER (o_totalprice NOT BETWEEN 5000 AND 450000) AS b FROM orders)
+    SELECT 'rules added' AS replay, a - b AS history, b AS quarantine, b AS counted FROM n
+    UNION ALL SELECT 'rules dropped', a, 0, 0 FROM n""",
+)
+def store_replayed_batch(t: Tables) -> DataFrame:
+    """The load is written again under other rules: nothing stays of what the first attempt wrote."""
+    load, _ = batches(t)
+    found = []
+    for replay, specs in (("rules added", (PLAIN_ORDERS, CHECKED_ORDERS)), ("rules dropped", (CHECKED_ORDERS, PLAIN_ORDERS))):
+        store = Store(t.spark, scratch_dir(t.spark))
+        for spec in specs:
+            write_batch(spec, load, 0, store, now=FIRST_TIME)
+        parts = [
+            store.history(PLAIN_ORDERS).agg(F.count("*").alias("history")),
+            store.quarantine(PLAIN_ORDERS).agg(F.count("*").alias("quarantine")),
+            store.summary().agg(F.sum("quarantined_count").alias("counted")),
+        ]
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        found.append(whole.agg(F.lit(replay).alias("replay"), *[F.max(c).alias(c) for c in ("history", "quarantine", "counted")]))
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "batch_counts",
+    """
+    SELECT 'orders' AS table_name, o_orderkey % 3 AS batch_id, count(*) AS messages,
+           count(*) FILTER (o_orderkey % 10 = 0) AS malformed_count, count(*) FILTER (o_orderkey % 10 = 1) AS control_count,
+           count(*) FILTER (o_orderkey % 10 > 1) AS total_rows,
+           count(*) FILTER (o_orderkey % 10 > 1 AND NOT o_totalprice BETWEEN 5000 AND 450000) AS quarantined_count,
+           count(*) FILTER (o_orderkey % 10 = 2) AS unknown_count,
+           count(*) FILTER (o_orderkey % 10 > 2 AND o_totalprice BETWEEN 5000 AND 450000) AS staged_count
+    FROM orders GROUP BY ALL
+    UNION ALL SELECT 'orders', 3, 0, 0, 0, 0, 0, 0, 0""",
+)
+def batch_counts(t: Tables) -> DataFrame:
+    """Broken, control and unknown messages among the orders of three batches, and a batch without messages."""
+    kind = F.col("o_orderkey") % 10
+    header = F.to_json(F.struct(F.struct(F.lit("create-table").alias("operation")).alias("metadata")))
+    whole = encode(
+        t.orders, [c.name for c in ORDERS.columns], operation=F.when(kind == 2, "upsert").otherwise("insert"),
+        at=F.col("o_orderdate"), table="orders", keep=("o_orderkey",),
+    )
+    value = F.when(kind == 0, F.lit("{broken")).when(kind == 1, header).otherwise(F.col("value"))
+    messages = whole.select("o_orderkey", F.lit(0).cast("long").alias("offset"), value.alias("value"))
+    found = [
+        run_batch(CHECKED_ORDERS, messages.filter(F.col("o_orderkey") % 4 < 0 if n == 3 else F.col("o_orderkey") % 3 == n), n, FIRST_TIME).counts
+        for n in range(4)
+    ]
+    return reduce(DataFrame.unionByName, found).drop("failed_rules", "path", "quarantined_at")
+
+
 @query(
     "stream_orders_run",
     AFTER_BOTH.format(first="", second=""),

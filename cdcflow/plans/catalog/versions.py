@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cdcflow.functions.columns import map_operation
-from cdcflow.operators import history as H
-from cdcflow.plans.catalog.base import BUILT_FROM, CTES, Tables, event_changes, moment, order_changes, query
-from cdcflow.session import written
+from cdcflow.operators import history as H, skew
+from cdcflow.plans.catalog.base import BUILT_FROM, CTES, Tables, event_changes, history_sql, moment, order_changes, query
 
 KEY = ["o_orderkey"]
 VERSION = ["o_orderkey", "o_orderstatus", "_operation", "_effective_from", "_effective_to", "_is_current"]
@@ -46,8 +45,8 @@ def loaded(t: Tables) -> DataFrame:
 
 
 def merged(t: Tables) -> DataFrame:
-    """History after both batches; target and batch are tables, as in a running system."""
-    return H.apply_changes(written(loaded(t)), written(second_batch(t)), KEY)
+    """History after both batches."""
+    return H.apply_changes(loaded(t), second_batch(t), KEY)
 
 
 def second_batch(t: Tables) -> DataFrame:
@@ -101,7 +100,7 @@ def scd2_initial_load(t: Tables) -> DataFrame:
     ("merged",),
 )
 def scd2_close(t: Tables) -> DataFrame:
-    closed = H.close_current(loaded(t), second_batch(t), KEY)
+    closed = merged(t).filter(~F.col(H.CURRENT))
     return closed.select("o_orderkey", "_effective_from", "_effective_to", "_is_current")
 
 
@@ -120,7 +119,7 @@ def scd2_merge(t: Tables) -> DataFrame:
 def scd2_upsert_unseen(t: Tables) -> DataFrame:
     """Pending orders were never loaded: their UPDATE opens a version, their DELETE does nothing."""
     seen = loaded(t).filter(F.col("o_orderstatus") != "P")
-    return H.apply_changes(written(seen), written(second_batch(t)), KEY).select(*VERSION)
+    return H.apply_changes(seen, second_batch(t), KEY).select(*VERSION)
 
 
 @query(
@@ -222,3 +221,109 @@ def scd2_as_of_join(t: Tables) -> DataFrame:
     return H.as_of_join(
         lines, order_history(t), ["l_orderkey"], KEY, "l_shipdate", ["o_orderstatus", "_operation"]
     )
+
+
+def staged_at(changes: DataFrame) -> DataFrame:
+    return H.add_version_columns(changes, F.col("change_ts"))
+
+
+@query("scd2_late_after_delete", f"SELECT {VERSION_SQL} FROM order_history", ("order_history",))
+def scd2_late_after_delete(t: Tables) -> DataFrame:
+    """Deletes arrive first and find nothing; the loads and updates before them come in later batches."""
+    changes = order_ops(t)
+    history = None
+    for operation in ("DELETE", "INSERT", "UPDATE"):
+        batch = staged_at(changes.filter(F.col("_operation") == operation))
+        history = H.apply_changes(history, batch, KEY, order=["seq"], keep_deletes=True)
+    return H.versions(history).select(*VERSION)
+
+
+@query(
+    "scd2_unchanged_sequence",
+    """
+    SELECT o_orderkey, 1 AS step FROM orders WHERE o_orderstatus <> 'F'
+    UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderstatus = 'P'
+    UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW'""",
+)
+def scd2_unchanged_sequence(t: Tables) -> DataFrame:
+    """Each order holds ('x', NULL) from its first day to the tenth and ('y', NULL) from then on.
+
+    Pending ones change to (NULL, 'x') and back, open ones change and repeat, filled ones
+    repeat. A late update of low pending orders, before their first day, has nothing to repeat.
+    """
+    day = lambda n: F.col("o_orderdate") + F.make_dt_interval(days=F.lit(n))
+    version = lambda begin, end, a: F.struct(
+        F.lit(a).alias("a"), F.lit(None).cast("string").alias("b"), F.lit("INSERT").alias("_operation"),
+        day(begin).alias(H.FROM), (day(end) if end else F.lit(None).cast("timestamp_ntz")).alias(H.TO),
+        F.lit(end is None).alias(H.CURRENT), day(begin).alias(H.INGESTED),
+    )
+    target = t.orders.select("o_orderkey", F.inline(F.array(version(0, 10, "x"), version(10, None, "y"))))
+
+    def change(step: int, n: int, a: str | None, b: str | None, when: str):
+        held = F.struct(
+            F.lit(step).alias("step"), F.lit(a).cast("string").alias("a"), F.lit(b).cast("string").alias("b"),
+            F.lit("UPDATE").alias("_operation"), day(n).alias("change_ts"),
+        )
+        return F.when(F.expr(when), held)
+
+    steps = F.array(
+        change(0, -1, "x", None, "o_orderstatus = 'P' AND o_orderpriority = '5-LOW'"),
+        change(1, 1, None, "x", "o_orderstatus <> 'F'"),
+        change(2, 2, "x", None, "o_orderstatus = 'P'"),
+        change(3, 3, "x", None, "o_orderstatus <> 'O'"),
+        change(4, 3, None, "x", "o_orderstatus = 'O'"),
+    )
+    staged = staged_at(t.orders.select("o_orderkey", F.inline(F.filter(steps, lambda s: s.isNotNull()))))
+    return H.drop_unchanged(target, staged, KEY, ["a", "b"], ["step"]).select("o_orderkey", "step")
+
+
+# Changes of few users at few instants: a third of all rows may share one day, some have no user.
+CTES["burst_changes"] = """
+    SELECT CASE WHEN user_id % 7 <> 0 THEN user_id % 3 END AS who, event_type, event_id,
+           CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS _operation,
+           CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-15' ELSE date_trunc('hour', ts) END AS change_ts
+    FROM events"""
+CTES["burst_history"] = f"""SELECT * FROM ({history_sql("burst_changes", "who", "change_ts, event_id")}) WHERE who IS NOT NULL"""
+BUILT_FROM |= {"burst_history": ("burst_changes",)}
+SPANS = skew.HotKeys(rows=200, depth=20)
+
+
+def burst_history(t: Tables) -> DataFrame:
+    at = F.when(F.col("event_id") % 3 == 0, moment("2024-01-15")).otherwise(F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    operation = F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "error", "DELETE")
+    changes = t.events.select(
+        F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 3).alias("who"),
+        "event_type",
+        "event_id",
+        operation.otherwise("UPDATE").alias("_operation"),
+        at.alias("change_ts"),
+    )
+    return H.from_changelog(changes, ["who"], ["change_ts", "event_id"], SPANS)
+
+
+@query(
+    "scd2_hot_burst",
+    "SELECT who, event_id, _operation, _effective_from, _effective_to, _is_current FROM burst_history",
+    ("burst_history",),
+)
+def scd2_hot_burst(t: Tables) -> DataFrame:
+    """Three hot keys with bursts and single instants, cut into spans of some 200 rows."""
+    return burst_history(t).select("who", "event_id", "_operation", "_effective_from", "_effective_to", "_is_current")
+
+
+@query(
+    "scd2_as_of_left",
+    """
+    SELECT f.event_id AS fact, h.event_id AS version, h._operation
+    FROM (SELECT event_id, ts, CASE WHEN user_id % 5 <> 0 THEN user_id % 4 END AS who FROM events) f
+    LEFT JOIN burst_history h ON f.who = h.who AND h._effective_from <= f.ts AND coalesce(h._effective_to > f.ts, TRUE)""",
+    ("burst_history",),
+)
+def scd2_as_of_left(t: Tables) -> DataFrame:
+    """Every event with the state of its hot user; some have none, some users no history."""
+    facts = t.events.select(
+        F.col("event_id").alias("fact"), "ts", F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 4).alias("user")
+    )
+    versions = burst_history(t).withColumnRenamed("event_id", "version")
+    joined = H.as_of_join(facts, versions, ["user"], ["who"], "ts", ["version", "_operation"], how="left", hot=SPANS)
+    return joined.select("fact", "version", "_operation")

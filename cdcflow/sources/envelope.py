@@ -23,20 +23,39 @@ def envelope_schema(spec: TableSpec) -> T.StructType:
     return T.StructType([T.StructField("data", spec.schema), T.StructField("metadata", METADATA)])
 
 
-def decode(messages: DataFrame, spec: TableSpec, *, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """Typed rows with ``_operation`` and the source's change time.
+KIND, ROW, CONTROL, MALFORMED = "_kind", "row", "control", "malformed"
 
-    Malformed text and control messages carry no column value and are left out. ``keep``
-    names message columns (an offset, say) to carry along.
+
+def classify(messages: DataFrame, spec: TableSpec, *, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Every message as a typed row with ``_operation``, the source's change time and its ``_kind``.
+
+    ``row``: a value in at least one declared column; ``control``: an envelope without one;
+    ``malformed``: neither data nor metadata could be read.
     """
     parsed = _parse(messages, envelope_schema(spec), value, keep)
-    rows = parsed.select(
+    header = reduce(or_, [F.col("_message.metadata").getField(n).isNotNull() for n in METADATA.names])
+    held = reduce(or_, [F.col("_message.data").getField(c).isNotNull() for c in spec.column_names])
+    kind = F.when(F.coalesce(held, F.lit(False)), ROW).when(F.coalesce(header, F.lit(False)), CONTROL)
+    return parsed.select(
         *keep,
         "_message.data.*",
         map_operation(F.col("_message.metadata.operation")).alias("_operation"),
         F.try_to_timestamp(F.col("_message.metadata.timestamp")).alias(CHANGED_AT),
+        kind.otherwise(MALFORMED).alias(KIND),
     )
-    return drop_control(rows, spec.column_names)
+
+
+def rows_of(classified: DataFrame) -> DataFrame:
+    return classified.filter(F.col(KIND) == ROW).drop(KIND)
+
+
+def decode(messages: DataFrame, spec: TableSpec, *, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Typed rows with ``_operation`` and the source's change time.
+
+    Malformed text and control messages carry no column value and are left out. ``keep``
+    names message columns (an offset, say) to carry along.
+    """
+    return rows_of(classify(messages, spec, value=value, keep=keep))
 
 
 def drop_control(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def kafka_options(
@@ -36,5 +36,17 @@ def kafka_options(
 
 
 def kafka_changes(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """Stream of messages with ``value``, ``partition`` and ``offset``."""
-    return spark.readStream.format("kafka").options(**options).load().select("value", "partition", "offset")
+    """Stream of the topic's messages."""
+    return messages_of(spark.readStream.format("kafka").options(**options).load())
+
+
+def messages_of(source: DataFrame) -> DataFrame:
+    """What a change needs of a source with Kafka's columns: key and value as text, where and when it stands."""
+    return source.select(
+        F.col("key").cast("string").alias("key"),
+        F.col("value").cast("string").alias("value"),
+        "topic",
+        "partition",
+        "offset",
+        F.col("timestamp").alias("message_time"),
+    )

@@ -1,8 +1,10 @@
 """Parquet folders of one deployment: changes, history, quarantine, metrics.
 
-Every batch adds partitions named by its own id, so writing a batch again replaces exactly
-what it wrote before. History is the last compacted base plus the changes since; a batch
-costs what it brings, not what the table holds.
+Every output of a batch is a folder of its own, named by the batch's id and replaced as a
+whole, also by no rows at all: writing a batch again leaves nothing of what it wrote before.
+History is the last compacted base plus the changes since; a batch costs what it brings,
+not what the table holds. Tables are read in the columns that their description says, so
+files from before a column was added give NULL for it.
 
     <root>/<table>/changes/batch_id=N       staged changes of batch N
     <root>/<table>/base/version=N/          by _is_current: versions open after batch N and
@@ -10,7 +12,7 @@ costs what it brings, not what the table holds.
     <root>/<table>/bases/version=N          written after that folder is complete
     <root>/batches/table_name=T/batch_id=N  time of the batch, fixed on its first attempt
     <root>/quarantine/table_name=T/run_date=H/batch_id=N
-    <root>/metrics | summary
+    <root>/metrics | summary/table_name=T/batch_id=N
 
 Times are kept in UTC, so the session has to run in that zone.
 """
@@ -20,12 +22,25 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
-
-from cdcflow.operators import history as H, quarantine as Q, skew
-from cdcflow.spec import TableSpec
-
-METRIC_PARTITIONS = ["table_name", "batch_id"]
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+
+from cdcflow.operators import history as H, skew
+from cdcflow.plans.batch import staged_schema
+from cdcflow.spec import TableSpec, parse_type
+
+# Names of the zone whose times are those of UTC.
+UTC = {"utc", "etc/utc", "z", "gmt", "etc/gmt", "+00:00", "utc+00:00"}
+# Folders of closed versions that a base may consist of before it is written as one again.
+CHAIN = 32
+METRICS = (
+    "metric_name string, column_name string, metric_value double, threshold double, passed boolean, "
+    "timestamp timestamp, _ingested_at timestamp, table_name string, batch_id bigint"
+)
+SUMMARY = (
+    "messages bigint, malformed_count bigint, control_count bigint, total_rows bigint, quarantined_count bigint, "
+    "unknown_count bigint, staged_count bigint, failed_rules array<string>, path string, quarantined_at timestamp, "
+    "table_name string, batch_id bigint"
+)
 # What the quarantined rows of all tables have in common.
 QUARANTINE_FACTS = (
     "_operation string, _failed_rule string, _quarantined_at timestamp, "
@@ -34,53 +49,65 @@ QUARANTINE_FACTS = (
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        midnight = spark.sql("SELECT unix_seconds(timestamp'2024-01-01'), unix_seconds(timestamp'2024-07-01')").first()
-        if tuple(midnight) != (1704067200, 1719792000):
-            raise ValueError("set spark.sql.session.timeZone to UTC")
+    def __init__(self, spark: SparkSession, root: str, chain: int = CHAIN) -> None:
+        zone = spark.conf.get("spark.sql.session.timeZone")
+        if zone.lower() not in UTC:
+            raise ValueError(f"set spark.sql.session.timeZone to UTC, it is {zone}")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.chain = chain
+        self._known: list[tuple[TableSpec, T.StructType]] = []
 
     def batch_time(self, table: str, batch_id: int, now: dt.datetime | None = None) -> dt.datetime:
         """The time of a batch. The first attempt writes it down, later attempts read it."""
         path = f"{self.root}/batches/table_name={table}/batch_id={batch_id}"
-        known = self._read(path)
-        if known is not None:
-            return known.first()["at"]
+        known = self._read(path, "at timestamp_ntz")
+        found = None if known is None else known.first()
+        if found is not None:
+            return found["at"]
         at = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
-        self.spark.createDataFrame([(at,)], "at timestamp_ntz").coalesce(1).write.mode("overwrite").parquet(path)
+        self._replace(self.spark.createDataFrame([(at,)], "at timestamp_ntz").coalesce(1), path)
         return at
 
     def write_changes(self, spec: TableSpec, batch_id: int, staged: DataFrame) -> None:
-        self._replace(staged.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{spec.name}/changes", ["batch_id"])
+        kind = parse_type(spec.ordering_type)
+        typed = staged.withColumns({c: F.col(c).cast(kind) for c in spec.ordering})
+        self._replace(typed, f"{self.root}/{spec.name}/changes/batch_id={batch_id}")
 
-    def write_quarantine(self, quarantined: DataFrame) -> None:
+    def write_quarantine(self, spec: TableSpec, batch_id: int, quarantined: DataFrame, at: dt.datetime) -> None:
         """Columns differ by table, so the table is the outermost partition."""
-        self._replace(quarantined, "quarantine", Q.PARTITIONS)
+        hour = at.strftime("%Y-%m-%dT%H:00:00").replace(":", "%3A")
+        rows = quarantined.drop("table_name", "run_date", "batch_id")
+        self._replace(rows, f"{self.quarantine_path(spec.name)}/run_date={hour}/batch_id={batch_id}")
 
-    def write_metrics(self, metrics: DataFrame, at: dt.datetime) -> None:
+    def write_metrics(self, spec: TableSpec, batch_id: int, metrics: DataFrame, at: dt.datetime) -> None:
         stamped = metrics.drop("severity").withColumn("_ingested_at", F.lit(at.replace(tzinfo=dt.timezone.utc)))
-        self._replace(stamped.coalesce(1), "metrics", METRIC_PARTITIONS)
+        self._replace_one(stamped, "metrics", spec, batch_id)
 
-    def write_summary(self, summary: DataFrame) -> None:
-        self._replace(summary.coalesce(1), "summary", METRIC_PARTITIONS)
+    def write_summary(self, spec: TableSpec, batch_id: int, counts: DataFrame) -> None:
+        self._replace_one(counts, "summary", spec, batch_id)
 
     def quarantine_path(self, table: str) -> str:
         return f"{self.root}/quarantine/table_name={table}"
 
-    def quarantine(self, table: str) -> DataFrame | None:
-        """Quarantined rows of one table, with that table's columns."""
-        return self._read(self.quarantine_path(table), f"{self.root}/quarantine")
+    def quarantine(self, spec: TableSpec) -> DataFrame | None:
+        """Quarantined rows of one table, in the columns of its description."""
+        values = ", ".join(f"`{c.name}` {parse_type(c.type).simpleString()}" for c in spec.columns)
+        kind = parse_type(spec.ordering_type).simpleString()
+        kept = "".join(f"`{c}` {kind}, " for c in spec.ordering)
+        schema = f"{kept}{values}, _change_ts timestamp, {QUARANTINE_FACTS}"
+        return self._read(self.quarantine_path(spec.name), schema, f"{self.root}/quarantine")
 
     def quarantine_facts(self) -> DataFrame | None:
         """Rule, time and batch of the quarantined rows of all tables."""
-        return self._read(f"{self.root}/quarantine", schema=QUARANTINE_FACTS)
+        return self._read(f"{self.root}/quarantine", QUARANTINE_FACTS)
 
     def metrics(self) -> DataFrame | None:
-        return self._read(f"{self.root}/metrics")
+        return self._read(f"{self.root}/metrics", METRICS)
 
     def summary(self) -> DataFrame | None:
-        return self._read(f"{self.root}/summary")
+        """Counts of every batch of all tables."""
+        return self._read(f"{self.root}/summary", SUMMARY)
 
     def base_version(self, spec: TableSpec) -> int:
         """Last batch contained in a complete base, -1 without one."""
@@ -89,36 +116,44 @@ class Store:
 
     def base(self, spec: TableSpec) -> DataFrame | None:
         """History up to the last compaction: its open versions and all closed ones."""
-        chain = self._chain(spec)
-        if not chain:
-            return None
-        found = self._read(f"{self.root}/{spec.name}/base")
-        # A partition value reads back as text.
-        is_open = F.col(H.CURRENT) == "true"
-        part = F.col("version").isin([r["version"] for r in chain])
-        kept = found.filter(part & (~is_open | (F.col("version") == chain[-1]["version"])))
-        return kept.withColumn(H.CURRENT, is_open).drop("version")
+        found = self._base(spec, self._chain(spec))
+        return None if found is None else H.versions(found)
 
     def changes(self, spec: TableSpec, after: int = -1) -> DataFrame | None:
-        found = self._read(f"{self.root}/{spec.name}/changes")
+        schema = T.StructType([*self._columns(spec), T.StructField("batch_id", T.LongType())])
+        found = self._read(f"{self.root}/{spec.name}/changes", schema)
         return None if found is None else found.filter(F.col("batch_id") > after)
 
     def history(self, spec: TableSpec) -> DataFrame | None:
         """Every version up to the last written batch."""
-        base, changes = self.base(spec), self.changes(spec, self.base_version(spec))
-        return base if changes is None else self._merged(spec, base, changes)
+        chain = self._chain(spec)
+        base, changes = self._base(spec, chain), self.changes(spec, chain[-1]["version"] if chain else -1)
+        found = base if changes is None else self._merged(spec, base, changes)
+        return None if found is None else H.versions(found)
 
     def current(self, spec: TableSpec) -> DataFrame | None:
-        found = self.history(spec)
+        """Open versions up to the last written batch.
+
+        Changes in order of time meet open versions only, so no folder of closed ones is
+        read; a late change adds those that ended at its time or later.
+        """
+        chain = self._chain(spec)
+        changes = self.changes(spec, chain[-1]["version"] if chain else -1)
+        if changes is None:
+            found = self._base(spec, chain)
+        else:
+            first = changes.agg(F.min(H.FROM)).first()[0]
+            found = self._merged(spec, self._near(spec, chain, first), changes)
         return None if found is None else H.current(found)
 
     def compact(self, spec: TableSpec) -> int:
         """Merge the changes since the last base into a new one and return its last batch.
 
         Changes in order of time only meet open versions, so the closed ones stay in the
-        folders they are in. A change older than the last closed version makes the new
-        base a whole one. A base becomes visible when its one-row marker is written;
-        folders before its ``since`` and the changes it contains can be expired then.
+        folders they are in. A change older than the last closed version, or ``chain``
+        such folders, makes the new base a whole one. A base becomes visible when its
+        one-row marker is written; folders before its ``since`` and the changes it contains
+        can be expired then.
         """
         chain = self._chain(spec)
         changes = self.changes(spec, chain[-1]["version"] if chain else -1)
@@ -128,46 +163,77 @@ class Store:
         last = brought["last"]
         if last is None:
             return self.base_version(spec)
-        closed = [r["closed_until"] for r in chain if r["closed_until"] is not None]
-        in_order = bool(chain) and brought["first_change"] >= max(closed, default=brought["first_change"])
-        target = self.base(spec)
+        in_order = 0 < len(chain) < self.chain and self._in_order(chain, brought["first_change"])
+        target = self._base(spec, chain)
         if in_order:
             target = H.current(target)
         folder = f"{self.root}/{spec.name}"
         merged = self._merged(spec, target, changes)
         merged.write.mode("overwrite").partitionBy(H.CURRENT).parquet(f"{folder}/base/version={last}")
-        until = self._read(f"{folder}/base/version={last}").agg(F.max(H.TO)).first()[0]
-        marker = [(last, chain[-1]["since"] if in_order else last, until)]
-        schema = "version bigint, since bigint, closed_until timestamp"
-        self._replace(self.spark.createDataFrame(marker, schema).coalesce(1), f"{spec.name}/bases", ["version"])
+        ends = self._read(f"{folder}/base/version={last}", T.StructType([f for f in self._columns(spec) if f.name == H.TO]))
+        until = None if ends is None else ends.agg(F.max(H.TO)).first()[0]
+        marker = [(chain[-1]["since"] if in_order else last, until)]
+        schema = "since bigint, closed_until timestamp"
+        self._replace(self.spark.createDataFrame(marker, schema).coalesce(1), f"{folder}/bases/version={last}")
         return last
 
+    @staticmethod
+    def _in_order(chain: list[Row], first_change: dt.datetime | None) -> bool:
+        closed = [r["closed_until"] for r in chain if r["closed_until"] is not None]
+        return first_change is None or not closed or first_change >= max(closed)
+
     def _chain(self, spec: TableSpec) -> list[Row]:
-        """Markers of the compactions that make up the base, one small row each."""
-        found = self._read(f"{self.root}/{spec.name}/bases")
+        """Markers of the compactions that make up the base, one small row each, at most ``chain``."""
+        found = self._read(f"{self.root}/{spec.name}/bases", "since bigint, closed_until timestamp, version bigint")
         markers = [] if found is None else sorted(found.collect(), key=lambda r: r["version"])
         return [r for r in markers if r["version"] >= markers[-1]["since"]]
 
+    def _columns(self, spec: TableSpec) -> T.StructType:
+        for known, schema in self._known:
+            if known == spec:
+                return schema
+        self._known.append((spec, staged_schema(self.spark, spec)))
+        return self._known[-1][1]
+
+    def _base(self, spec: TableSpec, chain: list[Row]) -> DataFrame | None:
+        """Versions and markers of the base; ``_is_current`` and ``version`` are folders."""
+        if not chain:
+            return None
+        schema = T.StructType([f for f in self._columns(spec) if f.name != H.CURRENT])
+        schema = schema.add(H.CURRENT, T.BooleanType()).add("version", T.LongType())
+        found = self._read(f"{self.root}/{spec.name}/base", schema)
+        part = F.col("version").isin([r["version"] for r in chain])
+        kept = found.filter(part & (~F.col(H.CURRENT) | (F.col("version") == chain[-1]["version"])))
+        return kept.select(*self._columns(spec).names)
+
+    def _near(self, spec: TableSpec, chain: list[Row], first: dt.datetime | None) -> DataFrame | None:
+        """The part of the base that changes since ``first`` can meet."""
+        base = self._base(spec, chain)
+        if base is None or self._in_order(chain, first):
+            return None if base is None else base.filter(F.col(H.CURRENT))
+        return base.filter(F.col(H.CURRENT) | (F.col(H.TO) >= F.lit(first)))
+
     def _merged(self, spec: TableSpec, target: DataFrame | None, changes: DataFrame) -> DataFrame:
+        columns = self._columns(spec).names
         if target is not None:
-            target = target.withColumn("batch_id", F.lit(-1).cast("long"))
-            changes = changes.select(*target.columns)
+            target = target.select(*columns, F.lit(-1).cast("long").alias("batch_id"))
         order = ["batch_id", *spec.ordering]
-        return H.apply_changes(target, changes, spec.primary_key, order=order, hot=skew.DEFAULT).drop("batch_id")
-
-    def _replace(self, df: DataFrame, folder: str, by: list[str]) -> None:
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*by)
-            .parquet(f"{self.root}/{folder}")
+        merged = H.apply_changes(
+            target, changes, spec.primary_key, order=order, hot=skew.DEFAULT, keep_deletes=True
         )
+        return merged.select(*columns)
+
+    def _replace(self, df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").parquet(path)
+
+    def _replace_one(self, df: DataFrame, folder: str, spec: TableSpec, batch_id: int) -> None:
+        rows = df.drop("table_name", "batch_id").coalesce(1)
+        self._replace(rows, f"{self.root}/{folder}/table_name={spec.name}/batch_id={batch_id}")
 
-    def _read(self, path: str, base: str | None = None, schema: str | None = None) -> DataFrame | None:
-        reader = self.spark.read.option("basePath", base or path)
+    def _read(self, path: str, schema: str | T.StructType, base: str | None = None) -> DataFrame | None:
         try:
-            return (reader.schema(schema) if schema else reader).parquet(path)
+            return self.spark.read.option("basePath", base or path).schema(schema).parquet(path)
         except AnalysisException as problem:
-            if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            if problem.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise

@@ -103,7 +103,7 @@ class ForeignKey:
 @dataclass(frozen=True)
 class TableSpec:
     """One table. ``ordering`` names message columns, an offset say, that order changes of a
-    key made at the same time."""
+    key made at the same time; ``ordering_type`` is the type they are stored in."""
 
     name: str
     columns: tuple[ColumnSpec, ...]
@@ -115,6 +115,7 @@ class TableSpec:
     foreign_keys: tuple[ForeignKey, ...] = ()
     unique_keys: tuple[tuple[str, ...], ...] = ()
     ordering: tuple[str, ...] = ()
+    ordering_type: str = "long"
     internal: bool = False
 
     def __post_init__(self) -> None:
@@ -145,7 +146,8 @@ class TableSpec:
         """Build a spec from one entry of a YAML/JSON ``tables:`` list.
 
         Rules and transforms without a type or a column carry no work and are left out.
-        Metric checks may stand under any key that ends in ``checks``.
+        Metric checks may stand under any key that ends in ``checks``, if its entries name a metric;
+        other sections of such a name are none of this table's business.
         """
         key = conf.get("primary_key") or ()
         indexes = conf.get("indexes", [])
@@ -167,8 +169,9 @@ class TableSpec:
             checks=tuple(
                 Check(**_pick(c, Check))
                 for section, entries in conf.items()
-                if section.endswith("checks")
+                if section.endswith("checks") and isinstance(entries, (list, tuple))
                 for c in entries
+                if isinstance(c, Mapping) and c.get("metric")
             ),
             foreign_keys=tuple(
                 ForeignKey(f["column"], f["references"]["table"], f["references"]["column"])
@@ -176,6 +179,7 @@ class TableSpec:
             ),
             unique_keys=tuple(tuple(i["columns"]) for i in indexes if i.get("unique")),
             ordering=tuple(conf.get("ordering", ())),
+            ordering_type=conf.get("ordering_type", "long"),
             internal=bool(conf.get("internal", False)),
         )
 

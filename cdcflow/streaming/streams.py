@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cdcflow.plans.batch import run_batch, tag
-from cdcflow.sources.envelope import decode
+from cdcflow.sources.envelope import classify, rows_of
 from cdcflow.sources.store import Store
 from cdcflow.spec import TableSpec, streamed
 
@@ -27,12 +27,13 @@ def write_batch(
     keep_intermediate: bool = False,
     now: dt.datetime | None = None,
 ) -> None:
-    """Decode and judge a batch once, then write its four outputs from the kept rows.
+    """Decode and judge a batch once, then write its outputs from the kept rows.
 
     Staged changes come last: they make the batch visible in the history.
     """
     at = store.batch_time(spec.name, batch_id, now)
-    tagged = tag(decode(raw, spec, keep=spec.ordering), spec).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = classify(raw, spec, keep=spec.ordering).persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = tag(rows_of(kept), spec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         result = run_batch(
             spec,
@@ -41,15 +42,17 @@ def write_batch(
             at,
             keep_intermediate=keep_intermediate,
             quarantine_path=store.quarantine_path(spec.name),
+            classified=kept,
             tagged=tagged,
         )
         if spec.checks:
-            store.write_metrics(result.metrics, at)
-        store.write_quarantine(result.quarantined)
-        store.write_summary(result.summary)
+            store.write_metrics(spec, batch_id, result.metrics, at)
+        store.write_quarantine(spec, batch_id, result.quarantined, at)
+        store.write_summary(spec, batch_id, result.counts)
         store.write_changes(spec, batch_id, result.staged)
     finally:
         tagged.unpersist()
+        kept.unpersist()
 
 
 def start_stream(

@@ -7,7 +7,7 @@ from cdcflow.operators import history as H, skew
 
 DDL = "id int, v int, _operation string, t timestamp_ntz, seq int"
 # Every key with more than three rows is hot, and every row is looked at.
-TINY = skew.HotKeys(rows=3, sample=1, limit=5, small_bytes=-1)
+TINY = skew.HotKeys(rows=3)
 
 
 def log(spark, *changes):
@@ -73,8 +73,6 @@ def test_merge(spark):
     history = H.apply_changes(first, second, ["id"])
     assert versions(history) == [(1, 1, 0, 2), (1, 2, 2, None), (2, 1, 0, 2), (3, 1, 2, None), (9, 1, 0, None)]
     check_invariants(history)
-    closed = H.close_current(first, second, ["id"])
-    assert versions(closed) == [(1, 1, 0, 2), (2, 1, 0, 2)]
     reinserted = H.apply_changes(history, staged(spark, (1, 7, "INSERT", 4), (2, 7, "INSERT", 4)), ["id"])
     assert versions(reinserted)[:4] == [(1, 1, 0, 2), (1, 2, 2, 4), (1, 7, 4, None), (2, 1, 0, 2)]
     check_invariants(reinserted)
@@ -145,13 +143,13 @@ def test_hot_keys_are_split_and_give_the_same_history(spark):
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(pmod(hash(id, 1), 5000) as int)) AS t",
         "cast(id as int) AS seq",
     )
-    hot = skew.HotKeys(rows=50, sample=1, small_bytes=-1)
-    spread = skew.with_spans(df, ["id"], "t", hot)
+    hot = skew.HotKeys(rows=50)
+    spread = skew.with_spans(df, ["id"], ["t", "seq"], hot)
     assert spread.filter("_hot").select("id").distinct().count() == 1
     sizes = [r[0] for r in spread.filter("_hot").groupBy("_span").count().select("count").collect()]
-    assert len(sizes) >= 15 and max(sizes) < 150
+    assert len(sizes) == 20 and max(sizes) == 50
     plain = H.from_changelog(df, ["id"], ["t", "seq"], None)
-    for choice in (hot, skew.HotKeys(rows=50, sample=4, small_bytes=-1)):
+    for choice in (hot, skew.HotKeys(rows=200, depth=50)):
         split = H.from_changelog(df, ["id"], ["t", "seq"], choice)
         assert split.count() == plain.count()
         assert split.exceptAll(plain).count() == 0
@@ -168,17 +166,29 @@ def test_hot_keys_are_split_and_give_the_same_history(spark):
     assert joined.exceptAll(brute).count() == 0
 
 
-def test_orderings_that_cannot_be_split_raise(spark):
-    df = spark.createDataFrame([(1, "a")], "id int, t string")
-    with pytest.raises(ValueError):
-        skew.with_spans(df, ["id"], "t", TINY)
+@pytest.mark.parametrize("shape", ["burst", "instant", "even"])
+def test_no_span_holds_twice_its_rows(spark, shape):
+    """One key with 100,000 rows: nearly all in two minutes of ten years, all at one instant, or evenly."""
+    second = {"burst": "if(id % 100 = 0, id * 3000, 300000000 + id % 120)", "instant": "0", "even": "id"}[shape]
+    df = spark.range(100_000).selectExpr("1 AS k", f"timestamp_seconds({second}) AS t", "id AS seq")
+    spans = skew.with_spans(df, ["k"], ["t", "seq"], skew.HotKeys(rows=2000))
+    sizes = [r[1] for r in spans.groupBy("_span").count().collect()]
+    assert len(sizes) > 25 and max(sizes) <= 4000
+
+
+def test_rows_without_a_key_are_never_hot(spark):
+    df = spark.range(1000).selectExpr("cast(if(id % 2 = 0, null, 1) as int) AS k", "id AS t")
+    spans = skew.with_spans(df, ["k"], ["t"], skew.HotKeys(rows=100))
+    assert spans.filter("k IS NULL AND _span <> 0").count() == 0 and spans.filter("_hot").count() == 500
+    log_ = spark.createDataFrame([(None, 1, "INSERT", at(0), 1), (None, 2, "UPDATE", at(1), 2)], "id int, v int, _operation string, t timestamp_ntz, seq int")
+    assert H.from_changelog(log_, ["id"], ["t", "seq"]).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "int"])
 def test_spans_rise_with_time(spark, kind):
     cast = "cast(id as int)" if kind == "int" else f"cast(timestamp_ntz'2023-12-20' + make_dt_interval(cast(id as int)) as {kind})"
     df = spark.range(40).selectExpr("1 AS k", f"{cast} AS t")
-    spans = [r._span for r in skew.with_spans(df, ["k"], "t", TINY).orderBy("t").collect()]
+    spans = [r._span for r in skew.with_spans(df, ["k"], ["t"], TINY).orderBy("t").collect()]
     assert spans == sorted(spans) and len(set(spans)) > 5
 
 
@@ -192,15 +202,43 @@ change = st.tuples(
 )
 @given(st.lists(change, min_size=1, max_size=25, unique_by=lambda c: (c[0], c[3])), st.integers(1, 3), st.booleans())
 def test_batches_in_any_order_give_the_history_of_the_log(spark, changes, parts, use_spans):
-    """Writes arrive in arbitrary batches, late ones included; deletes come in the last one,
-    because a delete that finds no version leaves nothing behind for later arrivals."""
+    """Changes arrive in arbitrary batches, late writes and late deletes included."""
     hot = TINY if use_spans else None
-    whole = H.from_changelog(log(spark, *changes), ["id"], ["t", "seq"], hot)
+    whole = H.from_changelog(log(spark, *changes), ["id"], ["t", "seq"], skew.DEFAULT if hot is None else hot)
     check_invariants(whole)
     history = None
     for part in range(parts):
-        batch = [c for i, c in enumerate(changes) if (parts - 1 if c[2] == "DELETE" else i % parts) == part]
+        batch = [c for i, c in enumerate(changes) if i % parts == part]
         if batch:
-            merged = H.apply_changes(history, staged(spark, *batch), ["id"], order=["seq"], hot=hot)
+            merged = H.apply_changes(history, staged(spark, *batch), ["id"], order=["seq"], hot=hot, keep_deletes=True)
             history = spark.createDataFrame(merged.collect(), merged.schema)
-    assert versions(history) == versions(whole)
+    assert versions(H.versions(history)) == versions(whole)
+
+
+def test_unchanged_updates_are_compared_with_what_came_before(spark):
+    """A value that moves between columns, one that comes back, and a late repeat of an older version."""
+    kind = "id int, a string, b string, _operation string, t timestamp_ntz, seq int"
+
+    def rows_at(*changes):
+        return H.add_version_columns(spark.createDataFrame([(*c, i) for i, c in enumerate(changes)], kind), F.col("t"))
+
+    target = H.apply_changes(None, rows_at((1, "x", None, "INSERT", at(0)), (2, "A", "", "INSERT", at(0))), ["id"])
+    target = H.apply_changes(target, rows_at((2, "B", "", "UPDATE", at(10))), ["id"])
+    batch = rows_at(
+        (1, None, "x", "UPDATE", at(1)), (1, "x", None, "UPDATE", at(2)), (1, "x", None, "UPDATE", at(3)),
+        (2, "A", "", "UPDATE", at(5)), (2, "B", "", "UPDATE", at(11)), (2, "A", "", "UPDATE", at(12)), (3, "n", "", "UPDATE", at(1)),
+        (2, "A", "", "DELETE", at(13)), (2, "A", "", "UPDATE", at(14)),
+    )
+    for hot in (None, TINY):
+        kept = H.drop_unchanged(target, batch, ["id"], ["a", "b"], ["seq"], hot)
+        assert rows(kept, "seq") == [(0,), (1,), (5,), (6,), (7,), (8,)]
+
+
+@pytest.mark.parametrize("hot", [None, TINY])
+def test_a_delete_without_a_version_ends_what_arrives_later(spark, hot):
+    history = None
+    for change in ((1, None, "DELETE", 5), (1, 7, "INSERT", 2), (1, None, "DELETE", 5)):
+        merged = H.apply_changes(history, staged(spark, change), ["id"], hot=hot, keep_deletes=True)
+        history = spark.createDataFrame(merged.collect(), merged.schema)
+        wanted = [] if change[2] == "DELETE" and change[3] == 5 and history.count() == 1 else [(7, at(2), at(5))]
+        assert rows(H.versions(history), "v", "_effective_from", "_effective_to") == wanted

@@ -3,7 +3,7 @@ from conftest import at, rows
 from pyspark.sql import functions as F
 
 from cdcflow.operators import constraints as C, metrics as M
-from cdcflow.spec import Check
+from cdcflow.spec import Check, ColumnSpec, ForeignKey, TableSpec
 
 CHECKS = [
     Check("completeness", "v", 0.75),
@@ -38,6 +38,29 @@ def test_one_batch(table):
     assert rows(M.breaches(found), "metric_name", "severity") == [("Compliance", "warning"), ("Uniqueness", "error")]
 
 
+def test_all_checks_share_one_scan(spark, tmp_path, table):
+    table.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    found = measure(stored, [*CHECKS, Check("uniqueness", "s"), Check("uniqueness", "b")])
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert rows(found.filter("metric_name = 'Uniqueness'"), "column_name", "metric_value") == [("b", 0.2), ("s", 1.0), ("v", 0.5)]
+
+
+def test_a_violated_description(spark):
+    spec = TableSpec(
+        "t", (ColumnSpec("id", "int", nullable=False), ColumnSpec("a", "string", unique=True), ColumnSpec("b", "int", default=9)), ("id",),
+        unique_keys=(("a", "b"),), foreign_keys=(ForeignKey("b", "p", "k"),),
+    )
+    df = spark.createDataFrame([(1, "x", 1), (1, "x", 1), (None, "y", 2), (4, None, None)], "id int, a string, b int")
+    parents = {"p": spark.createDataFrame([(1,)], "k int")}
+    assert rows(C.violations(spec, df, parents)) == [
+        ("foreign_key", "b", 1), ("not_null", "id", 1), ("primary_key", "id", 3), ("unique", "a", 2), ("unique", "a,b", 2)]
+    with pytest.raises(ValueError):
+        C.violations(spec, df)
+    assert rows(C.described_defaults(spec, df, F.lit(at(0))), "b") == [(1,), (1,), (2,), (9,)]
+    assert C.violations(TableSpec("e", (ColumnSpec("id", "int"),), internal=True), df.select("id")).count() == 0
+
+
 def test_several_batches_in_one_pass(table):
     found = measure(table, CHECKS, "b")
     assert rows(found.filter("metric_name = 'Size'"), "batch_id", "metric_value") == [(1, 4.0), (2, 1.0)]

@@ -47,7 +47,42 @@ def test_allowed_values_and_null_choice(words):
 
 
 def test_allowed_values_of_another_type(numbers):
-    assert failed_ids(numbers, Rule("r", "allowed_values", "v", {"values": ["90", "none", 0]})) == [1, 3, 4, 5, 6]
+    assert failed_ids(numbers, Rule("r", "allowed_values", "v", {"values": ["90", 0]})) == [1, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("on_null, failed", [("fail", [2, 3]), ("pass", [2])])
+def test_on_null_is_about_the_column_alone(spark, on_null, failed):
+    df = spark.createDataFrame([(1, 1), (2, 5), (3, None)], "id int, v int")
+    assert failed_ids(df, Rule("r", "allowed_values", "v", {"values": [1, "7"]}, on_null=on_null)) == failed
+
+
+@pytest.mark.parametrize(
+    "rule",
+    [
+        Rule("r", "allowed_values", "v", {"values": ["1", "x"]}), Rule("r", "allowed_values", "v", {"values": [1.5]}),
+        Rule("r", "range", "v", {"max": "abc"}), Rule("r", "length", "v", {"min": "x"}),
+    ],
+)
+def test_parameters_that_no_value_can_meet(spark, rule):
+    df = spark.createDataFrame([(1, 5)], "id int, v int")
+    with pytest.raises(ValueError):
+        R.tag_failures(df, [rule])
+    assert failed_ids(df, rule, strict=False) == []
+
+
+def test_unique_on_columns_with_any_name(spark):
+    df = spark.createDataFrame([(1, 1, 1, 1), (2, 1, 2, 2), (3, 2, 2, 3)], "id int, _value int, _hit int, _repeated int")
+    rules = [Rule(f"u{c}", "unique", c) for c in ("_value", "_hit", "_repeated")]
+    assert rows(R.tag_failures(df, rules), "id", "_failed_rule") == [(1, "u_value"), (2, "u_value"), (3, None)]
+
+
+def test_cost_of_unique_rules_is_linear(spark):
+    df = spark.range(100).selectExpr("id", "id % 50 AS a", "id % 30 AS b", "id % 20 AS c", "id % 10 AS d")
+    joins = []
+    for n in (1, 2, 3, 4):
+        tagged = R.tag_failures(df, [Rule(f"u{c}", "unique", c) for c in "abcd"[:n]])
+        joins.append(tagged._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+    assert max(joins) == 1
 
 
 def test_regex_finds_anywhere(words):
@@ -131,7 +166,7 @@ def test_split_and_summary(words):
     tagged = R.tag_failures(words, sequence)
     valid, failed = R.split(tagged)
     assert valid.columns == words.columns and "_failed_rule" in failed.columns
-    assert rows(R.rule_summary(tagged, sequence), "rule_id", "evaluated", "failed", "pass_rate") == [
+    assert rows(R.rule_summary(words, sequence), "rule_id", "evaluated", "failed", "pass_rate") == [
         ("a", 6, 2, 4 / 6), ("b", 4, 1, 0.75), ("w", 3, 2, 1 / 3)]
 
 

@@ -89,6 +89,9 @@ def test_batches_without_usable_rows(spark):
         empty = run_batch(DRIVERS, frame(spark, *texts), 0, at(10))
         assert empty.history.count() == empty.quarantined.count() == empty.summary.count() == 0
         assert rows(empty.metrics, "metric_name", "metric_value", "passed") == [("Size", 0.0, False)]
+        counts = empty.counts.first()
+        assert (counts.messages, counts.malformed_count, counts.total_rows, counts.staged_count) == (len(texts), len(texts), 0, 0)
+        assert counts.failed_rules == []
 
 
 def test_first_batch_without_inserts(spark):
@@ -100,7 +103,7 @@ def test_first_batch_without_inserts(spark):
 @pytest.mark.parametrize("compact", [False, True])
 def test_store(spark, tmp_path, compact):
     store = Store(spark, str(tmp_path))
-    assert store.history(DRIVERS) is None and store.current(DRIVERS) is None and store.quarantine("drivers") is None
+    assert store.history(DRIVERS) is None and store.current(DRIVERS) is None and store.quarantine(DRIVERS) is None
     assert store.compact(DRIVERS) == -1
     write_batch(DRIVERS, frame(spark, *LOAD), 0, store, now=at(10))
     if compact:
@@ -114,8 +117,9 @@ def test_store(spark, tmp_path, compact):
     assert rows(store.current(DRIVERS), "id") == [(1,), (4,)]
     assert rows(store.metrics(), "batch_id", "metric_name") == [
         (0, "Completeness"), (0, "Size"), (1, "Completeness"), (1, "Size")]
-    assert rows(store.quarantine("drivers"), "id", "run_date") == [(3, "2024-01-11T00:00:00"), (None, "2024-01-11T00:00:00")]
-    assert rows(store.summary(), "batch_id", "total_rows", "quarantined_count", "unknown_count") == [(0, 5, 2, 1)]
+    assert rows(store.quarantine(DRIVERS), "id", "run_date") == [(3, "2024-01-11T00:00:00"), (None, "2024-01-11T00:00:00")]
+    facts = ["batch_id", "messages", "malformed_count", "control_count", "total_rows", "quarantined_count", "unknown_count", "staged_count"]
+    assert rows(store.summary(), *facts) == [(0, 6, 1, 0, 5, 2, 1, 2), (1, 4, 0, 0, 4, 0, 0, 3)]
     assert store.summary().first()["path"].endswith("/quarantine/table_name=drivers")
     assert rows(Q.by_rule(store.quarantine_facts()), "table_name", "_failed_rule", "rows") == [
         ("drivers", "drv_score", 1), ("drivers", "primary_key", 1)]
@@ -131,7 +135,7 @@ def test_writing_a_batch_again_replaces_its_own_rows(spark, tmp_path):
     before = rows(store.history(DRIVERS))
     write_batch(DRIVERS, frame(spark, *CHANGES), 1, store, now=at(14))
     assert rows(store.history(DRIVERS)) == before
-    assert store.quarantine("drivers").count() == 2 and store.metrics().count() == 4 and store.summary().count() == 1
+    assert store.quarantine(DRIVERS).count() == 2 and store.metrics().count() == 4 and store.summary().count() == 2
     assert store.batch_time("drivers", 0) == at(10)
 
 
@@ -164,6 +168,60 @@ def test_compaction_leaves_closed_versions_where_they_are(spark, tmp_path):
     assert plain.base(DRIVERS) is None
 
 
+def test_the_marker_chain_is_bounded(spark, tmp_path):
+    store, plain = Store(spark, f"{tmp_path}/a", chain=2), Store(spark, f"{tmp_path}/b")
+    for number in range(5):
+        staged = run_batch(DRIVERS, frame(spark, message("update", at(number), id=1, phone=f"{number}", score=1.0)), number, at(10)).staged
+        for target in (store, plain):
+            target.write_changes(DRIVERS, number, staged)
+        store.compact(DRIVERS)
+        assert len(store._chain(DRIVERS)) <= 2
+    assert rows(store.history(DRIVERS), *OUTPUT) == rows(plain.history(DRIVERS), *OUTPUT)
+
+
+def test_current_reads_no_closed_folder_for_changes_in_order(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for number, texts in enumerate((LOAD, CHANGES, [message("update", at(9), id=4, phone="4444", score=2.0)])):
+        write_batch(DRIVERS, frame(spark, *texts), number, store, now=at(10 + number))
+        if number < 2:
+            store.compact(DRIVERS)
+    current = store.current(DRIVERS)
+    assert rows(current, "id", "phone") == [(1, "77****"), (4, "44****")]
+    plan = current._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line and "/base" in line]
+    assert scans and all("_is_current" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+    # A late change has to meet the closed versions again.
+    write_batch(DRIVERS, frame(spark, message("update", at(1), id=4, phone="1111", score=2.0)), 3, store, now=at(20))
+    assert rows(store.current(DRIVERS), "id", "phone") == [(1, "77****"), (4, "44****")]
+    assert [r[1] for r in rows(store.history(DRIVERS).filter("id = 4"), "_effective_from", "phone")] == ["11****", "88****", "44****"]
+
+
+@pytest.mark.parametrize("compact", [False, True])
+def test_a_delete_before_its_version_is_remembered(spark, tmp_path, compact):
+    store = Store(spark, str(tmp_path))
+    late = [message("insert", at(0), id=5, phone="5", score=1.0), message("update", at(1), id=6, phone="6", score=1.0)]
+    for number, texts in enumerate(([message("delete", at(3), id=5), message("delete", at(4), id=6)], late)):
+        write_batch(DRIVERS, frame(spark, *texts), number, store, now=at(10 + number))
+        if compact:
+            store.compact(DRIVERS)
+    assert rows(store.history(DRIVERS), "id", "_effective_from", "_effective_to") == [(5, at(0), at(3)), (6, at(1), at(4))]
+    assert store.current(DRIVERS).count() == 0
+
+
+def test_a_column_that_joins_later(spark, tmp_path):
+    from dataclasses import replace
+
+    store = Store(spark, str(tmp_path))
+    wider = replace(DRIVERS, columns=(*DRIVERS.columns, ColumnSpec("town", "string")))
+    write_batch(DRIVERS, frame(spark, *LOAD), 0, store, now=at(10))
+    store.compact(DRIVERS)
+    write_batch(wider, frame(spark, message("update", at(2), id=1, phone="1", score=9.0, town="x"), message("update", at(2), id=2, score=99.0, town="y")), 1, store, now=at(11))
+    for _ in range(2):
+        assert rows(store.history(wider), "id", "town") == [(1, "x"), (1, None), (2, None)]
+        store.compact(wider)
+    assert rows(store.quarantine(wider), "id", "town") == [(2, "y"), (3, None), (None, None)]
+
+
 def test_an_unfinished_base_is_not_read(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     write_batch(DRIVERS, frame(spark, *LOAD), 0, store, now=at(10))
@@ -236,7 +294,7 @@ def test_a_failed_batch_is_repeated_after_restart(spark, tmp_path, monkeypatch):
     again = start_stream(DRIVERS, source(spark, messages)(DRIVERS), store, f"{tmp_path}/cp", **options)
     assert again.awaitTermination(120)
     assert rows(store.current(DRIVERS), "id") == [(1,), (2,)]
-    assert store.quarantine("drivers").count() == 2 and store.metrics().count() == 2
+    assert store.quarantine(DRIVERS).count() == 2 and store.metrics().count() == 2
 
 
 def test_batch_time_is_fixed_by_the_first_attempt(spark, tmp_path):
