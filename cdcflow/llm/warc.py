@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cdcflow.llm.common import fresh, partitions
+from cdcflow.llm.common import partitions
 from cdcflow.session import scratch_dir
 
 #: Date of every record unless the caller names another; nothing in an archive depends on the clock.
@@ -45,9 +45,8 @@ def record_id(page_id: int | None, digest: bytes) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest.hex()}')}>"
 
 
-def record(page_id: int | None, uri: str, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
+def record(page_id: int | None, uri: str, payload: bytes, refers_to: int | None, digest: bytes, date: str = DATE) -> bytes:
     """One WARC/1.1 record, headers and digests made anew. A revisit keeps the HTTP headers and no payload."""
-    digest = hashlib.sha1(payload).digest()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
@@ -146,23 +145,6 @@ class _File:
         return self.shard, self.name, 0, self.records, self.bytes, self.digest.hexdigest(), *self.ids
 
 
-def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """Adds the payload's digest, its length and the page it revisits (null: stored) to ``pages``."""
-    digest, length, refers, key, copies, home = fresh(pages, "_digest", "_length", "_refers_to", "_key", "_copies", "_home")
-    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    hashed = pages.withColumn(digest, F.sha1(payload.cast("binary"))).withColumn(length, F.octet_length(payload))
-    groups = (
-        hashed.where(F.col(length) >= least)
-        .groupBy(F.col(digest).alias(key))
-        .agg(F.max("page_id").cast("long").alias(home), F.count("*").alias(copies))
-        .where(F.col(copies) > 1)
-        .drop(copies)
-    )
-    joined = hashed.join(groups, (F.col(digest) == F.col(key)) & (F.col(length) >= least), "left")
-    other = F.col(home).isNotNull() & ~F.col("page_id").cast("long").eqNullSafe(F.col(home))
-    return joined.withColumn(refers, F.when(other, F.col(home))).drop(key, home), (digest, length, refers)
-
-
 def write_archives(
     pages: DataFrame,
     folder: str,
@@ -173,7 +155,7 @@ def write_archives(
 ) -> DataFrame:
     """Writes a record for every row of ``pages`` (page_id, url, html) below ``folder``; returns the manifest.
 
-    Records are range-sorted by page_id (ties by digest and URL, null first). Shard borders are every so-many-th
+    Records are range-sorted by page_id (ties by a hash of the payload, then URL; null first). Shard borders are every so-many-th
     key of a sample taken by hash, so they, the files and every byte depend on the rows alone, not on how Spark
     dealt them, and a rerun writes the same. A shard is one task's work; it rolls to a new file at ``roll_bytes``
     compressed bytes. A file is written under a name of its attempt and moved when complete, so a lost executor
@@ -193,34 +175,48 @@ def write_archives(
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
     borders = shard_borders(base_columns, shard_bytes)
-    marked, (digest, _, refers) = revisits(base_columns, least)
     shard = F.lit(0).cast("long")
     if borders:
         keys = np.array(borders, dtype=np.int64)
         place = F.pandas_udf(lambda x: pd.Series(np.searchsorted(keys, x.to_numpy(), side="right")), "long")
         # null ids stand first, in the first shard
         shard = F.coalesce(place(F.coalesce("page_id", F.lit(-(1 << 63)))), shard)
-    order = ["shard", "page_id", digest, "url"]
+    placed = base_columns.withColumn("shard", shard)
+    long = placed.where(F.octet_length("html") >= least).select("shard", "page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
+    homes = long.groupBy(F.col("digest").alias("key")).agg(F.max("page_id").alias("home"), F.count("*").alias("copies"))
+    homes = homes.where("copies > 1 and home is not null")
+    # One row for each repeated payload and shard that holds a copy: the payloads themselves are not joined.
+    marks = long.select("shard", "digest").distinct().join(homes, F.col("digest") == F.col("key")).select(
+        "shard", F.lit(0).alias("kind"), F.col("home").alias("page_id"), F.col("digest").alias("url"), F.lit(None).cast("string").alias("html")
+    )
+    records = placed.select("shard", F.lit(1).alias("kind"), "page_id", "url", "html")
     dealt = (
-        marked.select(shard.alias("shard"), "page_id", "url", digest, refers, "html")
+        records.unionByName(marks)
         .repartitionById(len(borders) + 1, F.col("shard").cast("int"))
-        .sortWithinPartitions(*order)
+        .sortWithinPartitions("shard", "kind", "page_id", F.xxhash64("html"), "url")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, entries = None, 0, []
+        now, number, entries, home, of = None, 0, [], {}, None
         for batch in batches:
-            columns = [batch.column(i) for i in (0, 1, 2, 4, 5)]
-            for i in range(batch.num_rows):
-                at, page_id, url, refers_to, html = (c[i].as_py() for c in columns)
+            for at, kind, page_id, url, html in zip(*(c for c in batch.columns[:4]), batch.column(4), strict=True):
+                at, page_id, url = at.as_py(), page_id.as_py(), url.as_py()
+                if at != of:
+                    of, home = at, {}
+                if not kind.as_py():
+                    home[url] = page_id
+                    continue
                 if now is not None and (now.shard != at or now.bytes >= roll_bytes):
                     number = number + 1 if now.shard == at else 0
                     entries.append(now.close())
                     now = None
                 if now is None:
                     now = _File(folder, at, number)
-                payload = html.encode("utf-8", "surrogatepass")
-                now.add(page_id, member(record(page_id, clean_uri(url), payload, refers_to, date)))
+                payload = html.as_py().encode("utf-8", "surrogatepass")
+                digest = hashlib.sha1(payload).digest()
+                refers_to = home.get(digest.hex()) if len(payload) >= least else None
+                refers_to = None if refers_to == page_id else refers_to
+                now.add(page_id, member(record(page_id, clean_uri(url), payload, refers_to, digest, date)))
         if now is not None:
             entries.append(now.close())
         fields = [f.split()[0] for f in ENTRY.split(", ")]

@@ -55,7 +55,7 @@ def test_what_an_unfinished_attempt_left_is_not_read(spark, tmp_path):
     folder = str(tmp_path / "c")
     warc.write_archives(spark.createDataFrame(ROWS, SCHEMA), folder)
     (tmp_path / "c" / ".shard-00000000-00000.warc.gz.dead.tmp").write_bytes(b"half a record")
-    (tmp_path / "c" / "shard-00000099-00000.warc.gz").write_bytes(warc.member(warc.record(99, "u", b"lost", None)))
+    (tmp_path / "c" / "shard-00000099-00000.warc.gz").write_bytes(warc.member(warc.record(99, "u", b"lost", None, hashlib.sha1(b"lost").digest())))
     assert digest_rows(warc.read_archives(spark, folder)) == expected(ROWS)
 
 
