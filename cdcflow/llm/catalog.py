@@ -105,8 +105,9 @@ def op4(docs: DataFrame, folder: str) -> DataFrame:
 def op5(docs: DataFrame, folder: str) -> DataFrame:
     sizes = written(docs.select(F.col("doc_id"), F.col("source"), mixing.words("text").alias("n_words")))
     mixed, names = mixing.mixed(sizes, size="n_words")
+    # What the mix leaves out has no position; its ids keep it from being one range.
     position = F.col(names["position"])
-    return mixed.sort(position.asc_nulls_last()).select("doc_id", *(names[c] for c in ("size", "source_size", "target", "taken")))
+    return mixed.sort(position.asc_nulls_last(), "doc_id").select("doc_id", *(names[c] for c in ("size", "source_size", "target", "taken")))
 
 
 @query(
