@@ -15,12 +15,14 @@ from cdcflow.spec import Transform
 # --- vehicles from suppliers ----------------------------------------------------------
 
 CTES["vehicle_changes"] = """
-    SELECT s_suppkey AS id, s_name AS vin, 'make-' || s_nationkey AS make, 'active' AS status,
-           'INSERT' AS _operation, TIMESTAMP '2023-01-01' AS change_ts FROM supplier
-    UNION ALL SELECT s_suppkey, s_name, 'make-' || s_nationkey, 'maintenance', 'UPDATE', TIMESTAMP '2023-06-01'
-              FROM supplier WHERE s_acctbal < 2000
-    UNION ALL SELECT s_suppkey, s_name, 'make-' || s_nationkey, 'active', 'DELETE', TIMESTAMP '2023-09-01'
-              FROM supplier WHERE s_acctbal > 9000"""
+    WITH v AS (SELECT s_suppkey AS id, s_name AS vin, 'make-' || s_nationkey AS make, 'model-' || s_suppkey % 5 AS model,
+                      CAST(2000 + s_suppkey % 25 AS INTEGER) AS year,
+                      CASE WHEN s_suppkey % 3 = 0 THEN 'electric' ELSE 'diesel' END AS fuel_type, s_acctbal FROM supplier),
+    c (status, _operation, change_ts, above, below) AS (VALUES
+        ('active', 'INSERT', TIMESTAMP '2023-01-01', NULL, NULL), ('maintenance', 'UPDATE', TIMESTAMP '2023-06-01', NULL, 2000),
+        ('active', 'DELETE', TIMESTAMP '2023-09-01', 9000, NULL))
+    SELECT v.* EXCLUDE (s_acctbal), status, _operation, change_ts FROM v JOIN c
+    ON coalesce(s_acctbal > above, TRUE) AND coalesce(s_acctbal < below, TRUE)"""
 CTES["vehicles"] = history_sql("vehicle_changes", "id", "change_ts")
 CTES["driver_changes"] = """
     SELECT c_custkey AS id, c_name AS name, '555-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS phone,
@@ -36,10 +38,10 @@ CTES["drivers"] = f"""
 CTES["telemetry_changes"] = """
     SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS vehicle_id, l_extendedprice / 500 - 100 AS latitude,
            l_extendedprice / 250 - 200 AS longitude, l_quantity * 8 AS speed_kmh, l_discount * 1300 AS fuel_level_pct,
-           60 + l_tax * 500 AS engine_temp_c, l_partkey,
+           60 + l_tax * 500 AS engine_temp_c, CASE l_returnflag WHEN 'R' THEN 'off' ELSE 'running' END AS engine_status, l_partkey,
            CASE l_linestatus WHEN 'F' THEN 'INSERT' ELSE 'UPDATE' END AS _operation, l_shipdate AS change_ts
     FROM lineitem"""
-TELEMETRY_ORDER = ["change_ts", "l_partkey", "vehicle_id", "latitude"]
+TELEMETRY_ORDER = ["change_ts", "l_partkey", "vehicle_id", "latitude", "engine_status"]
 CTES["vehicle_telemetry"] = history_sql("telemetry_changes", "id", ", ".join(TELEMETRY_ORDER))
 CTES["deliveries"] = """
     SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'ASSIGNED' WHEN 'P' THEN 'IN_TRANSIT'
@@ -66,6 +68,9 @@ def vehicles(t: Tables) -> DataFrame:
         F.col("s_suppkey").alias("id"),
         F.col("s_name").alias("vin"),
         F.concat(F.lit("make-"), F.col("s_nationkey")).alias("make"),
+        F.concat(F.lit("model-"), F.col("s_suppkey") % 5).alias("model"),
+        (2000 + F.col("s_suppkey") % 25).cast("int").alias("year"),
+        F.when(F.col("s_suppkey") % 3 == 0, "electric").otherwise("diesel").alias("fuel_type"),
         "s_acctbal",
     )
     balance = F.col("s_acctbal")
@@ -74,7 +79,7 @@ def vehicles(t: Tables) -> DataFrame:
         ("UPDATE", "2023-06-01", "maintenance", balance < 2000),
         ("DELETE", "2023-09-01", "active", balance > 9000),
     )
-    changes = rows.select("id", "vin", "make", steps).filter(F.col("_operation").isNotNull())
+    changes = rows.select("id", "vin", "make", "model", "year", "fuel_type", steps).filter(F.col("_operation").isNotNull())
     return H.from_changelog(changes, ["id"], ["change_ts"])
 
 
@@ -121,6 +126,7 @@ def telemetry(t: Tables) -> DataFrame:
         (F.col("l_quantity") * 8).alias("speed_kmh"),
         (F.col("l_discount") * 1300).alias("fuel_level_pct"),
         (60 + F.col("l_tax") * 500).alias("engine_temp_c"),
+        F.when(F.col("l_returnflag") == "R", "off").otherwise("running").alias("engine_status"),
         "l_partkey",
         F.when(F.col("l_linestatus") == "F", "INSERT").otherwise("UPDATE").alias("_operation"),
         F.col("l_shipdate").alias("change_ts"),
@@ -198,13 +204,24 @@ def fleet_current_vs_history(t: Tables) -> DataFrame:
 
 @query(
     "fleet_current_vehicles",
-    "SELECT id, vin, make, status, _effective_from FROM vehicles WHERE _is_current ORDER BY id",
+    "SELECT id, vin, make, model, year, fuel_type, status, _effective_from FROM vehicles WHERE _is_current ORDER BY id",
     ("vehicles",),
 )
 def fleet_current_vehicles(t: Tables) -> DataFrame:
     return fleet.current_vehicles(vehicles(t))
 
 
+@query(
+    "fleet_vehicle_timeline",
+    """SELECT s_suppkey AS id, s_name AS vin, h.status, h._effective_from, h._effective_to, h._is_current, h._operation
+       FROM supplier JOIN vehicles h ON s_suppkey = h.id WHERE s_suppkey = 1""",
+    ("vehicles",),
+)
+def fleet_vehicle_timeline(t: Tables) -> DataFrame:
+    """One vehicle's changes of status, found by its business key."""
+    return fleet.vehicle_timeline(vehicles(t), "Supplier#000000001")
+
+
 @query(
     "fleet_delivery_history",
     "SELECT id, status, _operation, _effective_from, _effective_to, _is_current FROM deliveries",
@@ -336,9 +353,9 @@ def fleet_operation_breakdown(t: Tables) -> DataFrame:
 @query(
     "fleet_latest_telemetry",
     """
-    WITH fleet AS (SELECT id AS vehicle_id, vin, make FROM vehicles WHERE _is_current),
+    WITH fleet AS (SELECT id AS vehicle_id, vin, make, model FROM vehicles WHERE _is_current),
     newest AS (SELECT * EXCLUDE (id, _operation, _is_current) FROM vehicle_telemetry WHERE _is_current)
-    SELECT vin, make, latitude, longitude, speed_kmh, fuel_level_pct, engine_temp_c, _ingested_at
+    SELECT vin, make, model, latitude, longitude, speed_kmh, fuel_level_pct, engine_temp_c, engine_status, _ingested_at
     FROM newest JOIN fleet USING (vehicle_id)""",
     ("vehicle_telemetry", "vehicles"),
 )

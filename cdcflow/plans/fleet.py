@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cdcflow.operators.history import current
+from cdcflow.operators.history import current, timeline
 
 # Plausible ranges of a telemetry reading.
 VALID_RANGES = {
@@ -33,7 +33,7 @@ def record_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def current_vehicles(vehicles: DataFrame) -> DataFrame:
-    return current(vehicles).select("id", "vin", "make", "status", "_effective_from").orderBy("id")
+    return current(vehicles).select("id", "vin", "make", "model", "year", "fuel_type", "status", "_effective_from").orderBy("id")
 
 
 def status_history(deliveries: DataFrame) -> DataFrame:
@@ -66,6 +66,12 @@ def edge_cases(telemetry: DataFrame) -> DataFrame:
     return telemetry.agg(*outside)
 
 
+def vehicle_timeline(vehicles: DataFrame, vin: str) -> DataFrame:
+    """How one vehicle's status changed, by its business key."""
+    columns = ["id", "vin", "status", "_effective_from", "_effective_to", "_is_current", "_operation"]
+    return timeline(vehicles, F.col("vin") == vin).select(*columns)
+
+
 def masked_sample(drivers: DataFrame, rows: int = 10) -> DataFrame:
     return drivers.select("id", "name", "phone", "license_number", "status").orderBy("id").limit(rows)
 
@@ -121,12 +127,12 @@ def hourly_ingest(telemetry: DataFrame) -> DataFrame:
 def latest_telemetry(telemetry: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Current readings with their current vehicle. Spark broadcasts the vehicles when it
     finds them small enough and splits a hot vehicle otherwise."""
-    known = current(vehicles).select(F.col("id").alias("vehicle_id"), "vin", "make")
+    known = current(vehicles).select(F.col("id").alias("vehicle_id"), "vin", "make", "model")
     return (
         current(telemetry)
         .join(known, "vehicle_id")
         .select(
-            "vin", "make", "latitude", "longitude", "speed_kmh", "fuel_level_pct", "engine_temp_c", "_ingested_at"
+            "vin", "make", "model", "latitude", "longitude", "speed_kmh", "fuel_level_pct", "engine_temp_c", "engine_status", "_ingested_at"
         )
         .orderBy(F.desc("_ingested_at"))
     )

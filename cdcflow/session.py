@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -25,6 +27,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return builder.getOrCreate()
 
 
+_made: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
@@ -37,7 +42,17 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="cdcflow-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(f"{shared.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_scratch() -> None:
+    """Delete what this process wrote below the shared folder, once no frame that reads it is needed any more."""
+    while _made:
+        path = _made.pop()
+        system, place = fs.FileSystem.from_uri(path if ":/" in path else f"file://{os.path.abspath(path)}")
+        if system.get_file_info(place).type != fs.FileType.NotFound:
+            system.delete_dir(place)
 
 
 def written(df: DataFrame) -> DataFrame:

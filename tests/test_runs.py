@@ -307,6 +307,21 @@ def test_batch_time_is_fixed_by_the_first_attempt(spark, tmp_path):
     assert spark.sql("SELECT 1").select(F.lit(at(1))).first()[0] == at(1)
 
 
+def test_scratch_tables_can_be_deleted(spark):
+    import os
+
+    from cdcflow import session
+
+    kept = written_to(session.written(spark.range(3)))
+    assert all(map(os.path.exists, kept))
+    session.clear_scratch()
+    assert not any(map(os.path.exists, kept))
+
+
+def written_to(df):
+    return [f.removeprefix("file://") for f in df.inputFiles()]
+
+
 def test_store_needs_utc(spark, tmp_path):
     spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
     try:
