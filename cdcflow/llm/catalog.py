@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from cdcflow.llm import extraction, langid, mixing, packing, quality, secrets, simhash, syncmers, topk, warc
+from cdcflow.llm.common import ship
 from cdcflow.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +19,11 @@ def query(name: str, table: str, oracle: str | None = None):
     """Register ``fn(frame of the table, folder)``."""
 
     def add(fn: Callable[[DataFrame, str], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(spark.read.parquet(f"{folder}/{table}.parquet"), folder)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(spark.read.parquet(f"{folder}/{table}.parquet"), folder)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

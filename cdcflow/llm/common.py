@@ -3,14 +3,37 @@
 from __future__ import annotations
 
 import math
+import pathlib
+import tempfile
+import zipfile
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 #: One word of the contracts: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once for each application.
+
+    Functions that run in tasks are found there by name; nothing else says where the driver has them from.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = pathlib.Path(__file__).resolve().parents[1]
+    packed = pathlib.Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(packed, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(packed))
+    _shipped.add(application)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
