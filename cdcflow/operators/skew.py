@@ -75,6 +75,15 @@ def with_spans(df: DataFrame, key: Sequence[str], order: Sequence[str], hot: Hot
     )
 
 
+def _dealt(df: DataFrame, key: Sequence[str], order: Sequence[str], hot: HotKeys) -> DataFrame:
+    """Rows with their span, each span on a task of its own.
+
+    Said explicitly: the join with the cut points may have dealt the rows by key already, and a
+    window over key and span would be content with that and leave a hot key where it is.
+    """
+    return with_spans(df, key, order, hot).repartition(*key, SPAN)
+
+
 def next_time(
     df: DataFrame, key: Sequence[str], order: Sequence[str], out: str, hot: HotKeys | None = DEFAULT
 ) -> DataFrame:
@@ -85,7 +94,7 @@ def next_time(
     at = order[0]
     if hot is None:
         return df.withColumn(out, F.lead(at).over(Window.partitionBy(*key).orderBy(*order)))
-    spanned = with_spans(df, key, order, hot)
+    spanned = _dealt(df, key, order, hot)
     inside = spanned.withColumn(out, F.lead(at).over(Window.partitionBy(*key, SPAN).orderBy(*order)))
     starts = spanned.filter(HOT).groupBy(*key, SPAN).agg(F.min(at).alias("_start"))
     following = starts.select(
@@ -114,7 +123,7 @@ def last_seen(
     if hot is None:
         return df.withColumn(out, F.last(value, ignorenulls=True).over(ordered(*key)))
     (held,) = fresh(df, "_held")
-    spanned = with_spans(df.withColumn(held, F.col(value) if isinstance(value, str) else value), key, order, hot)
+    spanned = _dealt(df.withColumn(held, F.col(value) if isinstance(value, str) else value), key, order, hot)
     inside = spanned.withColumn(out, F.last(held, ignorenulls=True).over(ordered(*key, SPAN)))
     ends = (
         spanned.filter(HOT)
@@ -141,7 +150,7 @@ def neighbours(
     if hot is None:
         w = Window.partitionBy(*key).orderBy(*order)
         return df.withColumns({"_next": F.lead(at).over(w), "_last": F.lag(state).over(w)})
-    spanned = with_spans(df.withColumn("_state", state), key, order, hot)
+    spanned = _dealt(df.withColumn("_state", state), key, order, hot)
     w = Window.partitionBy(*key, SPAN).orderBy(*order)
     inside = spanned.withColumns({"_next": F.lead(at).over(w), "_last": F.lag("_state").over(w)})
     borders = (

@@ -176,6 +176,25 @@ def test_no_span_holds_twice_its_rows(spark, shape):
     assert len(sizes) > 25 and max(sizes) <= 4000
 
 
+def test_spans_are_dealt_to_tasks_of_their_own(spark):
+    """Also where the join with the cut points has dealt the rows by key."""
+    df = spark.range(1000).selectExpr("id % 2 AS k", "id AS t")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (
+            skew.next_time(df, ["k"], ["t"], "n", skew.HotKeys(rows=100)),
+            skew.neighbours(df, ["k"], ["t"], F.col("t"), skew.HotKeys(rows=100)),
+            skew.last_seen(df, ["k"], ["t"], "t", "n", skew.HotKeys(rows=100)),
+        ):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            windows = [line for line in plan.split("\n") if "Window [" in line and "_span" in line]
+            assert windows and "hashpartitioning(k#" in plan and "_span#" in plan.split("hashpartitioning(k#")[1][:60]
+            assert found.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_rows_without_a_key_are_never_hot(spark):
     df = spark.range(1000).selectExpr("cast(if(id % 2 = 0, null, 1) as int) AS k", "id AS t")
     spans = skew.with_spans(df, ["k"], ["t"], skew.HotKeys(rows=100))
