@@ -29,11 +29,13 @@ def letters(text: str | None) -> bytes:
 
 
 def codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features of the unigram, bigram and trigram that begin at each byte but the last two; -1 between words."""
+    """Hashed features of the unigram, bigram and trigram that begin at each byte but the last two; FEATURES between words."""
     a, b, c = (data[i : len(data) - 2 + i].astype(np.uint32) for i in range(3))
     mixed = lambda x: ((x * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int32)
     gap = (a == 32) & (b == 32)
-    one, two, three = mixed(a + np.uint32(1)), mixed(a * np.uint32(257) + b + np.uint32(1 << 16)), mixed(a * np.uint32(65537) + b * np.uint32(257) + c + np.uint32(1 << 25))
+    one = mixed(a + np.uint32(1))
+    two = mixed(a * np.uint32(257) + b + np.uint32(1 << 16))
+    three = mixed(a * np.uint32(65537) + b * np.uint32(257) + c + np.uint32(1 << 25))
     return tuple(np.where(gap, FEATURES, x) for x in (one, two, three))
 
 

@@ -28,7 +28,7 @@ ROLL_BYTES = 8 << 20
 #: A shard is planned to hold about so many payload bytes.
 SHARD_BYTES = 32 << 20
 
-ENTRY = "shard long, file string, offset long, records long, bytes long, sha1 string, first_id long, last_id long"
+ENTRY = "shard long, file string, records long, bytes long, sha1 string, first_id long, last_id long"
 RECORD = (
     "page_id long, target_uri string, record_type string, refers_to long, payload_bytes long, payload_digest string,"
     " payload binary, file string, offset long"
@@ -142,7 +142,7 @@ class _File:
     def close(self) -> tuple:
         self.stream.close()
         self.system.move(self.temporary, self.final)
-        return self.shard, self.name, 0, self.records, self.bytes, self.digest.hexdigest(), *self.ids
+        return self.shard, self.name, self.records, self.bytes, self.digest.hexdigest(), *self.ids
 
 
 def write_archives(
@@ -155,9 +155,10 @@ def write_archives(
 ) -> DataFrame:
     """Writes a record for every row of ``pages`` (page_id, url, html) below ``folder``; returns the manifest.
 
-    Records are range-sorted by page_id (ties by a hash of the payload, then URL; null first). Shard borders are every so-many-th
+    Records are range-sorted by page_id (ties by a hash of the payload, then URL). Shard borders are every so-many-th
     key of a sample taken by hash, so they, the files and every byte depend on the rows alone, not on how Spark
-    dealt them, and a rerun writes the same. A shard is one task's work; it rolls to a new file at ``roll_bytes``
+    dealt them, and a rerun writes the same. Rows without page_id have no place in that order; they are dealt to
+    all shards by hash and stand first in each. A shard is one task's work; it rolls to a new file at ``roll_bytes``
     compressed bytes. A file is written under a name of its attempt and moved when complete, so a lost executor
     leaves only hidden files; the manifest, written last, names what belongs to the archive, and readers open
     nothing else. Borders are one key for each ``shard_bytes`` of payload; only they reach the driver.
@@ -179,8 +180,8 @@ def write_archives(
     if borders:
         keys = np.array(borders, dtype=np.int64)
         place = F.pandas_udf(lambda x: pd.Series(np.searchsorted(keys, x.to_numpy(), side="right")), "long")
-        # null ids stand first, in the first shard
-        shard = F.coalesce(place(F.coalesce("page_id", F.lit(-(1 << 63)))), shard)
+        spread = F.pmod(F.xxhash64("url", "html"), F.lit(len(borders) + 1))
+        shard = F.when(F.col("page_id").isNull(), spread).otherwise(place(F.coalesce("page_id", F.lit(0))))
     placed = base_columns.withColumn("shard", shard)
     long = placed.where(F.octet_length("html") >= least).select("shard", "page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
     homes = long.groupBy(F.col("digest").alias("key")).agg(F.max("page_id").alias("home"), F.count("*").alias("copies"))
