@@ -82,11 +82,16 @@ def printed(found: Column) -> Column:
     )
 
 
+def hashes(found: Column) -> Column:
+    """The anchors' hashes alone, as 32-bit integers."""
+    low = lambda a: a.bitwiseAND(F.lit(LOW))
+    return F.transform(found, lambda a: F.when(low(a) > (LOW >> 1), low(a) - (LOW + 1)).otherwise(low(a)).cast("int"))
+
+
 def likeness(left: Column, right: Column) -> Column:
-    """Anchors that two texts share, over all of theirs, wherever they stand; two texts without any are alike."""
-    values = lambda found: F.transform(found, lambda a: a.bitwiseAND(F.lit(LOW)))
-    union = F.size(F.array_union(values(left), values(right)))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(values(left), values(right))) / union)
+    """Hashes that two texts share, over all of theirs, wherever they stand; two texts without any are alike."""
+    union = F.size(F.array_union(left, right))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(left, right)) / union)
 
 
 def shared_places(left: Column, right: Column) -> Column:
@@ -149,12 +154,13 @@ def edited_pairs(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     listed = with_stretches(rows.withColumn("words", words(F.col("text"))), F.col("words"), "syncmers", k, s)
     whole = listed.withColumn("whole", whole_hash(F.col("words"))).drop("words")
     anchors = or_whole(F.col("syncmers"), F.col("whole"))
-    copies = Window.partitionBy("doc_id", "mark").orderBy("n_chars")
-    once = whole.withColumn("copy", F.row_number().over(copies)).where("copy = 1")
-    sent = once.join(wants, (once.doc_id == wants.next_id) & (once.mark == wants.next_mark)).select(
-        "to_id", "to_mark", F.substring("text", F.lit(1), F.col("wanted")).alias("tail"), anchors.alias("next_anchors"),
-        "next_id", F.col("n_chars").alias("next_chars"),
+    found = whole.join(wants, (whole.doc_id == wants.next_id) & (whole.mark == wants.next_mark)).select(
+        "to_id", "to_mark", F.substring("text", F.lit(1), F.col("wanted")).alias("tail"), hashes(anchors).alias("next_hashes"),
+        F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"),
     )
+    # A row that comes several times is sent once; all its copies are equal.
+    copies = Window.partitionBy("to_id", "to_mark").orderBy("next_id")
+    sent = found.withColumn("copy", F.row_number().over(copies)).where("copy = 1").drop("copy")
     joined = whole.join(sent, (whole.doc_id == sent.to_id) & (whole.mark == sent.to_mark)).drop("mark")
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
     cut = joined.withColumn("kept", F.substring("text", F.lit(1), keep)).withColumn("pieces", F.split("kept", SPACE))
@@ -163,10 +169,10 @@ def edited_pairs(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     ends = cut.withColumn("safe", safe).withColumn("rest", words(F.concat(F.element_at("pieces", -1), F.col("tail"))))
     from_ = F.greatest(F.size("safe") - (k - 1), F.lit(0))
     near = ends.withColumn("from", from_).withColumn("end", F.concat(F.slice("safe", F.col("from") + 1, F.lit(k)), F.col("rest")))
-    found = with_stretches(near, F.col("end"), "end_anchors", k, s)
+    searched = with_stretches(near, F.col("end"), "end_anchors", k, s)
     stays = F.filter("syncmers", lambda a: F.shiftrightunsigned(a, 32) + k <= F.size("safe"))
     moved = F.transform("end_anchors", lambda a: a + F.shiftleft(F.col("from").cast("long"), 32))
-    both = found.withColumn("edited_anchors", or_whole(F.concat(stays, moved), whole_hash(F.concat("safe", "rest"))))
+    both = searched.withColumn("edited_anchors", or_whole(F.concat(stays, moved), whole_hash(F.concat("safe", "rest"))))
     both = both.withColumn("anchors", anchors)
     return both.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
@@ -174,8 +180,8 @@ def edited_pairs(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
         F.sha2(F.concat("kept", "tail").cast("binary"), 256).alias("edited_sha256"),
         "anchors",
         "edited_anchors",
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        likeness(hashes(F.col("anchors")), hashes(F.col("edited_anchors"))).alias("near_edited"),
+        likeness(hashes(F.col("anchors")), F.col("next_hashes")).alias("near_next"),
         F.nullif("next_id", F.lit(NO_ID)).alias("next_id"),
         "next_chars",
     )

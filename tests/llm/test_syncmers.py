@@ -101,6 +101,20 @@ def test_one_row_and_no_rows(spark):
     assert found_rows(spark.createDataFrame([], SCHEMA)) == []
 
 
+def test_texts_are_exchanged_once(spark, tmp_path):
+    """Both joins on the texts read one exchange; the syncmers are worked out before it."""
+    spark.createDataFrame([(i, f"text {i} " * 20, "", 0) for i in range(50)], SCHEMA).write.parquet(str(tmp_path / "d"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = syncmers.edited_pairs(spark.read.parquet(str(tmp_path / "d")))
+        assert len(found.collect()) == 50
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("ReusedExchange") >= 1
+
+
 def test_plan_has_no_python(spark):
     frame = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert "Python" not in catalog.op9(frame, "")._jdf.queryExecution().toString()
