@@ -198,3 +198,15 @@ def metrics_summary(t: Tables) -> DataFrame:
 )
 def metrics_trend(t: Tables) -> DataFrame:
     return M.trend(measured(t), moment("2024-01-28"), hours=168).withColumn("avg_value", F.round("avg_value", 6))
+
+
+@query(
+    "metric_selection",
+    """SELECT 'Completeness' AS metric_name, 'code' AS column_name, round(count(code) / count(*), 6) AS metric_value FROM dirty""",
+    ("dirty",),
+)
+def metric_selection(t: Tables) -> DataFrame:
+    """Checks that cannot be measured are left out, the usable one is not."""
+    checks = [Check("median", "value"), Check("uniqueness", "no_such_column"), Check("completeness"), COMPLETE[0]]
+    found = M.compute_metrics(dirty(t), checks, "events", 0, moment("2024-01-01"), strict=False)
+    return found.select("metric_name", "column_name", F.round("metric_value", 6).alias("metric_value"))

@@ -201,6 +201,20 @@ def dq_allowed_null_pass(t: Tables) -> DataFrame:
     return R.tag_failures(odd, rules).select("event_id", "code", "value", R.FAILED)
 
 
+@query(
+    "dq_lenient",
+    """SELECT event_id, CASE WHEN code IS NULL THEN 'r_code' END AS _failed_rule FROM dirty""",
+    ("dirty",),
+)
+def dq_lenient(t: Tables) -> DataFrame:
+    """Rules that cannot be judged are left out, the usable one is not."""
+    rules = [
+        Rule("r_type", "no_such_type", "code"), Rule("r_column", "not_null", "no_such_column"), Rule("r_max", "range", "value", {"max": "abc"}),
+        Rule("r_values", "allowed_values", "user_id", {"values": ["x"]}), Rule("r_code", "not_null", "code"),
+    ]
+    return R.tag_failures(dirty(t), rules, strict=False).select("event_id", R.FAILED)
+
+
 @query(
     "dq_unique_several",
     """

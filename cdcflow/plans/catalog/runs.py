@@ -13,9 +13,10 @@ from cdcflow.plans.catalog.base import BUILT_FROM, CTES, Tables, order_changes,
 from cdcflow.plans.catalog.feed import ORDERS, order_messages
 from cdcflow.session import scratch_dir, spread
 from cdcflow.sources.envelope import encode
+from cdcflow.sources.kafka import messages_of
 from cdcflow.sources.store import Store
-from cdcflow.spec import Check, Rule, TableSpec, Transform
-from cdcflow.streaming.streams import start_stream, write_batch
+from cdcflow.spec import Check, ColumnSpec, Rule, TableSpec, Transform
+from cdcflow.streaming.streams import start_all, start_stream, write_batch
 
 CHECKED_ORDERS = TableSpec(
     name="orders",
@@ -211,3 +212,62 @@ def stream_orders_run(t: Tables) -> DataFrame:
         )
         running.awaitTermination()
     return store.history(CHECKED_ORDERS).select(*OUTPUT)
+
+
+CLIENTS = TableSpec("clients", (ColumnSpec("c_custkey", "bigint"), ColumnSpec("c_mktsegment", "string")), ("c_custkey",))
+INNER = TableSpec("dq_metrics", (ColumnSpec("metric_name", "string"),), internal=True)
+
+
+@query(
+    "stream_two_tables",
+    """
+    SELECT 'orders' AS table_name, o_orderkey AS id, o_orderstatus AS state FROM order_ops WHERE _operation = 'INSERT'
+    UNION ALL SELECT 'clients', c_custkey, c_mktsegment FROM customer""",
+    ("order_ops",),
+)
+def stream_two_tables(t: Tables) -> DataFrame:
+    """A query for each table that has a stream; an empty batch follows the first, the internal table has none."""
+    root = scratch_dir(t.spark)
+    store = Store(t.spark, f"{root}/store")
+    load, _ = batches(t)
+    clients = encode(
+        t.customer, CLIENTS.column_names, operation=F.lit("load"), at=F.lit(FIRST_TIME), table="clients", keep=()
+    )
+    load.write.parquet(f"{root}/orders")
+    clients.write.parquet(f"{root}/clients")
+    shapes = {"orders": "offset int, value string", "clients": "value string"}
+
+    def source(spec: TableSpec) -> DataFrame:
+        return t.spark.readStream.schema(shapes[spec.name]).parquet(f"{root}/{spec.name}")
+
+    for _ in range(2):
+        for running in start_all([PLAIN_ORDERS, CLIENTS, INNER], source, store, f"{root}/checkpoints", trigger={"availableNow": True}):
+            running.awaitTermination()
+    orders = store.current(PLAIN_ORDERS).select(
+        F.lit("orders").alias("table_name"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state")
+    )
+    return orders.unionByName(
+        store.current(CLIENTS).select(
+            F.lit("clients").alias("table_name"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("state")
+        )
+    )
+
+
+@query(
+    "source_messages",
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS value, 'cdc-orders' AS topic,
+           CAST(o_orderkey % 3 AS INTEGER) AS partition, o_orderkey AS offset, o_orderdate AS message_time FROM orders""",
+)
+def source_messages(t: Tables) -> DataFrame:
+    """Orders in the shape that Spark's Kafka source has, as a stream of changes takes them."""
+    kafka = t.orders.select(
+        F.col("o_orderkey").cast("string").cast("binary").alias("key"),
+        F.col("o_orderstatus").cast("binary").alias("value"),
+        F.lit("cdc-orders").alias("topic"),
+        (F.col("o_orderkey") % 3).cast("int").alias("partition"),
+        F.col("o_orderkey").alias("offset"),
+        F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+        F.lit(0).alias("timestampType"),
+    )
+    return messages_of(kafka)
