@@ -130,3 +130,22 @@ def test_long_chains_are_one_component(spark):
     edges = [(i, i + 1) for i in range(0, 500)] + [(1000, 2000), (5, 5), (2000, 1000)]
     found = dict(connected(spark.createDataFrame(edges, "u long, v long")).collect())
     assert found == {**{i: 0 for i in range(501)}, 1000: 1000, 2000: 1000}
+
+
+def test_links_follow_the_exact_share_of_shingles(spark):
+    """Pairs just above 0.8 of distinct five-word shingles are all linked, pairs below it never."""
+    r = random.Random(11)
+    texts, wanted = [], []
+    for replaced in (12, 30):  # blocks of neighbours: each takes its own shingles and four more
+        for _ in range(60):
+            text = [f"{r.random():.9f}" for _ in range(300)]
+            at = r.randrange(10, 250)
+            other = text[:at] + [f"{r.random():.9f}" for _ in range(replaced + 12)] + text[at + replaced + 12 :]
+            a, b = ({tuple(t[i : i + 5]) for i in range(296)} for t in (text, other))
+            wanted.append(len(a & b) / len(a | b) >= 0.8)
+            texts += [" ".join(text), " ".join(other)]
+    assert sum(wanted) == 60
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x[0] for x in simhash.deduplicated(frame).select("doc_id").collect()}
+    assert [2 * i + 1 not in kept for i in range(len(wanted))] == wanted
+    assert all(2 * i in kept for i in range(len(wanted)))
