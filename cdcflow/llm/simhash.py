@@ -338,7 +338,9 @@ def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = 32, ratio: flo
     Two texts are near-duplicates if they share ``ratio`` of their distinct five-word shingles, counted exactly for
     all pairs whose 128-bit SimHash differs in 32 bits or fewer. Texts that share 0.8 differ in 19.4 bits with a
     deviation of 4.1, so about one such pair in a thousand is not looked at; no pair below 0.8 is linked.
-    Of rows with one doc_id the first by text stays. Rows without doc_id are kept apart by their text.
+    What goes is a row, named by its doc_id and a hash of its text: unlike texts with one doc_id are documents of
+    their own, and equal rows are one. Among alike texts with one doc_id the first by that hash stays. Rows without
+    doc_id are kept apart by their text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     known = rows.where("doc_id is not null")
@@ -352,10 +354,9 @@ def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = 32, ratio: flo
     of = named.join(heads, F.col("group") == F.col("head")).select(*(F.col(c).alias(f"class_{c}") for c in alike), "stays")
     test = [F.col(c) == F.col(f"class_{c}") for c in alike]
     placed = prints.join(of, test)
-    gone = placed.groupBy(F.col("doc_id").alias("gone")).agg(F.min("stays.doc_id").alias("least")).where("least < gone")
-    (order,) = fresh(docs, "_order")
-    alone = Window.partitionBy(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(
-        F.xxhash64("text"), "text"
-    )
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    gone = placed.where(F.struct("doc_id", "mark") > F.col("stays")).select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct()
+    order, key, mark = fresh(docs, "_order", "_key", "_mark")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64("text"))
+    kept = keyed.join(gone, (F.col(key) == F.col("gone")) & (F.col(mark) == F.col("gone_mark")), "left_anti")
+    alone = Window.partitionBy(key, mark).orderBy("text")
     return kept.withColumn(order, F.row_number().over(alone)).where(F.col(order) == 1).select(*docs.columns)

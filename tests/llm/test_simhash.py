@@ -149,3 +149,12 @@ def test_links_follow_the_exact_share_of_shingles(spark):
     kept = {x[0] for x in simhash.deduplicated(frame).select("doc_id").collect()}
     assert [2 * i + 1 not in kept for i in range(len(wanted))] == wanted
     assert all(2 * i in kept for i in range(len(wanted)))
+
+
+def test_unlike_texts_with_one_id_are_kept_apart(spark):
+    r = random.Random(12)
+    a, b, c = (" ".join(f"{r.random():.6f}" for _ in range(200)) for _ in range(3))
+    rows = [(1, a), (5, a + " end"), (5, b), (7, b), (8, c), (8, c), (8, c.replace(" ", "\n")), (9, None), (9, a + " other")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((x["doc_id"], (x["text"] or "").split()) for x in simhash.deduplicated(frame).collect())
+    assert kept == sorted((i, (t or "").split()) for i, t in [(1, a), (5, b), (8, c), (9, None)])
