@@ -20,8 +20,11 @@ PATTERNS = {
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-#: A run of these characters, at least so long, is a candidate of the battery.
-CANDIDATE, SHORTEST = r"[A-Za-z0-9+/_=-]", 20
+#: A run of these characters, at least so long, is a candidate of the battery; '=' is part of it only as padding.
+CANDIDATE, SHORTEST = r"[A-Za-z0-9+/_-]", 20
+PADDING = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: Parts of a candidate that are candidates too: what common prefixes, paths and separators leave of an alphabet.
+PARTS = (r"[A-Za-z0-9+/]", r"[A-Za-z0-9_-]", r"[A-Za-z0-9]")
 #: Alphabets by name, in the order in which they are tried; the first that holds all of a candidate is its encoding.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -77,6 +80,25 @@ def spans(text: Column, pattern: str, kind: str, wanted, prefilter: Column) -> C
     return F.when(prefilter, folded).otherwise(empty)
 
 
+def with_parts(candidate: Column) -> Column:
+    """A candidate and those of its parts that are long enough, each once."""
+    found = candidate["found"]
+    one = F.transform(F.array(candidate), lambda c: c)
+    mixed = found.rlike("[+/_-]")
+    parts = F.concat(*(spans(found, f"{p}{{{SHORTEST},}}(?:=+$)?", "random", lambda _: F.lit(True), mixed) for p in PARTS))
+    moved = F.transform(
+        parts,
+        lambda p: F.struct((p["start"] + candidate["start"]).alias("start"), p["kind"].alias("kind"), (p["end"] + candidate["start"]).alias("end"), p["found"].alias("found")),
+    )
+    return F.array_distinct(F.concat(one, moved))
+
+
+def outermost(found: Column) -> Column:
+    """The spans that lie in no other one."""
+    inside = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (a["end"] - a["start"] < b["end"] - b["start"])
+    return F.filter(found, lambda a: ~F.exists(found, lambda b: inside(a, b)))
+
+
 def known(text: Column) -> Column:
     """Spans of the known kinds, by start and then kind as listed."""
     lower = F.lower(text)
@@ -170,17 +192,18 @@ def battery(token: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, base and tested spans of every row: one pass over the texts, written to the shared folder.
 
-    ``base`` holds the known kinds; ``tested`` the candidates outside them that have an encoding and that the
-    battery does not reject as random, with their ``p`` (structured) and length class.
+    ``base`` holds the known kinds; ``tested`` the candidates outside them, and their parts, that have an encoding
+    and that the battery does not reject as random, with their ``p`` (structured) and length class.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    runs = f"{CANDIDATE}{{{SHORTEST},}}"
+    runs = f"{CANDIDATE}{{{SHORTEST},}}{PADDING}"
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", known(F.col("text")).alias("base"),
         spans(F.col("text"), runs, "random", lambda _: F.lit(True), F.col("text").rlike(runs)).alias("candidates"),
     )
     apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    tested = F.transform(F.filter("candidates", apart), lambda c: F.struct(c.alias("span"), battery(c["found"]).alias("b")))
+    parted = F.flatten(F.transform(F.filter("candidates", apart), with_parts))
+    tested = F.transform(parted, lambda c: F.struct(c.alias("span"), battery(c["found"]).alias("b")))
     kept = F.filter(tested, lambda t: t["b"]["encoding"].isNotNull() & (t["b"]["random"] > REJECT))
     shaped = F.transform(
         kept,
@@ -211,7 +234,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
     ``base`` are the known kinds: leftmost non-overlapping matches of each pattern that are long enough. ``spans``
     are these and the candidates of the battery that pass its false-discovery control, kind ``random``, by start and
-    then kind. Null texts are empty; rows without doc_id and repeated rows are scanned like others.
+    then kind; parts of a candidate that passes are left to it. Null texts are empty; rows without doc_id and repeated rows are scanned like others.
     """
     found = scanned(docs)
     # At most 31 length classes exist.
@@ -219,7 +242,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     below = lambda t: t["step"] <= F.element_at(F.array(*(F.lit(limits.get(c, -(1 << 30))) for c in range(32))), t["length_class"] + 1)
     passed = F.filter("tested", below)
     return found.select(
-        "doc_id", "base", by_start(F.concat("base", F.transform(passed, lambda t: t["span"]))).alias("spans")
+        "doc_id", "base", by_start(F.concat("base", outermost(F.transform(passed, lambda t: t["span"])))).alias("spans")
     )
 
 

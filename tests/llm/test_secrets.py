@@ -105,3 +105,16 @@ def test_no_rows(spark):
 def test_plan_has_no_python(spark):
     frame = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert "Python" not in registered_op3(frame)._jdf.queryExecution().toString()
+
+
+def test_secrets_behind_assignments_paths_and_prefixes_are_found(spark):
+    r = random.Random(6)
+    mixed = string.ascii_letters + string.digits
+    forms = ["auth={}", "sig={}", "aws_secret_access_key={}", "/v1_api/{}", "id-ab/{}", "x_{}=="]
+    tokens = [random_token(r, mixed, 44) for _ in range(20 * len(forms))]
+    texts = [f"é {forms[i % len(forms)].format(t)} end" for i, t in enumerate(tokens)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x["doc_id"]: x["text"] for x in secrets.redacted(docs).collect()}
+    for f, form in enumerate(forms):
+        gone = sum(tokens[i] not in found[i] and "[secret]" in found[i] for i in range(f, len(tokens), len(forms)))
+        assert gone >= 14, form
