@@ -36,8 +36,16 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: Excess of a structured text's character collisions over an even alphabet's, for each character, at least.
-EFFECT = 1.0
+# The six letters that most often follow each letter a to z in words and names.
+FOLLOWERS = (
+    "ntlrsc elouar oheatk eiaosu rnsdat oireat ehraio eaiotr ntsoce uoeais eisnay eiyalo eaoipm tgdeso nrufmt eroalt uaiest "
+    "eioast teihsu hieoar rsntlp eiaoyu iaheon ptaice osetmp eaiozy"
+).split()
+BIGRAMS = "|".join(a + b for a, after in zip("abcdefghijklmnopqrstuvwxyz", FOLLOWERS, strict=True) for b in after)
+#: Share of a structured text's letters that are among the followers of the letter before.
+FOLLOWING = 0.75
+#: Chances that a lower-case letter, capital, digit or sign of a structured text is followed by each of these.
+SWITCHES = ((0.84, 0.07, 0.05, 0.04), (0.40, 0.50, 0.06, 0.04), (0.08, 0.08, 0.80, 0.04), (0.50, 0.25, 0.20, 0.05))
 #: A candidate that the battery finds this unlikely to be random is none; share of false finds that is accepted.
 REJECT, DISCOVERY = 1e-3, 0.05
 #: p values are told apart in steps of a factor of 2 ** (1 / 4) for the false-discovery threshold.
@@ -129,6 +137,31 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _class(c: Column) -> Column:
+    """0 to 3: lower-case letter, capital, digit, sign."""
+    return F.when((c >= "a") & (c <= "z"), 0).when((c >= "A") & (c <= "Z"), 1).when((c >= "0") & (c <= "9"), 2).otherwise(3)
+
+
+def told(chars: Column) -> Column:
+    """Log likelihood of a list of characters as structured text: names, words, numbers and what joins them.
+
+    A chain: the class of a character follows that of the one before (SWITCHES; the first follows a sign), a letter
+    after a letter is one of its followers with the chance FOLLOWING, all else within a class is even.
+    """
+    before = F.concat(F.array(F.lit("/")), F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))))
+    pairs = F.arrays_zip(before.alias("x"), chars.alias("y"))
+    switch = F.array(*(F.lit(math.log(p)) for row in SWITCHES for p in row))
+    hit, miss, even = (F.lit(math.log(p)) for p in (FOLLOWING / 6 + (1 - FOLLOWING) / 26, (1 - FOLLOWING) / 26, 1 / 26))
+
+    def one(p: Column) -> Column:
+        x, y = _class(p["x"]), _class(p["y"])
+        follows = F.contains(F.lit(BIGRAMS), F.lower(F.concat(p["x"], p["y"])))
+        letter = F.when(x > 1, even).when(follows, hit).otherwise(miss)
+        return F.element_at(switch, 4 * x + y + 1) + F.when(y == 2, F.lit(-math.log(10))).when(y == 3, F.lit(-math.log(4))).otherwise(letter)
+
+    return F.aggregate(pairs, F.lit(0.0), lambda total, p: total + one(p))
+
+
 def battery(token: Column) -> Column:
     """(encoding, n, random, structured): how unlikely a random string, and a structured one, looks like this.
 
@@ -136,9 +169,10 @@ def battery(token: Column) -> Column:
     and letters, or both cases, to have one. With a characters in the alphabet and n in the string:
     chi-squared distance of its character counts from even ones (mean a - 1, variance 2 (a - 1)(n - 1) / n),
     the number of runs above and below the alphabet's middle, and the lag-1 serial correlation of places in the
-    alphabet give three z values; ``random`` is three times the smallest tail, at most 1. ``structured`` is the tail
-    of the same chi-squared distance for strings whose collisions exceed even ones by EFFECT or more for each
-    character, which grows decisive with n: a longer string needs less evidence elsewhere.
+    alphabet give three z values; ``random`` is three times the smallest tail, at most 1. ``structured`` is
+    the likelihood of the string as structured text (``told``) over that of even characters, at most 1: by Markov's
+    inequality a structured string is so unlike itself with no more than that chance. Letter pairs, changes between
+    cases, digits and signs all count, character by character, so 20 characters are decisive in every encoding.
     """
     body = F.regexp_replace(token, "=+$", "")
     letters = F.lit(None).cast("string")
@@ -151,7 +185,7 @@ def battery(token: Column) -> Column:
         places = F.transform(x["chars"], lambda c: F.position(c, x["letters"]).cast("double"))
         counts = F.transform(F.array_distinct(x["chars"]), lambda c: F.size(F.filter(x["chars"], lambda d: d == c)).cast("double"))
         return F.struct(
-            x["letters"].alias("letters"), F.char_length(x["letters"]).cast("double").alias("a"), F.size(x["chars"]).cast("double").alias("n"),
+            told(x["chars"]).alias("told"), x["letters"].alias("letters"), F.char_length(x["letters"]).cast("double").alias("a"), F.size(x["chars"]).cast("double").alias("n"),
             places.alias("places"), F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c).alias("squares"),
             (F.aggregate(places, F.lit(0.0), lambda s, p: s + p) / F.size(places)).alias("mean"),
         )
@@ -161,7 +195,7 @@ def battery(token: Column) -> Column:
         total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, p: s + f(p))
         high = lambda p: p > x["a"] / 2
         return F.struct(
-            x["letters"].alias("letters"), x["a"].alias("a"), x["n"].alias("n"), (x["squares"] * x["a"] / x["n"] - x["n"]).alias("chi"),
+            x["told"].alias("told"), x["letters"].alias("letters"), x["a"].alias("a"), x["n"].alias("n"), (x["squares"] * x["a"] / x["n"] - x["n"]).alias("chi"),
             total(x["places"], lambda p: high(p).cast("double")).alias("above"),
             (1 + total(pairs, lambda p: (high(p["x"]) != high(p["y"])).cast("double"))).alias("runs"),
             total(x["places"], lambda p: (p - x["mean"]) * (p - x["mean"])).alias("variance"),
@@ -171,7 +205,6 @@ def battery(token: Column) -> Column:
     def judged(x: Column) -> Column:
         n, a = x["n"], x["a"]
         z_chi = (x["chi"] - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
-        z_structured = (x["chi"] - (a - 1) - n * EFFECT) / F.sqrt(2 * (a - 1) + 4 * n * EFFECT)
         expected = 1 + 2 * x["above"] * (n - x["above"]) / n
         spread = (expected - 1) * (expected - 2) / (n - 1)
         z_runs = F.when(spread > 0, (x["runs"] - expected) / F.sqrt(spread)).otherwise(F.lit(9.0))
@@ -179,7 +212,7 @@ def battery(token: Column) -> Column:
         tails = [2 * normal_below(-F.abs(z)) for z in (z_runs, z_serial)]
         return F.struct(
             x["letters"].alias("encoding"), n.cast("int").alias("n"),
-            F.least(F.lit(1.0), 3 * F.least(normal_below(-z_chi), *tails)).alias("random"), normal_below(z_structured).alias("structured"),
+            F.least(F.lit(1.0), 3 * F.least(normal_below(-z_chi), *tails)).alias("random"), F.exp(F.least(F.lit(0.0), x["told"] + n * F.log(a))).alias("structured"),
         )
 
     # Each step is a list of one, so that it is worked out once and not wherever it is used.

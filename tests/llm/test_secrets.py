@@ -118,3 +118,16 @@ def test_secrets_behind_assignments_paths_and_prefixes_are_found(spark):
     for f, form in enumerate(forms):
         gone = sum(tokens[i] not in found[i] and "[secret]" in found[i] for i in range(f, len(tokens), len(forms)))
         assert gone >= 14, form
+
+
+def test_short_tokens_are_found_among_harmless_names(spark):
+    r = random.Random(8)
+    names = "get set user name file path list value index count token parse read write open close data table row shard".split()
+    tokens = [random_token(r, secrets.ALPHABETS[e], n) for e in ("hex", "base32", "base36", "base62") for n in (20, 24) for _ in range(25)]
+    harmless = ["_".join(r.choice(names) for _ in range(6)) + str(r.randint(1, 2030)) for _ in range(300)]
+    harmless += ["".join(r.choice(names).capitalize() for _ in range(6)) + str(r.randint(1, 99)) for _ in range(300)]
+    texts = [f"{t} end" for t in tokens + harmless]
+    found = secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    hit = {x["doc_id"] for x in found if x["spans"]}
+    assert sum(i < len(tokens) for i in hit) >= 0.95 * len(tokens)
+    assert sum(i >= len(tokens) for i in hit) <= 0.05 * len(hit)
