@@ -53,22 +53,60 @@ def pieces(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, list[str
         yield start, held
 
 
-def target_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> tuple[np.ndarray, float]:
-    """Ids of labelled target documents (quality 1 in all their labels), and the upper bound of their share.
+def target_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of labelled target documents (quality 1 in all their labels), and of the other labelled ones.
 
-    At most about ``rows`` of them, a share by hash of the id, train the target model. The share is that of the
-    labels, raised by a standard error, so that sampling keeps rather too many documents than too few.
+    At most about ``rows`` of each, a share by hash of the id: the first train the target model, both fit the border.
     """
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    each = marked.agg(F.min("quality").alias("quality"))
-    total, good = each.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
-    if not good:
-        return np.zeros(0, dtype=np.int64), 1.0
-    part = min(1.0, rows / good)
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * part)
-    ids = [r[0] for r in each.where("quality = 1").where(chosen).select("doc_id").collect()]
-    share = good / total
-    return np.sort(np.array(ids, dtype=np.int64)), min(1.0, share + math.sqrt(share * (1 - share) / total) + 1 / total)
+    each = marked.agg(F.min("quality").alias("quality")).withColumn("good", F.col("quality") == 1)
+    sizes = {r["good"]: r["count"] for r in each.groupBy("good").count().collect()}
+    out = []
+    for good in (True, False):
+        part = min(1.0, rows / sizes.get(good, 1))
+        chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * part)
+        ids = [r[0] for r in each.where(F.col("good") == good).where(chosen).select("doc_id").collect()]
+        out.append(np.sort(np.array(ids, dtype=np.int64)))
+    return out[0], out[1]
+
+
+def fitted_border(good: np.ndarray, bad: np.ndarray) -> tuple[float, float, float]:
+    """The value that best tells two samples apart, and the shares of both at or above it.
+
+    The sum of the shares on the wrong side is least; of equal borders the lowest is taken, just above a bad one, so
+    that rather too many documents count as good. The mix of the samples plays no part.
+    """
+    if not len(bad) or not len(good):
+        return -math.inf, 1.0, 1.0
+    values = np.unique(np.concatenate([good, bad]))
+    borders = np.append(values, np.inf)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), borders) / len(x)
+    of_good, of_bad = above(good), above(bad)
+    best = int(np.argmax(of_good - of_bad > np.max(of_good - of_bad) - 1e-12))
+    border = borders[best] if best == 0 else np.nextafter(values[best - 1], np.inf)
+    return float(border), float(of_good[best]), float(of_bad[best])
+
+
+def good_rows(scored: DataFrame, good: np.ndarray, bad: np.ndarray) -> int:
+    """How many rows are good: those at or above the border fitted between labelled good and bad documents.
+
+    The count is raised by what the border misses, known from the labelled ones, if that is more than the bad rows
+    it lets in; so it follows the rows, not the mix of the labels.
+    """
+    sent = scored.sparkSession.sparkContext.broadcast(np.union1d(good, bad))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            yield batch.filter(pa.array(np.isin(ids, sent.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
+
+    found = scored.select("doc_id", "log_weight").mapInArrow(run, "doc_id long, log_weight double")
+    # One row for each labelled id.
+    weights = dict(map(tuple, found.groupBy("doc_id").agg(F.avg("log_weight")).collect()))
+    border, of_good, of_bad = fitted_border(*(np.array([weights[i] for i in ids.tolist() if i in weights]) for ids in (good, bad)))
+    rows, above = scored.agg(F.count("*"), F.coalesce(F.sum((F.col("log_weight") >= F.lit(border)).cast("long")), F.lit(0))).first()
+    true = (above - of_bad * rows) / (of_good - of_bad) if of_good > of_bad else rows
+    return min(rows, max(above, math.ceil(true)))
 
 
 def log_ratios(docs: DataFrame, target: np.ndarray) -> np.ndarray:
@@ -154,15 +192,15 @@ def sampled(docs: DataFrame, labels: DataFrame, share: float | None = None) -> D
 
     Importance resampling: each document weighs the ratio of two bags of hashed words and word pairs, the target one
     (documents labelled quality 1) and the raw one (all rows), both counted over whole texts; Gumbel top-k keeps
-    ``share`` of all rows, by default the share of target documents among the labelled ones. Junk, of n-grams that
+    ``share`` of all rows, by default as many as lie on the good side of a border fitted between labelled good and
+    bad documents (``good_rows``). Junk, of n-grams that
     the target lacks, falls far behind. Null and empty texts weigh 1 (log 0). Repeated rows share a key and
     its fate, so ties at the border are kept. Without target labels every row is kept.
     """
-    target, found = target_sample(labels)
-    share = found if share is None else share
+    target, other = target_sample(labels)
     scored = written(weighed(docs, log_ratios(docs, target)))
     rows = scored.count()
-    k = math.ceil(share * rows)
+    k = math.ceil(share * rows) if share is not None else good_rows(scored, target, other) if len(target) else rows
     border = kth_largest(scored, "sample_key", k) if 0 < k < rows else -math.inf if k else math.inf
     return scored.withColumn("kept", F.col("sample_key") >= F.lit(border))
 

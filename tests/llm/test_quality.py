@@ -93,3 +93,18 @@ def test_rows_of_all_kinds(spark):
     assert quality.sampled(docs, odd, share=0.0).where("kept").count() == 0
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.sampled(empty, odd).count() == 0 and quality.accepted(empty, odd).count() == 0
+
+
+def test_the_kept_share_follows_the_rows_not_the_labels(spark):
+    """Half of the labels are bad, one row in twenty is: nearly all clean rows stay and the junk goes."""
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(1000):
+        junk = i % 20 == 0
+        rows.append((i, " ".join(f"!!{w}##" if junk else w for w in r.choices(words, k=100)), "x", "y"))
+        if junk or i % 20 == 7:
+            labels.append((i, int(not junk), 0))
+    kept = {x["doc_id"] for x in quality.accepted(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)).collect()}
+    assert sum(i in kept for i in range(1000) if i % 20) >= 940
+    assert sum(i in kept for i in range(0, 1000, 20)) <= 5
