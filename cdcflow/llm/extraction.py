@@ -19,11 +19,12 @@ FEATURES, PAGES, PASSES, RATE, DECAY = 1 << 14, 500, 8, 0.2, 1e-4
 
 # Names of HTML elements by their part in the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
+RAW = frozenset("script style template iframe textarea title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle semantics".split()
 )
+MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle semantics".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol "
     "p pre section table ul".split()
@@ -35,6 +36,7 @@ PART = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
+SVG = re.compile(r"<(/?)svg(?=[\s/>])((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>", re.I)
 NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -48,11 +50,24 @@ class Block:
     names: tuple[str, ...]
 
 
+def past_drawing(source: str, at: int) -> int:
+    """Where the svg element ends whose start tag ends at ``at``, inner ones counted; ``at`` itself if it never does."""
+    depth = 1
+    for match in SVG.finditer(source, at):
+        if match[1]:
+            depth -= 1
+        elif not match[2].endswith("/"):
+            depth += 1
+        if not depth:
+            return match.end()
+    return at
+
+
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in order: runs of text between the borders of block elements.
 
     Character references are decoded, white space inside a block (line breaks too) becomes one space, empty blocks
-    are left out. Scripts, styles, comments, titles and other markup hold no blocks. Paragraphs, list items and cells
+    are left out. Scripts, styles, drawings, comments, titles and other markup hold no blocks; formulas are part of theirs. Paragraphs, list items and cells
     end where HTML lets them; stray end tags are ignored, and what is open at the end is closed.
     """
     out: list[Block] = []
@@ -110,6 +125,11 @@ def blocks(page: str | None) -> list[Block]:
             stop = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(source, at)
             at = stop.end() if stop else end
             continue
+        if tag == "svg":
+            at = at if match[3].endswith("/") else past_drawing(source, at)
+            continue
+        if tag in MATH and match[3].endswith("/"):
+            continue
         if tag in VOID:
             if tag in INLINE:
                 held.append(" " if tag == "br" else "")
@@ -288,6 +308,8 @@ class PageMaker:
                 s = f"<b>{s}</b>" if self.r.random() < 0.5 else f"<b>{s}"
             if self.r.random() < 0.05:
                 s = s.upper()
+            if self.r.random() < 0.05:
+                s += self.r.choice((' <svg class="icon" viewBox="0 0 9 9"/>', " <svg><svg><path d='M0'/></svg></svg>", f" <math><mi>{self.word()}</mi><mo/></math>"))
             out.append(s + self.r.choice((".", ".", ".", "!", "?", "")))
         return self.r.choice((" ", " ", "<br>")).join(out)
 
@@ -302,8 +324,11 @@ class PageMaker:
             elif kind < 0.93:
                 items = [(f"<li>{self.prose()}</li>", 1) for _ in range(self.r.randint(2, 5))]
                 parts += [("<ul>", -1), *items, ("</ul>", -1)]
-            else:
+            elif kind < 0.97:
                 parts.append((f"<blockquote>{self.prose()}</blockquote>", 1))
+            else:
+                tag = self.r.choice(("noscript", "object"))
+                parts.append((f"<{tag}><p>{self.prose()}</p></{tag}>", 1))
         return parts
 
     def boxed(self, tag: str, names: str, inner: list[tuple[str, int]]) -> list[tuple[str, int]]:

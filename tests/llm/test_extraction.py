@@ -89,3 +89,18 @@ def test_rows_of_all_kinds(spark, field):
         [(1, "u", "", 0), (1, "u", "", 0), (None, None, "", 0), (2, None, "", 0), (3, "u", long, len(long)), (4, "u", "", 0)], key=repr
     )
     assert X.extracted(spark.createDataFrame([], frame.schema), field).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<p>a <svg class='i'/> b</p><p>c</p>", ["a b", "c"]),
+        ("<p>a <svg viewBox='0 0 1 1' /> b</p><svg><text>no</text></svg><p>c</p>", ["a b", "c"]),
+        ("<p>a<svg><g><svg><text>no</text></svg><text>no</text></g></svg>b</p>", ["ab"]),
+        ("<p>a<svg><path d='M0'><p>b</p>", ["a", "b"]),
+        ("<p>x <math><mi>y</mi><mo/><mn>2</mn></math> z</p><p>a <math/> b</p>", ["x y2 z", "a b"]),
+        ("<noscript><p>one</p></noscript><object data='x'>two</object>three", ["one", "two", "three"]),
+    ],
+)
+def test_drawings_formulas_and_fallbacks(page, wanted):
+    assert texts(page) == wanted
