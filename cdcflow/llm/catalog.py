@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cdcflow.llm import extraction, langid, mixing, packing, quality, secrets, simhash, syncmers, topk, warc
+from cdcflow.llm import centroids, extraction, langid, mixing, packing, quality, secrets, simhash, syncmers, topk, warc
 from cdcflow.llm.common import ship
 from cdcflow.session import written
 
@@ -166,6 +166,37 @@ def op10(docs: DataFrame, folder: str) -> DataFrame:
     return quality.sampled(docs, labels).drop("mark")
 
 
+def _kmeans_sql(rounds: int) -> str:
+    """The rounds written out one after the other: assignment depends on the vector alone, so equal ones share it."""
+    step = """
+    a{i} AS (SELECT x, min(struct_pack(d := d, c := c)) AS best FROM (
+        SELECT u.x, c, CAST(list_sum(list_transform(list_zip(u.x, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM u, c{i}) GROUP BY x)"""
+    move = """
+    s{i} AS (SELECT best.c AS c, k, CAST(sum(x[k]) AS BIGINT) AS s, count(*) AS n
+             FROM e JOIN a{i} USING (x), range(1, 65) r(k) GROUP BY ALL),
+    c{j} AS (SELECT c, coalesce(w, v) AS v FROM c{i} LEFT JOIN (
+        SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k) AS w FROM s{i} GROUP BY c) USING (c))"""
+    parts = [step.format(i=i) + "," + move.format(i=i, j=i + 1) for i in range(rounds)]
+    return f"""
+    WITH e AS MATERIALIZED (
+        SELECT vec_id, list_transform(embedding, lambda y: CAST(floor(64 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+    u AS (SELECT DISTINCT x FROM e),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS c, x AS v FROM e QUALIFY c < 16),
+    {",".join(parts)},{step.format(i=rounds)},
+    f AS (SELECT vec_id, best.c AS c, best.d AS d FROM e JOIN a{rounds} USING (x))
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+           CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+    FROM f JOIN c{rounds} USING (c)
+    """
+
+
+@query("op13_centroids", "embeddings", _kmeans_sql(3))
+def op13(embeddings: DataFrame, folder: str) -> DataFrame:
+    return centroids.clustered(embeddings)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
