@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cdcflow.llm import centroids, extraction, langid, mixing, packing, quality, secrets, simhash, syncmers, topk, warc
+from cdcflow.llm import centroids, extraction, hostrules, langid, mixing, packing, quality, secrets, simhash, syncmers, topk, warc
 from cdcflow.llm.common import ship
 from cdcflow.session import written
 
@@ -166,6 +166,53 @@ def op10(docs: DataFrame, folder: str) -> DataFrame:
     return quality.sampled(docs, labels).drop("mark")
 
 
+def _hosts_sql(limit: float) -> str:
+    """Counts of each document, then rates of each host by rule, shrunk by the prior that moments give."""
+    rules = {
+        "short": "n_words < 20",
+        "repetitive": "100 * n_repeat_words > 30 * n_words",
+        "symbols": "10 * n_symbols > n_words",
+        "lines": "100 * n_dup_lines > 30 * n_lines",
+    }
+    rated = " UNION ALL ".join(f"SELECT source, '{r}' AS rule, count(*) AS n, count(*) FILTER ({c}) AS f FROM q GROUP BY source" for r, c in rules.items())
+    return rf"""
+    WITH d AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    l AS (SELECT r, list_filter(str_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    g AS (SELECT r, i, w[i : i + 7] AS g FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
+    o AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+    p AS (SELECT r, count(DISTINCT i + k) AS n FROM o, range(8) AS x(k) GROUP BY r),
+    q AS MATERIALIZED (
+        SELECT doc_id, source, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+               len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+               len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+               coalesce(p.n, 0) AS n_repeat_words
+        FROM d JOIN l USING (r) LEFT JOIN p USING (r)),
+    h AS (SELECT * FROM ({rated}) WHERE source IS NOT NULL),
+    m AS (
+        SELECT rule, count(*) - 1 AS others, sum(n) AS rows, sum(f) / sum(n) AS mean, sum(f * f / n) - sum(f) * sum(f) / sum(n) AS spread,
+               sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room FROM h GROUP BY rule),
+    s AS (
+        SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND room > 0
+            THEN greatest(0, least(1, (spread / (mean * (1 - mean)) - others) / room)) ELSE 0 END AS share FROM m),
+    v AS (
+        SELECT source, bool_and(rate - CASE WHEN share > 0 THEN sqrt(rate * (1 - rate) / (n + 1 / share)) ELSE 0 END <= {limit}) AS host_kept
+        FROM (SELECT *, CASE WHEN share > 0 THEN (f + (1 / share - 1) * mean) / (n + (1 / share - 1)) ELSE mean END AS rate
+              FROM h JOIN s USING (rule)) GROUP BY source)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND coalesce(host_kept, TRUE) AS kept
+    FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM q) LEFT JOIN v USING (source)
+    """
+
+
+@query("op11_host_rules", "documents", _hosts_sql(0.5))
+def op11(docs: DataFrame, folder: str) -> DataFrame:
+    return hostrules.judged(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def _kmeans_sql(rounds: int) -> str:
     """The rounds written out one after the other: assignment depends on the vector alone, so equal ones share it."""
     step = """
