@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cdcflow.llm import centroids, extraction, hostrules, langid, mixing, packing, quality, secrets, simhash, syncmers, topk, warc
+from cdcflow.llm import centroids, conversations, extraction, hostrules, langid, mixing, packing, quality, secrets, simhash, syncmers, topk, warc
 from cdcflow.llm.common import ship
 from cdcflow.session import written
 
@@ -213,6 +213,70 @@ def op11(docs: DataFrame, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op12_conversations",
+    "conversations",
+    r"""
+    WITH RECURSIVE crc AS (
+        SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    src AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+    way AS (
+        SELECT src.*, xor(list_reduce([4294967295] || list_transform(str_split(name, ''), lambda b: CAST(ascii(b) AS BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS way FROM src, crc),
+    hurt AS (
+        SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM way, range(2) AS c(copy) WHERE way <> 0 AND (copy = 0 OR way = 3)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(len(role) || ':' || role || text)) AS k FROM hurt),
+    f AS (
+        SELECT *, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before,
+               CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault FROM n),
+    step(p, i, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+    put(p, q, c, a) AS (
+        VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (3, 2, 2, 'I'), (2, 3, 2, 'I'),
+               (0, 3, 4, 'II'), (1, 3, 4, 'II')),
+    edit AS (
+        SELECT conv_id, k, p, p AS q, 3 AS c, 'D' AS a FROM f, (SELECT DISTINCT p FROM put)
+        UNION ALL
+        SELECT conv_id, k, p, q, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END + CASE e WHEN 'R' THEN 2 ELSE 0 END, e
+        FROM f, step, (VALUES ('K'), ('R')) AS v(e)
+        WHERE fault NOT IN ('blank', 'duplicate') AND (CASE e WHEN 'K' THEN f.i = step.i ELSE step.i <> 's' END)),
+    way_on AS (SELECT conv_id, k, edit.p, put.q, edit.c + put.c AS c, edit.a || put.a AS a FROM edit JOIN put ON put.p = edit.q),
+    cell AS (
+        SELECT conv_id, CAST(0 AS BIGINT) AS k, q, struct_pack(c := c, a := a) AS best FROM (SELECT DISTINCT conv_id FROM conversations), put WHERE p = 0
+        UNION ALL
+        SELECT cell.conv_id, w.k, w.q, min(struct_pack(c := best.c + w.c, a := best.a || w.a)) FROM cell
+        JOIN way_on w ON cell.conv_id IS NOT DISTINCT FROM w.conv_id AND w.k = cell.k + 1 AND w.p = cell.q GROUP BY cell.conv_id, w.k, w.q),
+    best AS (SELECT conv_id, arg_max(best, k) AS best FROM (SELECT conv_id, k, min(best) AS best FROM cell WHERE q IN (0, 3) GROUP BY conv_id, k) GROUP BY conv_id),
+    letter AS (
+        SELECT conv_id, j, best.a[j] AS e, count(*) FILTER (best.a[j] <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS k
+        FROM best, LATERAL unnest(range(1, len(best.a) + 1)) AS u(j)),
+    stay AS (
+        SELECT l.conv_id, j, e, row_number() OVER w AS m, role, CASE e WHEN 'I' THEN '' ELSE text END AS text,
+               first_value(e = 'K' AND left(role, 1) = 's') OVER w AS led
+        FROM letter l LEFT JOIN f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.k = f.k WHERE e <> 'D'
+        WINDOW w AS (PARTITION BY l.conv_id ORDER BY j)),
+    whole AS (
+        SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (m + CAST(coalesce(led, FALSE) AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                   || ':' || text, chr(10) ORDER BY j) AS t FROM stay GROUP BY conv_id),
+    facts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+    SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+    FROM best LEFT JOIN facts ON best.conv_id IS NOT DISTINCT FROM facts.conv_id LEFT JOIN whole ON best.conv_id IS NOT DISTINCT FROM whole.conv_id
+    """,
+)
+def op12(turns: DataFrame, folder: str) -> DataFrame:
+    return conversations.repairs(conversations.damaged(turns), turns)[0]
+
+
 def _kmeans_sql(rounds: int) -> str:
     """The rounds written out one after the other: assignment depends on the vector alone, so equal ones share it."""
     step = """
