@@ -98,6 +98,9 @@ def apply_changes(
     if target is None:
         rebuilt = _rebuild(arriving, key, order, hot, columns)
         return rebuilt if keep_deletes else versions(rebuilt)
+    # The joins below hide how much is there at most.
+    if hot is not None and not hot.possible(target, staged):
+        hot = None
     # What ended before the first change of the whole batch takes no part: it is neither
     # joined nor shuffled, which leaves little more than the open versions.
     floor = staged.agg(F.min(FROM)).scalar()
@@ -133,6 +136,8 @@ def drop_unchanged(
     compared with today's version. Values are compared one by one, NULL equal to NULL.
     """
     key = list(key)
+    if hot is not None and not hot.possible(target, staged):
+        hot = None
     held = F.struct(*[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])
     first = staged.groupBy(*key).agg(F.min(FROM).alias("_since"))
     near = target.join(first, key).filter(F.col(TO).isNull() | (F.col(TO) > F.col("_since")))

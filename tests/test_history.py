@@ -261,3 +261,37 @@ def test_a_delete_without_a_version_ends_what_arrives_later(spark, hot):
         history = spark.createDataFrame(merged.collect(), merged.schema)
         wanted = [] if change[2] == "DELETE" and change[3] == 5 and history.count() == 1 else [(7, at(2), at(5))]
         assert rows(H.versions(history), "v", "_effective_from", "_effective_to") == wanted
+
+
+def test_many_cut_points_are_searched_in_two_steps(spark):
+    """One key of all rows with more cut points than one array holds, adaptive execution off."""
+    df = spark.range(60_000).selectExpr("1 AS k", "timestamp_seconds(pmod(hash(id), 1000)) AS t", "id AS seq")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spans = skew.with_spans(df, ["k"], ["t", "seq"], skew.HotKeys(rows=200, depth=200))
+        sizes = spans.groupBy("_span").agg(F.count("*").alias("n"), F.min(F.struct("t", "seq")).alias("a"), F.max(F.struct("t", "seq")).alias("b"))
+        found = sizes.orderBy("_span").collect()
+        assert [r["_span"] for r in found] == list(range(300)) and {r["n"] for r in found} == {200}
+        assert all(x["b"] < y["a"] for x, y in zip(found, found[1:]))
+        following = skew.next_time(df, ["k"], ["t", "seq"], "n", skew.HotKeys(rows=200, depth=200))
+        assert following.exceptAll(skew.next_time(df, ["k"], ["t", "seq"], "n", None)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_cut_points_and_split_keys_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST", 10)
+    df = spark.range(6_000).selectExpr("id % 20 AS k", "id AS t")
+    spans = skew.with_spans(df, ["k"], ["t"], skew.HotKeys(rows=100, depth=100))
+    found = spans.filter("_hot").groupBy("k").agg(F.countDistinct("_span").alias("n")).collect()
+    assert len(found) <= 10 and sum(r["n"] - 1 for r in found) <= 10
+    plain = skew.neighbours(df, ["k"], ["t"], F.col("t"), None)
+    assert skew.neighbours(df, ["k"], ["t"], F.col("t"), skew.HotKeys(rows=100, depth=100)).exceptAll(plain).count() == 0
+
+
+def test_small_frames_are_not_sampled(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS k", "id AS t")
+    assert not skew.DEFAULT.possible(df, df) and skew.HotKeys(rows=100).possible(df)
+    for hot, sampled in ((skew.DEFAULT, False), (skew.HotKeys(rows=100), True)):
+        plan = skew.next_time(df, ["k"], ["t"], "n", hot)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_apart" in plan) == sampled
