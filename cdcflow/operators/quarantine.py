@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from cdcflow.functions.columns import hour_label
 from cdcflow.operators.rules import FAILED, OPERATION, WARNED
 from cdcflow.sources.envelope import CONTROL, KIND, MALFORMED, ROW
 
 PARTITIONS = ["table_name", "run_date", "batch_id"]
+COUNTS = (
+    "table_name string, batch_id bigint, messages bigint, malformed_count bigint, control_count bigint, total_rows bigint, "
+    "quarantined_count bigint, unknown_count bigint, staged_count bigint, failed_rules array<string>, path string, "
+    "quarantined_at timestamp, first_change timestamp"
+)
 
 
 def quarantine_frame(tagged: DataFrame, table: str, batch_id: int | Column, at: Column) -> DataFrame:
@@ -111,6 +119,41 @@ def batch_counts(
     )
 
 
+def observed(
+    classified: DataFrame, tagged: DataFrame, rules: Sequence[str], frame: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, Callable[[], dict[str, Any]]]:
+    """``frame`` of the tagged rows, and what ``batch_counts`` counts of the messages once that frame is written.
+
+    Both inputs are counted in the stage that writes, as rows pass by; of the classified messages
+    none goes on. Each rule has a counter of its own, which tells the rules that failed.
+    """
+    messages, rows = Observation(), Observation()
+    kinds = {"malformed_count": MALFORMED, "control_count": CONTROL, "total_rows": ROW}
+    seen = classified.observe(messages, F.count("*").alias("messages"), *[F.count_if(F.col(KIND) == k).alias(n) for n, k in kinds.items()])
+    judged = tagged.observe(
+        rows,
+        F.count(FAILED).alias("quarantined_count"),
+        F.count_if(F.col(OPERATION) == "UNKNOWN").alias("unknown_count"),
+        *[F.count_if(F.col(FAILED) == r).alias(f"rule{i}") for i, r in enumerate(rules)],
+    )
+    kept = frame(judged)
+    none = seen.filter(~F.col(KIND).isin(ROW, CONTROL, MALFORMED)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema])
+
+    def counts() -> dict[str, Any]:
+        found = {**messages.get, **rows.get}
+        failed = sorted({r for i, r in enumerate(rules) if found[f"rule{i}"]})
+        return {**{k: v for k, v in found.items() if not k.startswith("rule")}, "failed_rules": failed}
+
+    return kept.unionAll(none), counts
+
+
+def counts_row(spark: SparkSession, counts: dict[str, Any], table: str, batch_id: int, at: dt.datetime, path: str) -> DataFrame:
+    """Observed counts of a batch as the row that ``batch_counts`` would give, and when its changes begin."""
+    whole = {**counts, "table_name": table, "batch_id": batch_id, "path": path, "quarantined_at": at}
+    zoned = {k: v.replace(tzinfo=dt.timezone.utc) if isinstance(v, dt.datetime) else v for k, v in whole.items()}
+    return spark.createDataFrame([tuple(zoned[f.split()[0]] for f in COUNTS.split(", "))], COUNTS)
+
+
 def by_rule(quarantined: DataFrame) -> DataFrame:
     """What is set aside and why: rows per table, rule and hour."""
     return quarantined.groupBy("table_name", FAILED, "run_date").agg(F.count("*").alias("rows"))

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -31,6 +32,8 @@ class BatchResult:
     counts: DataFrame
     staged: DataFrame
     merge: Callable[[DataFrame], DataFrame]
+    #: What the job that wrote ``quarantined`` saw of all messages, if the batch was run with ``observe``.
+    observed: Callable[[], dict[str, Any]] = dict
 
     @cached_property
     def history(self) -> DataFrame:
@@ -64,12 +67,14 @@ def run_batch(
     quarantine_path: str = "",
     classified: DataFrame | None = None,
     tagged: DataFrame | None = None,
+    observe: bool = False,
 ) -> BatchResult:
     """The outputs of a batch at ``batch_time`` (UTC). Nothing runs until one is used.
 
     ``skip_unchanged`` drops updates that repeat the values their key held just before, in
     the batch or in ``target``. A caller that uses several outputs can pass persisted
-    ``classified`` messages and ``tagged`` rows.
+    ``classified`` messages and ``tagged`` rows, and have them counted by the job that writes
+    ``quarantined``.
     """
     at = F.lit(batch_time.replace(tzinfo=dt.timezone.utc))
     hot = skew.DEFAULT if keep_intermediate else None
@@ -83,10 +88,15 @@ def run_batch(
         passing = {*spec.primary_key, *spec.ordering, H.OPERATION, CHANGED_AT, *H.VERSION_COLUMNS}
         values = [c for c in staged.columns if c not in passing]
         staged = H.drop_unchanged(target, staged, spec.primary_key, values, spec.ordering, hot)
+    quarantined, observed = Q.quarantine_frame(tagged, spec.name, batch_id, at), dict
+    if observe:
+        rules = ["primary_key", *(r.id for r in spec.rules)]
+        quarantined, observed = Q.observed(classified, tagged, rules, lambda rows: Q.quarantine_frame(rows, spec.name, batch_id, at))
     return BatchResult(
         tagged=tagged,
         metrics=metrics,
-        quarantined=Q.quarantine_frame(tagged, spec.name, batch_id, at),
+        quarantined=quarantined,
+        observed=observed,
         summary=Q.summary(tagged, spec.name, batch_id, at, quarantine_path),
         counts=Q.batch_counts(classified, tagged, staged, spec.name, batch_id, at, quarantine_path),
         staged=staged,

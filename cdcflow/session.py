@@ -49,10 +49,24 @@ def scratch_dir(spark: SparkSession) -> str:
 def clear_scratch() -> None:
     """Delete what this process wrote below the shared folder, once no frame that reads it is needed any more."""
     while _made:
-        path = _made.pop()
-        system, place = fs.FileSystem.from_uri(path if ":/" in path else f"file://{os.path.abspath(path)}")
-        if system.get_file_info(place).type != fs.FileType.NotFound:
-            system.delete_dir(place)
+        remove_folder(_made.pop())
+
+
+def remove_folder(path: str) -> None:
+    system, place = _system(path)
+    if system.get_file_info(place).type != fs.FileType.NotFound:
+        system.delete_dir(place)
+
+
+def folders_in(path: str) -> list[str]:
+    """Names of the folders directly below ``path``, none where it does not exist."""
+    system, place = _system(path)
+    found = system.get_file_info(fs.FileSelector(place, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.type == fs.FileType.Directory)
+
+
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if ":/" in path else f"file://{os.path.abspath(path)}")
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -14,18 +14,26 @@ files from before a column was added give NULL for it.
     <root>/quarantine/table_name=T/run_date=H/batch_id=N
     <root>/metrics | summary/table_name=T/batch_id=N
 
+A base is sorted by key within its files, which also carry bloom filters of the key, so one
+key's versions are found without reading the rest. The marker of a base tells until when the
+versions it closed were valid, and a batch's summary when its changes begin, so a read at one
+moment passes over folders that have nothing of that time.
+
 Times are kept in UTC, so the session has to run in that zone.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
 from cdcflow.operators import history as H, skew
 from cdcflow.plans.batch import staged_schema
+from cdcflow.session import folders_in, remove_folder
 from cdcflow.spec import TableSpec, parse_type
 
 # Names of the zone whose times are those of UTC.
@@ -39,7 +47,7 @@ METRICS = (
 SUMMARY = (
     "messages bigint, malformed_count bigint, control_count bigint, total_rows bigint, quarantined_count bigint, "
     "unknown_count bigint, staged_count bigint, failed_rules array<string>, path string, quarantined_at timestamp, "
-    "table_name string, batch_id bigint"
+    "first_change timestamp, table_name string, batch_id bigint"
 )
 # What the quarantined rows of all tables have in common.
 QUARANTINE_FACTS = (
@@ -69,10 +77,14 @@ class Store:
         self._replace(self.spark.createDataFrame([(at,)], "at timestamp_ntz").coalesce(1), path)
         return at
 
-    def write_changes(self, spec: TableSpec, batch_id: int, staged: DataFrame) -> None:
+    def write_changes(self, spec: TableSpec, batch_id: int, staged: DataFrame) -> dict[str, Any]:
+        """Write the changes; the job that writes them also counts them and finds when they begin."""
         kind = parse_type(spec.ordering_type)
         typed = staged.withColumns({c: F.col(c).cast(kind) for c in spec.ordering})
-        self._replace(typed, f"{self.root}/{spec.name}/changes/batch_id={batch_id}")
+        seen = Observation()
+        counted = typed.observe(seen, F.count("*").alias("staged_count"), F.min(H.FROM).alias("first_change"))
+        self._replace(counted, f"{self.root}/{spec.name}/changes/batch_id={batch_id}")
+        return seen.get
 
     def write_quarantine(self, spec: TableSpec, batch_id: int, quarantined: DataFrame, at: dt.datetime) -> None:
         """Columns differ by table, so the table is the outermost partition."""
@@ -126,10 +138,7 @@ class Store:
 
     def history(self, spec: TableSpec) -> DataFrame | None:
         """Every version up to the last written batch."""
-        chain = self._chain(spec)
-        base, changes = self._base(spec, chain), self.changes(spec, chain[-1]["version"] if chain else -1)
-        found = base if changes is None else self._merged(spec, base, changes)
-        return None if found is None else H.versions(found)
+        return self._whole(spec, lambda frame: frame)
 
     def current(self, spec: TableSpec) -> DataFrame | None:
         """Open versions up to the last written batch.
@@ -168,11 +177,11 @@ class Store:
         if in_order:
             target = H.current(target)
         folder = f"{self.root}/{spec.name}"
-        merged = self._merged(spec, target, changes)
-        merged.write.mode("overwrite").partitionBy(H.CURRENT).parquet(f"{folder}/base/version={last}")
-        ends = self._read(f"{folder}/base/version={last}", T.StructType([f for f in self._columns(spec) if f.name == H.TO]))
-        until = None if ends is None else ends.agg(F.max(H.TO)).first()[0]
-        marker = [(chain[-1]["since"] if in_order else last, until)]
+        seen = Observation()
+        merged = self._merged(spec, target, changes).sortWithinPartitions(H.CURRENT, *spec.primary_key)
+        watched = merged.observe(seen, F.max(H.TO).alias("until"))
+        watched.write.mode("overwrite").options(**self._blooms(spec)).partitionBy(H.CURRENT).parquet(f"{folder}/base/version={last}")
+        marker = [(chain[-1]["since"] if in_order else last, seen.get["until"])]
         schema = "since bigint, closed_until timestamp"
         self._replace(self.spark.createDataFrame(marker, schema).coalesce(1), f"{folder}/bases/version={last}")
         return last
@@ -182,11 +191,73 @@ class Store:
         closed = [r["closed_until"] for r in chain if r["closed_until"] is not None]
         return first_change is None or not closed or first_change >= max(closed)
 
+    def as_of(self, spec: TableSpec, moment: dt.datetime) -> DataFrame | None:
+        """What was valid at ``moment`` (UTC): the described columns, the operation and when it began.
+
+        When a version ended later is not told, so nothing that begins after the moment is read:
+        no changes folder whose first change is later, and of the closed versions only folders
+        that hold some which ended after the moment, or after the first late change before it.
+        """
+        at = F.lit(moment.replace(tzinfo=dt.timezone.utc))
+        chain = self._chain(spec)
+        after = chain[-1]["version"] if chain else -1
+        changes = self.changes(spec, after)
+        if changes is not None:
+            begins = self.summary()
+            if begins is not None:
+                of_table = (F.col("table_name") == spec.name) & (F.col("batch_id") > after) & (F.col("first_change") > at)
+                later = [r[0] for r in begins.filter(of_table).select("batch_id").collect()]
+                changes = changes.filter(~F.col("batch_id").isin(later)) if later else changes
+            changes = changes.filter(F.col(H.FROM) <= at)
+        first = None if changes is None else changes.agg(F.min(H.FROM)).first()[0]
+        since = moment if first is None or not chain else min(moment, first)
+        base = self._base(spec, chain, since)
+        if base is not None:
+            # Of a version that a late change may meet the end counts, whenever it was.
+            base = base.filter((F.col(H.FROM) <= at) & (F.col(H.CURRENT) | (F.col(H.TO) >= F.lit(since.replace(tzinfo=dt.timezone.utc)))))
+        found = base if first is None else self._merged(spec, base, changes)
+        if found is None:
+            return None
+        return H.as_of(H.versions(found), at).select(*spec.column_names, H.OPERATION, H.FROM)
+
+    def timeline(self, spec: TableSpec, key: Sequence[Any]) -> DataFrame | None:
+        """The versions of one key in order of time; bloom filters keep other keys' row groups unread."""
+        mine = F.lit(True)
+        for column, value in zip(spec.primary_key, key, strict=True):
+            mine = mine & (F.col(column) == F.lit(value).cast(self._columns(spec)[column].dataType))
+        found = self._whole(spec, lambda frame: frame.filter(mine))
+        return None if found is None else found.orderBy(H.FROM)
+
+    def expire(self, spec: TableSpec) -> int:
+        """Delete changes that the base contains and bases before its ``since``; returns how many folders went.
+
+        Readers that began before the last compaction may still use them.
+        """
+        chain = self._chain(spec)
+        if not chain:
+            return 0
+        last, since, gone = chain[-1]["version"], chain[0]["version"], 0
+        for folder, keep in (("changes", last + 1), ("base", since), ("bases", since)):
+            for name in folders_in(f"{self.root}/{spec.name}/{folder}"):
+                label, _, number = name.partition("=")
+                if label in ("batch_id", "version") and int(number) < keep:
+                    remove_folder(f"{self.root}/{spec.name}/{folder}/{name}")
+                    gone += 1
+        return gone
+
+    @staticmethod
+    def _blooms(spec: TableSpec) -> dict[str, str]:
+        """Writer options: a bloom filter of each key column, as large as its values need."""
+        wanted = {f"parquet.bloom.filter.enabled#{k}": "true" for k in spec.primary_key}
+        return {**wanted, "parquet.bloom.filter.adaptive.enabled": "true"}
+
     def _chain(self, spec: TableSpec) -> list[Row]:
         """Markers of the compactions that make up the base, one small row each, at most ``chain``."""
         found = self._read(f"{self.root}/{spec.name}/bases", "since bigint, closed_until timestamp, version bigint")
-        markers = [] if found is None else sorted(found.collect(), key=lambda r: r["version"])
-        return [r for r in markers if r["version"] >= markers[-1]["since"]]
+        newest = None if found is None else found.agg(F.max(F.struct("version", "since")).alias("m")).select("m.*").first()
+        if newest is None or newest["version"] is None:
+            return []
+        return sorted(found.filter(F.col("version") >= newest["since"]).collect(), key=lambda r: r["version"])
 
     def _columns(self, spec: TableSpec) -> T.StructType:
         for known, schema in self._known:
@@ -195,15 +266,29 @@ class Store:
         self._known.append((spec, staged_schema(self.spark, spec)))
         return self._known[-1][1]
 
-    def _base(self, spec: TableSpec, chain: list[Row]) -> DataFrame | None:
-        """Versions and markers of the base; ``_is_current`` and ``version`` are folders."""
+    def _whole(self, spec: TableSpec, narrowed: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+        chain = self._chain(spec)
+        base, changes = self._base(spec, chain), self.changes(spec, chain[-1]["version"] if chain else -1)
+        base = None if base is None else narrowed(base)
+        found = base if changes is None else self._merged(spec, base, narrowed(changes))
+        return None if found is None else H.versions(found)
+
+    def _base(self, spec: TableSpec, chain: list[Row], since: dt.datetime | None = None) -> DataFrame | None:
+        """Versions and markers of the base; ``_is_current`` and ``version`` are folders.
+
+        With ``since``, folders of versions that all ended before it are left out.
+        """
         if not chain:
             return None
         schema = T.StructType([f for f in self._columns(spec) if f.name != H.CURRENT])
         schema = schema.add(H.CURRENT, T.BooleanType()).add("version", T.LongType())
         found = self._read(f"{self.root}/{spec.name}/base", schema)
-        part = F.col("version").isin([r["version"] for r in chain])
-        kept = found.filter(part & (~F.col(H.CURRENT) | (F.col("version") == chain[-1]["version"])))
+        closed = [r["version"] for r in chain if since is None or (r["closed_until"] is not None and r["closed_until"] >= since)]
+        last = chain[-1]["version"]
+        wanted = F.col(H.CURRENT) & (F.col("version") == last)
+        if closed:
+            wanted = wanted | (~F.col(H.CURRENT) & F.col("version").isin(closed))
+        kept = found.filter(F.col("version").isin([*closed, last])).filter(wanted)
         return kept.select(*self._columns(spec).names)
 
     def _near(self, spec: TableSpec, chain: list[Row], first: dt.datetime | None) -> DataFrame | None:

@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from cdcflow.operators import quarantine as Q
 from cdcflow.plans.batch import run_batch, tag
 from cdcflow.sources.envelope import classify, rows_of
 from cdcflow.sources.store import Store
@@ -29,7 +30,9 @@ def write_batch(
 ) -> None:
     """Decode and judge a batch once, then write its outputs from the kept rows.
 
-    Staged changes come last: they make the batch visible in the history.
+    Counts are observed by the jobs that write, in their last stage, where a task that runs
+    again is not counted again. Staged changes make the batch visible in the history; its counts
+    follow, so a batch without them is one whose last attempt did not end.
     """
     at = store.batch_time(spec.name, batch_id, now)
     kept = classify(raw, spec, keep=spec.ordering).persist(StorageLevel.MEMORY_AND_DISK)
@@ -44,12 +47,13 @@ def write_batch(
             quarantine_path=store.quarantine_path(spec.name),
             classified=kept,
             tagged=tagged,
+            observe=True,
         )
         if spec.checks:
             store.write_metrics(spec, batch_id, result.metrics, at)
         store.write_quarantine(spec, batch_id, result.quarantined, at)
-        store.write_summary(spec, batch_id, result.counts)
-        store.write_changes(spec, batch_id, result.staged)
+        counts = {**store.write_changes(spec, batch_id, result.staged), **result.observed()}
+        store.write_summary(spec, batch_id, Q.counts_row(kept.sparkSession, counts, spec.name, batch_id, at, store.quarantine_path(spec.name)))
     finally:
         tagged.unpersist()
         kept.unpersist()
