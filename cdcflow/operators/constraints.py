@@ -7,7 +7,7 @@ from functools import reduce
 from operator import or_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cdcflow.functions.columns import literal_as
 from cdcflow.spec import TableSpec
@@ -46,6 +46,55 @@ def foreign_key(child: DataFrame, column: str, parent: DataFrame, ref_column: st
     return child.filter(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_ref"), "left_anti")
 
 
+def unique_after(
+    repeated: DataFrame | None, current: DataFrame | None, staged: DataFrame, key: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """Repeated combinations among the open versions after a batch: columns and rows, as ``unique`` of all of them.
+
+    ``repeated`` and ``current`` are this result and the open versions before the batch, ``staged`` its
+    last change of each key. Only combinations that a changed key had or gets are counted anew; a
+    DELETE, or a change to another value, frees what its key held. The open versions are read in
+    the key and ``columns`` alone and joined with what the batch brings, never shuffled as a whole
+    where that is small enough to broadcast.
+    """
+    kept = [c for c in [*key, *columns] if c not in columns] + list(columns)
+    writes = staged.filter(F.col("_operation").isin("INSERT", "UPDATE")).select(*kept).filter(~_any_null(columns))
+    if current is None or repeated is None:
+        return unique(writes, columns)
+    changed = staged.select(*key).distinct()
+    held = current.select(*kept).filter(~_any_null(columns))
+    freed = held.join(changed, list(key), "left_semi").select(*columns)
+    met = freed.unionByName(writes.select(*columns)).distinct()
+    stay = held.join(changed, list(key), "left_anti").join(met, list(columns), "left_semi")
+    counted = unique(stay.select(*columns).unionByName(writes.select(*columns)), columns)
+    return repeated.join(met, list(columns), "left_anti").select(*columns, "rows").unionByName(counted)
+
+
+def orphan_intervals(
+    child: DataFrame, column: str, parent: DataFrame, ref_column: str, begin: str = "_effective_from", end: str = "_effective_to"
+) -> DataFrame:
+    """When child versions had no parent: the child's columns, ``orphan_from`` and ``orphan_to`` (NULL: still).
+
+    Both sides are histories. A parent is away before its first version, between two that do not
+    meet, and after its last if that ended, so children that came before their parent are found as
+    well as those it left. Each absence is met with the children of that parent whose own time it
+    overlaps; a NULL reference is allowed.
+    """
+    w = Window.partitionBy("_ref").orderBy("_begin")
+    spans = parent.select(F.col(ref_column).alias("_ref"), F.col(begin).alias("_begin"), F.col(end).alias("_end")).filter(F.col("_ref").isNotNull())
+    ordered = spans.withColumns({"_before": F.lag("_end").over(w), "_first": F.row_number().over(w) == 1, "_next": F.lead("_begin").over(w)})
+    none = F.lit(None).cast(spans.schema["_begin"].dataType)
+    leading = F.when(F.col("_first") | (F.col("_before") < F.col("_begin")), F.struct(F.when(~F.col("_first"), F.col("_before")).alias("_away"), F.col("_begin").alias("_back")))
+    trailing = F.when(F.col("_next").isNull() & F.col("_end").isNotNull(), F.struct(F.col("_end").alias("_away"), none.alias("_back")))
+    absences = ordered.select("_ref", F.inline(F.filter(F.array(leading, trailing), lambda a: a.isNotNull())))
+    bound = child.filter(F.col(column).isNotNull())
+    met = (F.col("_back").isNull() | (F.col("_back") > F.col(begin))) & (F.col("_away").isNull() | F.col(end).isNull() | (F.col("_away") < F.col(end)))
+    apart = bound.join(absences, (F.col(column) == F.col("_ref")) & met)
+    left = apart.select(*child.columns, F.greatest(begin, "_away").alias("orphan_from"), F.least(end, "_back").alias("orphan_to"))
+    never = bound.join(spans.select("_ref"), F.col(column) == F.col("_ref"), "left_anti")
+    return left.unionByName(never.select(*child.columns, F.col(begin).alias("orphan_from"), F.col(end).alias("orphan_to")))
+
+
 def defaults(df: DataFrame, values: Mapping[str, Any], now: Column) -> DataFrame:
     """Fill NULLs with declared defaults; the text ``NOW()`` stands for the batch time."""
     filled = {}

@@ -91,11 +91,12 @@ def breaches(metrics: DataFrame) -> DataFrame:
     return metrics.filter(~F.col("passed"))
 
 
-def running(counts: DataFrame, table: str) -> DataFrame:
+def running(counts: DataFrame, table: str, uniqueness: DataFrame | None = None) -> DataFrame:
     """Metrics over all batches so far, from summed counts.
 
-    Uniqueness is left out: whether a value repeats across batches cannot be read from
-    per-batch counts. The window runs over one row per batch, not over the data.
+    Whether a value repeats across batches cannot be read from per-batch counts, so rows of
+    uniqueness are those of ``uniqueness`` (``value_state.running_uniqueness``), none without it.
+    The window runs over one row per batch, not over the data.
     """
     w = (
         Window.partitionBy("metric_name", "column_name")
@@ -108,9 +109,10 @@ def running(counts: DataFrame, table: str) -> DataFrame:
     value = F.when(F.col("metric_name") == SIZE, F.col("matching").cast("double")).otherwise(
         F.try_divide("matching", "total")
     )
-    return summed.select(
+    found = summed.select(
         F.lit(table).alias("table_name"), "batch_id", "metric_name", "column_name", value.alias("running_value")
     )
+    return found if uniqueness is None else found.unionByName(uniqueness)
 
 
 def latest(metrics: DataFrame) -> DataFrame:
@@ -209,7 +211,7 @@ def _with_values(df: DataFrame, single: list[Check], conditions: dict[int, Colum
     own = F.struct(F.lit(-1).alias("_place"), F.lit(None).cast("string").alias("_value"), *flags)
     values = [
         F.when(
-            F.col(c.column).isNotNull(), F.struct(F.lit(j).alias("_place"), _text(df, c.column).alias("_value"), *none)
+            F.col(c.column).isNotNull(), F.struct(F.lit(j).alias("_place"), as_text(df, c.column).alias("_value"), *none)
         )
         for j, c in enumerate(single)
     ]
@@ -227,7 +229,7 @@ def _with_values(df: DataFrame, single: list[Check], conditions: dict[int, Colum
     return counted.groupBy(*by_column).agg(*sums)
 
 
-def _text(df: DataFrame, column: str) -> Column:
+def as_text(df: DataFrame, column: str) -> Column:
     """Equal values as equal text: 0.0 and -0.0 are one, bytes are written out."""
     dtype = df.schema[column].dataType
     if isinstance(dtype, (T.FloatType, T.DoubleType)):

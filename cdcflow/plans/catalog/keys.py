@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from cdcflow.operators import constraints as C, history as H
 from cdcflow.plans.catalog.base import Tables, dirty, moment, query
-from cdcflow.plans.catalog.versions import order_history
+from cdcflow.plans.catalog.versions import order_history, order_ops
+from cdcflow.session import written
 from cdcflow.spec import ColumnSpec, ForeignKey, TableSpec
 
 
@@ -117,3 +118,50 @@ def constraint_from_spec(t: Tables) -> DataFrame:
     keyless = rows.filter("o_orderkey = 5").withColumn("o_orderkey", F.lit(None).cast("bigint"))
     whole = rows.unionByName(rows.filter("o_orderkey % 100 = 0")).unionByName(keyless)
     return C.violations(DESCRIBED, whole, {"customer": t.customer.filter("c_acctbal > 0")})
+
+
+@query(
+    "constraint_unique_stored",
+    """
+    WITH state AS (
+        SELECT b.batch, o_orderkey, o_custkey, o_orderstatus, _operation,
+               row_number() OVER (PARTITION BY b.batch, o_orderkey ORDER BY seq DESC) AS rn
+        FROM order_ops JOIN (VALUES (0), (1), (2)) AS b(batch) ON seq <= b.batch)
+    SELECT CAST(batch AS BIGINT) AS batch_id, o_custkey, o_orderstatus, count(*) AS rows FROM state
+    WHERE rn = 1 AND _operation <> 'DELETE' GROUP BY ALL HAVING count(*) > 1""",
+    ("order_ops",),
+)
+def constraint_unique_stored(t: Tables) -> DataFrame:
+    """Customers with several open orders of one status, kept up to date by load, updates and deletes."""
+    changes = order_ops(t)
+    columns, repeated, current, found = ["o_custkey", "o_orderstatus"], None, None, []
+    for number in range(3):
+        staged = H.add_version_columns(changes.filter(F.col("seq") == number), F.col("change_ts"))
+        repeated = written(C.unique_after(repeated, current, staged, ["o_orderkey"], columns))
+        found.append(repeated.withColumn("batch_id", F.lit(number).cast("long")))
+        current = written(H.current(H.apply_changes(current, staged, ["o_orderkey"])))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(
+    "constraint_foreign_key_history",
+    """
+    WITH alive AS (
+        SELECT o_orderkey, o_orderdate AS since, CASE WHEN o_orderpriority = '5-LOW' THEN o_orderdate + INTERVAL 2 DAY END AS until
+        FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 2 = 0),
+    lines AS (SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate + INTERVAL 30 DAY END AS ends FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_shipdate AS orphan_from, ends AS orphan_to FROM lines ANTI JOIN alive ON o_orderkey = l_orderkey
+    UNION ALL SELECT l_orderkey, l_linenumber, l_shipdate, least(since, ends) FROM lines JOIN alive ON o_orderkey = l_orderkey WHERE since > l_shipdate
+    UNION ALL SELECT l_orderkey, l_linenumber, greatest(l_shipdate, until), ends FROM lines JOIN alive ON o_orderkey = l_orderkey
+    WHERE until IS NOT NULL AND (ends IS NULL OR ends > until)""",
+)
+def constraint_foreign_key_history(t: Tables) -> DataFrame:
+    """When lines stood without their order: it came later, was deleted, or was never there."""
+    parents = order_history(t).filter("o_orderstatus <> 'P' OR o_orderkey % 2 = 0 OR _operation = 'UPDATE'")
+    pending = t.orders.filter("o_orderstatus = 'P' AND o_orderkey % 2 = 1").select("o_orderkey")
+    lines = t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.col("l_shipdate").alias(H.FROM),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate") + F.make_dt_interval(days=F.lit(30))).alias(H.TO),
+    )
+    found = C.orphan_intervals(lines, "l_orderkey", parents.join(pending, "o_orderkey", "left_anti"), "o_orderkey")
+    return found.drop(H.FROM, H.TO)

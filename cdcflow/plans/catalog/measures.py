@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cdcflow.operators import metrics as M
+from cdcflow.operators import metrics as M, value_state as V
 from cdcflow.plans.catalog.base import CTES, BUILT_FROM, Tables, dirty, moment, query
 from cdcflow.plans.catalog.quality import DAY_SQL, day
+from cdcflow.session import scratch_dir
 from cdcflow.spec import Check
 
 COMPLETE = [Check("completeness", "code", 0.8), Check("completeness", "value", 0.95, "error")]
@@ -210,3 +211,38 @@ def metric_selection(t: Tables) -> DataFrame:
     checks = [Check("median", "value"), Check("uniqueness", "no_such_column"), Check("completeness"), COMPLETE[0]]
     found = M.compute_metrics(dirty(t), checks, "events", 0, moment("2024-01-01"), strict=False)
     return found.select("metric_name", "column_name", F.round("metric_value", 6).alias("metric_value"))
+
+
+RECOUNT = """
+    WITH v AS (
+        SELECT {batch} AS batch, 'value' AS c, CAST(value AS VARCHAR) AS v FROM daily WHERE value IS NOT NULL
+        UNION ALL SELECT {batch}, 'code', code FROM daily WHERE code IS NOT NULL
+        UNION ALL SELECT {batch}, 'event_id', CAST(CASE WHEN event_id % 97 = 0 THEN 1 ELSE event_id END AS VARCHAR) FROM daily),
+    n AS (SELECT b.batch, c, v, count(*) AS n FROM (SELECT DISTINCT batch FROM v) b JOIN v ON v.batch <= b.batch GROUP BY ALL)
+    SELECT 'events' AS table_name, batch AS batch_id, 'Uniqueness' AS metric_name, c AS column_name,
+           round(count(*) FILTER (n = 1) / sum(n), 6) AS running_value FROM n GROUP BY ALL"""
+VALUED = ["value", "code", "event_id"]
+
+
+def with_repeats(t: Tables) -> DataFrame:
+    """Days of events; some ids are one and the same."""
+    return daily(t).withColumn("event_id", F.when(F.col("event_id") % 97 == 0, 1).otherwise(F.col("event_id")))
+
+
+@query("metrics_running_uniqueness", RECOUNT.format(batch="day // 8"), ("daily",))
+def metrics_running_uniqueness(t: Tables) -> DataFrame:
+    """Uniqueness over all batches so far, each batch of eight days absorbed into the state of those before."""
+    state = V.ValueState(t.spark, scratch_dir(t.spark))
+    events = with_repeats(t)
+    for number in range(4):
+        state.absorb("events", number, events.filter(F.floor(F.col("day") / 8) == number), VALUED)
+        if number == 1:
+            state.compact("events")
+    return state.running("events").withColumn("running_value", F.round("running_value", 6))
+
+
+@query("metrics_running_backfill", RECOUNT.format(batch="day"), ("daily",))
+def metrics_running_backfill(t: Tables) -> DataFrame:
+    """The same of all days at once, in one pass over their value counts."""
+    changes = V.changes_of(V.value_counts(with_repeats(t), VALUED, "day"))
+    return V.running_uniqueness(changes, "events").withColumn("running_value", F.round("running_value", 6))

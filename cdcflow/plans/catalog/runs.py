@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, functions as F
 
 from cdcflow.plans.batch import run_batch
 from cdcflow.plans.catalog.base import BUILT_FROM, CTES, Tables, order_changes, query
 from cdcflow.plans.catalog.feed import ORDERS, order_messages
-from cdcflow.session import scratch_dir, spread
+from cdcflow.session import scratch_dir, spread, written
 from cdcflow.sources.envelope import encode
-from cdcflow.sources.kafka import messages_of
+from cdcflow.sources.kafka import lost_offsets, messages_of, next_offsets
 from cdcflow.sources.store import Store
 from cdcflow.spec import Check, ColumnSpec, Rule, TableSpec, Transform
-from cdcflow.streaming.streams import start_all, start_stream, write_batch
+from cdcflow.streaming.streams import StreamFacts, retry_failed, start_all, start_routed, start_stream, write_batch
 
 CHECKED_ORDERS = TableSpec(
     name="orders",
@@ -271,3 +273,136 @@ def source_messages(t: Tables) -> DataFrame:
         F.lit(0).alias("timestampType"),
     )
     return messages_of(kafka)
+
+
+@query(
+    "source_gaps",
+    """
+    WITH m AS (SELECT CAST(o_orderkey % 3 AS INTEGER) AS partition, o_orderkey // 3 AS o FROM orders WHERE o_orderstatus <> 'P'),
+    s AS (SELECT partition, o, lag(o) OVER (PARTITION BY partition ORDER BY o) AS before FROM m)
+    SELECT 'cdc-orders' AS topic, partition, before + 1 AS first_lost, o - 1 AS last_lost FROM s WHERE o > before + 1""",
+)
+def source_gaps(t: Tables) -> DataFrame:
+    """Pending orders were lost from a topic of three partitions, read in four batches with borders inside gaps too."""
+    whole = t.orders.filter("o_orderstatus <> 'P'").select(
+        F.lit("cdc-orders").alias("topic"), (F.col("o_orderkey") % 3).cast("int").alias("partition"), F.floor(F.col("o_orderkey") / 3).alias("offset")
+    )
+    most = t.orders.agg(F.max("o_orderkey")).scalar()
+    numbered = written(whole.withColumn("batch", F.floor(F.col("offset") * 12 / (most + 1))))
+    known, found = None, []
+    for number in range(4):
+        batch = numbered.filter(F.col("batch") == number).drop("batch")
+        found.append(lost_offsets(batch, known, block=500))
+        known = written(next_offsets(batch, known))
+    return reduce(DataFrame.unionByName, found)
+
+
+CHANGED_ORDERS = """
+    WITH h AS (SELECT l.o_orderkey, l.o_orderstatus, l._operation, l.change_ts AS since, s.change_ts AS until
+          FROM order_ops l LEFT JOIN second s USING (o_orderkey) WHERE l._operation = 'INSERT'
+          UNION ALL SELECT o_orderkey, o_orderstatus, _operation, change_ts, NULL FROM second WHERE _operation = 'UPDATE')
+    SELECT o_orderkey, o_orderstatus, _operation, since AS _effective_from {more} FROM h WHERE {which}"""
+
+
+def compacted(t: Tables) -> Store:
+    """Load and changes of orders in a store, the load compacted."""
+    load, changes = batches(t)
+    store = Store(t.spark, scratch_dir(t.spark))
+    write_batch(PLAIN_ORDERS, load, 0, store, now=FIRST_TIME)
+    store.compact(PLAIN_ORDERS)
+    write_batch(PLAIN_ORDERS, changes, 1, store, now=SECOND_TIME)
+    return store
+
+
+@query(
+    "store_as_of",
+    CHANGED_ORDERS.format(more="", which="since <= TIMESTAMP '1998-06-01' AND coalesce(until > TIMESTAMP '1998-06-01', TRUE)"),
+    ("second",),
+)
+def store_as_of(t: Tables) -> DataFrame:
+    """What the stored history held on a day, read without what began later."""
+    found = compacted(t).as_of(PLAIN_ORDERS, dt.datetime(1998, 6, 1))
+    return found.select("o_orderkey", "o_orderstatus", "_operation", "_effective_from")
+
+
+@query(
+    "store_timeline",
+    CHANGED_ORDERS.format(more=", until AS _effective_to", which="o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '5-LOW')"),
+    ("second",),
+)
+def store_timeline(t: Tables) -> DataFrame:
+    """The versions of the first pending order that stays, found by bloom filters of the key."""
+    first = t.orders.filter("o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'").agg(F.min("o_orderkey")).first()[0]
+    found = compacted(t).timeline(PLAIN_ORDERS, [first])
+    return found.select("o_orderkey", "o_orderstatus", "_operation", "_effective_from", "_effective_to")
+
+
+def shared_feed(t: Tables) -> DataFrame:
+    """Messages of orders and clients in one feed."""
+    load, _ = batches(t)
+    clients = encode(t.customer, CLIENTS.column_names, operation=F.lit("load"), at=F.lit(FIRST_TIME), table="clients")
+    return load.select("offset", "value").unionByName(clients.withColumn("offset", F.lit(0)))
+
+
+@query(
+    "stream_routed_tables",
+    """
+    SELECT 'orders' AS table_name, o_orderkey AS id, o_orderstatus AS state, count(*) OVER () AS feed_rows, FALSE AS failed_first
+    FROM order_ops WHERE _operation = 'INSERT'
+    UNION ALL SELECT 'clients', c_custkey, c_mktsegment, count(*) OVER (), TRUE FROM customer""",
+    ("order_ops",),
+)
+def stream_routed_tables(t: Tables) -> DataFrame:
+    """One stream for two tables. Clients fail at first and are written by a second attempt, orders do not notice."""
+    root = scratch_dir(t.spark)
+    store = Store(t.spark, f"{root}/store")
+    shared_feed(t).write.parquet(f"{root}/feed")
+    source = t.spark.readStream.schema("offset int, value string").parquet(f"{root}/feed")
+    broken = replace(CLIENTS, rules=(Rule("no_such", "regex", "c_mktsegment", {"pattern": "("}),))
+    running = start_routed([PLAIN_ORDERS, broken, INNER], source, store, f"{root}/checkpoints", trigger={"availableNow": True})
+    running.awaitTermination()
+    failed = {s.name: bool(store.failed(s)) for s in (PLAIN_ORDERS, CLIENTS)}
+    retry_failed(CLIENTS, store)
+    parts = []
+    for spec, key, state in ((PLAIN_ORDERS, "o_orderkey", "o_orderstatus"), (CLIENTS, "c_custkey", "c_mktsegment")):
+        rows = store.summary().filter(F.col("table_name") == spec.name).agg(F.sum("messages")).scalar()
+        parts.append(
+            store.current(spec).select(
+                F.lit(spec.name).alias("table_name"), F.col(key).alias("id"), F.col(state).alias("state"), rows.alias("feed_rows"),
+                F.lit(failed[spec.name]).alias("failed_first"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "stream_progress",
+    """
+    SELECT 'stream_orders' AS query, 'progress' AS kind, count(*) AS input_rows FROM orders
+    UNION ALL SELECT 'stream_orders', 'ended', NULL UNION ALL SELECT 'stream_clients', 'failed', NULL""",
+)
+def stream_progress(t: Tables) -> DataFrame:
+    """What a listener tells of two streams, of which one cannot be written."""
+    root = scratch_dir(t.spark)
+    store, facts = Store(t.spark, f"{root}/store"), StreamFacts()
+    shared_feed(t).write.parquet(f"{root}/feed")
+    load, _ = batches(t)
+    load.write.parquet(f"{root}/orders")
+    source = lambda name: t.spark.readStream.schema("offset int, value string").parquet(f"{root}/{name}")
+    broken = replace(CLIENTS, rules=(Rule("no_such", "regex", "c_mktsegment", {"pattern": "("}),))
+    t.spark.streams.addListener(facts)
+    try:
+        for spec, folder in ((PLAIN_ORDERS, "orders"), (broken, "feed")):
+            running = start_stream(spec, source(folder), store, f"{root}/checkpoints", trigger={"availableNow": True})
+            try:
+                running.awaitTermination()
+            except StreamingQueryException:
+                pass
+        end = time.monotonic() + 30
+        while len(facts.over()) < 2 and time.monotonic() < end:
+            time.sleep(0.1)
+        found = facts.rows(t.spark)
+    finally:
+        t.spark.streams.removeListener(facts)
+    told = found.filter("kind IN ('progress', 'ended', 'failed') AND (kind <> 'progress' OR input_rows > 0)")
+    return told.groupBy("query", "kind").agg(F.sum("input_rows").alias("input_rows"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+# Offsets of one topic partition that one task looks through for gaps.
+BLOCK = 1_000_000
 
 
 def kafka_options(
@@ -50,3 +53,46 @@ def messages_of(source: DataFrame) -> DataFrame:
         "offset",
         F.col("timestamp").alias("message_time"),
     )
+
+
+def next_offsets(messages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """topic, partition and the offset that comes next, after ``messages`` and those that ``known`` tells of."""
+    ends = messages.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
+    if known is None:
+        return ends
+    return ends.unionByName(known).groupBy("topic", "partition").agg(F.max("next_offset").alias("next_offset"))
+
+
+def lost_offsets(messages: DataFrame, known: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Offsets that a source passed over: topic, partition, first_lost and last_lost of every gap.
+
+    The reader goes on where old offsets are gone (``failOnDataLoss`` is off), so this is what tells
+    of it. ``known`` is ``next_offsets`` of the batches before: a gap at a batch's border counts as
+    one inside it, offsets before the border were seen then and are not looked at again. Without it
+    a partition begins where its first message is. Compacted topics have gaps by nature.
+
+    Gaps are found within blocks of offsets, however many messages a partition has, and between the
+    first and last offset of each block.
+    """
+    at = F.col("offset")
+    seen = messages.select("topic", "partition", "offset")
+    if known is not None:
+        ends = known.withColumnsRenamed({"topic": "_topic", "partition": "_partition"})
+        seen = (
+            seen.join(ends, [F.col("topic") == F.col("_topic"), F.col("partition") == F.col("_partition")], "left")
+            .filter(F.coalesce(at >= F.col("next_offset"), F.lit(True)))
+            .select("topic", "partition", "offset")
+        )
+    place = ["topic", "partition", "block"]
+    blocks = seen.withColumn("block", F.floor(at / block)).dropDuplicates([*place, "offset"])
+    before = F.lag("offset").over(Window.partitionBy(*place).orderBy("offset"))
+    inside = blocks.withColumn("before", before).select("topic", "partition", "before", "offset")
+    borders = blocks.groupBy(*place).agg(F.min("offset").alias("offset"), F.max("offset").alias("last"))
+    if known is not None:
+        carried = known.select("topic", "partition", F.lit(-1).cast("long").alias("block"), (F.col("next_offset") - 1).alias("last"))
+        borders = borders.unionByName(carried, allowMissingColumns=True)
+    between = borders.withColumn("before", F.lag("last").over(Window.partitionBy("topic", "partition").orderBy("block")))
+    steps = inside.unionByName(between.select("topic", "partition", "before", "offset"))
+    return steps.filter(F.col("offset") > F.col("before") + 1).select(
+        "topic", "partition", (F.col("before") + 1).alias("first_lost"), (at - 1).alias("last_lost")
+    )

@@ -121,6 +121,20 @@ class Store:
         """Counts of every batch of all tables."""
         return self._read(f"{self.root}/summary", SUMMARY)
 
+    def keep_failed(self, spec: TableSpec, batch_id: int, messages: DataFrame, problem: str) -> None:
+        """Set a batch's messages aside as they came, for ``failed`` and a later attempt."""
+        self._replace(messages.withColumn("_problem", F.lit(problem)), f"{self.root}/{spec.name}/failed/batch_id={batch_id}")
+
+    def failed(self, spec: TableSpec) -> list[int]:
+        """Batches whose messages wait for another attempt, in order."""
+        return sorted(int(name.partition("=")[2]) for name in folders_in(f"{self.root}/{spec.name}/failed"))
+
+    def failed_messages(self, spec: TableSpec, batch_id: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{spec.name}/failed/batch_id={batch_id}").drop("_problem")
+
+    def drop_failed(self, spec: TableSpec, batch_id: int) -> None:
+        remove_folder(f"{self.root}/{spec.name}/failed/batch_id={batch_id}")
+
     def base_version(self, spec: TableSpec) -> int:
         """Last batch contained in a complete base, -1 without one."""
         chain = self._chain(spec)

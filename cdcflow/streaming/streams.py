@@ -1,18 +1,19 @@
-"""One streaming query per table; each micro-batch runs the batch plan and is replay-safe."""
+"""One streaming query per table, or one for a feed of many; each micro-batch runs the batch plan and is replay-safe."""
 
 from __future__ import annotations
 
 import datetime as dt
 import logging
+from collections import deque
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from cdcflow.operators import quarantine as Q
 from cdcflow.plans.batch import run_batch, tag
-from cdcflow.sources.envelope import classify, rows_of
+from cdcflow.sources.envelope import classify, route, rows_of
 from cdcflow.sources.store import Store
 from cdcflow.spec import TableSpec, streamed
 
@@ -73,13 +74,118 @@ def start_stream(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         write_batch(spec, batch, batch_id, store, keep_intermediate=keep_intermediate)
 
-    return (
-        source.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", f"{checkpoints.rstrip('/')}/{spec.name}")
-        .trigger(**(trigger or {"processingTime": "15 seconds"}))
-        .queryName(f"stream_{spec.name}")
-        .start()
-    )
+    return _started(source, on_batch, spec.name, checkpoints, trigger)
+
+
+def _started(
+    source: DataFrame, on_batch: Callable[[DataFrame, int], None], name: str, checkpoints: str, trigger: Mapping[str, object] | None
+) -> StreamingQuery:
+    """Start ``stream_<name>`` in a scheduler pool of its own, where the session schedules fairly (``spark.scheduler.mode``)."""
+    context = source.sparkSession.sparkContext
+    before = context.getLocalProperty("spark.scheduler.pool")
+    context.setLocalProperty("spark.scheduler.pool", f"stream_{name}")
+    try:
+        return (
+            source.writeStream.foreachBatch(on_batch)
+            .option("checkpointLocation", f"{checkpoints.rstrip('/')}/{name}")
+            .trigger(**(trigger or {"processingTime": "15 seconds"}))
+            .queryName(f"stream_{name}")
+            .start()
+        )
+    finally:
+        context.setLocalProperty("spark.scheduler.pool", before)
+
+
+def write_routed(
+    specs: Sequence[TableSpec], messages: DataFrame, batch_id: int, store: Store, *, schema: str = "public", **options
+) -> dict[str, Exception]:
+    """Write one batch of a feed that many tables share; returns what went wrong, by table.
+
+    The feed is read once and its headers decoded once. A table that fails does not stop the
+    others: its messages of the batch are set aside in the store, where ``retry_failed`` finds
+    them. A batch that comes again replaces what each table wrote.
+    """
+    problems: dict[str, Exception] = {}
+    routed = route(messages, specs, schema=schema).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for spec in streamed(specs):
+            mine = routed.filter(F.col("topic") == spec.topic).drop("topic")
+            try:
+                write_batch(spec, mine, batch_id, store, **options)
+                store.drop_failed(spec, batch_id)
+            except Exception as problem:
+                log.exception("batch %s of %s failed, its messages are set aside", batch_id, spec.name)
+                store.keep_failed(spec, batch_id, mine, str(problem)[:1000])
+                problems[spec.name] = problem
+    finally:
+        routed.unpersist()
+    return problems
+
+
+def retry_failed(spec: TableSpec, store: Store, **options) -> list[int]:
+    """Write the batches of a table that were set aside, in order; returns those that went through.
+
+    Batches written since then stay as they are: the history puts late changes in their place.
+    """
+    done = []
+    for batch_id in store.failed(spec):
+        write_batch(spec, store.failed_messages(spec, batch_id), batch_id, store, **options)
+        store.drop_failed(spec, batch_id)
+        done.append(batch_id)
+    return done
+
+
+def start_routed(
+    specs: Sequence[TableSpec],
+    source: DataFrame,
+    store: Store,
+    checkpoints: str,
+    *,
+    name: str = "routed",
+    trigger: Mapping[str, object] | None = None,
+    **options,
+) -> StreamingQuery:
+    """One query ``stream_<name>`` for all tables of a shared feed."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        write_routed(specs, batch, batch_id, store, **options)
+
+    return _started(source, on_batch, name, checkpoints, trigger)
+
+
+class StreamFacts(StreamingQueryListener):
+    """Progress and ends of a session's queries, as rows; the last ``most`` of them are kept.
+
+    Spark tells a listener with some delay. Register with ``spark.streams.addListener``.
+    """
+
+    SCHEMA = "query string, kind string, batch_id bigint, input_rows bigint, milliseconds bigint, problem string"
+
+    def __init__(self, most: int = 10_000) -> None:
+        self._names: dict[str, str] = {}
+        self._facts: deque[tuple] = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._names[str(event.id)] = event.name
+        self._facts.append((event.name, "started", None, None, None, None))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self._facts.append((p.name, "progress", p.batchId, p.numInputRows, p.batchDuration, None))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self._facts.append((self._names.get(str(event.id)), "idle", None, None, None, None))
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        name, problem = self._names.get(str(event.id)), event.exception
+        self._facts.append((name, "failed" if problem else "ended", None, None, None, problem))
+
+    def over(self) -> set[str]:
+        """Names of the queries that are known to have ended or failed."""
+        return {f[0] for f in list(self._facts) if f[1] in ("ended", "failed")}
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self._facts), self.SCHEMA)
 
 
 def start_all(
