@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -158,3 +160,70 @@ def test_unlike_texts_with_one_id_are_kept_apart(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((x["doc_id"], (x["text"] or "").split()) for x in simhash.deduplicated(frame).collect())
     assert kept == sorted((i, (t or "").split()) for i, t in [(1, a), (5, b), (8, c), (9, None)])
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("strip, most", [(simhash.STRIP, simhash.SHINGLES), (16, 300)])
+def test_groups_around_the_border_give_links_not_pairs(spark, strip, most):
+    """Many texts that share 0.6 to 0.9 with each other: components equal those of all pairs, and links are few."""
+    r = random.Random(13)
+    base = [f"{r.random():.9f}" for _ in range(120)]
+    texts = []
+    for n in range(120):
+        text = list(base)
+        for _ in range(r.randrange(8)):
+            at = r.randrange(110)
+            text[at : at + 4] = [f"{r.random():.9f}" for _ in range(4)]
+        texts.append(text)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    frame = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, mark long, text string")
+    prints = simhash.shingle_prints(frame, 5)
+    classes = prints.withColumn("first", F.struct("doc_id", "mark")).withColumnRenamed("doc_id", "node").drop("mark")
+    found = simhash.similar_links(classes, frame, 5, 32, 0.8, strip, most).collect()
+    assert all(jaccard(sets[x["u"]], sets[x["v"]]) >= 0.8 for x in found)
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    prints_of = {x["node"]: (x["f0"], x["f1"]) for x in classes.collect()}
+    bits = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints_of[a], prints_of[b]))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and bits(i, j) <= 32:
+                parent[root(i)] = root(j)
+    names = dict(connected(spark.createDataFrame([tuple(x) for x in found], "u long, v long")).collect())
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(names.get(i, i), set()).add(i)
+    wanted = {}
+    for i in range(len(texts)):
+        wanted.setdefault(root(i), set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+    assert 1 < len(wanted) < len(texts)
+
+
+def test_parity_refuses_no_true_pair():
+    r = random.Random(14)
+    for size in (1, 30, 400, 3000):
+        for _ in range(20):
+            a = {r.getrandbits(64) for _ in range(size)}
+            b = {x for x in a if r.random() > 0.1} | {r.getrandbits(64) for _ in range(r.randrange(size // 10 + 1))}
+            if not b or jaccard(a, b) < 0.8:
+                continue
+            odd = [np.bincount(np.array([x % 512 for x in s]), minlength=512) & 1 for s in (a, b)]
+            assert (odd[0] ^ odd[1]).sum() * 1.8 <= (len(a) + len(b)) * 0.2 + 1e-6
+
+
+def test_rows_without_id_are_compared(spark):
+    r = random.Random(15)
+    a, b = (" ".join(f"{r.random():.6f}" for _ in range(200)) for _ in range(2))
+    rows = [(None, a), (None, a + " end"), (3, a + " tail"), (None, b), (None, b + " end"), (None, b)]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [x["doc_id"] for x in kept if x["text"].startswith(a)] == [3]
+    assert len([x for x in kept if x["text"].startswith(b)]) == 1 and len(kept) == 2
