@@ -18,7 +18,7 @@ from cdcflow.sources.envelope import encode
 from cdcflow.sources.kafka import lost_offsets, messages_of, next_offsets
 from cdcflow.sources.store import Store
 from cdcflow.spec import Check, ColumnSpec, Rule, TableSpec, Transform
-from cdcflow.streaming.streams import StreamFacts, retry_failed, start_all, start_routed, start_stream, write_batch
+from cdcflow.streaming.streams import StreamFacts, retry_failed, start_all, start_routed, start_stream, wait_for_any, write_batch
 
 CHECKED_ORDERS = TableSpec(
     name="orders",
@@ -406,3 +406,16 @@ def stream_progress(t: Tables) -> DataFrame:
         t.spark.streams.removeListener(facts)
     told = found.filter("kind IN ('progress', 'ended', 'failed') AND (kind <> 'progress' OR input_rows > 0)")
     return told.groupBy("query", "kind").agg(F.sum("input_rows").alias("input_rows"))
+
+
+@query("stream_wait_for_any", "SELECT c_custkey, c_mktsegment FROM customer")
+def stream_wait_for_any(t: Tables) -> DataFrame:
+    """Clients as a stream; the wait for any query to end is over when it has written them."""
+    root = scratch_dir(t.spark)
+    store = Store(t.spark, f"{root}/store")
+    encode(t.customer, CLIENTS.column_names, operation=F.lit("load"), at=F.lit(FIRST_TIME), table="clients").write.parquet(f"{root}/clients")
+    source = t.spark.readStream.schema("value string").parquet(f"{root}/clients")
+    t.spark.streams.resetTerminated()
+    start_all([CLIENTS, INNER], lambda spec: source, store, f"{root}/checkpoints", trigger={"availableNow": True})
+    wait_for_any(t.spark)
+    return store.current(CLIENTS).select("c_custkey", "c_mktsegment")

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from cdcflow.functions.columns import map_operation
 from cdcflow.operators import history as H, skew
 from cdcflow.plans.catalog.base import BUILT_FROM, CTES, Tables, event_changes, history_sql, moment, order_changes, query
+from cdcflow.session import scratch_dir
+from cdcflow.sources.buckets import BucketedVersions
 
 KEY = ["o_orderkey"]
 VERSION = ["o_orderkey", "o_orderstatus", "_operation", "_effective_from", "_effective_to", "_is_current"]
@@ -109,6 +111,31 @@ def scd2_merge(t: Tables) -> DataFrame:
     return merged(t).select(*VERSION)
 
 
+@query("scd2_merge_bucketed", "SELECT * FROM merged", ("merged",))
+def scd2_merge_bucketed(t: Tables) -> DataFrame:
+    """The same with the loaded versions in a bucketed table, which the merge neither exchanges nor sorts."""
+    table = BucketedVersions(t.spark, scratch_dir(t.spark), KEY, 8)
+    table.write("load", loaded(t))
+    return table.merged("load", second_batch(t)).select(*VERSION)
+
+
+@query(
+    "scd2_registered_views",
+    """
+    SELECT _operation, count(*) AS versions, count(*) FILTER (_is_current) AS open_versions,
+           (SELECT count(*) FROM order_history WHERE _is_current) AS all_open FROM order_history GROUP BY 1""",
+    ("order_history",),
+)
+def scd2_registered_views(t: Tables) -> DataFrame:
+    """A history queried by name in SQL, whole, as history and as its current slice."""
+    H.register_views(t.spark, "registered_orders", order_history(t))
+    return t.spark.sql(
+        """SELECT h._operation, count(*) AS versions, count_if(h._is_current) AS open_versions,
+                  (SELECT count(*) FROM registered_orders_current) AS all_open
+           FROM registered_orders_history h GROUP BY h._operation"""
+    )
+
+
 @query(
     "scd2_upsert_unseen",
     f"""

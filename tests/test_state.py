@@ -222,3 +222,59 @@ def test_counts_cost_no_jobs_of_their_own(spark, tmp_path):
     facts = ["messages", "malformed_count", "control_count", "total_rows", "quarantined_count", "unknown_count", "staged_count", "failed_rules"]
     assert rows(store.summary().filter("batch_id = 1"), *facts) == [(5, 1, 0, 4, 0, 0, 3, [])]
     assert rows(store.summary().filter("batch_id = 0"), *facts) == [(6, 1, 0, 5, 2, 1, 2, ["drv_score", "primary_key"])]
+
+
+def test_a_merge_leaves_the_bucketed_table_where_it_is(spark, tmp_path):
+    from cdcflow.sources.buckets import BucketedVersions
+
+    kind = "id int, v string, _operation string, t timestamp_ntz"
+    staged = lambda *c: H.add_version_columns(spark.createDataFrame(list(c), kind), F.col("t"))
+    base = H.apply_changes(None, staged(*[(i, "a", "INSERT", at(0)) for i in range(50)]), ["id"])
+    table = BucketedVersions(spark, str(tmp_path), ["id"], 3)
+    table.write("0", base)
+    batch = staged((1, "b", "UPDATE", at(2)), (2, None, "DELETE", at(2)), (3, "c", "UPDATE", at(0)), (70, "n", "UPDATE", at(1)), (71, None, "DELETE", at(1)), (4, "?", "UNKNOWN", at(1)))
+    merged = table.merged("0", batch)
+    assert rows(merged) == rows(H.apply_changes(base, batch, ["id"]).select(*merged.columns))
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    above, _, scan = plan.partition("FileScan parquet")
+    assert "ShuffledHashJoin" in plan and "Bucketed: true" in scan.split("\n")[0] and "SortMergeJoin" not in plan
+    # The base is the first child of the join; the only exchange deals the changes.
+    assert "Exchange" not in above.split("ShuffledHashJoin")[1] and plan.count("Exchange") == 1
+    table.write("1", H.current(merged))
+    again = table.merged("1", staged((1, "d", "UPDATE", at(5))))
+    assert rows(again.filter("id = 1"), "v", "_is_current") == [("b", False), ("d", True)]
+    with pytest.raises(Exception, match="older than its key"):
+        table.merged("1", staged((1, "late", "UPDATE", at(1)))).collect()
+
+
+def test_a_shared_feed_is_read_once_and_tables_fail_alone(spark, tmp_path):
+    from dataclasses import replace
+
+    from cdcflow.spec import Rule
+    from cdcflow.streaming.streams import StreamFacts, retry_failed, start_routed
+    from test_runs import ALERTS, INTERNAL
+
+    store = Store(spark, str(tmp_path / "store"))
+    broken = replace(ALERTS, rules=(Rule("bad", "regex", "kind", {"pattern": "("}),))
+    texts = [*LOAD, message("insert", at(0), "alerts", id=9, kind="x"), message("insert", at(0), "elsewhere", id=1)]
+    frame(spark, *texts).coalesce(1).write.parquet(str(tmp_path / "feed"))
+    source = spark.readStream.schema("value string").parquet(str(tmp_path / "feed"))
+    run = lambda specs: start_routed(specs, source, store, str(tmp_path / "points"), trigger={"availableNow": True})
+    facts = StreamFacts()
+    spark.streams.addListener(facts)
+    try:
+        running = run([DRIVERS, broken, INTERNAL])
+        running.awaitTermination()
+        assert sum(p["numInputRows"] for p in running.recentProgress) == len(texts)
+        assert rows(store.current(DRIVERS), "id") == [(1,), (2,)] and store.current(ALERTS) is None
+        assert store.failed(broken) == [0] and store.failed(DRIVERS) == []
+        with pytest.raises(Exception):
+            retry_failed(broken, store)
+        assert retry_failed(ALERTS, store) == [0] and store.failed(ALERTS) == []
+        assert rows(store.current(ALERTS), "id", "kind") == [(9, "x")]
+        frame(spark, message("insert", at(1), "alerts", id=10, kind="y"), *CHANGES).write.mode("append").parquet(str(tmp_path / "feed"))
+        run([DRIVERS, ALERTS]).awaitTermination()
+        assert sorted(r["id"] for r in store.current(ALERTS).collect()) == [9, 10] and rows(store.current(DRIVERS), "id") == [(1,), (4,)]
+    finally:
+        spark.streams.removeListener(facts)
+    assert all(r["query"] == "stream_routed" for r in facts.rows(spark).collect())
