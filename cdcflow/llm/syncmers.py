@@ -7,8 +7,12 @@ from pyspark.sql.window import Window
 
 from cdcflow.session import written
 
-#: Words of an anchor, and of the inner stretch whose place decides.
-K, S = 12, 2
+#: Words of an anchor, and of the inner stretch whose place decides; anchors of characters have as many.
+K, S = 5, 1
+#: Texts of fewer words, or with more characters to a word on average, have anchors of characters as well.
+SHORT, UNSPACED = 40, 40
+#: Where the positions of anchors of characters begin.
+CHARACTERS = 1 << 30
 SPACE = r"[\x20\x09-\x0D]+"
 LOW = 0xFFFFFFFF
 #: Stands for null in joins on doc_id.
@@ -19,6 +23,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def characters(text: Column, listed: Column) -> Column:
+    """The characters of a short or unspaced text without its white space, none of any other; ``listed`` are its words."""
+    few = (F.size(listed) < SHORT) | (F.char_length(text) > F.size(listed) * UNSPACED)
+    joined = F.regexp_replace(text, SPACE, "")
+    return F.when(few & (joined != ""), F.split(joined, "")).otherwise(F.array().cast("array<string>"))
+
+
 def stretches(hashes: Column, inner: Column, k: int = K, s: int = S) -> Column:
     """Closed syncmers of word hashes as longs, position * 2 ** 32 + 32-bit hash, in text order.
 
@@ -53,8 +64,15 @@ def with_stretches(df: DataFrame, listed: Column, name: str, k: int = K, s: int
     return hashed.withColumn(name, stretches(F.col(f"{name}_h"), F.col(f"{name}_g"), k, s)).drop(f"{name}_h", f"{name}_g")
 
 
+def with_characters(df: DataFrame, text: Column, listed: Column, name: str, k: int = K, s: int = S) -> DataFrame:
+    """``df`` with the syncmers of a text's characters where ``characters`` gives any, at positions from CHARACTERS on."""
+    drawn = df.withColumn(f"{name}_c", characters(text, listed))
+    found = with_stretches(drawn, F.col(f"{name}_c"), name, k, s)
+    return found.withColumn(name, F.transform(name, lambda a: a + F.lit(CHARACTERS << 32))).drop(f"{name}_c")
+
+
 def whole_hash(listed: Column) -> Column:
-    """What stands for a text without any syncmer (fewer than k words, mostly): the hash of its words, null without any."""
+    """What stands for a text without any syncmer (fewer than k characters): the hash of its words, null without any."""
     return F.when(F.size(listed) > 0, F.hash(listed).cast("long").bitwiseAND(F.lit(LOW)))
 
 
@@ -63,10 +81,13 @@ def or_whole(found: Column, whole: Column) -> Column:
 
 
 def with_anchors(df: DataFrame, text: str, name: str, k: int = K, s: int = S) -> DataFrame:
-    """``df`` with the anchors of a text column: its syncmers, or one at position 0 for the whole of it."""
+    """``df`` with the anchors of a text column: syncmers of its words and, where it is short or unspaced, of its
+    characters; or one at position 0 for the whole of a text without any."""
     listed = df.withColumn(f"{name}_w", words(F.col(text)))
     found = with_stretches(listed, F.col(f"{name}_w"), name, k, s)
-    return found.withColumn(name, or_whole(F.col(name), whole_hash(F.col(f"{name}_w")))).drop(f"{name}_w")
+    found = with_characters(found, F.col(text), F.col(f"{name}_w"), f"{name}_l", k, s)
+    every = F.concat(name, f"{name}_l")
+    return found.withColumn(name, or_whole(every, whole_hash(F.col(f"{name}_w")))).drop(f"{name}_w", f"{name}_l")
 
 
 def printed(found: Column) -> Column:
@@ -139,7 +160,8 @@ def edited_pairs(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     are ordered by a hash of the text, null ids come last.
 
     Anchors of the whole texts are worked out once. As they depend on their own words alone, those within the part
-    that an edit keeps are the edited text's as well, and only its end is searched anew. The texts cross the network
+    that an edit keeps are the edited text's as well, and only its end is searched anew; short and unspaced
+    texts have anchors of characters too, which are searched anew in the whole. The texts cross the network
     once, keyed by their row (both joins read that exchange); what a row sends to the one before it is the part of
     its text that replaces that one's end, and its anchors.
     """
@@ -152,8 +174,9 @@ def edited_pairs(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
         F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"),
     )
     listed = with_stretches(rows.withColumn("words", words(F.col("text"))), F.col("words"), "syncmers", k, s)
+    listed = with_characters(listed, F.col("text"), F.col("words"), "letters", k, s)
     whole = listed.withColumn("whole", whole_hash(F.col("words"))).drop("words")
-    anchors = or_whole(F.col("syncmers"), F.col("whole"))
+    anchors = or_whole(F.concat("syncmers", "letters"), F.col("whole"))
     found = whole.join(wants, (whole.doc_id == wants.next_id) & (whole.mark == wants.next_mark)).select(
         "to_id", "to_mark", F.substring("text", F.lit(1), F.col("wanted")).alias("tail"), hashes(anchors).alias("next_hashes"),
         F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"),
@@ -172,7 +195,10 @@ def edited_pairs(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     searched = with_stretches(near, F.col("end"), "end_anchors", k, s)
     stays = F.filter("syncmers", lambda a: F.shiftrightunsigned(a, 32) + k <= F.size("safe"))
     moved = F.transform("end_anchors", lambda a: a + F.shiftleft(F.col("from").cast("long"), 32))
-    both = searched.withColumn("edited_anchors", or_whole(F.concat(stays, moved), whole_hash(F.concat("safe", "rest"))))
+    searched = searched.withColumn("edited_words", F.concat("safe", "rest"))
+    searched = with_characters(searched, F.concat("kept", "tail"), F.col("edited_words"), "edited_letters", k, s)
+    every = F.concat(stays, moved, F.col("edited_letters"))
+    both = searched.withColumn("edited_anchors", or_whole(every, whole_hash(F.col("edited_words"))))
     both = both.withColumn("anchors", anchors)
     return both.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
