@@ -36,31 +36,79 @@ PART = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-SVG = re.compile(r"<(/?)svg(?=[\s/>])((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>", re.I)
+SVG = re.compile(r"<(/?)svg(?=[\s/>])((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.I)
+#: Features that the open elements of a block have at most; elements further in add none beyond them.
+AROUND = 512
+LISTS = ("ul", "ol", "dl", "table", "select")
+WORDS = re.compile(r"[a-z]+")
 NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+class Place:
+    """An open block element: its tag, the way of tags that leads to it, and what is known of all elements around.
+
+    Elements share what their parents know, so depth costs nothing that a page's length does not.
+    """
+
+    __slots__ = ("around", "features", "tag", "way")
+
+    def __init__(self, tag: str, way: int, around: frozenset[str]) -> None:
+        self.tag, self.way, self.around = tag, way, around
+        self.features: tuple[int, ...] | None = None
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the part of it in links, and the open elements, outermost first."""
+    """A leaf block: its text, the part of it in links, and the element it stands in."""
 
     text: str
     linked: int
-    path: tuple[str, ...]
-    names: tuple[str, ...]
+    place: Place
 
 
-def past_drawing(source: str, at: int) -> int:
-    """Where the svg element ends whose start tag ends at ``at``, inner ones counted; ``at`` itself if it never does."""
-    depth = 1
-    for match in SVG.finditer(source, at):
-        if match[1]:
-            depth -= 1
-        elif not match[2].endswith("/"):
-            depth += 1
-        if not depth:
-            return match.end()
-    return at
+class Tree:
+    """The open elements while a page is read: where each tag is open, and the place of the innermost block element."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, Place]] = []
+        self.open: dict[str, list[int]] = {}
+        self.ways: dict[tuple[int, str], int] = {}
+        self.root = Place("", 0, frozenset())
+        self.known: dict[tuple[int, str], tuple[int, ...]] = {}
+
+    def place(self) -> Place:
+        return self.stack[-1][1] if self.stack else self.root
+
+    def push(self, tag: str, names: str) -> None:
+        outer = self.place()
+        inner = outer
+        if tag not in INLINE:
+            way = self.ways.setdefault((outer.way, tag), len(self.ways) + 1)
+            new = {f"in {tag}", *(f"named {w}" for w in WORDS.findall(names))} - outer.around
+            inner = Place(tag, way, outer.around | new if new and len(outer.around) < AROUND else outer.around)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, inner))
+
+    def last(self, tags) -> int:
+        """Where the innermost open element of these tags is, -1 without any."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.open[tag].pop()
+        return tag
+
+
+def drawings(source: str) -> dict[int, int]:
+    """Where svg elements end, by the end of their start tags; those that never end are left out."""
+    ends, inside = {}, []
+    for match in SVG.finditer(source):
+        if not match[1]:
+            if not match[2].endswith("/"):
+                inside.append(match.end())
+        elif inside:
+            ends[inside.pop()] = match.end()
+    return ends
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -71,11 +119,12 @@ def blocks(page: str | None) -> list[Block]:
     end where HTML lets them; stray end tags are ignored, and what is open at the end is closed.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    tree = Tree()
     held: list[str] = []
     linked = 0
     links = 0
     source = page or ""
+    svg_ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -83,19 +132,16 @@ def blocks(page: str | None) -> list[Block]:
             text = "".join(held)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                outer = [x for x in stack if x[0] not in INLINE]
-                out.append(Block(text, min(linked, len(text)), tuple([t for t, _ in outer]), tuple([n for _, n in outer])))
+                out.append(Block(text, min(linked, len(text)), tree.place()))
             held.clear()
         linked = 0
 
     def close(upto: int) -> None:
         nonlocal links
-        for tag, _ in stack[upto:]:
-            if tag == "a":
-                links -= 1
-            elif tag not in INLINE:
+        while len(tree.stack) > upto:
+            if tree.stack[-1][0] not in INLINE:
                 flush()
-        del stack[upto:]
+            links -= tree.pop() == "a"
 
     at, end = 0, len(source)
     while at < end:
@@ -113,20 +159,19 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if match[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+            if tree.open.get(tag):
+                close(tree.open[tag][-1])
+            elif tag not in INLINE:
+                flush()
             continue
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(source, at)
             at = stop.end() if stop else end
             continue
         if tag == "svg":
-            at = at if match[3].endswith("/") else past_drawing(source, at)
+            if svg_ends is None:
+                svg_ends = drawings(source)
+            at = at if match[3].endswith("/") else svg_ends.get(at, at)
             continue
         if tag in MATH and match[3].endswith("/"):
             continue
@@ -137,29 +182,29 @@ def blocks(page: str | None) -> list[Block]:
                 flush()
             continue
         if tag in ENDS_PARAGRAPH:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
+            if tree.open.get("p"):
+                close(tree.open["p"][-1])
         elif tag in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SIBLINGS[tag]:
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
+            before = tree.last(SIBLINGS[tag])
+            if before > tree.last(LISTS):
+                close(before)
         if tag not in INLINE:
             flush()
         elif tag == "a":
             links += 1
         attributes = match[3]
         names = " ".join(x[1] or x[2] or x[3] for x in NAME.findall(attributes)) if "=" in attributes else ""
-        stack.append((tag, names.lower()))
+        tree.push(tag, names.lower())
     flush()
+    for place in (b.place for b in out):
+        if place.features is None:
+            key = (id(place.around), place.tag)
+            if key not in tree.known:
+                tree.known[key] = placed(place)
+            place.features = tree.known[key]
     return out
 
 
-WORDS = re.compile(r"[a-z]+")
 #: Words in short blocks that tell the furniture of pages from prose.
 TELLING = re.compile(
     r"©|\(c\)|copyright|cookie|privacy|subscribe|newsletter|sign ?up|log ?in|share|read more|related|comment|repl(?:y|ies)|advert"
@@ -172,11 +217,9 @@ def hashed(key: str) -> int:
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) % FEATURES
 
 
-@functools.lru_cache(1 << 14)
-def placed(path: tuple[str, ...], names: tuple[str, ...]) -> tuple[int, ...]:
+def placed(place: Place) -> tuple[int, ...]:
     """Features of the open elements: each tag, each word of a class, id or role, and the innermost tag."""
-    keys = {f"in {t}" for t in path} | {f"named {w}" for n in names for w in WORDS.findall(n)}
-    return tuple(sorted(map(hashed, keys | {"bias", f"leaf {path[-1] if path else ''}"})))
+    return tuple(sorted(map(hashed, place.around | {"bias", f"leaf {place.tag}"})))
 
 
 @functools.lru_cache(1 << 14)
@@ -190,17 +233,16 @@ def features(found: list[Block]) -> list[list[int]]:
     """Hashed features of each block: ancestors and their names, shape of the text, and the place in the page."""
     rows = []
     last = max(len(found) - 1, 1)
-    before = None
+    before = -1
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
         end = b.text[-1]
         ends = end if end in ".!?:;,…" else "a" if end.isalnum() else "o"
-        leaf = b.path[-1] if b.path else ""
-        row = [*placed(b.path, b.names), *shaped(leaf, min(words.bit_length(), 9), int(4 * b.linked / len(b.text)), ends, int(4 * i / last), b.path == before)]
+        row = [*b.place.features, *shaped(b.place.tag, min(words.bit_length(), 9), int(4 * b.linked / len(b.text)), ends, int(4 * i / last), b.place.way == before)]
         if words < 60:
             row += [hashed(f"says {w}") for w in set(TELLING.findall(b.text.lower()))]
         rows.append(row)
-        before = b.path
+        before = b.place.way
     return rows
 
 
@@ -314,6 +356,10 @@ class PageMaker:
         return self.r.choice((" ", " ", "<br>")).join(out)
 
     def article(self) -> list[tuple[str, int]]:
+        if self.r.random() < 0.1:
+            # A short notice of news: sentences in boxes, nothing else.
+            long = lambda: " ".join(self.words(6, 22).capitalize() + "." for _ in range(self.r.randint(2, 4)))
+            return [(f"<div>{long()}</div>", 1) for _ in range(self.r.randint(1, 3))]
         parts = [(f"<h1>{self.words(1, 9)}</h1>", 1)] if self.r.random() < 0.85 else []
         for _ in range(self.r.choice((1, 2, 3, 5, 9, 16))):
             kind = self.r.random()
@@ -324,15 +370,41 @@ class PageMaker:
             elif kind < 0.93:
                 items = [(f"<li>{self.prose()}</li>", 1) for _ in range(self.r.randint(2, 5))]
                 parts += [("<ul>", -1), *items, ("</ul>", -1)]
-            elif kind < 0.97:
+            elif kind < 0.95:
                 parts.append((f"<blockquote>{self.prose()}</blockquote>", 1))
+            elif kind < 0.96:
+                parts += [("<figure><img src=x>", -1), (f"<figcaption>{self.words(2, 12)}</figcaption>", 1), ("</figure>", -1)]
+            elif kind < 0.97:
+                rows = [(f"<tr><td>{self.words(1, 4)}</td>", 1) for _ in range(self.r.randint(2, 4))]
+                parts += [("<table>", -1), *rows, ("</table>", -1)] if self.r.random() < 0.5 else [(f"<pre>{self.words(3, 30)}</pre>", 1)]
             else:
                 tag = self.r.choice(("noscript", "object"))
                 parts.append((f"<{tag}><p>{self.prose()}</p></{tag}>", 1))
+        return self.arranged(parts)
+
+    def arranged(self, parts: list[tuple[str, int]]) -> list[tuple[str, int]]:
+        """The article as it is, with a header of its own, in sections, or with paragraphs that are boxes only."""
+        r = self.r
+        style = r.random()
+        if style < 0.2 and not any(x == -1 for _, x in parts):
+            box = r.choice(("div", "div", "span")) if len(parts) == 1 else "div"
+            parts = [(re.sub(r"^<p>(.*?)(?:</p>)?$", rf"<{box}>\1</{box}>", t, flags=re.S) if t.startswith("<p>") else t, x) for t, x in parts]
+        elif style < 0.35 and parts[0][0].startswith("<h1"):
+            lead = [(f"<p>{self.words(2, 12)}</p>", 1)] if r.random() < 0.7 else []
+            parts = [("<header>", -1), parts[0], *lead, ("</header>", -1), *parts[1:]]
+        if r.random() < 0.2 and len(parts) > 2:
+            at = 1
+            name = r.choice(("", f' class="{self.word()}"', ' class="section"'))
+            head = [(f"<h2>{self.words(1, 6)}</h2>", 1)] if r.random() < 0.5 else []
+            depth = [i for i in range(1, len(parts)) if sum((t[1] != "/") * 2 - 1 for t, x in parts[:i] if x == -1 and not t.startswith("<figure><")) == 0]
+            at = r.choice(depth) if depth else 0
+            tag = r.choice(("section", "section", "div"))
+            parts = [*parts[:at], (f"<{tag}{name}>", -1), *head, *parts[at:], (f"</{tag}>", -1)]
         return parts
 
-    def boxed(self, tag: str, names: str, inner: list[tuple[str, int]]) -> list[tuple[str, int]]:
-        name = self.r.choice(names.split())
+    def boxed(self, tag: str, names: str, inner: list[tuple[str, int]], unknown: float = 0.0) -> list[tuple[str, int]]:
+        """``inner`` in an element with one of the names, or with none that means anything."""
+        name = self.word() if self.r.random() < unknown else self.r.choice(names.split())
         given = self.r.choice((f' class="{name}"', f' id="{name}"', f' class="{name} {self.word()}"'))
         return [(f"<{tag}{given}>", -1), *inner, (f"</{tag}>", -1)]
 
@@ -344,7 +416,7 @@ class PageMaker:
         r, p = self.r, lambda text: (f"<p>{text}</p>", 0)
         plain = r.random() < 0.45
         if kind == "nav":
-            return [("<nav>", -1), *self.links(), ("</nav>", -1)] if plain else self.boxed(r.choice(("div", "nav")), "menu nav navigation topnav breadcrumb navbar", self.links())
+            return [("<nav>", -1), *self.links(), ("</nav>", -1)] if plain else self.boxed(r.choice(("div", "nav")), "menu nav navigation topnav breadcrumb navbar", self.links(), 0.3)
         if kind == "header":
             inner = [(f"<div>{self.words(1, 5)}</div>", 0), p(self.words(2, 8))]
             return [("<header>", -1), *inner, ("</header>", -1)] if plain else self.boxed("div", "header masthead banner site-header top", inner)
@@ -353,7 +425,7 @@ class PageMaker:
             return self.boxed(r.choice(("div", "aside", "section")), "ad ads advert advertisement sponsored promo banner-ad", [(text, 0) if r.random() < 0.6 else p(text)])
         if kind == "aside":
             inner = [(f"<h3>{self.words(1, 4)}</h3>", 0), *(self.links() if r.random() < 0.6 else [p(self.prose())])]
-            return [("<aside>", -1), *inner, ("</aside>", -1)] if plain else self.boxed("div", "sidebar related widget recommended side-column more-stories", inner)
+            return [("<aside>", -1), *inner, ("</aside>", -1)] if plain else self.boxed("div", "sidebar related widget recommended side-column more-stories", inner, 0.3 if any("<a " in t for t, _ in inner) else 0.0)
         if kind == "notice":
             return self.boxed(r.choice(("div", "section", "aside")), "cookie cookie-notice notice consent gdpr alert subscribe newsletter popup", [p(self.prose())])
         if kind == "form":
@@ -382,9 +454,9 @@ class PageMaker:
         elif style < 0.6:
             body = [("<main>", -1), *body, ("</main>", -1)]
         elif style < 0.9:
-            body = self.boxed("div", "content article post entry main article-body story text post-content", body)
+            body = self.boxed("div", "content article post entry main article-body story text post-content", body, 0.3)
         if r.random() < 0.3:
-            body = self.boxed("div", "container wrapper page layout row site", body)
+            body = self.boxed("div", "container wrapper page layout row site", body, 0.3)
         parts = [x for k in before for x in self.furniture(k)] + body + [x for k in after for x in self.furniture(k)]
         head = f"<!DOCTYPE html><html><head><title>{self.words(1, 8)}</title><style>p{{margin:0}}</style></head><body>"
         page = head + self.r.choice(("", "\n")).join(t for t, _ in parts) + "</body></html>"
