@@ -15,9 +15,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from cdcflow.llm.common import partitions
-from cdcflow.session import scratch_dir
+from cdcflow.session import scratch_dir, written
 
 #: Date of every record unless the caller names another; nothing in an archive depends on the clock.
 DATE = "2024-01-01T00:00:00Z"
@@ -237,16 +238,26 @@ def clean_uri(url: str) -> str:
 
 
 def shard_borders(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """Keys at which shards begin: of the keys whose hash falls in a share of the table, every 64th in order."""
+    """Keys at which shards begin: of the keys whose hash falls in a share of the table, every 64th in order.
+
+    The sample is sorted and numbered in Spark; one key for each shard reaches the driver.
+    """
     total = pages.agg(F.sum(F.octet_length("html").cast("long")), F.count("page_id")).first()
     shards = max(1, -(-(total[0] or 0) // shard_bytes))
     if shards == 1:
         return []
     every = max(1, total[1] // (shards * 64))
     keys = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("page_id").distinct()
-    found = [r[0] for r in keys.sort("page_id").toLocalIterator() if r[0] is not None]
-    step = max(1, len(found) // shards)
-    return found[step::step]
+    # Written with the number of its part, so that parts and the places within them are fixed from here on.
+    parts = written(keys.where("page_id is not null").sort("page_id").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("rows"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("part").alias("of"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("page_id")) - 1 + F.col("start")
+    ranked = parts.join(starts, F.col("part") == F.col("of")).withColumn("place", place)
+    step = max(1, parts.count() // shards)
+    chosen = ranked.where((F.col("place") > 0) & (F.col("place") % step == 0)).select("page_id")
+    return sorted(r[0] for r in chosen.collect())
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
