@@ -65,6 +65,50 @@ def test_run_packs_what_the_stages_leave(spark, folder):
     assert found.count() > 0
 
 
+def test_rows_are_those_of_plain_python(spark, folder):
+    """Near-dedup, secrets and packing row by row: what each gives for the rows its predecessor kept."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, folder))
+        seen.append([(r["doc_id"], r["text"]) for r in docs.collect()])
+    good, unique, clean, mixed = seen
+    shingles = {i: {tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} for i, t in good for w in [t.lower().split()]}
+    kept = []
+    for i in sorted(shingles):
+        # Copies here are exact, so groups need no chains.
+        if not any(len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) for j in kept):
+            kept.append(i)
+    assert sorted(i for i, _ in unique) == kept and dict(unique) == {i: t for i, t in good if i in set(kept)}
+    marked = lambda t: " ".join("[secret]" if "password=" in w or "[secret]" in w else w for w in t.split())
+    assert sorted((i, marked(t)) for i, t in clean) == sorted((i, marked(t)) for i, t in unique)
+    assert {t for _, t in mixed} <= {" ".join(t.split()[:n]) for _, t in clean for n in range(len(t.split()) + 1)}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = []
+    for i, text in mixed:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        wanted += [
+            (i, n, a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))
+        ]
+    found = corpus_pipeline.run(spark, folder).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == sorted(wanted)
+    room = {}
+    for r in found:
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in room.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+
+
 def test_stages_run_on_no_rows(spark, folder):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES[:-1]:
