@@ -159,11 +159,12 @@ def edited_pairs(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     equal in id and text stand in that order once and are returned as often as they come; equal ids with other texts
     are ordered by a hash of the text, null ids come last.
 
-    Anchors of the whole texts are worked out once. As they depend on their own words alone, those within the part
-    that an edit keeps are the edited text's as well, and only its end is searched anew; short and unspaced
-    texts have anchors of characters too, which are searched anew in the whole. The texts cross the network
-    once, keyed by their row (both joins read that exchange); what a row sends to the one before it is the part of
-    its text that replaces that one's end, and its anchors.
+    Anchors depend on their own words alone, so those within the part that an edit keeps are the edited text's as well,
+    and only its end is searched anew; short and unspaced texts have anchors of characters too, which are searched
+    anew in the whole. The texts cross the network once, keyed by their row (both joins read that exchange), without
+    their anchors, which take half a text's size: they are worked out where they are needed, for the row before and for
+    the row itself. What a row sends to the one before it is the part of its text that replaces that one's end, and its
+    anchors' hashes.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
@@ -173,18 +174,19 @@ def edited_pairs(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
         F.col("doc_id").alias("to_id"), F.col("mark").alias("to_mark"), "next_id", "next_mark",
         F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"),
     )
-    listed = with_stretches(rows.withColumn("words", words(F.col("text"))), F.col("words"), "syncmers", k, s)
-    listed = with_characters(listed, F.col("text"), F.col("words"), "letters", k, s)
-    whole = listed.withColumn("whole", whole_hash(F.col("words"))).drop("words")
-    anchors = or_whole(F.concat("syncmers", "letters"), F.col("whole"))
-    found = whole.join(wants, (whole.doc_id == wants.next_id) & (whole.mark == wants.next_mark)).select(
-        "to_id", "to_mark", F.substring("text", F.lit(1), F.col("wanted")).alias("tail"), hashes(anchors).alias("next_hashes"),
+    followers = rows.join(wants, (rows.doc_id == wants.next_id) & (rows.mark == wants.next_mark))
+    found = with_anchors(followers, "text", "anchors", k, s).select(
+        "to_id", "to_mark", F.substring("text", F.lit(1), F.col("wanted")).alias("tail"), hashes(F.col("anchors")).alias("next_hashes"),
         F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"),
     )
     # A row that comes several times is sent once; all its copies are equal.
     copies = Window.partitionBy("to_id", "to_mark").orderBy("next_id")
     sent = found.withColumn("copy", F.row_number().over(copies)).where("copy = 1").drop("copy")
-    joined = whole.join(sent, (whole.doc_id == sent.to_id) & (whole.mark == sent.to_mark)).drop("mark")
+    own = rows.join(sent, (rows.doc_id == sent.to_id) & (rows.mark == sent.to_mark)).drop("mark")
+    listed = with_stretches(own.withColumn("words", words(F.col("text"))), F.col("words"), "syncmers", k, s)
+    listed = with_characters(listed, F.col("text"), F.col("words"), "letters", k, s)
+    joined = listed.withColumn("whole", whole_hash(F.col("words"))).drop("words")
+    anchors = or_whole(F.concat("syncmers", "letters"), F.col("whole"))
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
     cut = joined.withColumn("kept", F.substring("text", F.lit(1), keep)).withColumn("pieces", F.split("kept", SPACE))
     # The last piece may be part of a word, or empty; all words before it stay as they are.

@@ -110,7 +110,7 @@ def test_one_row_and_no_rows(spark):
 
 
 def test_texts_are_exchanged_once(spark, tmp_path):
-    """Both joins on the texts read one exchange; the syncmers are worked out before it."""
+    """Both joins on the texts read one exchange; its rows carry no anchors."""
     spark.createDataFrame([(i, f"text {i} " * 20, "", 0) for i in range(50)], SCHEMA).write.parquet(str(tmp_path / "d"))
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
