@@ -36,12 +36,14 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-# The six letters that most often follow each letter a to z in words and names.
-FOLLOWERS = (
-    "ntlrsc elouar oheatk eiaosu rnsdat oireat ehraio eaiotr ntsoce uoeais eisnay eiyalo eaoipm tgdeso nrufmt eroalt uaiest "
-    "eioast teihsu hieoar rsntlp eiaoyu iaheon ptaice osetmp eaiozy"
-).split()
-BIGRAMS = "|".join(a + b for a, after in zip("abcdefghijklmnopqrstuvwxyz", FOLLOWERS, strict=True) for b in after)
+# Six letters that often follow each letter in English words and names, set by hand.
+FOLLOWERS = {
+    "a": "ntlrsc", "b": "elouar", "c": "oheatk", "d": "eiaosu", "e": "rnsdat", "f": "oireat", "g": "ehraio",
+    "h": "eaiotr", "i": "ntsoce", "j": "uoeais", "k": "eisnay", "l": "eiyalo", "m": "eaoipm", "n": "tgdeso",
+    "o": "nrufmt", "p": "eroalt", "q": "uaiest", "r": "eioast", "s": "teihsu", "t": "hieoar", "u": "rsntlp",
+    "v": "eiaoyu", "w": "iaheon", "x": "ptaice", "y": "osetmp", "z": "eaiozy",
+}
+BIGRAMS = "|".join(a + b for a, after in FOLLOWERS.items() for b in after)
 #: Share of a structured text's letters that are among the followers of the letter before.
 FOLLOWING = 0.75
 #: Chances that a lower-case letter, capital, digit or sign of a structured text is followed by each of these.
@@ -50,6 +52,39 @@ SWITCHES = ((0.84, 0.07, 0.05, 0.04), (0.40, 0.50, 0.06, 0.04), (0.08, 0.08, 0.8
 REJECT, DISCOVERY = 1e-3, 0.05
 #: p values are told apart in steps of a factor of 2 ** (1 / 4) for the false-discovery threshold.
 STEPS = 4
+#: z values of structured candidates count up to this; so many candidates with the given square stand for a class before any is seen.
+FARTHEST, PRIOR, PRIOR_SQUARE = 4.0, 16, 4.0
+TESTS = ("chi", "runs", "serial")
+#: Running sums over arrays and cuts of texts go by blocks of so many elements or characters.
+BLOCK, CUT = 256, 4096
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once and not wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, zero: Column, add) -> Column:
+    """For each of ``values`` what ``add``, an associative one, makes of the earlier ones; ``zero`` for the first.
+
+    A fold that appends copies its list at each step, so lists are kept to a block; then blocks get their start.
+    """
+
+    def fold(items: Column, value) -> Column:
+        start = F.struct(zero.alias("at"), F.filter(F.array(zero), lambda _: F.lit(False)).alias("list"))
+        step = lambda s, v: F.struct(add(s["at"], value(v)).alias("at"), F.concat(s["list"], F.array(s["at"])).alias("list"))
+        return F.aggregate(items, start, step)
+
+    def joined(folded: Column) -> Column:
+        starts = fold(folded, lambda block: block["at"])["list"]
+        both = F.arrays_zip(folded.alias("block"), starts.alias("start"))
+        return F.flatten(F.transform(both, lambda b: F.transform(b["block"]["list"], lambda v: add(b["start"], v))))
+
+    def blocked(items: Column) -> Column:
+        last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: fold(F.slice(items, i * BLOCK + 1, F.lit(BLOCK)), lambda v: v))
+
+    return let(let(values, blocked), joined)
 
 
 def normal_below(z: Column) -> Column:
@@ -70,26 +105,34 @@ def spans(text: Column, pattern: str, kind: str, wanted, prefilter: Column) -> C
     """(start, kind, end, found) of the matches of ``pattern`` that ``wanted`` accepts; code points, end exclusive.
 
     What lies between the matches comes from a split by the same pattern, so that the positions are running sums of
-    lengths: one pass over the text whatever the number of matches.
+    lengths: one pass over the text, and time in proportion to the matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     one = F.struct(F.lit(0).alias("start"), F.lit("").alias("kind"), F.lit(0).alias("end"), F.lit("").alias("found"))
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found"))
+    empty = F.filter(F.array(one), lambda _: F.lit(False))
+    both = lambda f: F.arrays_zip(F.slice(gaps, 1, F.size(f)).alias("gap"), f.alias("found"))
+    measured = F.transform(
+        let(found, both),
+        lambda m: F.struct(F.char_length(m["gap"]).alias("gap"), F.char_length(m["found"]).alias("length"), m["found"].alias("found")),
+    )
 
-    def add(state: Column, item: Column) -> Column:
-        start = state["at"] + F.char_length(item["gap"])
-        end = start + F.char_length(item["found"])
-        new = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), item["found"].alias("found"))
-        return F.struct(end.alias("at"), F.when(wanted(item["found"]), F.concat(state["list"], F.array(new))).otherwise(state["list"]).alias("list"))
+    def placed(matches: Column) -> Column:
+        before = running(F.transform(matches, lambda m: m["gap"] + m["length"]), F.lit(0), lambda x, y: x + y)
+        at = lambda x: x["before"] + x["match"]["gap"]
+        made = F.transform(
+            F.arrays_zip(matches.alias("match"), before.alias("before")),
+            lambda x: F.struct(
+                at(x).alias("start"), F.lit(kind).alias("kind"), (at(x) + x["match"]["length"]).alias("end"), x["match"]["found"].alias("found")
+            ),
+        )
+        return F.filter(made, lambda m: wanted(m["found"]))
 
-    empty = F.filter(F.array(one), lambda _: F.lit(False))
-    folded = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("list")), add, lambda s: s["list"])
-    return F.when(prefilter, folded).otherwise(empty)
+    return F.when(prefilter, let(measured, placed)).otherwise(empty)
 
 
 def with_parts(candidate: Column) -> Column:
-    """A candidate and those of its parts that are long enough, each once."""
+    """A candidate and those of its parts that are long enough, each once, by start."""
     found = candidate["found"]
     one = F.transform(F.array(candidate), lambda c: c)
     mixed = found.rlike("[+/_-]")
@@ -98,13 +141,45 @@ def with_parts(candidate: Column) -> Column:
         parts,
         lambda p: F.struct((p["start"] + candidate["start"]).alias("start"), p["kind"].alias("kind"), (p["end"] + candidate["start"]).alias("end"), p["found"].alias("found")),
     )
-    return F.array_distinct(F.concat(one, moved))
+    return let(F.array_sort(F.concat(one, moved)), unlike_the_last)
+
+
+def unlike_the_last(found: Column) -> Column:
+    """A sorted array of spans without those that equal the one before."""
+    return F.filter(found, lambda s, i: (i == 0) | (F.try_element_at(found, i) != s))
 
 
 def outermost(found: Column) -> Column:
-    """The spans that lie in no other one."""
-    inside = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (a["end"] - a["start"] < b["end"] - b["start"])
-    return F.filter(found, lambda a: ~F.exists(found, lambda b: inside(a, b)))
+    """The spans that lie in no other one, each once: those that reach beyond all that begin before them."""
+    keyed = F.transform(found, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s.alias("s")))
+
+    def reaching(ordered: Column) -> Column:
+        reach = running(F.transform(ordered, lambda k: k["s"]["end"]), F.lit(-1), F.greatest)
+        both = F.arrays_zip(ordered.alias("k"), reach.alias("reach"))
+        return F.transform(F.filter(both, lambda x: x["k"]["s"]["end"] > x["reach"]), lambda x: x["k"]["s"])
+
+    return let(F.array_sort(keyed), reaching)
+
+
+def apart(candidates: Column, base: Column) -> Column:
+    """The candidates that overlap none of ``base``, by start; candidates do not overlap each other.
+
+    In the order of starts a candidate overlaps an earlier span that reaches into it or a later one that begins in it.
+    """
+    other = F.transform(base, lambda s: F.struct(s["start"].alias("a"), F.lit(0).alias("b"), s["end"].alias("end"), s.alias("s")))
+    own = F.transform(candidates, lambda s: F.struct(s["start"].alias("a"), F.lit(1).alias("b"), s["end"].alias("end"), s.alias("s")))
+
+    def free(ordered: Column) -> Column:
+        reach = running(F.transform(ordered, lambda k: F.when(k["b"] == 0, k["end"]).otherwise(-1)), F.lit(-1), F.greatest)
+        far = F.lit((1 << 31) - 1)
+        starts = F.reverse(F.transform(ordered, lambda k: F.when(k["b"] == 0, k["a"]).otherwise(far)))
+        ahead = F.reverse(running(starts, far, F.least))
+        rows = F.arrays_zip(ordered.alias("k"), reach.alias("reach"), ahead.alias("ahead"))
+        clear = lambda x: (x["k"]["b"] == 1) & (x["reach"] <= x["k"]["a"]) & (x["ahead"] >= x["k"]["end"])
+        return F.transform(F.filter(rows, clear), lambda x: x["k"]["s"])
+
+    alone = (F.size(base) == 0) | (F.size(candidates) == 0)
+    return F.when(alone, candidates).otherwise(let(F.array_sort(F.concat(other, own)), free))
 
 
 def known(text: Column) -> Column:
@@ -163,16 +238,15 @@ def told(chars: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """(encoding, n, random, structured): how unlikely a random string, and a structured one, looks like this.
+    """(encoding, n, random, chi, runs, serial, ratio): three tests for randomness and a likelihood ratio.
 
     The encoding is the first alphabet that holds every character (padding ``=`` aside); a candidate needs digits
     and letters, or both cases, to have one. With a characters in the alphabet and n in the string:
     chi-squared distance of its character counts from even ones (mean a - 1, variance 2 (a - 1)(n - 1) / n),
     the number of runs above and below the alphabet's middle, and the lag-1 serial correlation of places in the
-    alphabet give three z values; ``random`` is three times the smallest tail, at most 1. ``structured`` is
-    the likelihood of the string as structured text (``told``) over that of even characters, at most 1: by Markov's
-    inequality a structured string is so unlike itself with no more than that chance. Letter pairs, changes between
-    cases, digits and signs all count, character by character, so 20 characters are decisive in every encoding.
+    alphabet give three z values, each about standard normal for random strings; ``random`` is three times the
+    smallest tail, at most 1. ``ratio`` is the log likelihood of even characters less that of structured text
+    (``told``): letter pairs, changes between cases, digits and signs all count, so 20 characters tell much.
     """
     body = F.regexp_replace(token, "=+$", "")
     letters = F.lit(None).cast("string")
@@ -212,7 +286,8 @@ def battery(token: Column) -> Column:
         tails = [2 * normal_below(-F.abs(z)) for z in (z_runs, z_serial)]
         return F.struct(
             x["letters"].alias("encoding"), n.cast("int").alias("n"),
-            F.least(F.lit(1.0), 3 * F.least(normal_below(-z_chi), *tails)).alias("random"), F.exp(F.least(F.lit(0.0), x["told"] + n * F.log(a))).alias("structured"),
+            F.least(F.lit(1.0), 3 * F.least(normal_below(-z_chi), *tails)).alias("random"),
+            z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"), (-x["told"] - n * F.log(a)).alias("ratio"),
         )
 
     # Each step is a list of one, so that it is worked out once and not wherever it is used.
@@ -226,7 +301,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, base and tested spans of every row: one pass over the texts, written to the shared folder.
 
     ``base`` holds the known kinds; ``tested`` the candidates outside them, and their parts, that have an encoding
-    and that the battery does not reject as random, with their ``p`` (structured) and length class.
+    and that the battery does not reject as random, with what it says of them and their length class.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     runs = f"{CANDIDATE}{{{SHORTEST},}}{PADDING}"
@@ -234,26 +309,64 @@ def scanned(docs: DataFrame) -> DataFrame:
         "doc_id", known(F.col("text")).alias("base"),
         spans(F.col("text"), runs, "random", lambda _: F.lit(True), F.col("text").rlike(runs)).alias("candidates"),
     )
-    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    parted = F.flatten(F.transform(F.filter("candidates", apart), with_parts))
+    parted = F.flatten(F.transform(apart(F.col("candidates"), F.col("base")), with_parts))
     tested = F.transform(parted, lambda c: F.struct(c.alias("span"), battery(c["found"]).alias("b")))
     kept = F.filter(tested, lambda t: t["b"]["encoding"].isNotNull() & (t["b"]["random"] > REJECT))
     shaped = F.transform(
         kept,
         lambda t: F.struct(
-            t["span"].alias("span"),
-            F.floor(F.log2(t["b"]["n"])).cast("int").alias("length_class"),
-            F.floor(F.log2(F.greatest(t["b"]["structured"], F.lit(1e-300))) * STEPS).cast("int").alias("step"),
+            t["span"].alias("span"), F.floor(F.log2(t["b"]["n"])).cast("int").alias("length_class"),
+            *(t["b"][x].alias(x) for x in (*TESTS, "ratio")),
         ),
     )
     return written(base.select("doc_id", "base", shaped.alias("tested")))
 
 
+def spreads(found: DataFrame) -> dict[int, tuple[float, ...]]:
+    """How far each test's z values stray, by length class, among the candidates that read as structured text.
+
+    Their ratio speaks for structure. Far values count as FARTHEST, and PRIOR candidates are thought to be in every
+    class, so a spread lies between 1, where a test tells nothing, and FARTHEST. Sums are of integers, so they
+    do not depend on the order of rows. At most 31 classes exist.
+    """
+    each = found.select(F.explode("tested").alias("t")).where(F.col("t.ratio") <= 0)
+    square = lambda x: F.round(F.least(F.col(f"t.{x}") * F.col(f"t.{x}"), F.lit(FARTHEST**2)) * 1000).cast("long")
+    rows = each.groupBy("t.length_class").agg(F.count("*").alias("n"), *(F.sum(square(x)).alias(x) for x in TESTS)).collect()
+    mean = lambda total, n: (PRIOR * PRIOR_SQUARE + total / 1000) / (PRIOR + n)
+    return {r["length_class"]: tuple(max(1.0, math.sqrt(mean(r[x], r["n"]))) for x in TESTS) for r in rows}
+
+
+def stepped(found: DataFrame, spread: dict[int, tuple[float, ...]]) -> DataFrame:
+    """``found`` with ``evidence`` and ``step`` in each tested span: how unlikely a structured string is to be like this.
+
+    Under chance a test's z is standard normal, under structure it has the spread of its class; the log ratio of
+    the two densities, for each of the three tests, is added to the ratio of the characters. If structure is right,
+    the combined ratio is at least 1 / p with a chance of at most p (Markov), so p = exp(-evidence), at most 1.
+    """
+    usual = (math.sqrt(PRIOR_SQUARE),) * len(TESTS)
+    by_class = F.array(*(F.array(*map(F.lit, spread.get(c, usual))) for c in range(32)))
+
+    def evidence(t: Column) -> Column:
+        own = F.element_at(by_class, t["length_class"] + 1)
+        tests = [(t[x], F.element_at(own, i + 1)) for i, x in enumerate(TESTS)]
+        return sum((F.log(s) - z * z / 2 * (1 - 1 / (s * s)) for z, s in tests), t["ratio"])
+
+    weighed = F.transform("tested", lambda t: F.struct(t["span"].alias("span"), t["length_class"].alias("length_class"), evidence(t).alias("evidence")))
+    p = lambda t: F.least(F.lit(0.0), -t["evidence"] / math.log(2))
+    lowest = F.lit(-1000.0)
+    return found.withColumn(
+        "tested", F.transform(weighed, lambda t: F.struct(
+            *(t[x].alias(x) for x in ("span", "length_class", "evidence")), F.floor(F.greatest(p(t), lowest) * STEPS).cast("int").alias("step"),
+        )),
+    )
+
+
 def thresholds(found: DataFrame) -> DataFrame:
     """length_class and limit: the largest step whose finds keep the false-discovery rate (Benjamini, Hochberg).
 
     Every class of lengths (a power of two) is controlled on its own, so that many short candidates cannot lend
-    significance to each other's place. Counts by class and step, some thousands of rows at most, are all it needs.
+    significance to each other's place. p values count as the upper end of their step. Counts by class and step, some
+    hundred thousand rows at most, are all it needs.
     """
     each = found.select(F.explode("tested").alias("t")).groupBy("t.length_class", "t.step").count()
     order = Window.partitionBy("length_class").orderBy("step")
@@ -269,7 +382,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     are these and the candidates of the battery that pass its false-discovery control, kind ``random``, by start and
     then kind; parts of a candidate that passes are left to it. Null texts are empty; rows without doc_id and repeated rows are scanned like others.
     """
-    found = scanned(docs)
+    raw = scanned(docs)
+    found = stepped(raw, spreads(raw))
     # At most 31 length classes exist.
     limits = {r["length_class"]: r["limit"] for r in thresholds(found).collect()}
     below = lambda t: t["step"] <= F.element_at(F.array(*(F.lit(limits.get(c, -(1 << 30))) for c in range(32))), t["length_class"] + 1)
@@ -279,6 +393,30 @@ def secrets(docs: DataFrame) -> DataFrame:
     )
 
 
+def covered(text: Column, found: Column, mark: str) -> Column:
+    """``text`` with ``mark`` in the place of each group of overlapping spans of ``found``, which are in order of start.
+
+    The text is cut into blocks in one pass; what stays between two spans is read from the blocks it lies in.
+    """
+
+    def with_blocks(blocks: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / CUT).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, F.floor(end / CUT).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(near, start - first * CUT + 1, end - start)).otherwise("")
+
+        def parts(reach: Column) -> Column:
+            rows = F.arrays_zip(found.alias("span"), reach.alias("reach"))
+            apart = F.filter(rows, lambda x: (x["span"]["start"] >= x["reach"]) | (x["reach"] == 0))
+            kept = F.transform(apart, lambda x: F.concat(between(x["reach"], x["span"]["start"]), F.lit(mark)))
+            rest = between(F.array_max(F.transform(found, lambda s: s["end"])), F.char_length(text))
+            return F.array_join(F.concat(kept, F.array(rest)), "")
+
+        return let(running(F.transform(found, lambda s: s["end"]), F.lit(0), F.greatest), parts)
+
+    return let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CUT), F.lit(0)), with_blocks)
+
+
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with ``mark`` in the place of every secret; overlapping ones become one mark.
 
@@ -292,17 +430,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     joined = docs.withColumn(key, hashed).join(marked, F.col(key) == F.col(other), "left")
     text = F.col("text")
 
-    def cut(state: Column, span: Column) -> Column:
-        between = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        apart = (span["start"] >= state["at"]) | (state["at"] == 0)
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(apart, F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text)))
-    clean = F.when(F.col(spans_of).isNull(), text).otherwise(F.aggregate(spans_of, start, cut, rest))
+    clean = F.when(F.col(spans_of).isNull(), text).otherwise(covered(text, F.col(spans_of), mark))
     out = joined.withColumn("text", clean)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -1,6 +1,7 @@
 """Known kinds against Python's expressions; the battery; redaction."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -131,3 +132,107 @@ def test_short_tokens_are_found_among_harmless_names(spark):
     hit = {x["doc_id"] for x in found if x["spans"]}
     assert sum(i < len(tokens) for i in hit) >= 0.95 * len(tokens)
     assert sum(i >= len(tokens) for i in hit) <= 0.05 * len(hit)
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running_sums_and_maxima(spark, n):
+    r = random.Random(n)
+    values = [r.randint(-50, 50) for _ in range(n)]
+    frame = spark.createDataFrame([(values,)], "v array<int>")
+    sums, most = frame.select(
+        secrets.running(F.col("v"), F.lit(0), lambda x, y: x + y), secrets.running(F.col("v"), F.lit(-99), F.greatest)
+    ).first()
+    assert sums == [sum(values[:i]) for i in range(n)]
+    assert most == [max(values[:i], default=-99) for i in range(n)]
+
+
+SPANS = "array<struct<start: int, kind: string, end: int, found: string>>"
+
+
+def test_overlaps_nesting_and_cuts_against_brute_force(spark):
+    r = random.Random(12)
+    cases = []
+    for i in range(30):
+        text = "".join(r.choice("ab \n😀é") for _ in range(r.choice([0, 1, 300, 4096, 9000])))
+        some = lambda: sorted((a, "hex", min(len(text), a + r.randint(1, 40)), "") for a in r.sample(range(len(text)), min(len(text), r.randint(0, 12))))
+        edges = sorted(r.sample(range(len(text) + 1), min(len(text) // 2 * 2, 20)))
+        candidates = [(a, "random", b, "") for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        cases.append((i, text, some(), candidates))
+    frame = spark.createDataFrame(cases, f"i int, text string, base {SPANS}, candidates {SPANS}").repartition(4)
+    out = frame.select(
+        "i", secrets.apart(F.col("candidates"), F.col("base")).alias("apart"),
+        secrets.outermost(F.concat("base", "candidates", "base")).alias("outer"), secrets.covered(F.col("text"), F.col("base"), "<>").alias("covered"),
+    )
+    for row in out.collect():
+        _, text, base, candidates = cases[row["i"]]
+        assert [tuple(s) for s in row["apart"]] == [c for c in candidates if not any(b[0] < c[2] and c[0] < b[2] for b in base)]
+        every = set(base) | set(candidates)
+        spans = {(s[0], s[2]) for s in every}
+        outer = {s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)}
+        assert [(s["start"], s["end"]) for s in row["outer"]] == sorted(outer)
+        hidden = {i for a, _, b, _ in base for i in range(a, b)}
+        wanted = ""
+        at = 0
+        for a, _, b, _ in base:
+            if a >= at or at == 0:
+                wanted += text[at:a] + "<>"
+            at = max(at, b)
+        if base:
+            assert row["covered"] == wanted + text[at:] and len(row["covered"].replace("<>", "")) == len(text) - len(hidden)
+
+
+def test_many_tokens_in_one_text(spark):
+    r = random.Random(13)
+    tokens = [random_token(r, string.ascii_letters + string.digits, 24) for _ in range(20_000)]
+    text = " ".join(tokens)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = secrets.secrets(docs).first()["spans"]
+    assert len(spans) >= 0.98 * len(tokens) and all(text[s["start"] : s["end"]] == s["found"] and s["start"] % 25 == 0 for s in spans)
+    (left,) = secrets.redacted(docs).select("text").first()
+    assert left.count("[secret]") == len(spans)
+    gone = {s["start"] // 25 for s in spans}
+    assert left == " ".join("[secret]" if i in gone else t for i, t in enumerate(tokens))
+
+
+TESTED = "doc_id long, tested array<struct<span: string, length_class: int, chi: double, runs: double, serial: double, ratio: double>>"
+
+
+def test_limits_are_those_of_benjamini_and_hochberg(spark):
+    r = random.Random(14)
+    rows = []
+    for i in range(600):
+        secret = r.random() < 0.3
+        z = [r.gauss(0, 1 if secret else 2.5) for _ in range(3)]
+        rows.append((i, [(str(i), r.randint(4, 6), *z, r.gauss(9, 5) if secret else r.gauss(-8, 5))]))
+    frame = spark.createDataFrame(rows, TESTED)
+    spread = secrets.spreads(frame)
+    for c in (4, 5, 6):
+        structured = [t for _, (t,) in rows if t[1] == c and t[5] <= 0]
+        for i, found in enumerate(spread[c]):
+            mean = (16 * 4 + sum(min(t[2 + i] ** 2, 16) for t in structured)) / (16 + len(structured))
+            assert abs(found - max(1, mean**0.5)) < 1e-3
+    weighed = secrets.stepped(frame, spread)
+    limits = dict(secrets.thresholds(weighed).collect())
+    got = {x["span"]: x for (t,) in weighed.select("tested").collect() for x in t}
+    for c in (4, 5, 6):
+        own = [t for _, (t,) in rows if t[1] == c]
+        evidence = {}
+        for t in own:
+            e = t[5] + sum(math.log(s) - z * z / 2 * (1 - 1 / s**2) for s, z in zip(spread[c], t[2:5], strict=True))
+            assert abs(e - got[t[0]]["evidence"]) < 1e-9
+            evidence[t[0]] = e
+        p = {k: min(1.0, math.exp(-e)) for k, e in evidence.items()}
+
+        def plain_limit(rate, p=p):
+            ranked = sorted(p.values())
+            return max((v for i, v in enumerate(ranked) if v <= rate * (i + 1) / len(ranked)), default=0.0)
+
+        taken = {k for k in p if got[k]["step"] <= limits[c]}
+        assert {k for k in p if p[k] <= plain_limit(0.05 / 2**0.25)} <= taken <= {k for k in p if p[k] <= plain_limit(0.05)}
+
+
+def test_the_tests_for_randomness_rank_candidates(spark):
+    same = [("near", 5, 0.1, -0.2, 0.1, 4.0), ("far", 5, 3.0, 2.9, -3.0, 4.0)]
+    frame = spark.createDataFrame([(1, same)], TESTED)
+    near, far = secrets.stepped(frame, {}).first()["tested"]
+    assert near["evidence"] > 4.0 > 0.0 > far["evidence"] and near["step"] < far["step"]
