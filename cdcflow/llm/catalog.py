@@ -77,7 +77,7 @@ def op4(docs: DataFrame, folder: str) -> DataFrame:
     WITH d AS (
         SELECT doc_id, source,
                len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-               md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+               md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
         FROM documents),
     s AS (
         SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -108,8 +108,8 @@ def op4(docs: DataFrame, folder: str) -> DataFrame:
     """,
 )
 def op5(docs: DataFrame, folder: str) -> DataFrame:
-    sizes = written(docs.select(F.col("doc_id"), F.col("source"), mixing.words("text").alias("n_words")))
-    mixed, names = mixing.mixed(sizes, size="n_words")
+    sizes = written(docs.select(F.col("doc_id"), F.col("source"), mixing.words("text").alias("n_words"), mixing.digest().alias("place")))
+    mixed, names = mixing.mixed(sizes, size="n_words", order="place")
     # What the mix leaves out has no position; its ids keep it from being one range.
     position = F.col(names["position"])
     return mixed.sort(position.asc_nulls_last(), "doc_id").select("doc_id", *(names[c] for c in ("size", "source_size", "target", "taken")))

@@ -23,6 +23,12 @@ def words(column: Column | str) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digest(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The place of a row within its source: an md5 of its doc_id and that of its text; nulls count as empty."""
+    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(whole(doc_id), F.lit(":"), F.md5(whole(text).cast("binary"))).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """rank, source, source_size and target for each source of ``sizes`` (source, size).
 
@@ -81,17 +87,18 @@ def position(share: Column, rank: Column, schedules: tuple = SCHEDULES) -> Colum
 
 
 def mixed(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, schedules: tuple = SCHEDULES, size: str | None = None
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, schedules: tuple = SCHEDULES, size: str | None = None,
+    order: str | None = None,
 ) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with its place in the mix, and the names of the added columns.
 
     Added: size (words), source_size, target, taken (words taken, repeats counted), uses (array of epoch, words and
     position for each epoch that takes any) and position (of the first use, null if not taken). The rows of a source
-    stand in the order of the md5 of their doc_id, ``most`` times over, and the words up to the rounded target are
+    stand in the order of ``digest`` (or of the columns ``order`` and ``size`` that hold what it and ``words`` give), ``most`` times over, and the words up to the rounded target are
     taken: whole texts but for the one at the border, so a source's taken words are its target to the nearest word
     and no row gives more than ``most`` times its size. Order within a source comes from running sums over hash
-    buckets, so a hot source is never one task. Rows with equal doc_id are told apart by their size; equal rows may
-    change places. Null sources are a source, the last one; null and empty texts have size 0 and are never taken.
+    buckets, so neither a hot source nor a hot doc_id, null too, is one task. Rows with equal doc_id are told apart by
+    their text; equal rows may change places. Null sources are a source, the last one; null and empty texts have size 0 and are never taken.
     """
     names = dict(
         zip(
@@ -103,8 +110,8 @@ def mixed(
     key, rank, before, upper, source, join_rank = fresh(docs, "_key", "_rank", "_before", "_upper", "_source", "_join_rank")
     own = names["size"]
     sized = docs.withColumn(own, F.col(size) if size else words("text"))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = sized.withColumn(key, F.shiftleft(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), 4)).withColumn(upper, digest)
+    sized = sized.withColumn(upper, F.col(order) if order else digest())
+    sized = sized.withColumn(key, F.shiftleft(F.conv(F.substring(upper, 1, 15), 16, 10).cast("long"), 4))
     table = targets(sized.select(F.col("source").alias("source"), F.col(own).alias("size")), weights, most).select(
         F.col("source").alias(source), F.col("rank").alias(rank), F.col("source_size").alias(names["source_size"]),
         F.col("target").alias(names["target"]),

@@ -56,6 +56,27 @@ def test_words_taken_meet_the_targets(spark):
     assert all(abs(taken[s] - wanted[s]) <= 0.5 for s in wanted)
 
 
+def place(row):
+    of = lambda x: hashlib.md5(x.encode()).hexdigest()
+    return of(("" if row[0] is None else str(row[0])) + ":" + of(row[1] or ""))
+
+
+def test_rows_without_id_are_dealt_by_their_text(spark):
+    rows = [(None, "w " * (i % 7 + 1) + str(i), "abc"[i % 3], 1, "x") for i in range(900)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    keys = frame.select(F.substring(mixing.digest(), 1, 2).alias("bucket")).groupBy("bucket").count().collect()
+    assert len(keys) > 200 and max(k["count"] for k in keys) < 20
+    runs = []
+    for parts in (1, 5):
+        out, names = mixing.mixed(frame.repartition(parts))
+        runs.append({x["text"]: x[names["taken"]] for x in out.collect()})
+    assert runs[0] == runs[1] and len(runs[0]) == 900
+    for source in "abc":
+        own = sorted((r for r in rows if r[2] == source), key=place)
+        ratio = [runs[0][r[1]] / len(r[1].split()) for r in own]
+        assert ratio == sorted(ratio, reverse=True)
+
+
 def test_order_is_that_of_md5_and_reruns_agree(spark):
     rows = some_rows(2)
     runs = []
@@ -64,7 +85,7 @@ def test_order_is_that_of_md5_and_reruns_agree(spark):
         runs.append(sorted(map(tuple, out.select("doc_id", names["taken"], names["position"]).collect()), key=repr))
     assert runs[0] == runs[1]
     taken = {d: t for d, t, _ in runs[0]}
-    of_c = sorted((r for r in rows if r[2] == "c" and (r[1] or "").split()), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+    of_c = sorted((r for r in rows if r[2] == "c" and (r[1] or "").split()), key=place)
     ratio = [taken[r[0]] / len(r[1].split()) for r in of_c]
     assert ratio == sorted(ratio, reverse=True)
 
