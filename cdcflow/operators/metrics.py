@@ -38,7 +38,8 @@ def metric_counts(df: DataFrame, checks: Sequence[Check], batch: int | str, *, s
 
     Without uniqueness checks all share one aggregate. With some, every row also yields the
     value of each such column; values are counted first, before the shuffle too, and the
-    counts then summed up, whatever the number of columns.
+    counts then summed up, whatever the number of columns. A single column needs no such copies:
+    the rows themselves are counted by its values.
 
     A compliance expression is evaluated as Spark would in a filter: one that may raise on
     odd text (a plain cast, say) stops the batch, so write ``try_cast`` and the like.
@@ -52,7 +53,9 @@ def metric_counts(df: DataFrame, checks: Sequence[Check], batch: int | str, *, s
     plain = [c for c in checks if c not in single]
     held = {i: _holds(c) for i, c in enumerate(plain)}
     conditions = {i: c for i, c in held.items() if c is not None}
-    if single:
+    if len(single) == 1:
+        wide = _by_value(keyed, single[0], conditions, by_column)
+    elif single:
         wide = _with_values(keyed, single, conditions, by_column)
     else:
         wide = keyed.groupBy(*by_column).agg(
@@ -229,6 +232,23 @@ def _with_values(df: DataFrame, single: list[Check], conditions: dict[int, Colum
     return counted.groupBy(*by_column).agg(*sums)
 
 
+def _by_value(df: DataFrame, check: Check, conditions: dict[int, Column], by_column: list[str]) -> DataFrame:
+    """What ``_with_values`` gives, for one column; whole numbers are compared as they are."""
+    whole = isinstance(df.schema[check.column].dataType, T.IntegralType)
+    value = F.col(check.column) if whole else as_text(df, check.column)
+    counted = df.groupBy(*by_column, value.alias("_value")).agg(
+        F.count("*").alias("_rows"), *[F.count_if(c).alias(f"_m{i}") for i, c in conditions.items()]
+    )
+    known = F.col("_value").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return counted.groupBy(*by_column).agg(
+        zero(F.sum("_rows")).alias("_n"),
+        *[zero(F.sum(f"_m{i}")).alias(f"_m{i}") for i in conditions],
+        F.count_if(known & (F.col("_rows") == 1)).alias("_once0"),
+        zero(F.sum(F.when(known, F.col("_rows")))).alias("_all0"),
+    )
+
+
 def as_text(df: DataFrame, column: str) -> Column:
     """Equal values as equal text: 0.0 and -0.0 are one, bytes are written out."""
     dtype = df.schema[column].dataType

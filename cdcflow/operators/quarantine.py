@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from cdcflow.functions.columns import hour_label
 from cdcflow.operators.rules import FAILED, OPERATION, WARNED
-from cdcflow.sources.envelope import CONTROL, KIND, MALFORMED, ROW
+from cdcflow.sources.envelope import CONTROL, KIND, MALFORMED, ROW, rows_of
 
 PARTITIONS = ["table_name", "run_date", "batch_id"]
 COUNTS = (
@@ -125,26 +125,33 @@ def observed(
     """``frame`` of the tagged rows, and what ``batch_counts`` counts of the messages once that frame is written.
 
     Both inputs are counted in the stage that writes, as rows pass by; of the classified messages
-    none goes on. Each rule has a counter of its own, which tells the rules that failed.
+    none goes on. Each rule has a counter of its own, which tells the rules that failed. With
+    ``tagged`` all messages (they still have their ``_kind``), one read of them tells everything.
     """
-    messages, rows = Observation(), Observation()
+    whole = KIND in tagged.columns
+    row = F.col(KIND) == ROW if whole else F.lit(True)
     kinds = {"malformed_count": MALFORMED, "control_count": CONTROL, "total_rows": ROW}
-    seen = classified.observe(messages, F.count("*").alias("messages"), *[F.count_if(F.col(KIND) == k).alias(n) for n, k in kinds.items()])
-    judged = tagged.observe(
-        rows,
-        F.count(FAILED).alias("quarantined_count"),
-        F.count_if(F.col(OPERATION) == "UNKNOWN").alias("unknown_count"),
-        *[F.count_if(F.col(FAILED) == r).alias(f"rule{i}") for i, r in enumerate(rules)],
-    )
-    kept = frame(judged)
-    none = seen.filter(~F.col(KIND).isin(ROW, CONTROL, MALFORMED)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema])
+    of_messages = [F.count("*").alias("messages"), *[F.count_if(F.col(KIND) == k).alias(n) for n, k in kinds.items()]]
+    of_rows = [
+        F.count_if(row & F.col(FAILED).isNotNull()).alias("quarantined_count"),
+        F.count_if(row & (F.col(OPERATION) == "UNKNOWN")).alias("unknown_count"),
+        *[F.count_if(row & (F.col(FAILED) == r)).alias(f"rule{i}") for i, r in enumerate(rules)],
+    ]
+    seen = [Observation()] if whole else [Observation(), Observation()]
+    if whole:
+        kept = frame(rows_of(tagged.observe(seen[0], *of_messages, *of_rows)))
+    else:
+        kept = frame(tagged.observe(seen[0], *of_rows))
+        messages = classified.observe(seen[1], *of_messages)
+        none = messages.filter(~F.col(KIND).isin(ROW, CONTROL, MALFORMED))
+        kept = kept.unionAll(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema]))
 
     def counts() -> dict[str, Any]:
-        found = {**messages.get, **rows.get}
+        found = {k: v for o in seen for k, v in o.get.items()}
         failed = sorted({r for i, r in enumerate(rules) if found[f"rule{i}"]})
         return {**{k: v for k, v in found.items() if not k.startswith("rule")}, "failed_rules": failed}
 
-    return kept.unionAll(none), counts
+    return kept, counts
 
 
 def counts_row(spark: SparkSession, counts: dict[str, Any], table: str, batch_id: int, at: dt.datetime, path: str) -> DataFrame:

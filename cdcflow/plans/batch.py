@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from cdcflow.operators import history as H, metrics as M, quarantine as Q, rules as R, skew
 from cdcflow.operators.transforms import apply_transforms
 from cdcflow.session import written
-from cdcflow.sources.envelope import CHANGED_AT, classify, rows_of
+from cdcflow.sources.envelope import CHANGED_AT, KIND, classify, rows_of
 from cdcflow.spec import Rule, TableSpec, parse_type
 
 
@@ -74,7 +74,7 @@ def run_batch(
     ``skip_unchanged`` drops updates that repeat the values their key held just before, in
     the batch or in ``target``. A caller that uses several outputs can pass persisted
     ``classified`` messages and ``tagged`` rows, and have them counted by the job that writes
-    ``quarantined``.
+    ``quarantined``. ``tagged`` may hold all messages with their kind; its rows are taken.
     """
     at = F.lit(batch_time.replace(tzinfo=dt.timezone.utc))
     hot = skew.DEFAULT if keep_intermediate else None
@@ -82,6 +82,7 @@ def run_batch(
         classified = classify(raw, spec, keep=spec.ordering)
     if tagged is None:
         tagged = tag(rows_of(classified), spec)
+    judged, tagged = tagged, rows_of(tagged) if KIND in tagged.columns else tagged
     metrics = M.compute_metrics(tagged, spec.checks, spec.name, batch_id, at)
     staged = stage(tagged, spec, at, keep_intermediate=keep_intermediate)
     if skip_unchanged and target is not None:
@@ -91,7 +92,7 @@ def run_batch(
     quarantined, observed = Q.quarantine_frame(tagged, spec.name, batch_id, at), dict
     if observe:
         rules = ["primary_key", *(r.id for r in spec.rules)]
-        quarantined, observed = Q.observed(classified, tagged, rules, lambda rows: Q.quarantine_frame(rows, spec.name, batch_id, at))
+        quarantined, observed = Q.observed(classified, judged, rules, lambda rows: Q.quarantine_frame(rows, spec.name, batch_id, at))
     return BatchResult(
         tagged=tagged,
         metrics=metrics,

@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from cdcflow.functions import predicates
 from cdcflow.operators import quarantine as Q
 from cdcflow.plans.batch import run_batch, tag
 from cdcflow.sources.envelope import classify, route, rows_of
@@ -28,17 +29,30 @@ def write_batch(
     *,
     keep_intermediate: bool = False,
     now: dt.datetime | None = None,
+    classified: DataFrame | None = None,
 ) -> None:
-    """Decode and judge a batch once, then write its outputs from the kept rows.
+    """Decode a batch once, then judge it and write its outputs from the kept messages.
+
+    Built-in rules are a projection of the kept messages, which each output repeats for less than
+    a second copy costs; rows are kept as well when a rule joins them or is not the library's own.
+    A caller that writes the same messages several times can pass them ``classified``, written or
+    persisted.
 
     Counts are observed by the jobs that write, in their last stage, where a task that runs
     again is not counted again. Staged changes make the batch visible in the history; its counts
     follow, so a batch without them is one whose last attempt did not end.
     """
     at = store.batch_time(spec.name, batch_id, now)
-    kept = classify(raw, spec, keep=spec.ordering).persist(StorageLevel.MEMORY_AND_DISK)
-    tagged = tag(rows_of(kept), spec).persist(StorageLevel.MEMORY_AND_DISK)
+    held: list[DataFrame] = []
+
+    def hold(frame: DataFrame) -> DataFrame:
+        held.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
     try:
+        kept = hold(classify(raw, spec, keep=spec.ordering)) if classified is None else classified
+        plain = all(r.type in predicates.BUILTIN for r in spec.rules)
+        tagged = tag(kept, spec) if plain else hold(tag(rows_of(kept), spec))
         result = run_batch(
             spec,
             raw,
@@ -56,8 +70,8 @@ def write_batch(
         counts = {**store.write_changes(spec, batch_id, result.staged), **result.observed()}
         store.write_summary(spec, batch_id, Q.counts_row(kept.sparkSession, counts, spec.name, batch_id, at, store.quarantine_path(spec.name)))
     finally:
-        tagged.unpersist()
-        kept.unpersist()
+        for frame in reversed(held):
+            frame.unpersist()
 
 
 def start_stream(

@@ -111,3 +111,18 @@ def test_constraints(spark, table):
     assert rows(C.foreign_key(table, "v", parent, "id"), "v", "s") == [(5, "3")]
     filled = C.defaults(table.withColumn("t", F.lit(None).cast("timestamp_ntz")), {"v": 0, "t": "now()"}, F.lit(at(3)))
     assert rows(filled.filter("s = '22'"), "v", "t") == [(0, at(3))]
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_rows_are_counted_by_the_values_of_one_unique_column(spark, kind):
+    """No row is copied for its value; NULLs are rows but no values, 0.0 and -0.0 are one."""
+    values = [("1", 1), ("2", 1), ("2", None), (None, 1), (None, None), ("0", 2), ("-0", 2)]
+    df = spark.createDataFrame(values, "v string, w int").select(F.col("v").cast("string" if kind == "string" else "double").cast(kind).alias("v"), "w")
+    found = measure(df, [Check("uniqueness", "v", 1.0), Check("completeness", "w"), Check("size")])
+    once = 3 if kind == "string" else 1
+    assert rows(found, "metric_name", "metric_value") == [("Completeness", 5 / 7), ("Size", 7.0), ("Uniqueness", once / 5)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Generate ") == 1
+    empty = measure(df.filter("w > 9"), [Check("uniqueness", "v", 1.0), Check("size")])
+    assert rows(empty, "metric_name", "metric_value") == [("Size", 0.0)]
+    by_batch = measure(df.filter("w IS NOT NULL"), [Check("uniqueness", "v", 1.0)], "w")
+    assert rows(by_batch, "batch_id", "metric_value") == ([(1, 1.0), (2, 1.0)] if kind == "string" else [(1, 1.0), (2, 0.0)])

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from dataclasses import replace
 
 import pytest
 from conftest import at, rows
@@ -329,3 +330,39 @@ def test_store_needs_utc(spark, tmp_path):
             Store(spark, str(tmp_path))
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_replayed_load_is_decoded_once(spark, tmp_path, monkeypatch):
+    from cdcflow.plans.catalog import QUERIES, runs
+    from cdcflow.streaming import streams
+
+    decoded = []
+
+    def counting(module):
+        real = module.classify
+        monkeypatch.setattr(module, "classify", lambda *args, **options: decoded.append(1) or real(*args, **options))
+
+    monkeypatch.setattr(runs, "classify", streams.classify, raising=False)
+    counting(runs)
+    counting(streams)
+    orders = [(1, 10, "O", 6000.0, at(0), "1-URGENT"), (2, 11, "F", 4000.0, at(0), "5-LOW"), (3, 12, "P", 5000.0, at(1), None)]
+    kind = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(orders, kind).write.parquet(str(tmp_path / "orders.parquet"))
+    found = QUERIES["store_replayed_batch"](spark, str(tmp_path))
+    assert rows(found, "replay", "history", "quarantine", "counted") == [("rules added", 2, 1, 1), ("rules dropped", 3, 0, 0)]
+    assert len(decoded) == 1
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_a_batch_keeps_its_messages_once(spark, tmp_path, monkeypatch, unique):
+    """Built-in rules are repeated on the kept messages; what a rule joins is kept beside them."""
+    spec = replace(DRIVERS, rules=(*DRIVERS.rules, *([Rule("drv_phone", "unique", "phone")] if unique else [])))
+    store, kept = Store(spark, str(tmp_path)), []
+    held = lambda: {i for i in spark.sparkContext._jsc.getPersistentRDDs()}
+    before, real = held(), store.write_changes
+    monkeypatch.setattr(store, "write_changes", lambda *args: real(*args) if not kept.append(len(held() - before)) else None)
+    write_batch(spec, frame(spark, *LOAD), 0, store, now=at(10))
+    assert kept == [1 + unique] and held() <= before
+    facts = ["messages", "malformed_count", "control_count", "total_rows", "quarantined_count", "unknown_count", "staged_count", "failed_rules"]
+    assert rows(store.summary(), *facts) == [(6, 1, 0, 5, 2, 1, 2, ["drv_score", "primary_key"])]
+    assert rows(store.quarantine(spec), "id", "_failed_rule") == [(3, "drv_score"), (None, "primary_key")]
