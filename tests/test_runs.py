@@ -366,3 +366,19 @@ def test_a_batch_keeps_its_messages_once(spark, tmp_path, monkeypatch, unique):
     facts = ["messages", "malformed_count", "control_count", "total_rows", "quarantined_count", "unknown_count", "staged_count", "failed_rules"]
     assert rows(store.summary(), *facts) == [(6, 1, 0, 5, 2, 1, 2, ["drv_score", "primary_key"])]
     assert rows(store.quarantine(spec), "id", "_failed_rule") == [(3, "drv_score"), (None, "primary_key")]
+
+
+def test_quarantine_and_counts_come_from_one_read(spark, tmp_path, monkeypatch):
+    store, plans = Store(spark, str(tmp_path)), []
+    real = store.write_quarantine
+
+    def seen(spec, batch_id, quarantined, when):
+        plans.append(quarantined._jdf.queryExecution().executedPlan().toString())
+        real(spec, batch_id, quarantined, when)
+
+    monkeypatch.setattr(store, "write_quarantine", seen)
+    write_batch(DRIVERS, frame(spark, *LOAD), 0, store, now=at(10))
+    assert plans[0].count("InMemoryTableScan") == 1
+    assert "_kind" not in store.quarantine(DRIVERS).columns
+    facts = ["messages", "malformed_count", "control_count", "total_rows", "quarantined_count", "unknown_count"]
+    assert rows(store.summary(), *facts) == [(6, 1, 0, 5, 2, 1)]
