@@ -16,6 +16,8 @@ from cdcflow.operators import skew
 FROM, TO, CURRENT, INGESTED, OPERATION = "_effective_from", "_effective_to", "_is_current", "_ingested_at", "_operation"
 VERSION_COLUMNS = [FROM, TO, CURRENT, INGESTED]
 WRITTEN = ["INSERT", "UPDATE"]
+# Bytes of staged changes, by Spark's own estimate, whose keys are too many to be broadcast.
+LARGE = 32 << 20
 
 
 def known_changes(changes: DataFrame) -> DataFrame:
@@ -72,6 +74,7 @@ def apply_changes(
     initial: str = "upsert",
     hot: skew.HotKeys | None = None,
     keep_deletes: bool = False,
+    deepest: int | None = None,
 ) -> DataFrame:
     """History after a batch of staged changes (rows with version columns).
 
@@ -79,7 +82,10 @@ def apply_changes(
     together with the changes; all others pass through. A late change is placed between the
     versions around it, and applying a batch twice gives the same history. ``order`` breaks
     ties between staged changes of one key at one instant. With one staged change per key a
-    key brings a handful of rows; give ``hot`` when a key may have very many.
+    key brings a handful of rows; give ``hot`` when a key may have very many. Where ``target`` and
+    ``staged`` are known to hold at most ``deepest`` rows of any key together, no key is searched for
+    or split: a lone row a key is its own version, and of many changes with a target each row is
+    exchanged once, not for the join and again for the sort.
 
     A DELETE that ends no version is told by no row. With ``keep_deletes`` it stays as a
     marker (``_operation`` DELETE, ``_effective_from`` = ``_effective_to``), so that versions
@@ -88,6 +94,9 @@ def apply_changes(
     """
     key = list(key)
     staged = _keyed(known_changes(staged), key)
+    few = deepest is not None and deepest <= (hot or skew.DEFAULT).rows
+    if few:
+        hot = None
     if target is None:
         if initial == "insert_only":
             staged = staged.filter(F.col(OPERATION) == "INSERT")
@@ -96,7 +105,7 @@ def apply_changes(
         columns = target.columns
     arriving = staged.select(*columns, F.col(FROM).alias("_at"), F.lit(2).alias("_kind"))
     if target is None:
-        rebuilt = _rebuild(arriving, key, order, hot, columns)
+        rebuilt = _rebuild(arriving, key, order, hot, columns, alone=few and deepest <= 1)
         return rebuilt if keep_deletes else versions(rebuilt)
     # The joins below hide how much is there at most.
     if hot is not None and not hot.possible(target, staged):
@@ -105,6 +114,9 @@ def apply_changes(
     # joined nor shuffled, which leaves little more than the open versions.
     floor = staged.agg(F.min(FROM)).scalar()
     settled = F.col(TO).isNotNull() & F.coalesce(F.col(TO) < floor, F.lit(True))
+    if few and skew.estimated(staged) > LARGE:
+        merged = target.filter(settled).unionByName(_merged(target.filter(~settled), arriving, key, order, columns))
+        return merged if keep_deletes else versions(merged)
     first = staged.groupBy(*key).agg(F.min(FROM).alias("_since"))
     matched = target.filter(~settled).join(first, key, "left")
     touched = F.coalesce((F.col(TO).isNull() & F.col("_since").isNotNull()) | (F.col(TO) >= F.col("_since")), F.lit(False))
@@ -248,21 +260,51 @@ def _keyed(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df
 
 
+def _merged(target: DataFrame, arriving: DataFrame, key: list[str], order: Sequence[str], columns: list[str]) -> DataFrame:
+    """What the join in ``apply_changes`` gives, for few rows a key: both sides meet in one exchange by key.
+
+    Rows that no change touches pass in a window of their own.
+    """
+    known = target.select(*columns, F.col(FROM).alias("_at"), F.lit(1).alias("_kind"))
+    old = F.col("_kind") == 1
+    since = F.min(F.when(~old, F.col(FROM))).over(Window.partitionBy(*key))
+    touched = F.coalesce((F.col(TO).isNull() & F.col("_since").isNotNull()) | (F.col(TO) >= F.col("_since")), F.lit(False))
+    begins = F.struct("_at", F.when(old & touched & (F.col(OPERATION) == "DELETE"), 0).otherwise(F.col("_kind")).alias("_kind"))
+    ends = F.when(old & touched & (F.col(TO) > F.col(FROM)), F.struct(F.col(TO).alias("_at"), F.lit(0).alias("_kind")))
+    met = known.unionByName(arriving).withColumn("_since", since)
+    events = met.select(*columns, (old & ~touched).alias("_passes"), F.inline(F.array(begins, ends)))
+    return _rebuild(events.filter(F.col("_kind").isNotNull()), key, order, None, columns, passes="_passes")
+
+
 def _rebuild(
-    events: DataFrame, key: list[str], order: Sequence[str], hot: skew.HotKeys | None, columns: list[str]
+    events: DataFrame,
+    key: list[str],
+    order: Sequence[str],
+    hot: skew.HotKeys | None,
+    columns: list[str],
+    *,
+    alone: bool = False,
+    passes: str | None = None,
 ) -> DataFrame:
     """Versions and markers from events in order: 0 ends one, 1 is a known version, 2 a staged change.
 
     The last event of an instant decides what holds from then on. An end that follows a
-    version is that version's end; any other is a marker.
+    version is that version's end; any other is a marker. ``alone``: no key has two events.
+    Rows that the column ``passes`` marks stay as they are.
     """
     sequence = ["_at", "_kind", *[c for c in order if c in columns]]
     opens = (F.col("_kind") == 1) | ((F.col("_kind") == 2) & F.col(OPERATION).isin(*WRITTEN))
     opened = events.withColumn("_opens", F.coalesce(opens, F.lit(False)))
     state = F.struct(F.col("_at").alias("at"), F.col("_opens").alias("opens"))
-    near = skew.neighbours(opened, key, sequence, state, hot)
+    if alone:
+        empty = opened.select(F.col("_at").alias("_next"), state.alias("_last")).schema
+        near = opened.withColumns({f.name: F.lit(None).cast(f.dataType) for f in empty})
+    else:
+        near = skew.neighbours(opened, key if passes is None else [*key, passes], sequence, state, hot)
+    passing = F.lit(False) if passes is None else F.col(passes)
     ended = F.coalesce(F.col("_last.opens") & (F.col("_last.at") < F.col("_at")), F.lit(False))
-    standing = near.filter(F.col("_next").isNull() | (F.col("_next") > F.col("_at"))).filter(F.col("_opens") | ~ended)
+    last = F.col("_next").isNull() | (F.col("_next") > F.col("_at"))
+    standing = near.filter(passing | last).filter(passing | F.col("_opens") | ~ended)
     given = {c: F.col(c) for c in columns if c not in {*key, OPERATION, FROM, TO, CURRENT, INGESTED}}
     marked = {
         **{c: F.when(F.col("_opens"), v) for c, v in given.items()},
@@ -271,6 +313,8 @@ def _rebuild(
         TO: F.when(F.col("_opens"), F.col("_next")).otherwise(F.col("_at")),
         CURRENT: F.col("_opens") & F.col("_next").isNull(),
     }
+    if passes is not None:
+        marked = {c: F.when(passing, F.col(c)).otherwise(v) for c, v in marked.items()}
     return standing.select(*[marked.get(c, F.col(c)).alias(c) for c in columns])
 
 

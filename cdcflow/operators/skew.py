@@ -52,18 +52,18 @@ class HotKeys:
         Rows that an ordering tells apart take eight bytes at least, about. What is smaller has no hot
         key and needs no sample; a wrong estimate costs balance, never rows.
         """
-        size = 0
-        for frame in frames:
-            plan = getattr(frame, "_jdf", None)
-            if plan is None:
-                return True
-            size += int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return size > 8 * self.rows
+        return sum(map(estimated, frames)) > 8 * self.rows
 
 
 DEFAULT = HotKeys()
 
 
+def estimated(frame: DataFrame) -> float:
+    """Bytes of the frame by Spark's own estimate, no bound where it gives none."""
+    plan = getattr(frame, "_jdf", None)
+    return float("inf") if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def with_spans(df: DataFrame, key: Sequence[str], order: Sequence[str], hot: HotKeys = DEFAULT) -> DataFrame:
     """Add ``_span`` (0 for ordinary keys, rising with the ordering for hot ones) and ``_hot``.
 

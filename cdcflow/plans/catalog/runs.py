@@ -72,7 +72,7 @@ FIRST_TIME, SECOND_TIME = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
 
 def batches(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Messages of the load and of all later changes; the position in the log is the offset."""
-    changes = order_changes(t, spread(t.orders)).withColumnRenamed("seq", "offset")
+    changes = order_changes(t, spread(t.orders, kept=True)).withColumnRenamed("seq", "offset")
     messages = order_messages(t, changes, keep=("offset",))
     return messages.filter(F.col("offset") == 0), messages.filter(F.col("offset") > 0)
 

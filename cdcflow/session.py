@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -80,10 +80,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(source: DataFrame) -> DataFrame:
+def spread(source: DataFrame, *, kept: bool = False) -> DataFrame:
     """Rows of a plain scan over all cores, for costly work per row such as JSON.
 
-    Only a source with fewer splits than cores is shuffled; a large one stays as it is.
+    Splits are cut by size, but a row group is read by one of them, so a file of few row groups
+    leaves most splits empty. A source whose fullest split holds over one and a half times its
+    even share of the rows is shuffled; others stay as they are. Rows are counted without reading a column.
+    With ``kept``, for a source read several times, shuffled rows are written once.
     """
     cores = source.sparkSession.sparkContext.defaultParallelism
-    return source if source.rdd.getNumPartitions() >= cores else source.repartition(cores)
+    held = source.groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count"), F.sum("count")).first()
+    splits, fullest, rows = held[0], held[1] or 0, held[2] or 0
+    if fullest * cores <= 1.5 * rows:
+        return source
+    even = source.repartition(max(cores, splits))
+    return written(even) if kept else even

@@ -17,7 +17,9 @@ files from before a column was added give NULL for it.
 A base is sorted by key within its files, which also carry bloom filters of the key, so one
 key's versions are found without reading the rest. The marker of a base tells until when the
 versions it closed were valid, and a batch's summary when its changes begin, so a read at one
-moment passes over folders that have nothing of that time.
+moment passes over folders that have nothing of that time. Changes say whether they bring one row
+a key at most, and the marker how many rows of a key the base may hold, so that no merge looks for
+keys of very many rows where there can be none.
 
 Times are kept in UTC, so the session has to run in that zone.
 """
@@ -25,6 +27,7 @@ Times are kept in UTC, so the session has to run in that zone.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -40,6 +43,9 @@ from cdcflow.spec import TableSpec, parse_type
 UTC = {"utc", "etc/utc", "z", "gmt", "etc/gmt", "+00:00", "utc+00:00"}
 # Folders of closed versions that a base may consist of before it is written as one again.
 CHAIN = 32
+# Column of the changes that names the key of which they bring one row at most.
+ONE_PER = "_one_per"
+MARKER = "since bigint, closed_until timestamp, deepest bigint, key string"
 METRICS = (
     "metric_name string, column_name string, metric_value double, threshold double, passed boolean, "
     "timestamp timestamp, _ingested_at timestamp, table_name string, batch_id bigint"
@@ -77,10 +83,14 @@ class Store:
         self._replace(self.spark.createDataFrame([(at,)], "at timestamp_ntz").coalesce(1), path)
         return at
 
-    def write_changes(self, spec: TableSpec, batch_id: int, staged: DataFrame) -> dict[str, Any]:
-        """Write the changes; the job that writes them also counts them and finds when they begin."""
+    def write_changes(self, spec: TableSpec, batch_id: int, staged: DataFrame, latest: bool = False) -> dict[str, Any]:
+        """Write the changes; the job that writes them also counts them and finds when they begin.
+
+        ``latest``: the caller knows that no key has two of them.
+        """
         kind = parse_type(spec.ordering_type)
         typed = staged.withColumns({c: F.col(c).cast(kind) for c in spec.ordering})
+        typed = typed.withColumn(ONE_PER, F.lit(_key(spec) if latest else None).cast("string"))
         seen = Observation()
         counted = typed.observe(seen, F.count("*").alias("staged_count"), F.min(H.FROM).alias("first_change"))
         self._replace(counted, f"{self.root}/{spec.name}/changes/batch_id={batch_id}")
@@ -146,13 +156,17 @@ class Store:
         return None if found is None else H.versions(found)
 
     def changes(self, spec: TableSpec, after: int = -1) -> DataFrame | None:
-        schema = T.StructType([*self._columns(spec), T.StructField("batch_id", T.LongType())])
+        found = self._changes(spec, after)
+        return None if found is None else found.drop(ONE_PER)
+
+    def _changes(self, spec: TableSpec, after: int) -> DataFrame | None:
+        schema = T.StructType([*self._columns(spec), T.StructField(ONE_PER, T.StringType()), T.StructField("batch_id", T.LongType())])
         found = self._read(f"{self.root}/{spec.name}/changes", schema)
         return None if found is None else found.filter(F.col("batch_id") > after)
 
     def history(self, spec: TableSpec) -> DataFrame | None:
         """Every version up to the last written batch."""
-        return self._whole(spec, lambda frame: frame)
+        return self._whole(spec, lambda frame: frame, deep=True)
 
     def current(self, spec: TableSpec) -> DataFrame | None:
         """Open versions up to the last written batch.
@@ -179,25 +193,25 @@ class Store:
         can be expired then.
         """
         chain = self._chain(spec)
-        changes = self.changes(spec, chain[-1]["version"] if chain else -1)
+        changes = self._changes(spec, chain[-1]["version"] if chain else -1)
         if changes is None:
             return self.base_version(spec)
-        brought = changes.agg(F.max("batch_id").alias("last"), F.min(H.FROM).alias("first_change")).first()
+        brought = self._brought(spec, changes)
         last = brought["last"]
         if last is None:
             return self.base_version(spec)
+        deepest = self._deepest(spec, chain, brought)
         in_order = 0 < len(chain) < self.chain and self._in_order(chain, brought["first_change"])
         target = self._base(spec, chain)
         if in_order:
             target = H.current(target)
         folder = f"{self.root}/{spec.name}"
         seen = Observation()
-        merged = self._merged(spec, target, changes).sortWithinPartitions(H.CURRENT, *spec.primary_key)
+        merged = self._merged(spec, target, changes.drop(ONE_PER), deepest).sortWithinPartitions(H.CURRENT, *spec.primary_key)
         watched = merged.observe(seen, F.max(H.TO).alias("until"))
         watched.write.mode("overwrite").options(**self._blooms(spec)).partitionBy(H.CURRENT).parquet(f"{folder}/base/version={last}")
-        marker = [(chain[-1]["since"] if in_order else last, seen.get["until"])]
-        schema = "since bigint, closed_until timestamp"
-        self._replace(self.spark.createDataFrame(marker, schema).coalesce(1), f"{folder}/bases/version={last}")
+        marker = [(chain[-1]["since"] if in_order else last, seen.get["until"], deepest, _key(spec))]
+        self._replace(self.spark.createDataFrame(marker, MARKER).coalesce(1), f"{folder}/bases/version={last}")
         return last
 
     @staticmethod
@@ -267,12 +281,38 @@ class Store:
 
     def _chain(self, spec: TableSpec) -> list[Row]:
         """Markers of the compactions that make up the base, one small row each, at most ``chain``."""
-        found = self._read(f"{self.root}/{spec.name}/bases", "since bigint, closed_until timestamp, version bigint")
+        found = self._read(f"{self.root}/{spec.name}/bases", f"{MARKER}, version bigint")
         newest = None if found is None else found.agg(F.max(F.struct("version", "since")).alias("m")).select("m.*").first()
         if newest is None or newest["version"] is None:
             return []
         return sorted(found.filter(F.col("version") >= newest["since"]).collect(), key=lambda r: r["version"])
 
+    @staticmethod
+    def _brought(spec: TableSpec, changes: DataFrame) -> Row:
+        """How many batches brought changes, the last of them, when the changes begin and whether each brought one a key."""
+        one = F.col(ONE_PER).eqNullSafe(_key(spec))
+        by_batch = changes.groupBy("batch_id").agg(F.min(H.FROM).alias("first_change"), F.bool_and(one).alias("one"))
+        return by_batch.agg(
+            F.count("*").alias("batches"),
+            F.max("batch_id").alias("last"),
+            F.min("first_change").alias("first_change"),
+            F.bool_and("one").alias("one"),
+        ).first()
+
+    @staticmethod
+    def _deepest(spec: TableSpec, chain: list[Row], brought: Row) -> int | None:
+        """Rows that base and changes hold of one key at most, None where it is not known.
+
+        A change adds one row at most: it is a version, or it moves an end, or the end of the version
+        it parts stays as a marker.
+        """
+        if not brought["one"]:
+            return None
+        if not chain:
+            return brought["batches"]
+        held = chain[-1]["deepest"] if chain[-1]["key"] == _key(spec) else None
+        return None if held is None else held + brought["batches"]
+
     def _columns(self, spec: TableSpec) -> T.StructType:
         for known, schema in self._known:
             if known == spec:
@@ -280,11 +320,15 @@ class Store:
         self._known.append((spec, staged_schema(self.spark, spec)))
         return self._known[-1][1]
 
-    def _whole(self, spec: TableSpec, narrowed: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    def _whole(self, spec: TableSpec, narrowed: Callable[[DataFrame], DataFrame], deep: bool = False) -> DataFrame | None:
+        """Base and changes, merged; ``deep``: large ones are asked how many rows a key may have."""
         chain = self._chain(spec)
-        base, changes = self._base(spec, chain), self.changes(spec, chain[-1]["version"] if chain else -1)
+        base, changes = self._base(spec, chain), self._changes(spec, chain[-1]["version"] if chain else -1)
         base = None if base is None else narrowed(base)
-        found = base if changes is None else self._merged(spec, base, narrowed(changes))
+        deepest = None
+        if deep and changes is not None and skew.DEFAULT.possible(*[f for f in (base, changes) if f is not None]):
+            deepest = self._deepest(spec, chain, self._brought(spec, changes))
+        found = base if changes is None else self._merged(spec, base, narrowed(changes.drop(ONE_PER)), deepest)
         return None if found is None else H.versions(found)
 
     def _base(self, spec: TableSpec, chain: list[Row], since: dt.datetime | None = None) -> DataFrame | None:
@@ -312,13 +356,13 @@ class Store:
             return None if base is None else base.filter(F.col(H.CURRENT))
         return base.filter(F.col(H.CURRENT) | (F.col(H.TO) >= F.lit(first)))
 
-    def _merged(self, spec: TableSpec, target: DataFrame | None, changes: DataFrame) -> DataFrame:
+    def _merged(self, spec: TableSpec, target: DataFrame | None, changes: DataFrame, deepest: int | None = None) -> DataFrame:
         columns = self._columns(spec).names
         if target is not None:
             target = target.select(*columns, F.lit(-1).cast("long").alias("batch_id"))
         order = ["batch_id", *spec.ordering]
         merged = H.apply_changes(
-            target, changes, spec.primary_key, order=order, hot=skew.DEFAULT, keep_deletes=True
+            target, changes, spec.primary_key, order=order, hot=skew.DEFAULT, keep_deletes=True, deepest=deepest
         )
         return merged.select(*columns)
 
@@ -336,3 +380,7 @@ class Store:
             if problem.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
+
+
+def _key(spec: TableSpec) -> str:
+    return json.dumps(spec.primary_key)

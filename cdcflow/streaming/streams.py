@@ -67,7 +67,7 @@ def write_batch(
         if spec.checks:
             store.write_metrics(spec, batch_id, result.metrics, at)
         store.write_quarantine(spec, batch_id, result.quarantined, at)
-        counts = {**store.write_changes(spec, batch_id, result.staged), **result.observed()}
+        counts = {**store.write_changes(spec, batch_id, result.staged, not keep_intermediate), **result.observed()}
         store.write_summary(spec, batch_id, Q.counts_row(kept.sparkSession, counts, spec.name, batch_id, at, store.quarantine_path(spec.name)))
     finally:
         for frame in reversed(held):

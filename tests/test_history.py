@@ -295,3 +295,41 @@ def test_small_frames_are_not_sampled(spark):
     for hot, sampled in ((skew.DEFAULT, False), (skew.HotKeys(rows=100), True)):
         plan = skew.next_time(df, ["k"], ["t"], "n", hot)._jdf.queryExecution().optimizedPlan().toString()
         assert ("_apart" in plan) == sampled
+
+
+@settings(
+    max_examples=4, deadline=None, phases=[Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(st.lists(change, min_size=6, max_size=24, unique_by=lambda c: (c[0], c[3])), st.sampled_from([-1, 1 << 40]))
+def test_few_rows_a_key_give_the_same_history(spark, changes, large):
+    """One change a key and batch, late ones included: with the bound on rows, by one exchange and by join, and without."""
+    batches: list[list] = []
+    for c in changes:
+        mine = next((b for b in batches if all(c[0] != x[0] for x in b)), None)
+        batches.append([c]) if mine is None else mine.append(c)
+    before, H.LARGE = H.LARGE, large
+    try:
+        history = None
+        for number, batch in enumerate(batches[:4]):
+            given_ = staged(spark, *batch)
+            kept = lambda **bound: H.apply_changes(history, given_, ["id"], order=["seq"], keep_deletes=True, **bound)  # noqa: B023, E731
+            plain = kept()
+            found = rows(plain)
+            assert rows(kept(hot=TINY, deepest=number + 1)) == found
+            # No key has more rows than batches.
+            assert all(n <= number + 1 for _, n in rows(plain.groupBy("id").count()))
+            history = spark.createDataFrame(plain.collect(), plain.schema)
+    finally:
+        H.LARGE = before
+
+
+def test_few_rows_a_key_are_neither_sampled_nor_exchanged_twice(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(H, "LARGE", -1)
+    batch = staged(spark, (1, 2, "UPDATE", 1), (2, 1, "INSERT", 1))
+    alone = H.apply_changes(None, batch, ["id"], hot=TINY, deepest=1)
+    assert "Window" not in plan(alone) and "Exchange" not in plan(alone)
+    target = spark.createDataFrame(alone.collect(), alone.schema)
+    merged = H.apply_changes(target, staged(spark, (1, 3, "DELETE", 5), (2, 3, "UPDATE", 0)), ["id"], hot=TINY, deepest=2)
+    assert "Join" not in plan(merged) and plan(merged).count("hashpartitioning(id") == 1 and "_apart" not in plan(merged)
+    assert versions(merged) == [(1, 2, 1, 5), (2, 3, 0, 1), (2, 1, 1, None)]

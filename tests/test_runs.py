@@ -8,8 +8,9 @@ import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
-from cdcflow.operators import quarantine as Q
+from cdcflow.operators import history as H, quarantine as Q, skew
 from cdcflow.plans.batch import run_batch
+from cdcflow.session import spread
 from cdcflow.sources.store import Store
 from cdcflow.spec import Check, ColumnSpec, Rule, TableSpec, Transform
 from cdcflow.streaming.streams import start_all, start_stream, wait_for_any, write_batch
@@ -382,3 +383,58 @@ def test_quarantine_and_counts_come_from_one_read(spark, tmp_path, monkeypatch):
     assert "_kind" not in store.quarantine(DRIVERS).columns
     facts = ["messages", "malformed_count", "control_count", "total_rows", "quarantined_count", "unknown_count"]
     assert rows(store.summary(), *facts) == [(6, 1, 0, 5, 2, 1)]
+
+
+def test_rows_of_a_file_with_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    """Such a file has many splits by its size, but one of them gets all rows."""
+    path = str(tmp_path / "orders.parquet")
+    spark.range(50_000).selectExpr("id", "uuid() AS text").coalesce(1).write.parquet(path)
+    sizes = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        source = spark.read.parquet(path)
+        held = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert source.rdd.getNumPartitions() > 8 and held(source) == [50_000]
+        for kept in (False, True):
+            dealt = spread(source, kept=kept)
+            assert max(held(dealt)) <= 1.5 * 50_000 / 4
+            assert dealt.count() == 50_000 and dealt.exceptAll(source).count() == 0
+        assert spread(dealt) is dealt
+        assert spread(source.filter("id < 0")).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_the_store_knows_how_many_rows_a_key_may_have(spark, tmp_path, monkeypatch, large):
+    """Windows and samples for hot keys go where each batch brought one change a key; other batches keep them."""
+    wide, depths = Store(spark, f"{tmp_path}/a"), []
+    real = H.apply_changes
+    monkeypatch.setattr(H, "apply_changes", lambda *args, **options: depths.append(options["deepest"]) or real(*args, **options))
+    monkeypatch.setattr(skew.HotKeys, "possible", lambda *frames: large)
+    monkeypatch.setattr(H, "LARGE", -1)
+    write_batch(DRIVERS, frame(spark, *LOAD), 0, wide, now=at(10))
+    assert wide.compact(DRIVERS) == 0 and [r["deepest"] for r in wide._chain(DRIVERS)] == [1]
+    write_batch(DRIVERS, frame(spark, *CHANGES), 1, wide, now=at(11))
+    assert rows(wide.history(DRIVERS), *OUTPUT) == AFTER
+    assert depths == [1, 2 if large else None]
+    assert wide.changes(DRIVERS).columns == [*wide.base(DRIVERS).columns, "batch_id"]
+    # Of another key the changes tell nothing: two rows of one score and instant are one version.
+    other, by_score = Store(spark, f"{tmp_path}/b"), replace(DRIVERS, primary_key=("score",))
+    write_batch(DRIVERS, frame(spark, *LOAD), 0, other, now=at(10))
+    assert other.history(DRIVERS).count() == 2 and other.history(by_score).count() == 1
+    assert depths[2:] == [1 if large else None, None]
+    write_batch(DRIVERS, frame(spark, message("update", at(3), id=1, phone="1", score=1.0)), 2, wide, keep_intermediate=True, now=at(12))
+    assert wide.compact(DRIVERS) == 2 and depths[-1] is None and wide._chain(DRIVERS)[-1]["deepest"] is None
+    assert wide.history(DRIVERS).count() == len(AFTER) + 1
+
+
+def test_intermediate_changes_of_a_first_batch_are_versions_of_one_key(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    twice = [message("load", at(0), id=1, phone="5551", score=5.0), message("update", at(1), id=1, phone="6661", score=6.0)]
+    write_batch(DRIVERS, frame(spark, *twice), 0, store, keep_intermediate=True, now=at(10))
+    store.compact(DRIVERS)
+    assert rows(store.history(DRIVERS), "_effective_from", "_effective_to") == [(at(0), at(1)), (at(1), None)]
