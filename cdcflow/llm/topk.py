@@ -13,8 +13,12 @@ from pyspark.sql.window import Window
 from cdcflow.llm.common import partitions
 from cdcflow.session import written
 
-#: Vectors of one block of lists, and queries of one block.
-BLOCK, QUERIES = 8192, 1024
+#: Vectors of one block of lists, and queries of one block: as many, so that both sides are copied equally often.
+BLOCK, QUERIES = 8192, 8192
+#: Queries that read a block's lists together.
+TOGETHER = 256
+#: A bar below every score.
+NONE = np.iinfo(np.int64).min + 1
 
 
 def scaled(vector: Column | str, scale: int = 1024) -> Column:
@@ -29,52 +33,91 @@ class Lists:
     """Per-dimension lists of a block, each sorted by component, and the threshold algorithm over them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # dimension, rank: row, smallest first
-        self.sorted = np.take_along_axis(vectors, self.order.T, axis=0).T.copy()
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[by_id], vectors[by_id]
+        columns = np.ascontiguousarray(self.vectors.T)
+        self.order = np.argsort(columns, axis=1)  # dimension, rank: row, smallest first
+        self.sorted = np.take_along_axis(columns, self.order, axis=1)
 
     def top(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """``best`` (score, id; best first) after this block's vectors; the query's own row takes no part.
+        """``best`` (score, id; best first) after this block's vectors; the query's own row takes no part."""
+        least = np.array([best[-1][0] if len(best) == k else NONE])
+        _, scores, ids = self.tops(query[None], np.array([own]), k, least)
+        return sorted(best + list(zip(scores.tolist(), ids.tolist(), strict=True)), key=lambda x: (-x[0], x[1]))[:k]
+
+    def tops(
+        self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of the query, score and id of the k best of every query, best first; rows of its ``own`` id take no part.
 
         Lists are read from their best end (the last for positive weights, the first for negative ones), some ranks
-        of all lists at a time. Every new row is scored in full at once. What no list has shown yet scores at most
-        the sum of the values where the lists stand; once that is below the kth score, the block is done. Equality
-        does not stop it, as a tie may have a smaller id.
+        of all lists at a time, for all queries at once. Every new row is scored in full at once, for all queries that
+        are not done, in one product. What no list has shown yet scores at most the sum of the values where the lists
+        stand; once that is below a query's kth score, or below ``least``, the query is done. Equality does not stop
+        it, as a tie may have a smaller id.
         """
-        weights = np.flatnonzero(query)
-        n, d = len(self.ids), len(weights)
-        seen = np.zeros(n, dtype=bool)
-        step, at = max(4, 256 // max(d, 1)), 0
-        if not d:  # every score is zero
-            return _merge(best, np.zeros(n, dtype=np.int64), self.ids, own, k)
-        order, values, q = self.order[weights], self.sorted[weights], query[weights]
-        down = q > 0
-        while at < n:
+        n, d = self.vectors.shape
+        positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
+        kind = _sums(self.vectors, queries)
+        seen, own_rows = np.zeros(n, dtype=bool), np.isin(self.ids, own)
+        kth = np.full(len(queries), NONE) if least is None else least.astype(np.int64)
+        asked = scores = ids = np.empty(0, dtype=np.int64)
+        alive = np.arange(len(queries))
+        at, step = 0, max(4, 256 // max(d, 1))
+        while at < n and len(alive):
             stop = min(n, at + step)
-            rows = np.concatenate([order[down, n - stop : n - at].ravel(), order[~down, at:stop].ravel()])
-            rows = np.unique(rows)
-            rows = rows[~seen[rows]]
+            new = np.full(n, stop == n)  # the last step takes what no list with a weight has shown
+            new[self.order[(positive[alive] > 0).any(axis=0), n - stop : n - at]] = True
+            new[self.order[(negative[alive] < 0).any(axis=0), at:stop]] = True
+            rows = np.flatnonzero(new & ~seen)
+            seen[rows] = True
             if len(rows):
-                seen[rows] = True
-                best = _merge(best, self.vectors[rows] @ query, self.ids[rows], own, k)
-            if stop < n and len(best) == k:
-                bound = int(np.where(down, values[:, n - stop - 1], values[:, stop]) @ q)
-                if bound < best[-1][0]:
-                    break
+                found = queries[alive].astype(kind) @ self.vectors[rows].astype(kind).T
+                mine = np.flatnonzero(own_rows[rows])
+                lowest = -np.inf if found.dtype.kind == "f" else NONE - 1
+                found[:, mine] = np.where(own[alive, None] == self.ids[rows[mine]], lowest, found[:, mine])
+                of, row = _good(found, kth[alive], k)
+                asked = np.concatenate([asked, alive[of]])
+                scores = np.concatenate([scores, found[of, row].astype(np.int64)])
+                ids = np.concatenate([ids, self.ids[rows[row]]])
+                order = np.lexsort((ids, -scores, asked))
+                rank = np.arange(len(order)) - np.searchsorted(asked[order], asked[order])
+                order, rank = order[rank < k], rank[rank < k]
+                asked, scores, ids = asked[order], scores[order], ids[order]
+                full = rank == k - 1
+                kth[asked[full]] = np.maximum(kth[asked[full]], scores[full])
+            if seen.all():
+                break
+            bound = positive[alive] @ self.sorted[:, n - stop - 1] + negative[alive] @ self.sorted[:, stop]
+            alive = alive[bound >= kth[alive]]
             at, step = stop, step * 2
-        return best
+        return asked, scores, ids
+
+
+def _sums(vectors: np.ndarray, queries: np.ndarray) -> type:
+    """What holds all sums of a product exactly: no partial sum is above the product of the two vectors' lengths."""
+    if vectors.dtype.kind == "f" and vectors.size and queries.size:
+        squared = [float(np.einsum("ij,ij->i", x, x).max()) for x in (vectors, queries)]
+        if max(squared[0], squared[1], squared[0] * squared[1]) < 2**46:  # half of what 32 bits hold exactly
+            return np.float32
+    return vectors.dtype.type
 
 
-def _merge(best: list[tuple[int, int]], scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    if len(best) == k:
-        good = scores >= best[-1][0]
-        scores, ids = scores[good], ids[good]
-    elif len(scores) > 4 * k + 4:
-        # one row may be the query's own
-        good = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-        scores, ids = scores[good], ids[good]
-    new = [(int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != own]
-    return sorted(best + new, key=lambda x: (-x[0], x[1]))[:k] if new else best
+def _good(found: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and row of the scores that may be among the k best, at most 4 k + 4 of a query.
+
+    Of more, k - 1 at most are above the kth, and of those that equal it the first k count, rows being in the order of
+    their ids.
+    """
+    bar = kth.astype(found.dtype)[:, None]
+    good = found >= bar
+    many = np.flatnonzero(np.count_nonzero(good, axis=1) > 4 * k + 4)
+    if len(many):
+        some = found[many]
+        bars = np.maximum(bar[many], np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k, None])
+        level = some == bars
+        good[many] = (some > bars) | (level & (np.cumsum(level, axis=1) <= k))
+    return np.nonzero(good)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
@@ -108,7 +151,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
             lengths = np.diff(v.offsets.to_numpy())
             flat = v.flatten().to_numpy(zero_copy_only=False)
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            out: list[tuple[int, int, int]] = []
             for d in np.unique(lengths):
                 of = lambda side: np.flatnonzero((lengths == d) & (sides == side))  # noqa: B023, E731
                 some, asked = of(0), of(1)
@@ -118,12 +160,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
                 held = matrix(some)
                 exact = d * max(1, np.abs(held).max(initial=0)) * max(1, np.abs(flat).max(initial=0)) < 1 << 53
                 kind = np.float64 if exact else np.int64  # doubles are exact below 2 ** 53, and faster
-                lists = Lists(ids[some], held.astype(kind))
-                for row, q in zip(ids[asked], matrix(asked).astype(kind), strict=True):
-                    out += [(int(row), i, s) for s, i in lists.top(q, int(row), k, [])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"]
-            )
+                lists, wanted = Lists(ids[some], held.astype(kind)), matrix(asked).astype(kind)
+                for at in range(0, len(asked), TOGETHER):
+                    own = ids[asked[at : at + TOGETHER]]
+                    row, score, vec_id = lists.tops(wanted[at : at + TOGETHER], own, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, pa.int64()) for x in (own[row], vec_id, score)], ["query_id", "vec_id", "score"]
+                    )
 
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cdcflow.llm import topk
@@ -96,3 +98,48 @@ def test_reading_stops_early():
     lists.vectors = vectors.view(Counting)
     assert lists.top(np.ones(4), -1, 1, []) == [(4000, 17)]
     assert Counting.rows < 1000
+
+
+class Read(np.ndarray):
+    """Counts the vectors that are read to be scored."""
+
+    rows = 0
+
+    def __getitem__(self, item):
+        if isinstance(item, np.ndarray):
+            Read.rows += len(item)
+        return np.asarray(super().__getitem__(item))
+
+
+def test_a_block_is_read_once_for_all_its_queries():
+    """Where no bound ends the lists early, as in many dimensions, queries share the rows they read."""
+    r = np.random.default_rng(1)
+    vectors = np.floor(r.normal(0, 128, (3000, 64)))
+    lists = topk.Lists(np.arange(3000), vectors)
+    Read.rows, lists.vectors = 0, vectors.view(Read)
+    asked, scores, ids = lists.tops(vectors[::100], np.arange(0, 3000, 100), 10)
+    assert Read.rows <= 3000
+    for q in range(30):
+        plainly = sorted((-int(s), i) for i, s in enumerate(vectors @ vectors[100 * q]) if i != 100 * q)[:10]
+        assert [(-s, i) for s, i in zip(scores[asked == q].tolist(), ids[asked == q].tolist(), strict=True)] == plainly
+
+
+@pytest.mark.parametrize("kind", [np.int64, np.float64])
+@pytest.mark.parametrize("high", [1, 3, 50, 1500, 2**22])
+def test_queries_read_together_find_what_each_finds(kind, high):
+    r = np.random.default_rng(high)
+    for n, d, m, k in ((1, 2, 3, 2), (5, 0, 2, 3), (400, 1, 7, 10), (300, 3, 40, 4), (700, 8, 9, 1), (900, 40, 5, 10)):
+        vectors, queries = r.integers(-high, high + 1, (n, d)).astype(kind), r.integers(-high, high + 1, (m, d)).astype(kind)
+        queries[0] = 0
+        ids, own = r.integers(0, max(1, n * 3 // 4), n), r.integers(0, n, m)
+        asked, scores, found = topk.Lists(ids, vectors).tops(queries, own, k)
+        for q in range(m):
+            sums = vectors.astype(np.int64) @ queries[q].astype(np.int64)
+            plainly = sorted((-int(s), int(i)) for s, i in zip(sums, ids, strict=True) if i != own[q])[:k]
+            assert [(-int(s), int(i)) for s, i in zip(scores[asked == q], found[asked == q], strict=True)] == plainly
+
+
+def test_many_vectors_of_the_query_id_leave_room_for_the_others(spark):
+    """Of 60 rows of the query's own id, all better than any other row, none takes a place."""
+    rows = single([(100, [1.0, 1.0], 0, "")] * 60 + [(i, [0.5, i / 1024], 0, "") for i in range(301, 400)])
+    assert found(topk.embedding_neighbours(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
